@@ -31,3 +31,189 @@ SELECT id, title,
   concat('generate question: <answer> ', answer, ' <answer> <context> ', {hl()}, ' <context>') AS inputs,
   concat('<question> ', question, ' <question>') AS target
 FROM qa WHERE s IS NOT NULL"""
+
+SQL["q02_prompt_no_highlight"] = f"""
+WITH {QA_CTE}
+SELECT id, title,
+  concat('generate question: <answer> ', answer, ' <answer> <context> ', context, ' <context>') AS inputs,
+  concat('<question> ', question, ' <question>') AS target
+FROM qa WHERE s IS NOT NULL"""
+
+SQL["q03_prompt_zero_shot"] = f"""
+WITH {QA_CTE}
+SELECT id, title,
+  concat('generate question: <context> ', {hl()}, ' <context>') AS inputs,
+  concat('<question> ', question, ' <question>') AS target
+FROM qa WHERE s IS NOT NULL"""
+
+SQL["q04_prompt_rl"] = f"""
+WITH {QA_CTE}
+SELECT id, title, question,
+  concat('generate question: <answer> ', answer, ' <answer> <context> ', {hl()}, ' <context>') AS query,
+  concat('<question> ', question, ' <question>') AS target,
+  answer
+FROM qa WHERE s IS NOT NULL"""
+
+CAUSAL_SYSTEM = ('You are a question generation system. Generate questions for the '
+                 'given answer <answer>, matching the context. Each question starts '
+                 'after <question> and starts with a question word like '
+                 '"who, what, where, when"')
+
+SQL["q05_prompt_causal_train"] = f"""
+WITH {QA_CTE}
+SELECT id, title,
+  concat('<s>[INST] <<SYS>> {CAUSAL_SYSTEM} <<SYS>> ', {hl('')}, ' ### Answer: ', answer,
+         ' ### Answer: [/INST] ### Question: ', question, '  </s>') AS text
+FROM qa WHERE s IS NOT NULL"""
+
+SQL["q06_prompt_causal_eval"] = f"""
+WITH {QA_CTE}
+SELECT id, title, question,
+  concat('<s> ', {hl('')}, ' ### Answer: ', answer, '  ### Question:') AS text
+FROM qa WHERE s IS NOT NULL"""
+
+SQL["q07_prompt_qa"] = """
+SELECT conv_id, turn,
+  concat('### Question: ', text, ' ### Answer: ') AS prompt,
+  left(text, 128) AS preview,
+  concat('### Question: ', lower(text), ' ### Answer: ') AS prompt_lower
+FROM conversations WHERE role = 'user'"""
+
+SQL["q07b_prompt_report"] = f"""
+WITH {QA_CTE}
+SELECT id, concat('<ctx> ', {hl()}, ' <ctx> <ans> ', answer) AS inputs
+FROM qa WHERE s IS NOT NULL"""
+
+SQL["q08_span_check"] = f"""
+WITH {QA_CTE}
+SELECT id, s AS answer_start,
+  substring(context, s + 1, length(answer)) = answer AS slice_ok,
+  (instr(context, answer) - 1) = s AS first_occurrence,
+  CAST(instr(context, answer) - 1 AS BIGINT) AS first_pos
+FROM qa WHERE s IS NOT NULL"""
+
+SQL["q09_position_slice"] = f"""
+WITH {QA_CTE},
+r AS (SELECT id, title, row_number() OVER (ORDER BY id) AS rn FROM qa WHERE s IS NOT NULL)
+SELECT id, title, rn - 1 AS row_idx FROM r WHERE rn > 100 AND rn <= 600"""
+
+SQL["q10_seeded_sample"] = f"""
+WITH {QA_CTE}
+SELECT id, title, question FROM qa WHERE s IS NOT NULL
+ORDER BY md5(concat('42:', CAST(id AS VARCHAR))), id LIMIT 100"""
+
+SPLITS_CTE = """r AS (
+  SELECT doc_id, source, text,
+         row_number() OVER (ORDER BY md5(concat('42:', CAST(doc_id AS VARCHAR))), doc_id) AS rn
+  FROM documents),
+sp AS (
+  SELECT doc_id, source, text, rn - 1 AS row_idx,
+    CASE WHEN rn <= 300 THEN 'finetune' WHEN rn <= 600 THEN 'reward'
+         WHEN rn <= 900 THEN 'rl' ELSE 'evaluation' END AS split
+  FROM r)"""
+
+SQL["q11_named_splits"] = f"""
+WITH {SPLITS_CTE}
+SELECT doc_id, split, row_idx FROM sp"""
+
+SQL["q12_holdout_fraction"] = """
+WITH r AS (
+  SELECT doc_id,
+         row_number() OVER (ORDER BY md5(concat('42:', CAST(doc_id AS VARCHAR))), doc_id) AS rn,
+         count(*) OVER () AS n
+  FROM documents)
+SELECT doc_id, rn - 1 AS row_idx,
+  CASE WHEN rn <= ceil(0.05 * n) THEN 'test' ELSE 'train' END AS holdout,
+  CAST(('0x' || substr(md5(concat('42:', CAST(doc_id AS VARCHAR))), 1, 7))::BIGINT % 10 AS BIGINT) AS bucket,
+  CASE WHEN ('0x' || substr(md5(concat('42:', CAST(doc_id AS VARCHAR))), 1, 7))::BIGINT % 10 < 8 THEN 'train'
+       WHEN ('0x' || substr(md5(concat('42:', CAST(doc_id AS VARCHAR))), 1, 7))::BIGINT % 10 < 9 THEN 'validation'
+       ELSE 'test' END AS hash_split
+FROM r"""
+
+SQL["q13_batches"] = f"""
+WITH {QA_CTE},
+r AS (SELECT id, row_number() OVER (ORDER BY md5(concat('42:', CAST(id AS VARCHAR))), id) AS rn,
+             count(*) OVER () AS n
+      FROM qa WHERE s IS NOT NULL)
+SELECT id, rn - 1 AS row_idx, CAST((rn - 1) // 16 AS BIGINT) AS batch_id
+FROM r WHERE (rn - 1) // 16 < n // 16"""
+
+SAMPLE_CTE = f"""{QA_CTE},
+smp AS (SELECT id FROM qa WHERE s IS NOT NULL
+        ORDER BY md5(concat('42:', CAST(id AS VARCHAR))), id LIMIT 100)"""
+
+MODELS_CTE = """preds AS (
+  SELECT id, 'echo' AS model, concat('question> ', question, ' question>') AS prediction FROM qa WHERE s IS NOT NULL
+  UNION ALL SELECT id, 'drop_first', substring(question, instr(question, ' ') + 1) FROM qa WHERE s IS NOT NULL
+  UNION ALL SELECT id, 'leak', concat(question, ' ', answer) FROM qa WHERE s IS NOT NULL
+  UNION ALL SELECT id, 'empty', '' FROM qa WHERE s IS NOT NULL)"""
+
+SQL["q14_fixed_sample_semi"] = f"""
+WITH {SAMPLE_CTE}, {MODELS_CTE}
+SELECT id, model, prediction FROM preds WHERE id IN (SELECT id FROM smp)"""
+
+SQL["q15_overlap_anti"] = f"""
+WITH {SAMPLE_CTE}
+SELECT id, title FROM qa WHERE s IS NOT NULL AND id NOT IN (SELECT id FROM smp)"""
+
+PREF_CTE = """pa AS (
+  SELECT source AS qid, doc_id, text, length(text) % 5 AS pm_score,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos
+  FROM documents),
+pb AS (SELECT * FROM pa WHERE pos <= 8),
+pairs AS (
+  SELECT x.qid, x.pos AS pos_i, y.pos AS pos_j,
+    CASE WHEN x.pm_score > y.pm_score THEN x.text ELSE y.text END AS response_j,
+    CASE WHEN x.pm_score > y.pm_score THEN y.text ELSE x.text END AS response_k,
+    CAST(greatest(x.pm_score, y.pm_score) AS BIGINT) AS score_j,
+    CAST(least(x.pm_score, y.pm_score) AS BIGINT) AS score_k
+  FROM pb x JOIN pb y ON x.qid = y.qid AND x.pos < y.pos AND x.pm_score <> y.pm_score)"""
+
+SQL["q16_pref_pairs"] = f"""
+WITH {PREF_CTE}
+SELECT * FROM pairs"""
+
+CAPPED_CTE = f"""{PREF_CTE},
+capped AS (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY
+           md5(concat('42:', qid, ':', CAST(pos_i AS VARCHAR), ':', CAST(pos_j AS VARCHAR)))) AS pair_rank
+  FROM pairs)"""
+
+SQL["q17_pref_pairs_capped"] = f"""
+WITH {CAPPED_CTE}
+SELECT * FROM capped WHERE pair_rank <= 10"""
+
+SQL["q18_best_worst"] = f"""
+WITH {PREF_CTE},
+b AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pm_score DESC, pos ASC) AS rb,
+               row_number() OVER (PARTITION BY qid ORDER BY pm_score ASC, pos DESC) AS rw FROM pb)
+SELECT x.qid, x.pos AS best_pos, y.pos AS worst_pos, x.text AS response_j, y.text AS response_k,
+       CAST(x.pm_score AS BIGINT) AS score_j, CAST(y.pm_score AS BIGINT) AS score_k
+FROM b x JOIN b y ON x.qid = y.qid AND x.rb = 1 AND y.rw = 1"""
+
+SQL["q19_pair_stats"] = f"""
+WITH {CAPPED_CTE},
+na AS (SELECT qid, count(*) AS n FROM pb GROUP BY qid),
+np AS (SELECT qid, count(*) AS n_pairs, count(*) FILTER (WHERE pair_rank <= 10) AS n_capped
+       FROM capped GROUP BY qid)
+SELECT na.qid, na.n AS n_answers, na.n * na.n / 2.0 AS half_sq,
+       coalesce(np.n_pairs, 0) AS n_pairs, coalesce(np.n_capped, 0) AS n_capped
+FROM na LEFT JOIN np ON na.qid = np.qid"""
+
+SQL["q20_shard_plan"] = f"""
+WITH {SPLITS_CTE},
+b AS (SELECT split, count(*) AS n,
+             sum(8 + strlen(source) + strlen(text)) AS nbytes FROM sp GROUP BY split),
+k AS (SELECT split, n, CAST(floor(nbytes / {1 << 18}) AS BIGINT) + 1 AS ns FROM b),
+pos AS (SELECT sp.split, sp.row_idx, k.n, k.ns,
+               row_number() OVER (PARTITION BY sp.split ORDER BY sp.row_idx) - 1 AS lp
+        FROM sp JOIN k ON sp.split = k.split),
+sh AS (SELECT split, row_idx, ns,
+         CASE WHEN n // ns = 0 THEN lp
+              WHEN lp < (n // ns + 1) * (n % ns) THEN lp // (n // ns + 1)
+              ELSE (n % ns) + (lp - (n // ns + 1) * (n % ns)) // (n // ns) END AS shard
+       FROM pos)
+SELECT split, CAST(shard AS BIGINT) AS shard, CAST(ns AS BIGINT) AS num_shards,
+       printf('train-%05d-of-%05d.parquet', shard, ns) AS file_name,
+       count(*) AS n_rows, min(row_idx) AS first_row, max(row_idx) AS last_row
+FROM sh GROUP BY split, shard, ns"""

@@ -27,3 +27,157 @@ def _qa(spark, sf):
 @query("q01_prompt_answer_aware")
 def q01(spark, sf):
     return P.qa_prompts(_qa(spark, sf))
+
+
+def _answerable(df):
+    return df.where(F.size("answers.answer_start") > 0)
+
+
+# ------------------------------------------------------------------ prompts
+@query("q02_prompt_no_highlight")
+def q02(spark, sf):
+    return P.qa_prompts(_qa(spark, sf), use_highlight=False)
+
+
+@query("q03_prompt_zero_shot")
+def q03(spark, sf):
+    return P.qa_prompts(_qa(spark, sf), zero_shot=True)
+
+
+@query("q04_prompt_rl")
+def q04(spark, sf):
+    return P.rl_prompts(_qa(spark, sf))
+
+
+@query("q05_prompt_causal_train")
+def q05(spark, sf):
+    return P.causal_train_prompts(_qa(spark, sf))
+
+
+@query("q06_prompt_causal_eval")
+def q06(spark, sf):
+    return P.causal_eval_prompts(_qa(spark, sf))
+
+
+@query("q07_prompt_qa")
+def q07(spark, sf):
+    conv = read_table(spark, sf, "conversations").where(F.col("role") == "user")
+    out = P.plain_qa_prompts(conv, "text")
+    lower = P.plain_qa_prompts(conv, "text", lower=True).select("conv_id", "turn",
+                                                                F.col("prompt").alias("prompt_lower"))
+    return out.select("conv_id", "turn", "prompt", "preview",
+                      F.concat(F.lit("### Question: "), F.lower("text"), F.lit(" ### Answer: "))
+                      .alias("prompt_lower"))
+
+
+@query("q07b_prompt_report")
+def q07b(spark, sf):
+    return P.report_prompts(_qa(spark, sf))
+
+
+@query("q08_span_check")
+def q08(spark, sf):
+    return P.span_check(_qa(spark, sf))
+
+
+# ------------------------------------------------------------------ positions, samples, splits
+@query("q09_position_slice")
+def q09(spark, sf):
+    from qforge.operators.index import position_slice
+    qa = _answerable(_qa(spark, sf)).select("id", "title")
+    return position_slice(qa, ["id"], 100, 600)
+
+
+@query("q10_seeded_sample")
+def q10(spark, sf):
+    from qforge.operators.index import seeded_sample
+    qa = _answerable(_qa(spark, sf)).select("id", "title", "question")
+    return seeded_sample(qa, "id", 100, seed=42)
+
+
+SPLIT_CUTS = [("finetune", 300), ("reward", 300), ("rl", 300), ("evaluation", None)]
+
+
+def _doc_splits(spark, sf):
+    from qforge.operators.index import named_splits, seeded_order
+    docs = read_table(spark, sf, "documents").select("doc_id", "source", "text")
+    return named_splits(docs, seeded_order("doc_id", 42), SPLIT_CUTS)
+
+
+@query("q11_named_splits")
+def q11(spark, sf):
+    return _doc_splits(spark, sf).select("doc_id", "split", "row_idx")
+
+
+@query("q12_holdout_fraction")
+def q12(spark, sf):
+    from qforge.operators.index import hash_split, holdout_split
+    docs = read_table(spark, sf, "documents").select("doc_id")
+    h = holdout_split(docs, "doc_id", 0.05, 42).withColumnRenamed("split", "holdout")
+    return hash_split(h, "doc_id", 42).withColumnRenamed("split", "hash_split")
+
+
+@query("q13_batches")
+def q13(spark, sf):
+    from qforge.operators.index import batches, seeded_order
+    qa = P.rl_prompts(_qa(spark, sf)).select("id")
+    return batches(qa, seeded_order("id", 42), 16)
+
+
+def _fixed_sample_ids(spark, sf, k=100):
+    from qforge.operators.index import seeded_sample
+    qa = _answerable(_qa(spark, sf)).select("id")
+    return seeded_sample(qa, "id", k, seed=42)
+
+
+@query("q14_fixed_sample_semi")
+def q14(spark, sf):
+    preds = FX.stub_predictions(_qa(spark, sf))
+    # the sample is bounded by k (100 ids): broadcasting it is safe at any scale
+    return preds.join(F.broadcast(_fixed_sample_ids(spark, sf)), "id", "left_semi")
+
+
+@query("q15_overlap_anti")
+def q15(spark, sf):
+    train = _answerable(_qa(spark, sf)).select("id", "title")
+    return train.join(F.broadcast(_fixed_sample_ids(spark, sf)), "id", "left_anti")
+
+
+# ------------------------------------------------------------------ preference pairs
+def _pref_answers(spark, sf):
+    return FX.preference_answers(read_table(spark, sf, "documents"))
+
+
+@query("q16_pref_pairs")
+def q16(spark, sf):
+    from qforge.operators.prefs import pairs
+    return pairs(_pref_answers(spark, sf))
+
+
+@query("q17_pref_pairs_capped")
+def q17(spark, sf):
+    from qforge.operators.prefs import cap_pairs, pairs
+    return cap_pairs(pairs(_pref_answers(spark, sf)), 10, 42)
+
+
+@query("q18_best_worst")
+def q18(spark, sf):
+    from qforge.operators.prefs import best_worst
+    return best_worst(_pref_answers(spark, sf))
+
+
+@query("q19_pair_stats")
+def q19(spark, sf):
+    from qforge.operators.prefs import pair_stats
+    return pair_stats(_pref_answers(spark, sf), 10)
+
+
+@query("q20_shard_plan")
+def q20(spark, sf):
+    from qforge.sources.sinks import shard_plan
+    planned = shard_plan(_doc_splits(spark, sf).select("split", "row_idx", "doc_id", "source", "text"),
+                         ["row_idx"], "split", shard_bytes=1 << 18,
+                         byte_cols=["doc_id", "source", "text"])
+    return (planned.groupBy("split", "shard", "num_shards", "file_name")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.min("row_idx").alias("first_row"),
+                 F.max("row_idx").alias("last_row")))
