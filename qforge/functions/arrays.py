@@ -66,13 +66,13 @@ def lcs_bitparallel(pred_tokens, ref_tokens) -> Column:
     number of zero bits of V among the low ``m`` bits."""
     p, r = _c(pred_tokens), _c(ref_tokens)
     m = F.size(p)
-    full = F.shiftleft(F.lit(1).cast("bigint"), m) - 1
+    full = F.call_function("shiftleft", F.lit(1).cast("bigint"), m) - 1
     idx = F.sequence(F.lit(0), F.greatest(m - 1, F.lit(0)))
 
     def mask(c):
         return F.aggregate(idx, F.lit(0).cast("bigint"),
                            lambda acc, j: acc.bitwiseOR(
-                               F.when(F.get(p, j) == c, F.shiftleft(F.lit(1).cast("bigint"), j))
+                               F.when(F.get(p, j) == c, F.call_function("shiftleft", F.lit(1).cast("bigint"), j))
                                .otherwise(F.lit(0).cast("bigint"))))
 
     def step(v, c):

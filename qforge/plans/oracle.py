@@ -217,3 +217,223 @@ SELECT split, CAST(shard AS BIGINT) AS shard, CAST(ns AS BIGINT) AS num_shards,
        printf('train-%05d-of-%05d.parquet', shard, ns) AS file_name,
        count(*) AS n_rows, min(row_idx) AS first_row, max(row_idx) AS last_row
 FROM sh GROUP BY split, shard, ns"""
+
+# ---------------------------------------------------------------- evaluation frame
+X6 = "replace(replace(replace({x}, 'question>', ''), '<question>', ''), '<hl>', '')"
+X7 = "replace({x}, '<question>', '')"
+TRIM_WS = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+X8 = TRIM_WS.format(x="replace(replace(replace(replace(replace(replace({x}, '<pad>', ''), '<unk>', ''), "
+                      "'</s>', ''), 'question>', ''), '<question>', ''), '<', '')")
+TOK = "regexp_extract_all(lower({x}), '[a-z0-9]+', 0)"
+
+
+def eval_ctes(cleanup="eval"):
+    if cleanup == "eval":
+        pc, rc = X6.format(x="prediction"), X7.format(x="target")
+    else:
+        pc, rc = X8.format(x="prediction"), X8.format(x="target")
+    return f"""{QA_CTE}, {MODELS_CTE},
+ev0 AS (SELECT p.id, p.model, p.prediction, concat('<question> ', qa.question, ' <question>') AS target,
+               qa.answer
+        FROM preds p JOIN qa ON p.id = qa.id WHERE qa.s IS NOT NULL),
+ev AS (SELECT id, model, {pc} AS prediction, {rc} AS reference, answer FROM ev0),
+tk AS (SELECT id, model, prediction, reference, answer,
+              {TOK.format(x='prediction')} AS pt, {TOK.format(x='reference')} AS rt FROM ev)"""
+
+
+def ngram_expr(t, n):
+    return f"list_transform(range(1, len({t}) - {n} + 2), lambda i: array_to_string({t}[i:i + {n} - 1], ' '))"
+
+
+def skip_expr(t):
+    return (f"flatten(list_transform(range(1, len({t})), lambda i: "
+            f"list_transform(range(i + 1, len({t}) + 1), lambda j: {t}[i] || ' ' || {t}[j])))")
+
+
+def _rnd(rounded):
+    return (lambda e: f"round({e}, 6)") if rounded else (lambda e: e)
+
+
+def overlap_ctes(name, gp, gr, prefix, rounded=True):
+    """ROUGE-N style scores by unnest + group + join (a different method from
+    the per-row Spark plan)."""
+    return f"""{name}_g AS (SELECT id, model, {gp} AS gp, {gr} AS gr FROM tk),
+{name}_pc AS (SELECT id, model, gram, count(*) AS c FROM (SELECT id, model, unnest(gp) AS gram FROM {name}_g)
+              GROUP BY id, model, gram),
+{name}_rc AS (SELECT id, model, gram, count(*) AS c FROM (SELECT id, model, unnest(gr) AS gram FROM {name}_g)
+              GROUP BY id, model, gram),
+{name}_ov AS (SELECT id, model, sum(least(a.c, b.c)) AS o FROM {name}_pc a JOIN {name}_rc b USING (id, model, gram)
+              GROUP BY id, model),
+{name}_s AS (SELECT g.id, g.model, coalesce(ov.o, 0) / greatest(len(g.gp), 1) AS p,
+                    coalesce(ov.o, 0) / greatest(len(g.gr), 1) AS r
+             FROM {name}_g g LEFT JOIN {name}_ov ov ON g.id = ov.id AND g.model = ov.model),
+{name} AS (SELECT id, model, {_rnd(rounded)('p')} AS {prefix}_p, {_rnd(rounded)('r')} AS {prefix}_r,
+                  {_rnd(rounded)('CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END')} AS {prefix}_f
+           FROM {name}_s)"""
+
+
+def rouge_l_ctes(name="rl", prefix="rougeL", rounded=True):
+    dp = ("list_reduce(rt, lambda prev, c: list_reduce(range(1, len(pt) + 1), lambda row, j: "
+          "list_append(row, CASE WHEN pt[j] = c THEN prev[j] + 1 ELSE greatest(prev[j + 1], row[j]) END), [0]), "
+          "list_transform(range(0, len(pt) + 1), lambda x: 0))")
+    return f"""{name}_d AS (SELECT id, model, len(pt) AS np, len(rt) AS nr, {dp} AS dp FROM tk),
+{name}_s AS (SELECT id, model,
+               CASE WHEN np = 0 OR nr = 0 THEN 0.0 ELSE dp[-1] / np END AS p,
+               CASE WHEN np = 0 OR nr = 0 THEN 0.0 ELSE dp[-1] / nr END AS r FROM {name}_d),
+{name} AS (SELECT id, model, {_rnd(rounded)('p')} AS {prefix}_p, {_rnd(rounded)('r')} AS {prefix}_r,
+                  {_rnd(rounded)('CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END')} AS {prefix}_f
+           FROM {name}_s)"""
+
+
+def bert_ctes(name="bs", prefix="bert", rounded=True):
+    bucket = "('0x' || substr(md5(tok), 1, 7))::BIGINT % (SELECT count(*) FROM embeddings)"
+    rnd = (lambda e: f"round({e}, 6)") if rounded else (lambda e: e)
+    return f"""{name}_v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+{name}_tp AS (SELECT id, model, unnest(pt) AS tok, generate_subscripts(pt, 1) AS pos FROM tk),
+{name}_tr AS (SELECT id, model, unnest(rt) AS tok, generate_subscripts(rt, 1) AS pos FROM tk),
+{name}_pv AS (SELECT t.id, t.model, t.pos, v.v FROM {name}_tp t JOIN {name}_v v ON v.vec_id = {bucket}),
+{name}_rv AS (SELECT t.id, t.model, t.pos, v.v FROM {name}_tr t JOIN {name}_v v ON v.vec_id = {bucket}),
+{name}_sim AS (SELECT a.id, a.model, a.pos AS pp, b.pos AS rp, list_cosine_similarity(a.v, b.v) AS s
+               FROM {name}_pv a JOIN {name}_rv b ON a.id = b.id AND a.model = b.model),
+{name}_p AS (SELECT id, model, avg(m) AS p FROM (SELECT id, model, pp, max(s) AS m FROM {name}_sim
+             GROUP BY id, model, pp) GROUP BY id, model),
+{name}_r AS (SELECT id, model, avg(m) AS r FROM (SELECT id, model, rp, max(s) AS m FROM {name}_sim
+             GROUP BY id, model, rp) GROUP BY id, model),
+{name}_s AS (SELECT tk.id, tk.model, coalesce(a.p, 0.0) AS p, coalesce(b.r, 0.0) AS r
+             FROM tk LEFT JOIN {name}_p a ON tk.id = a.id AND tk.model = a.model
+                     LEFT JOIN {name}_r b ON tk.id = b.id AND tk.model = b.model),
+{name} AS (SELECT id, model, {rnd('p')} AS {prefix}_p, {rnd('r')} AS {prefix}_r,
+                  {rnd('CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0.0 END')} AS {prefix}_f
+           FROM {name}_s)"""
+
+
+SQL["q21_clean_eval"] = f"""
+WITH {eval_ctes('eval')}
+SELECT id, model, prediction AS prediction_clean, reference AS target_clean FROM ev"""
+
+SQL["q22_clean_reward"] = f"""
+WITH {eval_ctes('reward')}
+SELECT id, model, prediction AS prediction_clean, reference AS target_clean FROM ev"""
+
+SQL["q23_extract_completion"] = f"""
+WITH {QA_CTE},
+c AS (SELECT id, concat('<s> ', {hl('')}, ' ### Answer: ', answer, '  ### Question:', ' ', question, ' Yes? ok') AS t
+      FROM qa WHERE s IS NOT NULL)
+SELECT id, concat(split_part(string_split(t, '### Question:')[2], '?', 1), '?') AS prediction FROM c"""
+
+SQL["q24_extract_answer"] = """
+WITH c AS (SELECT conv_id, turn,
+  concat('[''### Question: q ### Answer: ', replace(replace(text, chr(10), '\\n'), '"', '\\"'), ''']') AS rep
+  FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn,
+  replace(replace(replace(string_split(rep, '### Answer:')[2], '\\n', ' '), '\\t', ' '), '\\"', '') AS answer_text
+FROM c"""
+
+SQL["q25_rouge1"] = f"""
+WITH {eval_ctes()}, {overlap_ctes('r1', ngram_expr('pt', 1), ngram_expr('rt', 1), 'rouge1')}
+SELECT * FROM r1"""
+
+SQL["q26_rouge2"] = f"""
+WITH {eval_ctes()}, {overlap_ctes('r2', ngram_expr('pt', 2), ngram_expr('rt', 2), 'rouge2')}
+SELECT * FROM r2"""
+
+SQL["q27_rougeL"] = f"""
+WITH {eval_ctes()}, {rouge_l_ctes()}
+SELECT * FROM rl"""
+
+SQL["q29_rougeS"] = f"""
+WITH {eval_ctes()}, {overlap_ctes('rs', skip_expr('pt'), skip_expr('rt'), 'rougeS')}
+SELECT * FROM rs"""
+
+ALL_SCORES = f"""{eval_ctes()},
+{overlap_ctes('r1', ngram_expr('pt', 1), ngram_expr('rt', 1), 'rouge1', False)},
+{overlap_ctes('r2', ngram_expr('pt', 2), ngram_expr('rt', 2), 'rouge2', False)},
+{overlap_ctes('rs', skip_expr('pt'), skip_expr('rt'), 'rougeS', False)},
+{rouge_l_ctes(rounded=False)}, {bert_ctes(rounded=False)},
+sc AS (SELECT * FROM r1 JOIN r2 USING (id, model) JOIN rs USING (id, model) JOIN rl USING (id, model)
+       JOIN bs USING (id, model))"""
+
+SQL["q30_rouge_summary"] = f"""
+WITH {ALL_SCORES},
+a AS (SELECT model, count(*) AS n, round(avg(rouge1_f), 6) AS rouge1_f, round(avg(rouge2_f), 6) AS rouge2_f,
+             round(avg(rougeL_f), 6) AS rougeL_f, round(avg(rougeS_f), 6) AS rougeS_f,
+             round(avg(bert_f), 6) AS bert_f
+      FROM sc GROUP BY model)
+SELECT *, rank() OVER (ORDER BY rouge1_f DESC) AS rank FROM a"""
+
+
+def _poisson_case(u):
+    import math
+    cdf, term, parts = 0.0, math.exp(-1.0), []
+    for k in range(0, 12):
+        cdf += term
+        parts.append(f"WHEN {u} < {cdf!r} THEN {k}")
+        term = term / (k + 1)
+    return "CASE " + " ".join(parts) + " ELSE 12 END"
+
+
+SQL["q31_rouge_bootstrap"] = f"""
+WITH {eval_ctes()}, {overlap_ctes('r1', ngram_expr('pt', 1), ngram_expr('rt', 1), 'rouge1', False)},
+reps AS (SELECT model, id, rouge1_f, unnest(range(1, 1001)) AS rep FROM r1),
+u AS (SELECT model, rep, rouge1_f,
+        ('0x' || substr(md5(concat('42:', CAST(rep AS VARCHAR), ':', CAST(id AS VARCHAR))), 1, 12))::BIGINT
+          / 281474976710656.0 AS u FROM reps),
+w AS (SELECT model, rep, rouge1_f, {_poisson_case('u')} AS w FROM u),
+m AS (SELECT model, rep, sum(w * rouge1_f) / nullif(sum(w), 0) AS m FROM w GROUP BY model, rep),
+q AS (SELECT model, quantile_cont(m, [0.025, 0.5, 0.975]) AS q FROM m WHERE m IS NOT NULL GROUP BY model)
+SELECT model, round(q[1], 6) AS low, round(q[2], 6) AS mid, round(q[3], 6) AS high FROM q"""
+
+SQL["q32_running_mean"] = f"""
+WITH {eval_ctes()}, {overlap_ctes('r1', ngram_expr('pt', 1), ngram_expr('rt', 1), 'rouge1', False)}
+SELECT id, model, round(avg(rouge1_f) OVER (PARTITION BY model ORDER BY id
+                                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS running_mean
+FROM r1"""
+
+SQL["q33_bertscore"] = f"""
+WITH {eval_ctes()}, {bert_ctes()}
+SELECT * FROM bs"""
+
+WORDS = ("CASE WHEN {t} = '' THEN []::VARCHAR[] ELSE string_split_regex({t}, '\\s+') END")
+
+
+def reward_ctes(leak_pen, leak_ok, max_words):
+    wp = WORDS.format(t=TRIM_WS.format(x="tk.prediction"))
+    wt = WORDS.format(t=TRIM_WS.format(x="tk.reference"))
+    return f"""{eval_ctes('reward')}, {bert_ctes(rounded=False)},
+rw0 AS (SELECT tk.id, tk.model, tk.prediction, tk.reference, tk.answer, bs.bert_f,
+               {wp} AS wp, {wt} AS wt
+        FROM tk JOIN bs ON tk.id = bs.id AND tk.model = bs.model),
+rw1 AS (SELECT *, contains(lower(prediction), lower(answer)) AS leak,
+               CASE WHEN contains(lower(prediction), lower(answer)) THEN {leak_pen} ELSE {leak_ok} END AS t_leak,
+               CASE WHEN lower(wt[1]) <> lower(wp[1]) THEN -0.5 ELSE 0.5 END AS t_word,
+               CASE WHEN len(wt) > {max_words} THEN -0.5 ELSE 0.5 END AS t_len
+        FROM rw0),
+rwu AS (SELECT id, model, bert_f, leak, t_word > 0 AS word_match, t_len < 0 AS long_text,
+              CASE WHEN answer IS NOT NULL AND len(wp) > 0 AND len(wt) > 0
+                   THEN 1.0 / (1.0 + exp(-(bert_f + t_leak + t_word + t_len))) ELSE 0.0 END AS reward
+       FROM rw1),
+rw AS (SELECT id, model, round(bert_f, 6) AS bert_f, leak, word_match, long_text, round(reward, 6) AS reward
+       FROM rwu)"""
+
+
+SQL["q34_reward_code"] = f"""
+WITH {reward_ctes(-5.0, 1.0, 20)}
+SELECT * FROM rw"""
+
+SQL["q35_reward_paper"] = f"""
+WITH {reward_ctes(-1.0, 1.0, 32)}
+SELECT * FROM rw"""
+
+SQL["q36_reward_by_batch"] = f"""
+WITH {reward_ctes(-5.0, 1.0, 20)},
+br AS (SELECT id, row_number() OVER (ORDER BY md5(concat('42:', CAST(id AS VARCHAR))), id) AS rn,
+              count(*) OVER () AS n FROM qa WHERE s IS NOT NULL),
+bt AS (SELECT id, CAST((rn - 1) // 16 AS BIGINT) AS batch_id FROM br WHERE (rn - 1) // 16 < n // 16)
+SELECT model, batch_id, round(avg(reward), 6) AS mean_reward, count(*) AS n
+FROM rwu JOIN bt USING (id) GROUP BY model, batch_id"""
+
+SQL["q37_term_rates"] = f"""
+WITH {reward_ctes(-5.0, 1.0, 20)}
+SELECT model, round(avg(leak::INT), 6) AS leak_rate, round(avg(word_match::INT), 6) AS word_match_rate,
+       round(avg(long_text::INT), 6) AS long_rate, round(avg(reward), 6) AS mean_reward, count(*) AS n
+FROM rwu GROUP BY model"""

@@ -181,3 +181,167 @@ def q20(spark, sf):
     return (planned.groupBy("split", "shard", "num_shards", "file_name")
             .agg(F.count(F.lit(1)).alias("n_rows"), F.min("row_idx").alias("first_row"),
                  F.max("row_idx").alias("last_row")))
+
+
+# ------------------------------------------------------------------ evaluation: cleanup, extraction
+def _preds(spark, sf):
+    return FX.stub_predictions(_qa(spark, sf))
+
+
+def _eval(spark, sf, cleanup="eval"):
+    from qforge.operators.evaluate import eval_frame
+    qa = _qa(spark, sf)
+    return eval_frame(FX.stub_predictions(qa), P.rl_prompts(qa), cleanup)
+
+
+@query("q21_clean_eval")
+def q21(spark, sf):
+    return _eval(spark, sf, "eval").select("id", "model", F.col("prediction").alias("prediction_clean"),
+                                           F.col("reference").alias("target_clean"))
+
+
+@query("q22_clean_reward")
+def q22(spark, sf):
+    return _eval(spark, sf, "reward").select("id", "model", F.col("prediction").alias("prediction_clean"),
+                                             F.col("reference").alias("target_clean"))
+
+
+@query("q23_extract_completion")
+def q23(spark, sf):
+    from qforge.functions.text import extract_completion
+    ev = P.causal_eval_prompts(_qa(spark, sf))
+    completion = F.concat(F.col("text"), F.lit(" "), F.col("question"), F.lit(" Yes? ok"))
+    return ev.select("id", extract_completion(completion).alias("prediction"))
+
+
+@query("q24_extract_answer")
+def q24(spark, sf):
+    from qforge.functions.text import extract_answer
+    conv = read_table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    rep = F.concat(F.lit("['### Question: q ### Answer: "),
+                   F.replace(F.replace(F.col("text"), F.lit("\n"), F.lit("\\n")), F.lit('"'), F.lit('\\"')),
+                   F.lit("']"))
+    return conv.select("conv_id", "turn", extract_answer(rep).alias("answer_text"))
+
+
+# ------------------------------------------------------------------ ROUGE
+def _rouge(spark, sf, metrics, ndigits=6):
+    from qforge.operators.rouge import rouge_scores
+    return rouge_scores(_eval(spark, sf), ["id", "model"], metrics=metrics, ndigits=ndigits)
+
+
+@query("q25_rouge1")
+def q25(spark, sf):
+    return _rouge(spark, sf, ("rouge1",))
+
+
+@query("q26_rouge2")
+def q26(spark, sf):
+    return _rouge(spark, sf, ("rouge2",))
+
+
+@query("q27_rougeL")
+def q27(spark, sf):
+    return _rouge(spark, sf, ("rougeL",))
+
+
+@query("q28_rougeLsum")
+def q28(spark, sf):
+    return _rouge(spark, sf, ("rougeLsum",))
+
+
+@query("q29_rougeS")
+def q29(spark, sf):
+    return _rouge(spark, sf, ("rougeS",))
+
+
+def _vectors(spark, sf):
+    return FX.token_vectors(read_table(spark, sf, "embeddings"))
+
+
+def _all_scores(spark, sf):
+    """Per (id, model): ROUGE-1/2/L/S and the embedding score, one frame."""
+    from qforge.operators.bertscore import bertscore
+    from qforge.operators.rouge import rouge_scores, with_tokens
+    ev = _eval(spark, sf)
+    r = rouge_scores(ev, ["id", "model"], metrics=("rouge1", "rouge2", "rougeL", "rougeS"), ndigits=None)
+    b = bertscore(with_tokens(ev), ["id", "model"], _vectors(spark, sf), ndigits=None)
+    return r.join(b, ["id", "model"])
+
+
+@query("q30_rouge_summary")
+def q30(spark, sf):
+    from qforge.operators.summary import leaderboard
+    return leaderboard(_all_scores(spark, sf), "model",
+                       ["rouge1_f", "rouge2_f", "rougeL_f", "rougeS_f", "bert_f"], rank_by="rouge1_f")
+
+
+@query("q31_rouge_bootstrap")
+def q31(spark, sf):
+    from qforge.operators.summary import bootstrap
+    s = _rouge(spark, sf, ("rouge1",), ndigits=None)
+    return bootstrap(s, "model", "id", "rouge1_f", n_samples=1000, seed=42)
+
+
+@query("q32_running_mean")
+def q32(spark, sf):
+    from qforge.operators.index import running_mean
+    s = _rouge(spark, sf, ("rouge1",), ndigits=None)
+    out = running_mean(s, "rouge1_f", "model", "id", "running_mean")
+    return out.select("id", "model", F.round("running_mean", 6).alias("running_mean"))
+
+
+@query("q33_bertscore")
+def q33(spark, sf):
+    from qforge.operators.bertscore import bertscore
+    from qforge.operators.rouge import with_tokens
+    return bertscore(with_tokens(_eval(spark, sf)), ["id", "model"], _vectors(spark, sf))
+
+
+# ------------------------------------------------------------------ reward
+def _reward_rows(spark, sf, cfg_name="code", ndigits=6):
+    from qforge.operators import reward as RW
+    from qforge.operators.bertscore import bertscore
+    from qforge.operators.rouge import with_tokens
+    cfg = RW.CODE if cfg_name == "code" else RW.PAPER
+    ev = _eval(spark, sf, "reward")
+    b = bertscore(with_tokens(ev), ["id", "model"], _vectors(spark, sf), ndigits=None)
+    j = ev.join(b, ["id", "model"])
+    t = RW.reward_terms("prediction", "reference", "answer", cfg)
+    return j.select("id", "model", F.round("bert_f", 6).alias("bert_f"),
+                    RW.leaked("prediction", "answer").alias("leak"),
+                    (t["word"] > 0).alias("word_match"),
+                    (t["length"] < 0).alias("long_text"),
+                    (F.round(RW.reward("bert_f", "prediction", "reference", "answer", cfg), ndigits)
+                     if ndigits is not None else
+                     RW.reward("bert_f", "prediction", "reference", "answer", cfg)).alias("reward"))
+
+
+@query("q34_reward_code")
+def q34(spark, sf):
+    return _reward_rows(spark, sf, "code")
+
+
+@query("q35_reward_paper")
+def q35(spark, sf):
+    return _reward_rows(spark, sf, "paper")
+
+
+@query("q36_reward_by_batch")
+def q36(spark, sf):
+    from qforge.operators.index import batches, seeded_order
+    b = batches(P.rl_prompts(_qa(spark, sf)).select("id"), seeded_order("id", 42), 16)
+    r = _reward_rows(spark, sf, "code", ndigits=None)
+    return (r.join(b, "id").groupBy("model", "batch_id")
+            .agg(F.round(F.avg("reward"), 6).alias("mean_reward"), F.count(F.lit(1)).alias("n")))
+
+
+@query("q37_term_rates")
+def q37(spark, sf):
+    r = _reward_rows(spark, sf, "code", ndigits=None)
+    return r.groupBy("model").agg(
+        F.round(F.avg(F.col("leak").cast("int")), 6).alias("leak_rate"),
+        F.round(F.avg(F.col("word_match").cast("int")), 6).alias("word_match_rate"),
+        F.round(F.avg(F.col("long_text").cast("int")), 6).alias("long_rate"),
+        F.round(F.avg("reward"), 6).alias("mean_reward"),
+        F.count(F.lit(1)).alias("n"))
