@@ -437,3 +437,151 @@ WITH {reward_ctes(-5.0, 1.0, 20)}
 SELECT model, round(avg(leak::INT), 6) AS leak_rate, round(avg(word_match::INT), 6) AS word_match_rate,
        round(avg(long_text::INT), 6) AS long_rate, round(avg(reward), 6) AS mean_reward, count(*) AS n
 FROM rwu GROUP BY model"""
+
+# ---------------------------------------------------------------- vocabulary, encoding
+PROMPTS_CTE = f"""{QA_CTE},
+p AS (SELECT id, title,
+        concat('generate question: <answer> ', answer, ' <answer> <context> ', {hl()}, ' <context>') AS inputs,
+        concat('<question> ', question, ' <question>') AS target
+      FROM qa WHERE s IS NOT NULL)"""
+WT = "regexp_extract_all({x}, '\\S+', 0)"
+
+VOCAB_CTE = f"""{PROMPTS_CTE},
+vt AS (SELECT unnest({WT.format(x='inputs')}) AS token FROM p
+       UNION ALL SELECT unnest({WT.format(x='target')}) AS token FROM p),
+vc AS (SELECT token, count(*) AS count FROM vt GROUP BY token),
+vr AS (SELECT token, count, row_number() OVER (ORDER BY count DESC, token) AS rn FROM vc),
+v AS (SELECT token, rn + 2 AS tid, count FROM vr WHERE rn <= 31997)"""
+
+SQL["q39_vocab"] = f"""
+WITH {VOCAB_CTE}
+SELECT token, tid, count FROM v"""
+
+
+def _enc(name, col, n):
+    return f"""{name}_t AS (SELECT id, ({WT.format(x=col)})[1:{n - 1}] AS toks FROM p),
+{name}_e AS (SELECT id, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM {name}_t),
+{name}_l AS (SELECT e.id, list(coalesce(v.tid, 2) ORDER BY e.pos) AS ids
+             FROM {name}_e e LEFT JOIN v ON e.token = v.token GROUP BY e.id),
+{name}_s AS (SELECT p.id, list_concat(coalesce(l.ids, []), [1]) AS seq FROM p LEFT JOIN {name}_l l ON p.id = l.id),
+{name} AS (SELECT id, list_concat(seq, list_transform(range({n} - len(seq)), lambda x: 0)) AS ids,
+                  len(seq) AS n FROM {name}_s)"""
+
+
+SQL["q40_encode"] = f"""
+WITH {VOCAB_CTE}, {_enc('ei', 'inputs', 512)}, {_enc('el', 'target', 32)}
+SELECT ei.id, array_to_string(ei.ids, ' ') AS input_ids, array_to_string(el.ids, ' ') AS labels,
+       ei.n AS n_input_tokens
+FROM ei JOIN el ON ei.id = el.id"""
+
+SQL["q41_token_budget"] = f"""
+WITH {PROMPTS_CTE},
+n AS (SELECT len({WT.format(x='inputs')}) AS ni, len({WT.format(x='target')}) AS nt FROM p)
+SELECT count(*) AS n_rows,
+  round(avg((ni > 511)::INT), 6) AS inputs_truncated_share, max(ni) AS inputs_max_tokens,
+  round(quantile_cont(ni, 0.5), 6) AS inputs_median_tokens,
+  round(avg((nt > 31)::INT), 6) AS target_truncated_share, max(nt) AS target_max_tokens,
+  round(quantile_cont(nt, 0.5), 6) AS target_median_tokens
+FROM n"""
+
+# ---------------------------------------------------------------- comparison
+SQL["q42_align_predictions"] = f"""
+WITH {QA_CTE}
+SELECT coalesce(p.id, q.id) AS id, p.prediction, q.question, p.prediction IS NOT NULL AS has_prediction
+FROM (SELECT id, concat('question> ', question, ' question>') AS prediction FROM qa WHERE s IS NOT NULL) p
+FULL OUTER JOIN (SELECT id, question FROM qa) q ON p.id = q.id"""
+
+SQL["q43_wide_models"] = f"""
+WITH {QA_CTE}, {MODELS_CTE}
+SELECT id, max(CASE WHEN model = 'echo' THEN prediction END) AS echo,
+  max(CASE WHEN model = 'drop_first' THEN prediction END) AS drop_first,
+  max(CASE WHEN model = 'leak' THEN prediction END) AS leak,
+  max(CASE WHEN model = 'empty' THEN prediction END) AS empty
+FROM preds GROUP BY id"""
+
+SQL["q44_long_models"] = f"""
+WITH {QA_CTE}, {MODELS_CTE}
+SELECT id, model, prediction FROM preds"""
+
+SMP_ONLY = """smp AS (SELECT id FROM qa WHERE s IS NOT NULL
+        ORDER BY md5(concat('42:', CAST(id AS VARCHAR))), id LIMIT 100)"""
+
+ASSIGN_CTE = f"""{QA_CTE}, {SMP_ONLY},
+mdl AS (SELECT unnest(['echo', 'drop_first', 'leak', 'empty']) AS model),
+ar AS (SELECT smp.id, mdl.model FROM smp CROSS JOIN mdl),
+lab AS (SELECT id, model,
+          'Q' || CAST(row_number() OVER (PARTITION BY id ORDER BY
+                 md5(concat('42:', CAST(id AS VARCHAR), ':', model))) AS VARCHAR) AS label FROM ar),
+rev AS (SELECT id, ntile(5) OVER (ORDER BY md5(concat('42:', CAST(id AS VARCHAR))), id) AS reviewer FROM smp),
+asg AS (SELECT lab.id, lab.model, lab.label, CAST(rev.reviewer AS BIGINT) AS reviewer
+        FROM lab JOIN rev ON lab.id = rev.id)"""
+
+SQL["q45_blind_assignment"] = f"""
+WITH {ASSIGN_CTE}
+SELECT * FROM asg"""
+
+SQL["q46_human_scores"] = f"""
+WITH {ASSIGN_CTE},
+sc AS (SELECT a.id, a.label, a.reviewer,
+         least(5, 1 + 2 * l.quality + (1 - l.toxic)
+                  + ('0x' || substr(md5(concat('42:', CAST(a.id AS VARCHAR), ':', a.label)), 1, 7))::BIGINT % 2)
+           AS score
+       FROM asg a JOIN labels l ON l.doc_id = a.id)
+SELECT a.model, round(avg(sc.score), 6) AS avg_score, count(*) AS n
+FROM sc JOIN asg a ON sc.id = a.id AND sc.label = a.label GROUP BY a.model"""
+
+WORD_LIST = ("CASE WHEN {t} = '' THEN []::VARCHAR[] ELSE string_split_regex({t}, '\\s+') END")
+
+
+def word_list(x):
+    return WORD_LIST.format(t=TRIM_WS.format(x=x))
+
+
+SQL["q47_question_words"] = f"""
+WITH {QA_CTE},
+w AS (SELECT lower(({word_list('question')})[1]) AS word FROM qa WHERE s IS NOT NULL),
+c AS (SELECT word, count(*) AS n FROM w GROUP BY word)
+SELECT word, n, round(n / sum(n) OVER (), 6) AS share FROM c"""
+
+SQL["q48_length_profile"] = f"""
+WITH {QA_CTE}, {MODELS_CTE},
+b AS (SELECT p.id, qa.title, p.model, p.prediction FROM preds p JOIN qa ON p.id = qa.id
+      UNION ALL SELECT id, title, 'reference', question FROM qa WHERE s IS NOT NULL)
+SELECT model, count(*) AS n, round(avg(len({word_list('prediction')})), 6) AS avg_words,
+       count(DISTINCT title) AS n_titles
+FROM b GROUP BY model"""
+
+SQL["q49_vocab_richness"] = f"""
+WITH {eval_ctes()},
+g1 AS (SELECT model, unnest({ngram_expr('pt', 1)}) AS g FROM tk),
+g2 AS (SELECT model, unnest({ngram_expr('pt', 2)}) AS g FROM tk),
+a1 AS (SELECT model, count(DISTINCT g) AS d, count(*) AS n FROM g1 GROUP BY model),
+a2 AS (SELECT model, count(DISTINCT g) AS d, count(*) AS n FROM g2 GROUP BY model),
+mm AS (SELECT DISTINCT model FROM tk)
+SELECT mm.model, coalesce(a1.n, 0) AS n_grams1, round(a1.d / a1.n, 6) AS distinct1,
+       coalesce(a2.n, 0) AS n_grams2, round(a2.d / a2.n, 6) AS distinct2
+FROM mm LEFT JOIN a1 ON mm.model = a1.model LEFT JOIN a2 ON mm.model = a2.model"""
+
+SQL["q50_best_model_per_item"] = f"""
+WITH {eval_ctes()}, {overlap_ctes('r1', ngram_expr('pt', 1), ngram_expr('rt', 1), 'rouge1', False)},
+w AS (SELECT id, model, rouge1_f,
+             row_number() OVER (PARTITION BY id ORDER BY rouge1_f DESC, model ASC) AS rn FROM r1)
+SELECT id, model AS winner, round(rouge1_f, 6) AS score FROM w WHERE rn = 1"""
+
+SQL["q51_stream_scores"] = f"""
+WITH {eval_ctes()}, {overlap_ctes('r1', ngram_expr('pt', 1), ngram_expr('rt', 1), 'rouge1', False)}
+SELECT model, count(*) AS n, round(avg(rouge1_f), 6) AS rouge1_mean FROM r1 GROUP BY model"""
+
+SQL["q52_apply_model"] = f"""
+WITH {PROMPTS_CTE}
+SELECT id, concat('question> ', {TRIM_WS.format(x="string_split(inputs, '<answer>')[2]")}, ' question>') AS prediction
+FROM p"""
+
+SQL["q53_json_roundtrip"] = f"""
+WITH {QA_CTE}, {MODELS_CTE}
+SELECT id, model, prediction FROM preds"""
+
+SQL["q53b_parallel_arrays"] = f"""
+WITH {eval_ctes()}, {SMP_ONLY}
+SELECT row_number() OVER (ORDER BY id) - 1 AS row_idx, id, prediction, reference AS target
+FROM ev WHERE model = 'echo' AND id IN (SELECT id FROM smp)"""

@@ -345,3 +345,167 @@ def q37(spark, sf):
         F.round(F.avg(F.col("long_text").cast("int")), 6).alias("long_rate"),
         F.round(F.avg("reward"), 6).alias("mean_reward"),
         F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------ HTML to Markdown
+@query("q38_html_markdown")
+def q38(spark, sf):
+    from qforge.functions.markdown import html_to_markdown
+    from qforge.session import spread
+    pages = spread(read_table(spark, sf, "pages"))
+    md = pages.select("page_id", "url", html_to_markdown("html").alias("markdown"))
+    return md.select("page_id", "url", "markdown", F.length("markdown").cast("bigint").alias("md_chars"))
+
+
+# ------------------------------------------------------------------ vocabulary and encoding
+def _prompts(spark, sf):
+    return P.qa_prompts(_qa(spark, sf))
+
+
+def _vocab(spark, sf):
+    from qforge.operators.encode import build_vocab
+    return build_vocab(_prompts(spark, sf), ["inputs", "target"], 32000)
+
+
+@query("q39_vocab")
+def q39(spark, sf):
+    return _vocab(spark, sf)
+
+
+@query("q40_encode")
+def q40(spark, sf):
+    from qforge.operators.encode import encode
+    pr = _prompts(spark, sf)
+    vocab = _vocab(spark, sf)
+    x = encode(pr, "id", "inputs", vocab, 512, "input_ids")
+    y = encode(pr, "id", "target", vocab, 32, "labels").drop("attention_mask")
+    return x.join(y, "id").select(
+        "id", F.array_join("input_ids", " ").alias("input_ids"), F.array_join("labels", " ").alias("labels"),
+        F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, m: a + m).alias("n_input_tokens"))
+
+
+@query("q41_token_budget")
+def q41(spark, sf):
+    from qforge.operators.encode import token_budget
+    return token_budget(_prompts(spark, sf), {"inputs": 512, "target": 32})
+
+
+# ------------------------------------------------------------------ comparison
+@query("q42_align_predictions")
+def q42(spark, sf):
+    from qforge.operators.evaluate import align
+    qa = _qa(spark, sf)
+    preds = FX.stub_predictions(qa, ("echo",)).select("id", "prediction")
+    refs = qa.select("id", "question")
+    return align(preds, refs, "id", "full_outer").select(
+        "id", "prediction", "question", F.col("prediction").isNotNull().alias("has_prediction"))
+
+
+def _per_model_frames(spark, sf):
+    preds = _preds(spark, sf)
+    return {m: preds.where(F.col("model") == m) for m in FX.MODELS}
+
+
+@query("q43_wide_models")
+def q43(spark, sf):
+    from qforge.operators.compare import wide_models
+    return wide_models(_preds(spark, sf), FX.MODELS)
+
+
+@query("q44_long_models")
+def q44(spark, sf):
+    from qforge.operators.compare import long_models, stack_models, wide_models
+    stacked = stack_models(_per_model_frames(spark, sf))
+    return long_models(wide_models(stacked, FX.MODELS), FX.MODELS)
+
+
+def _assignment(spark, sf):
+    from qforge.operators.compare import blind_assignment
+    return blind_assignment(_fixed_sample_ids(spark, sf), FX.MODELS, 5, 42)
+
+
+@query("q45_blind_assignment")
+def q45(spark, sf):
+    return _assignment(spark, sf)
+
+
+@query("q46_human_scores")
+def q46(spark, sf):
+    from qforge.operators.compare import human_scores, model_scores
+    a = _assignment(spark, sf)
+    s = human_scores(a, read_table(spark, sf, "labels"), 42)
+    return model_scores(a, s)
+
+
+@query("q47_question_words")
+def q47(spark, sf):
+    from qforge.operators.compare import question_words
+    return question_words(_answerable(_qa(spark, sf)))
+
+
+@query("q48_length_profile")
+def q48(spark, sf):
+    from qforge.operators.compare import length_profile
+    qa = _answerable(_qa(spark, sf))
+    preds = _preds(spark, sf).join(qa.select("id", "title"), "id")
+    refs = qa.select("id", "title", F.lit("reference").alias("model"), F.col("question").alias("prediction"))
+    both = preds.select("id", "title", "model", "prediction").unionByName(refs)
+    return length_profile(both, "model", "prediction", "title")
+
+
+@query("q49_vocab_richness")
+def q49(spark, sf):
+    from qforge.operators.compare import distinct_n
+    return distinct_n(_eval(spark, sf), "model", "prediction")
+
+
+@query("q50_best_model_per_item")
+def q50(spark, sf):
+    from qforge.operators.compare import best_model_per_item
+    return best_model_per_item(_rouge(spark, sf, ("rouge1",), ndigits=None), "rouge1_f")
+
+
+# ------------------------------------------------------------------ streaming, model application, JSON
+@query("q51_stream_scores")
+def q51(spark, sf):
+    from qforge.session import scratch_path
+    from qforge.streaming.scores import running_model_means
+    qa = _qa(spark, sf)
+    preds = FX.stub_predictions(qa)
+    pred_dir = scratch_path(spark, "stream-in")
+    preds.repartition(4, "model").write.mode("overwrite").parquet(pred_dir)
+    refs = P.qa_prompts(qa).select("id", "target")
+    table = "qforge_stream_" + pred_dir.rsplit("-", 1)[-1]
+    return running_model_means(spark, pred_dir, preds.schema, refs,
+                               scratch_path(spark, "stream-ckpt"), table)
+
+
+@query("q52_apply_model")
+def q52(spark, sf):
+    from qforge.operators.infer import apply_model, echo_answer_model
+    pr = _prompts(spark, sf).select("id", "inputs")
+    return apply_model(pr, "inputs", echo_answer_model, "prediction", 64).select("id", "prediction")
+
+
+@query("q53_json_roundtrip")
+def q53(spark, sf):
+    from qforge.session import scratch_path
+    from qforge.sources.json_io import read_trailing_comma_lines, write_trailing_comma_lines
+    path = scratch_path(spark, "json-lines")
+    preds = _preds(spark, sf)
+    write_trailing_comma_lines(preds, path)
+    return read_trailing_comma_lines(spark, path, preds.schema)
+
+
+@query("q53b_parallel_arrays")
+def q53b(spark, sf):
+    from qforge.session import scratch_path
+    from qforge.sources.json_io import read_parallel_arrays, write_parallel_arrays
+    path = scratch_path(spark, "json-doc")
+    ev = _eval(spark, sf).where(F.col("model") == "echo")
+    sample = ev.join(F.broadcast(_fixed_sample_ids(spark, sf)), "id", "left_semi")
+    doc = sample.select("id", F.col("prediction").alias("predictions"), F.col("reference").alias("targets"))
+    write_parallel_arrays(doc, "id", ["id", "predictions", "targets"], path)
+    back = read_parallel_arrays(spark, path, ["id", "predictions", "targets"])
+    return back.select("row_idx", "id", F.col("predictions").alias("prediction"),
+                       F.col("targets").alias("target"))

@@ -63,3 +63,11 @@ def spread(df, min_partitions: int | None = None):
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want)
     return df
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory (never a
+    machine-local temp folder on a cluster)."""
+    import uuid
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/qforge-{name}-{uuid.uuid4().hex[:12]}"

@@ -79,7 +79,7 @@ def write_json_records(df: DataFrame, path: str) -> None:
 def parallel_array_doc(df: DataFrame, order_col: str, cols) -> DataFrame:
     """K2: one-row document of parallel arrays, for bounded samples only
     (the caller limits the input; full data stays row-wise)."""
-    srt = F.sort_array(F.collect_list(F.struct(F.col(order_col), *[F.col(c) for c in cols])))
+    srt = F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("_ord"), *[F.col(c) for c in cols])))
     return df.agg(srt.alias("_rows")).select(*[F.col("_rows")[c].alias(c) for c in cols])
 
 
