@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EMPTY_STR_ARRAY = F.array().cast("array<string>")
 
 
 def _c(x) -> Column:
@@ -21,7 +20,7 @@ def ngrams(tokens, n: int) -> Column:
     t = _c(tokens)
     grams = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1),
                         lambda i: F.array_join(F.slice(t, i, n), " "))
-    return F.when(F.size(t) >= n, grams).otherwise(EMPTY_STR_ARRAY)
+    return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
 def skip_bigrams(tokens) -> Column:
@@ -31,16 +30,24 @@ def skip_bigrams(tokens) -> Column:
         F.sequence(F.lit(1), F.size(t) - 1),
         lambda i: F.transform(F.sequence(i + 1, F.size(t)),
                               lambda j: F.concat_ws(" ", F.element_at(t, i), F.element_at(t, j)))))
-    return F.when(F.size(t) >= 2, pairs).otherwise(EMPTY_STR_ARRAY)
+    return F.when(F.size(t) >= 2, pairs).otherwise(F.array().cast("array<string>"))
 
 
-def clipped_overlap(pred_grams, ref_grams) -> Column:
-    """Sum over distinct reference grams of ``min(count_pred, count_ref)``."""
-    p, r = _c(pred_grams), _c(ref_grams)
-    return F.aggregate(
-        F.array_distinct(r), F.lit(0).cast("bigint"),
-        lambda acc, g: acc + F.least(F.size(F.filter(p, lambda x: x == g)),
-                                     F.size(F.filter(r, lambda x: x == g))).cast("bigint"))
+def occurrence_tags(sorted_arr) -> Column:
+    """Elements of an already *sorted* array suffixed by their occurrence
+    number (``a, a, b`` -> ``a#1, a#2, b#1``), so multiset operations become
+    set operations.  Pass a column reference: the array is scanned once per
+    element by ``array_position``."""
+    s = _c(sorted_arr)
+    return F.transform(s, lambda x, i: F.concat(x, F.lit("#"),
+                                                (i + 1 - F.array_position(s, x)).cast("string")))
+
+
+def clipped_overlap(pred_sorted, ref_sorted) -> Column:
+    """Sum over distinct grams of ``min(count_pred, count_ref)`` for two
+    sorted gram arrays: the size of the multiset intersection, as a hash set
+    intersection of occurrence-tagged grams (native ``array_intersect``)."""
+    return F.size(F.array_intersect(occurrence_tags(pred_sorted), occurrence_tags(ref_sorted))).cast("bigint")
 
 
 def pad_truncate(ids, n: int, pad: int = 0) -> Column:
@@ -57,22 +64,25 @@ def ordered_pairs(n) -> Column:
     return F.when(m >= 2, pairs).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
 
 
-def lcs_bitparallel(pred_tokens, ref_tokens) -> Column:
+def lcs_bitparallel(pred_tokens, ref_tokens, idx=None, full=None) -> Column:
     """LCS length by the bit-parallel recurrence (Hyyro 2004), natively.
 
     The prediction side is the bit vector, so it must have at most 62
     tokens (callers route longer rows to the Python path).  For each
     reference token c: ``U = V & M[c]; V = (V + U) | (V - U)``; the LCS is the
-    number of zero bits of V among the low ``m`` bits."""
+    number of zero bits of V among the low ``m`` bits.  ``idx`` (positions
+    ``0..m-1``) and ``full`` (``2^m - 1``) should be passed as materialised
+    columns so the lambdas do not rebuild them per element."""
     p, r = _c(pred_tokens), _c(ref_tokens)
     m = F.size(p)
-    full = F.call_function("shiftleft", F.lit(1).cast("bigint"), m) - 1
-    idx = F.sequence(F.lit(0), F.greatest(m - 1, F.lit(0)))
+    one = F.lit(1).cast("bigint")
+    full = _c(full) if full is not None else F.call_function("shiftleft", one, m) - 1
+    idx = _c(idx) if idx is not None else F.sequence(F.lit(0), F.greatest(m - 1, F.lit(0)))
 
     def mask(c):
         return F.aggregate(idx, F.lit(0).cast("bigint"),
                            lambda acc, j: acc.bitwiseOR(
-                               F.when(F.get(p, j) == c, F.call_function("shiftleft", F.lit(1).cast("bigint"), j))
+                               F.when(F.get(p, j) == c, F.call_function("shiftleft", one, j))
                                .otherwise(F.lit(0).cast("bigint"))))
 
     def step(v, c):

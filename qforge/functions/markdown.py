@@ -27,6 +27,7 @@ _HEAD = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6}
 _VOID = {"br", "img", "hr", "meta", "link", "input"}
 _BLANKS = re.compile(r"\n\s*\n")
 _SPACES = re.compile(r"[ \t\r\n\f\v]+")
+_QUOTE_ONLY = re.compile(r"(?:> ?)+ *")
 
 
 def code_language(class_attr: str | None) -> str | None:
@@ -133,7 +134,8 @@ class _Md(HTMLParser):
             self._emit(f"]({href})" if href else "]")
         elif tag == "pre":
             self.pre = max(0, self.pre - 1)
-            self._emit("\n```")
+            ends_nl = bool(self.out) and self.out[-1].endswith("\n")
+            self._emit("```" if ends_nl else "\n```")
             self._block()
         elif tag == "code" and not self.pre:
             self._emit("`")
@@ -155,7 +157,14 @@ def html2md(html: str | None) -> str | None:
     p.feed(html)
     p.close()
     text = "".join(p.out)
-    text = "\n".join(line.rstrip(" ") if not line.endswith("  ") else line for line in text.split("\n"))
+    lines = []
+    for line in text.split("\n"):
+        if _QUOTE_ONLY.fullmatch(line):
+            line = ""          # a quote marker with nothing after it
+        elif not line.endswith("  "):
+            line = line.rstrip(" ")
+        lines.append(line)
+    text = "\n".join(lines)
     text = _BLANKS.sub("\n\n", text).strip()
     return text.encode("utf-8", "replace").decode()
 

@@ -25,12 +25,22 @@ from qforge.functions.text import metric_tokens
 BIT_LIMIT = 62
 
 
-def _prf(overlap: Column, n_pred: Column, n_ref: Column, prefix: str, ndigits=6):
-    p = overlap / F.greatest(n_pred, F.lit(1))
-    r = overlap / F.greatest(n_ref, F.lit(1))
+def _round(ndigits):
+    return (lambda c: F.round(c, ndigits)) if ndigits is not None else (lambda c: c)
+
+
+def _prf_stage(t: DataFrame, prefix: str, ndigits=6) -> DataFrame:
+    """P, R and F from ``_<prefix>_o`` / ``_np`` / ``_nr`` columns.  Each
+    intermediate is its own projection, so Catalyst evaluates it once
+    (CollapseProject never duplicates a non-trivial expression)."""
+    o, n_p, n_r = F.col(f"_{prefix}_o"), F.col(f"_{prefix}_np"), F.col(f"_{prefix}_nr")
+    t = t.withColumn(f"_{prefix}_p", o / F.greatest(n_p, F.lit(1))) \
+         .withColumn(f"_{prefix}_r", o / F.greatest(n_r, F.lit(1)))
+    p, r = F.col(f"_{prefix}_p"), F.col(f"_{prefix}_r")
     f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
-    rnd = (lambda c: F.round(c, ndigits)) if ndigits is not None else (lambda c: c)
-    return [rnd(p).alias(f"{prefix}_p"), rnd(r).alias(f"{prefix}_r"), rnd(f).alias(f"{prefix}_f")]
+    rnd = _round(ndigits)
+    return t.withColumn(f"{prefix}_p", rnd(p)).withColumn(f"{prefix}_r", rnd(r)) \
+            .withColumn(f"{prefix}_f", rnd(f))
 
 
 def with_tokens(df: DataFrame, pred_col: str = "prediction", ref_col: str = "reference") -> DataFrame:
@@ -39,14 +49,22 @@ def with_tokens(df: DataFrame, pred_col: str = "prediction", ref_col: str = "ref
              .withColumn("ref_tokens", metric_tokens(ref_col))
 
 
-def rouge_n_cols(n: int, prefix: str | None = None, ndigits=6):
-    gp, gr = ngrams("pred_tokens", n), ngrams("ref_tokens", n)
-    return _prf(clipped_overlap(gp, gr), F.size(gp), F.size(gr), prefix or f"rouge{n}", ndigits)
+def overlap_stage(t: DataFrame, prefix: str, pred_grams, ref_grams, ndigits=6) -> DataFrame:
+    """Clipped gram overlap in three projections: sorted grams, tagged set
+    intersection, then P/R/F."""
+    gp, gr = f"_{prefix}_gp", f"_{prefix}_gr"
+    t = t.withColumn(gp, F.array_sort(pred_grams)).withColumn(gr, F.array_sort(ref_grams))
+    t = (t.withColumn(f"_{prefix}_o", clipped_overlap(gp, gr))
+          .withColumn(f"_{prefix}_np", F.size(gp)).withColumn(f"_{prefix}_nr", F.size(gr)))
+    return _prf_stage(t, prefix, ndigits)
 
 
-def rouge_s_cols(prefix: str = "rougeS", ndigits=6):
-    gp, gr = skip_bigrams("pred_tokens"), skip_bigrams("ref_tokens")
-    return _prf(clipped_overlap(gp, gr), F.size(gp), F.size(gr), prefix, ndigits)
+def rouge_n_stage(t: DataFrame, n: int, prefix: str | None = None, ndigits=6) -> DataFrame:
+    return overlap_stage(t, prefix or f"rouge{n}", ngrams("pred_tokens", n), ngrams("ref_tokens", n), ndigits)
+
+
+def rouge_s_stage(t: DataFrame, prefix: str = "rougeS", ndigits=6) -> DataFrame:
+    return overlap_stage(t, prefix, skip_bigrams("pred_tokens"), skip_bigrams("ref_tokens"), ndigits)
 
 
 @F.pandas_udf(T.IntegerType())
@@ -58,23 +76,29 @@ def _lcs_udf(pred: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="Int32")
 
 
-def lcs_col() -> Column:
-    """LCS length: native for short predictions, Python DP for long ones
-    (long rows alone are shipped to Python; short rows pass a null)."""
-    long_p = F.size("pred_tokens") > BIT_LIMIT
-    slow = _lcs_udf(F.when(long_p, F.col("pred_tokens")), F.when(long_p, F.col("ref_tokens")))
-    return F.when(long_p, slow).otherwise(lcs_bitparallel("pred_tokens", "ref_tokens"))
+def lcs_stage(t: DataFrame) -> DataFrame:
+    """``_lcs``: native bit-parallel LCS for predictions up to 62 tokens,
+    Python DP for longer ones (only long rows carry data to Python)."""
+    m = F.size("pred_tokens")
+    t = (t.withColumn("_long", m > BIT_LIMIT)
+          .withColumn("_idx", F.when(m <= BIT_LIMIT, F.sequence(F.lit(0), F.greatest(m - 1, F.lit(0)))))
+          .withColumn("_full", F.when(m <= BIT_LIMIT,
+                                      F.call_function("shiftleft", F.lit(1).cast("bigint"), m) - 1)))
+    slow = _lcs_udf(F.when(F.col("_long"), F.col("pred_tokens")), F.when(F.col("_long"), F.col("ref_tokens")))
+    return t.withColumn("_lcs", F.when(F.col("_long"), slow)
+                        .otherwise(lcs_bitparallel("pred_tokens", "ref_tokens", "_idx", "_full")))
 
 
-def rouge_l_cols(prefix: str = "rougeL", ndigits=6):
-    lcs = F.col("_lcs")
+def rouge_l_stage(t: DataFrame, prefix: str = "rougeL", ndigits=6) -> DataFrame:
     n_p, n_r = F.size("pred_tokens"), F.size("ref_tokens")
     empty = (n_p == 0) | (n_r == 0)
-    p = F.when(empty, F.lit(0.0)).otherwise(lcs / n_p)
-    r = F.when(empty, F.lit(0.0)).otherwise(lcs / n_r)
+    t = t.withColumn(f"_{prefix}_p", F.when(empty, F.lit(0.0)).otherwise(F.col("_lcs") / n_p)) \
+         .withColumn(f"_{prefix}_r", F.when(empty, F.lit(0.0)).otherwise(F.col("_lcs") / n_r))
+    p, r = F.col(f"_{prefix}_p"), F.col(f"_{prefix}_r")
     f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
-    rnd = (lambda c: F.round(c, ndigits)) if ndigits is not None else (lambda c: c)
-    return [rnd(p).alias(f"{prefix}_p"), rnd(r).alias(f"{prefix}_r"), rnd(f).alias(f"{prefix}_f")]
+    rnd = _round(ndigits)
+    return t.withColumn(f"{prefix}_p", rnd(p)).withColumn(f"{prefix}_r", rnd(r)) \
+            .withColumn(f"{prefix}_f", rnd(f))
 
 
 _LSUM = T.StructType([T.StructField("p", T.DoubleType()), T.StructField("r", T.DoubleType()),
@@ -102,12 +126,12 @@ def _lsum_udf(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"p": ps, "r": rs, "f": fs})
 
 
-def rouge_lsum_cols(pred_col: str = "prediction", ref_col: str = "reference",
-                    prefix: str = "rougeLsum", ndigits=6):
-    s = _lsum_udf(F.col(pred_col), F.col(ref_col))
-    rnd = (lambda c: F.round(c, ndigits)) if ndigits is not None else (lambda c: c)
-    return [rnd(s["p"]).alias(f"{prefix}_p"), rnd(s["r"]).alias(f"{prefix}_r"),
-            rnd(s["f"]).alias(f"{prefix}_f")]
+def rouge_lsum_stage(t: DataFrame, pred_col: str = "prediction", ref_col: str = "reference",
+                     prefix: str = "rougeLsum", ndigits=6) -> DataFrame:
+    t = t.withColumn("_lsum", _lsum_udf(F.col(pred_col), F.col(ref_col)))
+    rnd = _round(ndigits)
+    return (t.withColumn(f"{prefix}_p", rnd(F.col("_lsum.p"))).withColumn(f"{prefix}_r", rnd(F.col("_lsum.r")))
+            .withColumn(f"{prefix}_f", rnd(F.col("_lsum.f"))))
 
 
 def rouge_scores(df: DataFrame, keys, pred_col: str = "prediction", ref_col: str = "reference",
@@ -116,16 +140,15 @@ def rouge_scores(df: DataFrame, keys, pred_col: str = "prediction", ref_col: str
 
     ``keys`` are carried through; output has ``<metric>_p/_r/_f``."""
     t = with_tokens(df, pred_col, ref_col)
-    if "rougeL" in metrics:
-        t = t.withColumn("_lcs", lcs_col())
-    cols = [F.col(k) for k in keys]
+    out = []
     for m in metrics:
         if m == "rougeL":
-            cols += rouge_l_cols(ndigits=ndigits)
+            t = rouge_l_stage(lcs_stage(t), ndigits=ndigits)
         elif m == "rougeLsum":
-            cols += rouge_lsum_cols(pred_col, ref_col, ndigits=ndigits)
+            t = rouge_lsum_stage(t, pred_col, ref_col, ndigits=ndigits)
         elif m == "rougeS":
-            cols += rouge_s_cols(ndigits=ndigits)
-        elif m.startswith("rouge"):
-            cols += rouge_n_cols(int(m[5:]), ndigits=ndigits)
-    return t.select(*cols)
+            t = rouge_s_stage(t, ndigits=ndigits)
+        else:
+            t = rouge_n_stage(t, int(m[5:]), ndigits=ndigits)
+        out += [f"{m}_p", f"{m}_r", f"{m}_f"]
+    return t.select(*keys, *out)

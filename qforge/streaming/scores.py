@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qforge.functions.text import clean_eval, clean_target
-from qforge.operators.rouge import rouge_n_cols, with_tokens
+from qforge.operators.rouge import rouge_n_stage, with_tokens
 
 
 def scored_stream(preds_stream: DataFrame, refs: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def scored_stream(preds_stream: DataFrame, refs: DataFrame) -> DataFrame:
     j = preds_stream.join(refs, "id")
     ev = j.select("id", "model", clean_eval("prediction").alias("prediction"),
                   clean_target("target").alias("reference"))
-    return with_tokens(ev).select("id", "model", *rouge_n_cols(1, ndigits=None))
+    return rouge_n_stage(with_tokens(ev), 1, ndigits=None).select("id", "model", "rouge1_f")
 
 
 def running_model_means(spark: SparkSession, pred_dir: str, pred_schema, refs: DataFrame,
