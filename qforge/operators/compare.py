@@ -70,7 +70,8 @@ def model_scores(assign: DataFrame, scores: DataFrame, key: str = "id") -> DataF
 def question_words(df: DataFrame, col: str = "question") -> DataFrame:
     """First word (lower) distribution with its share."""
     c = df.select(first_word(col).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return c.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+    total = df.count()   # a scalar, not a global window over the word table
+    return c.withColumn("share", F.round(F.col("n") / F.lit(float(max(total, 1))), 6))
 
 
 def length_profile(df: DataFrame, group_col: str, text_col: str, title_col: str | None = None) -> DataFrame:

@@ -11,8 +11,11 @@ ids from 3 by descending frequency (ties by token); inputs 512 ids, labels
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from qforge.functions.arrays import pad_truncate
 from qforge.functions.text import word_tokens
@@ -20,42 +23,79 @@ from qforge.operators.index import with_row_index
 
 PAD, EOS, UNK = 0, 1, 2
 N_SPECIAL = 3
+MAX_BROADCAST_VOCAB = 4_000_000   # ~ a few hundred MB as a Python dict
 
 
 def build_vocab(df: DataFrame, cols, max_size: int = 32000) -> DataFrame:
     """``token, tid, count``: the ``max_size - 3`` most frequent tokens.
 
     Counting is a partial+final aggregation (hot tokens are combined map
-    side); the frequency rank uses the distributed dense index, never a
-    single-task sort."""
+    side).  Only candidates are ranked: the frequency histogram is cut at the
+    count c* of the K-th token (at most K histogram rows are read back, K =
+    ``max_size - 3``), tokens with count >= c* are kept, and the dense index
+    ranks those few by (count desc, token) - never all distinct tokens, never
+    in a single task."""
+    k = max_size - N_SPECIAL
     toks = None
     for c in cols:
         t = df.select(F.explode(word_tokens(c)).alias("token"))
         toks = t if toks is None else toks.unionByName(t)
-    counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
-    ranked = with_row_index(counts, [F.desc("count"), F.asc("token")], "_rank")
-    return (ranked.where(F.col("_rank") < max_size - N_SPECIAL)
+    counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("count")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)   # deterministic: safe to recompute
+    hist = (counts.groupBy("count").agg(F.count(F.lit(1)).alias("n"))
+            .orderBy(F.desc("count")).limit(k).collect())
+    acc, cut = 0, 0
+    for row in hist:
+        acc += row["n"]
+        cut = row["count"]
+        if acc >= k:
+            break
+    cand = counts.where(F.col("count") >= cut)
+    ranked = with_row_index(cand, [F.desc("count"), F.asc("token")], "_rank")
+    counts.unpersist()
+    return (ranked.where(F.col("_rank") < k)
             .select("token", (F.col("_rank") + N_SPECIAL).alias("tid"), "count"))
 
 
+def _lookup_factory(bc):
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def lookup(tokens: pd.Series) -> pd.Series:
+        vocab = bc.value
+        return pd.Series([[vocab.get(t, UNK) for t in ts] for ts in tokens])
+    return lookup
+
+
 def encode(df: DataFrame, key: str, col: str, vocab: DataFrame, max_len: int,
-           out_col: str = "input_ids") -> DataFrame:
+           out_col: str = "input_ids", strategy: str = "broadcast") -> DataFrame:
     """J7 + X18: ids of ``col`` truncated to ``max_len - 1`` tokens, ``</s>``
     appended, padded with ``<pad>`` to ``max_len``; unknown tokens get
     ``<unk>``.  Also ``attention_mask`` (1 for real ids).
 
-    The vocabulary is bounded by its ``max_size`` parameter, so it is
-    broadcast; only the truncated token positions are exploded and regrouped
-    (one shuffle on ``key``, at most ``max_len`` rows per key)."""
-    toks = df.select(key, F.posexplode(F.slice(word_tokens(col), 1, max_len - 1)).alias("pos", "token"))
-    ids = (toks.join(F.broadcast(vocab.select("token", "tid")), "token", "left")
-           .select(key, "pos", F.coalesce("tid", F.lit(UNK)).cast("int").alias("tid")))
-    grouped = ids.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "tid"))).alias("_s"))
-    base = df.select(key).join(grouped, key, "left")
-    seq = F.concat(F.coalesce(F.transform("_s", lambda x: x["tid"]), F.array().cast("array<int>")),
-                   F.array(F.lit(EOS)))
-    return base.select(key, pad_truncate(seq, max_len, PAD).alias(out_col),
-                       pad_truncate(F.transform(seq, lambda x: F.lit(1)), max_len, 0).alias("attention_mask"))
+    ``broadcast`` (default): the vocabulary is bounded by its ``max_size``
+    (checked here), shipped once per executor as a dict, and each row's
+    truncated token array is looked up in an Arrow batch: no shuffle.
+    ``join``: explode, broadcast hash join, regroup by ``key`` (one shuffle of
+    at most ``max_len`` rows per key), for vocabularies too big to ship."""
+    toks = F.slice(word_tokens(col), 1, max_len - 1)
+    if strategy == "broadcast":
+        n = vocab.count()
+        if n > MAX_BROADCAST_VOCAB:
+            raise ValueError(f"vocabulary of {n} tokens is too big to broadcast; use strategy='join'")
+        mapping = {r["token"]: int(r["tid"]) for r in vocab.select("token", "tid").collect()}
+        bc = df.sparkSession.sparkContext.broadcast(mapping)
+        base = df.select(key, _lookup_factory(bc)(toks).alias("_ids"))
+        seq = F.concat(F.col("_ids"), F.array(F.lit(EOS)))
+    else:
+        t = df.select(key, F.posexplode(toks).alias("pos", "token"))
+        ids = (t.join(F.broadcast(vocab.select("token", "tid")), "token", "left")
+               .select(key, "pos", F.coalesce("tid", F.lit(UNK)).cast("int").alias("tid")))
+        grouped = ids.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "tid"))).alias("_s"))
+        base = df.select(key).join(grouped, key, "left")
+        seq = F.concat(F.coalesce(F.transform("_s", lambda x: x["tid"]), F.array().cast("array<int>")),
+                       F.array(F.lit(EOS)))
+    base = base.withColumn("_seq", seq)
+    return base.select(key, pad_truncate("_seq", max_len, PAD).alias(out_col),
+                       pad_truncate(F.transform("_seq", lambda x: F.lit(1)), max_len, 0).alias("attention_mask"))
 
 
 def token_budget(df: DataFrame, cols_limits: dict) -> DataFrame:

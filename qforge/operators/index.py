@@ -34,12 +34,18 @@ def with_row_index(df: DataFrame, order, idx_col: str = "row_idx", with_total: b
 
     ``order`` must be a total order (append a unique key) so positions are
     deterministic.  Returns the frame, or ``(frame, total_rows)``."""
+    from pyspark import StorageLevel
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    tagged = (df.orderBy(*_cols(order))
+    # the range sort reads its input twice (sample for the bounds, then the
+    # shuffle); keep a computed input for the second read.  Recomputing it
+    # after a lost executor is safe: the inputs here are deterministic.
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    tagged = (src.orderBy(*_cols(order))
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id())
               .checkpoint(eager=True))
+    src.unpersist()
     counts = sorted((r["_pid"], r["_n"]) for r in
                     tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect())
     offsets, acc = [], 0

@@ -98,15 +98,15 @@ def q10(spark, sf):
 SPLIT_CUTS = [("finetune", 300), ("reward", 300), ("rl", 300), ("evaluation", None)]
 
 
-def _doc_splits(spark, sf):
+def _doc_splits(spark, sf, cols=("doc_id", "source", "text")):
     from qforge.operators.index import named_splits, seeded_order
-    docs = read_table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = read_table(spark, sf, "documents").select(*cols)
     return named_splits(docs, seeded_order("doc_id", 42), SPLIT_CUTS)
 
 
 @query("q11_named_splits")
 def q11(spark, sf):
-    return _doc_splits(spark, sf).select("doc_id", "split", "row_idx")
+    return _doc_splits(spark, sf, ("doc_id",)).select("doc_id", "split", "row_idx")
 
 
 @query("q12_holdout_fraction")

@@ -41,8 +41,18 @@ def write_trailing_comma_lines(df: DataFrame, path: str) -> None:
         .write.mode("overwrite").text(path)
 
 
-def write_parallel_arrays(df: DataFrame, order_col: str, cols, path: str) -> None:
-    """K2: one JSON document of parallel arrays; for bounded samples only."""
+MAX_DOC_ROWS = 1_000_000
+
+
+def write_parallel_arrays(df: DataFrame, order_col: str, cols, path: str,
+                          max_rows: int = MAX_DOC_ROWS) -> None:
+    """K2: one JSON document of parallel arrays.  The document is one row,
+    so the input must be a bounded sample: more than ``max_rows`` rows is an
+    error, not a silent single-task collect."""
+    n = df.count()
+    if n > max_rows:
+        raise ValueError(f"{n} rows do not fit one parallel-array document (limit {max_rows}); "
+                         "write row-wise JSON instead")
     srt = F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("_ord"), *[F.col(c) for c in cols])))
     doc = df.agg(srt.alias("_rows")).select(*[F.col("_rows")[c].alias(c) for c in cols])
     doc.coalesce(1).write.mode("overwrite").json(path)

@@ -76,9 +76,12 @@ def write_json_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def parallel_array_doc(df: DataFrame, order_col: str, cols) -> DataFrame:
+def parallel_array_doc(df: DataFrame, order_col: str, cols, max_rows: int = 1_000_000) -> DataFrame:
     """K2: one-row document of parallel arrays, for bounded samples only
-    (the caller limits the input; full data stays row-wise)."""
+    (checked: more than ``max_rows`` rows is an error)."""
+    n = df.count()
+    if n > max_rows:
+        raise ValueError(f"{n} rows do not fit one parallel-array document (limit {max_rows})")
     srt = F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("_ord"), *[F.col(c) for c in cols])))
     return df.agg(srt.alias("_rows")).select(*[F.col("_rows")[c].alias(c) for c in cols])
 
