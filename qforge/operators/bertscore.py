@@ -67,9 +67,11 @@ def _score_vecs(p_vecs: pd.Series, r_vecs: pd.Series) -> pd.DataFrame:
 
 def bertscore(df: DataFrame, keys, vectors: DataFrame, pred_tokens: str = "pred_tokens",
               ref_tokens: str = "ref_tokens", prefix: str = "bert", ndigits=6,
-              strategy: str = "auto", max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST) -> DataFrame:
+              strategy: str = "auto", max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST,
+              passthrough=()) -> DataFrame:
     """Score every row of ``df`` (one pair per row).  ``vectors`` is
-    ``vec_id BIGINT (dense 0..n-1), vec ARRAY<DOUBLE>``."""
+    ``vec_id BIGINT (dense 0..n-1), vec ARRAY<DOUBLE>``.  ``passthrough``
+    columns are carried to the output (no join back needed by callers)."""
     spark = df.sparkSession
     stats = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
     n_vec, dim = int(stats["n"]), int(stats["d"] or 0)
@@ -77,7 +79,7 @@ def bertscore(df: DataFrame, keys, vectors: DataFrame, pred_tokens: str = "pred_
     if strategy == "auto":
         strategy = "broadcast" if size <= max_broadcast_bytes else "join"
     rnd = (lambda c: F.round(c, ndigits)) if ndigits is not None else (lambda c: c)
-    kcols = [F.col(k) for k in keys]
+    kcols = [F.col(k) for k in keys] + [F.col(c) for c in passthrough]
 
     if strategy == "broadcast":
         rows = vectors.orderBy("vec_id").select("vec").collect()  # size checked above
@@ -99,6 +101,7 @@ def bertscore(df: DataFrame, keys, vectors: DataFrame, pred_tokens: str = "pred_
             F.collect_list(F.when(F.col("side") == 1, F.col("vec"))).alias("_rv"))
         # pairs whose both sides are empty never reach the join: add them back
         ids = df.select(*kcols).join(grouped, list(keys), "left")
+        kcols = [F.col(k) for k in keys] + [F.col(c) for c in passthrough]
         empty = F.array().cast("array<array<double>>")
         s = _score_vecs(F.coalesce("_pv", empty), F.coalesce("_rv", empty))
     return ids.select(*kcols, rnd(s["p"]).alias(f"{prefix}_p"), rnd(s["r"]).alias(f"{prefix}_r"),

@@ -135,10 +135,11 @@ def rouge_lsum_stage(t: DataFrame, pred_col: str = "prediction", ref_col: str =
 
 
 def rouge_scores(df: DataFrame, keys, pred_col: str = "prediction", ref_col: str = "reference",
-                 metrics=("rouge1", "rouge2", "rougeL"), ndigits=6) -> DataFrame:
+                 metrics=("rouge1", "rouge2", "rougeL"), ndigits=6, keep=()) -> DataFrame:
     """All requested ROUGE variants for each row of ``df``.
 
-    ``keys`` are carried through; output has ``<metric>_p/_r/_f``."""
+    ``keys`` (and ``keep``, e.g. the token columns) are carried through;
+    output has ``<metric>_p/_r/_f``."""
     t = with_tokens(df, pred_col, ref_col)
     out = []
     for m in metrics:
@@ -151,4 +152,4 @@ def rouge_scores(df: DataFrame, keys, pred_col: str = "prediction", ref_col: str
         else:
             t = rouge_n_stage(t, int(m[5:]), ndigits=ndigits)
         out += [f"{m}_p", f"{m}_r", f"{m}_f"]
-    return t.select(*keys, *out)
+    return t.select(*keys, *keep, *out)

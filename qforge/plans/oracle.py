@@ -585,3 +585,22 @@ SQL["q53b_parallel_arrays"] = f"""
 WITH {eval_ctes()}, {SMP_ONLY}
 SELECT row_number() OVER (ORDER BY id) - 1 AS row_idx, id, prediction, reference AS target
 FROM ev WHERE model = 'echo' AND id IN (SELECT id FROM smp)"""
+
+SQL["q53c_json_array"] = f"""
+WITH {QA_CTE}, {MODELS_CTE}, {SMP_ONLY}
+SELECT p.id, q.context, q.answer,
+  max(CASE WHEN model = 'echo' THEN prediction END) AS echo,
+  max(CASE WHEN model = 'drop_first' THEN prediction END) AS drop_first,
+  max(CASE WHEN model = 'leak' THEN prediction END) AS leak,
+  max(CASE WHEN model = 'empty' THEN prediction END) AS empty
+FROM preds p JOIN qa q ON p.id = q.id
+WHERE p.id IN (SELECT id FROM smp)
+GROUP BY p.id, q.context, q.answer"""
+
+SQL["q53d_metrics_doc"] = f"""
+WITH {eval_ctes()},
+{overlap_ctes('r1', ngram_expr('pt', 1), ngram_expr('rt', 1), 'rouge1', False)},
+{overlap_ctes('r2', ngram_expr('pt', 2), ngram_expr('rt', 2), 'rouge2', False)},
+a AS (SELECT model, count(*) AS n, round(avg(rouge1_f), 6) AS rouge1_f, round(avg(rouge2_f), 6) AS rouge2_f
+      FROM r1 JOIN r2 USING (id, model) GROUP BY model)
+SELECT *, rank() OVER (ORDER BY rouge1_f DESC) AS rank FROM a"""

@@ -264,9 +264,11 @@ def _all_scores(spark, sf):
     from qforge.operators.bertscore import bertscore
     from qforge.operators.rouge import rouge_scores, with_tokens
     ev = _eval(spark, sf)
-    r = rouge_scores(ev, ["id", "model"], metrics=("rouge1", "rouge2", "rougeL", "rougeS"), ndigits=None)
-    b = bertscore(with_tokens(ev), ["id", "model"], _vectors(spark, sf), ndigits=None)
-    return r.join(b, ["id", "model"])
+    mets = ("rouge1", "rouge2", "rougeL", "rougeS")
+    r = rouge_scores(ev, ["id", "model"], metrics=mets, ndigits=None, keep=("pred_tokens", "ref_tokens"))
+    # one pass: the embedding score is a per-row column over the same frame
+    return bertscore(r, ["id", "model"], _vectors(spark, sf), ndigits=None,
+                     passthrough=[f"{m}_f" for m in mets])
 
 
 @query("q30_rouge_summary")
@@ -305,8 +307,8 @@ def _reward_rows(spark, sf, cfg_name="code", ndigits=6):
     from qforge.operators.rouge import with_tokens
     cfg = RW.CODE if cfg_name == "code" else RW.PAPER
     ev = _eval(spark, sf, "reward")
-    b = bertscore(with_tokens(ev), ["id", "model"], _vectors(spark, sf), ndigits=None)
-    j = ev.join(b, ["id", "model"])
+    j = bertscore(with_tokens(ev), ["id", "model"], _vectors(spark, sf), ndigits=None,
+                  passthrough=["prediction", "reference", "answer"])
     t = RW.reward_terms("prediction", "reference", "answer", cfg)
     return j.select("id", "model", F.round("bert_f", 6).alias("bert_f"),
                     RW.leaked("prediction", "answer").alias("leak"),
@@ -509,3 +511,29 @@ def q53b(spark, sf):
     back = read_parallel_arrays(spark, path, ["id", "predictions", "targets"])
     return back.select("row_idx", "id", F.col("predictions").alias("prediction"),
                        F.col("targets").alias("target"))
+
+
+@query("q53c_json_array")
+def q53c(spark, sf):
+    from qforge.operators.compare import wide_models
+    from qforge.session import scratch_path
+    from qforge.sources.json_io import read_json_array, write_json_array
+    qa = _answerable(_qa(spark, sf))
+    smp = _fixed_sample_ids(spark, sf)
+    wide = wide_models(_preds(spark, sf).join(F.broadcast(smp), "id", "left_semi"), FX.MODELS)
+    doc = wide.join(qa.select("id", "context", F.get(F.col("answers.text"), 0).alias("answer")), "id")
+    path = scratch_path(spark, "json-array")
+    write_json_array(doc, path)
+    return read_json_array(spark, path, doc.schema)
+
+
+@query("q53d_metrics_doc")
+def q53d(spark, sf):
+    from qforge.operators.summary import leaderboard
+    from qforge.session import scratch_path
+    from qforge.sources.sinks import write_scores
+    scores = _rouge(spark, sf, ("rouge1", "rouge2"), ndigits=None)
+    summary = leaderboard(scores, "model", ["rouge1_f", "rouge2_f"], rank_by="rouge1_f")
+    path = scratch_path(spark, "metrics")
+    write_scores(scores, summary, path)
+    return spark.read.schema(summary.schema).json(f"{path}/summary")

@@ -56,3 +56,14 @@ def write_parallel_arrays(df: DataFrame, order_col: str, cols, path: str,
     srt = F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("_ord"), *[F.col(c) for c in cols])))
     doc = df.agg(srt.alias("_rows")).select(*[F.col("_rows")[c].alias(c) for c in cols])
     doc.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_json_array(df: DataFrame, path: str, max_rows: int = MAX_DOC_ROWS) -> None:
+    """The wide-predictions file format (S6 input): one JSON array of
+    objects in one file.  One row holds the array, so the input must be a
+    bounded sample (checked)."""
+    n = df.count()
+    if n > max_rows:
+        raise ValueError(f"{n} rows do not fit one JSON array file (limit {max_rows})")
+    arr = F.to_json(F.collect_list(F.struct(*df.columns)))
+    df.agg(arr.alias("value")).coalesce(1).write.mode("overwrite").text(path)
