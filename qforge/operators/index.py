@@ -64,6 +64,39 @@ def with_row_index(df: DataFrame, order, idx_col: str = "row_idx", with_total: b
     return (out, total) if with_total else out
 
 
+def seeded_index(df: DataFrame, key_col: str, seed: int = 42, idx_col: str = "row_idx",
+                 with_total: bool = False, buckets: int = 1 << 16):
+    """W2 for the seeded shuffle order ``md5(seed:key), key`` (F6), exact and
+    without a global sort.
+
+    md5 keys are uniform, so the first 12 hex digits cut the order into
+    ``buckets`` near-equal ranges (bucket number is monotone in the order).
+    One aggregation gives the rows per non-empty bucket (at most ``buckets``
+    small rows, read back to the driver), offsets are broadcast (same bound),
+    and ``row_number`` runs inside each bucket: n / 65536 rows per window
+    partition by default, about 1.5M rows at 10^11 rows.
+    Every step is deterministic, so no checkpoint is needed; ``key_col``
+    must be unique (a total order)."""
+    spark = df.sparkSession
+    key = seeded_key(seed, key_col)
+    frac = F.conv(F.substr(key, F.lit(1), F.lit(12)), 16, 10).cast("decimal(20,0)")
+    bucket = F.least(F.lit(buckets - 1),
+                     F.floor(frac * F.lit(buckets) / F.lit(16 ** 12)).cast("bigint"))
+    tagged = df.withColumn("_bk", bucket).withColumn("_key", key)
+    counts = sorted((r["_bk"], r["_n"]) for r in
+                    tagged.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n")).collect())
+    offsets, acc = [], 0
+    for b, c in counts:
+        offsets.append((b, acc))
+        acc += c
+    off_df = spark.createDataFrame(offsets or [], "_bk bigint, _off bigint")
+    w = Window.partitionBy("_bk").orderBy("_key", key_col)
+    out = (tagged.join(F.broadcast(off_df), "_bk")
+           .withColumn(idx_col, F.col("_off") + F.row_number().over(w) - 1)
+           .drop("_bk", "_key", "_off"))
+    return (out, acc) if with_total else out
+
+
 def seeded_order(key_col, seed: int = 42) -> list[Column]:
     """partition-independent shuffle order ``md5(seed:key), key``."""
     return [seeded_key(seed, key_col), F.col(key_col) if isinstance(key_col, str) else key_col]
@@ -97,13 +130,20 @@ def seeded_sample(df: DataFrame, key_col: str, k: int, seed: int = 42) -> DataFr
         frac = min(1.0, frac * 2)
 
 
+def _index(df, order, idx_col, with_total=False, seed_key=None, seed=42):
+    if seed_key is not None:
+        return seeded_index(df, seed_key, seed, idx_col, with_total)
+    return with_row_index(df, order, idx_col, with_total)
+
+
 def named_splits(df: DataFrame, order, cuts, split_col: str = "split",
-                 idx_col: str = "row_idx") -> DataFrame:
+                 idx_col: str = "row_idx", seed_key: str | None = None, seed: int = 42) -> DataFrame:
     """F8: consecutive named splits after a shuffle.
 
     ``cuts`` is ``[(name, size), ..., (last_name, None)]``; the last split
-    takes the rest."""
-    out = with_row_index(df, order, idx_col)
+    takes the rest.  With ``seed_key`` the order is the seeded shuffle and
+    positions come from ``seeded_index`` (no global sort)."""
+    out = _index(df, order, idx_col, seed_key=seed_key, seed=seed)
     expr, lo = None, 0
     for name, size in cuts:
         if size is None:
@@ -121,7 +161,7 @@ def holdout_split(df: DataFrame, key_col: str, test_size: float = 0.05, seed: in
                   idx_col: str = "row_idx") -> DataFrame:
     """``train_test_split(test_size)``: the first ``ceil(test_size*n)``
     rows of the seeded shuffle are the test split."""
-    out, n = with_row_index(df, seeded_order(key_col, seed), idx_col, with_total=True)
+    out, n = seeded_index(df, key_col, seed, idx_col, with_total=True)
     n_test = math.ceil(test_size * n)
     return out.withColumn("split", F.when(F.col(idx_col) < n_test, F.lit("test")).otherwise(F.lit("train")))
 
@@ -141,10 +181,10 @@ def hash_split(df: DataFrame, key_col: str, seed: int = 42,
 
 
 def batches(df: DataFrame, order, batch_size: int = 16, drop_last: bool = True,
-            idx_col: str = "row_idx") -> DataFrame:
+            idx_col: str = "row_idx", seed_key: str | None = None, seed: int = 42) -> DataFrame:
     """``batch_id = position div batch_size``; the last partial batch
     is dropped, as the reference does."""
-    out, n = with_row_index(df, order, idx_col, with_total=True)
+    out, n = _index(df, order, idx_col, with_total=True, seed_key=seed_key, seed=seed)
     out = out.withColumn("batch_id", F.floor(F.col(idx_col) / batch_size).cast("bigint"))
     if drop_last:
         out = out.where(F.col("batch_id") < n // batch_size)

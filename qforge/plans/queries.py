@@ -101,7 +101,7 @@ SPLIT_CUTS = [("finetune", 300), ("reward", 300), ("rl", 300), ("evaluation", No
 def _doc_splits(spark, sf, cols=("doc_id", "source", "text")):
     from qforge.operators.index import named_splits, seeded_order
     docs = read_table(spark, sf, "documents").select(*cols)
-    return named_splits(docs, seeded_order("doc_id", 42), SPLIT_CUTS)
+    return named_splits(docs, seeded_order("doc_id", 42), SPLIT_CUTS, seed_key="doc_id", seed=42)
 
 
 @query("q11_named_splits")
@@ -121,7 +121,7 @@ def q12(spark, sf):
 def q13(spark, sf):
     from qforge.operators.index import batches, seeded_order
     qa = P.rl_prompts(_qa(spark, sf)).select("id")
-    return batches(qa, seeded_order("id", 42), 16)
+    return batches(qa, seeded_order("id", 42), 16, seed_key="id", seed=42)
 
 
 def _fixed_sample_ids(spark, sf, k=100):
@@ -332,7 +332,7 @@ def q35(spark, sf):
 @query("q36_reward_by_batch")
 def q36(spark, sf):
     from qforge.operators.index import batches, seeded_order
-    b = batches(P.rl_prompts(_qa(spark, sf)).select("id"), seeded_order("id", 42), 16)
+    b = batches(P.rl_prompts(_qa(spark, sf)).select("id"), seeded_order("id", 42), 16, seed_key="id", seed=42)
     r = _reward_rows(spark, sf, "code", ndigits=None)
     return (r.join(b, "id").groupBy("model", "batch_id")
             .agg(F.round(F.avg("reward"), 6).alias("mean_reward"), F.count(F.lit(1)).alias("n")))

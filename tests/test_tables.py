@@ -93,3 +93,10 @@ def test_encode_fixed_length(spark):
     assert e[1]["input_ids"] == [3, 4, 3, 1] and e[1]["attention_mask"] == [1, 1, 1, 1]
     assert e[2]["input_ids"] == [1, 0, 0, 0]
     assert e[3]["input_ids"] == [2, 3, 1, 0]
+
+
+def test_seeded_index_matches_sorted_index(spark):
+    df = spark.range(0, 3000).withColumnRenamed("id", "k")
+    a = {r["k"]: r["row_idx"] for r in IX.seeded_index(df, "k", 42, buckets=31).collect()}
+    b = {r["k"]: r["row_idx"] for r in IX.with_row_index(df, IX.seeded_order("k", 42)).collect()}
+    assert a == b and sorted(a.values()) == list(range(3000))
