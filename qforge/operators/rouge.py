@@ -63,6 +63,38 @@ def rouge_n_stage(t: DataFrame, n: int, prefix: str | None = None, ndigits=6) ->
     return overlap_stage(t, prefix or f"rouge{n}", ngrams("pred_tokens", n), ngrams("ref_tokens", n), ndigits)
 
 
+def rouge_n_exploded(t: DataFrame, keys, ns=(1, 2), ndigits=6) -> DataFrame:
+    """ROUGE-N for long texts, all ``ns`` in one pass.  Both sides' grams are
+    exploded once with a side tag, counted per (row, n, gram) -- partial
+    aggregation, so a frequent gram is combined map side -- and folded per
+    row: overlap = sum(min(pred count, ref count)), gram totals = sums of
+    the counts.  Linear in text length, two shuffles, input read once.  A
+    sentinel element keeps rows that have no grams at all."""
+    k = list(keys)
+
+    def tagged(col, side, n):
+        return F.transform(ngrams(col, n), lambda g: F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"),
+                                                                g.alias("g")))
+    parts = [tagged(c, side, n) for n in ns for side, c in ((0, "pred_tokens"), (1, "ref_tokens"))]
+    sentinel = F.array(F.struct(F.lit(-1).alias("side"), F.lit(0).alias("n"),
+                                F.lit(None).cast("string").alias("g")))
+    items = t.select(*k, F.inline(F.concat(*parts, sentinel)))
+    per_gram = items.groupBy(*k, "n", "g").agg(
+        F.count_if(F.col("side") == 0).alias("cp"), F.count_if(F.col("side") == 1).alias("cr"))
+    aggs = []
+    for n in ns:
+        on = F.col("n") == n
+        aggs += [F.sum(F.when(on, F.least("cp", "cr")).otherwise(0)).alias(f"_rouge{n}_o"),
+                 F.sum(F.when(on, F.col("cp")).otherwise(0)).alias(f"_rouge{n}_np"),
+                 F.sum(F.when(on, F.col("cr")).otherwise(0)).alias(f"_rouge{n}_nr")]
+    res = per_gram.groupBy(*k).agg(*aggs)
+    out = []
+    for n in ns:
+        res = _prf_stage(res, f"rouge{n}", ndigits)
+        out += [f"rouge{n}_p", f"rouge{n}_r", f"rouge{n}_f"]
+    return res.select(*k, *out)
+
+
 def rouge_s_stage(t: DataFrame, prefix: str = "rougeS", ndigits=6) -> DataFrame:
     return overlap_stage(t, prefix, skip_bigrams("pred_tokens"), skip_bigrams("ref_tokens"), ndigits)
 
@@ -135,11 +167,26 @@ def rouge_lsum_stage(t: DataFrame, pred_col: str = "prediction", ref_col: str =
 
 
 def rouge_scores(df: DataFrame, keys, pred_col: str = "prediction", ref_col: str = "reference",
-                 metrics=("rouge1", "rouge2", "rougeL"), ndigits=6, keep=()) -> DataFrame:
+                 metrics=("rouge1", "rouge2", "rougeL"), ndigits=6, keep=(),
+                 method: str = "row") -> DataFrame:
     """All requested ROUGE variants for each row of ``df``.
 
     ``keys`` (and ``keep``, e.g. the token columns) are carried through;
-    output has ``<metric>_p/_r/_f``."""
+    output has ``<metric>_p/_r/_f``.  ``method="row"`` scores inside each
+    row (no shuffle; best for questions, titles, summaries);
+    ``method="exploded"`` computes ROUGE-N by aggregation (linear in text
+    length; for document-length texts).  ``keys`` must identify a row."""
+    if method == "exploded":
+        t = with_tokens(df, pred_col, ref_col)
+        ns = [int(m[5:]) for m in metrics if m[5:].isdigit()]
+        rest = [m for m in metrics if not m[5:].isdigit()]
+        res = rouge_n_exploded(t, keys, ns, ndigits) if ns else None
+        if keep:
+            res = t.select(*keys, *keep).join(res, list(keys)) if res is not None else t.select(*keys, *keep)
+        if rest:
+            other = rouge_scores(df, keys, pred_col, ref_col, rest, ndigits)
+            res = other if res is None else res.join(other, list(keys))
+        return res
     t = with_tokens(df, pred_col, ref_col)
     out = []
     for m in metrics:

@@ -254,20 +254,23 @@ def _rnd(rounded):
     return (lambda e: f"round({e}, 6)") if rounded else (lambda e: e)
 
 
-def overlap_ctes(name, gp, gr, prefix, rounded=True):
+def overlap_ctes(name, gp, gr, prefix, rounded=True, keys=("id", "model"), src="tk"):
     """ROUGE-N style scores by unnest + group + join (a different method from
     the per-row Spark plan)."""
-    return f"""{name}_g AS (SELECT id, model, {gp} AS gp, {gr} AS gr FROM tk),
-{name}_pc AS (SELECT id, model, gram, count(*) AS c FROM (SELECT id, model, unnest(gp) AS gram FROM {name}_g)
-              GROUP BY id, model, gram),
-{name}_rc AS (SELECT id, model, gram, count(*) AS c FROM (SELECT id, model, unnest(gr) AS gram FROM {name}_g)
-              GROUP BY id, model, gram),
-{name}_ov AS (SELECT id, model, sum(least(a.c, b.c)) AS o FROM {name}_pc a JOIN {name}_rc b USING (id, model, gram)
-              GROUP BY id, model),
-{name}_s AS (SELECT g.id, g.model, coalesce(ov.o, 0) / greatest(len(g.gp), 1) AS p,
+    k = ", ".join(keys)
+    on = " AND ".join(f"g.{c} = ov.{c}" for c in keys)
+    gk = ", ".join(f"g.{c}" for c in keys)
+    return f"""{name}_g AS (SELECT {k}, {gp} AS gp, {gr} AS gr FROM {src}),
+{name}_pc AS (SELECT {k}, gram, count(*) AS c FROM (SELECT {k}, unnest(gp) AS gram FROM {name}_g)
+              GROUP BY {k}, gram),
+{name}_rc AS (SELECT {k}, gram, count(*) AS c FROM (SELECT {k}, unnest(gr) AS gram FROM {name}_g)
+              GROUP BY {k}, gram),
+{name}_ov AS (SELECT {k}, sum(least(a.c, b.c)) AS o FROM {name}_pc a JOIN {name}_rc b USING ({k}, gram)
+              GROUP BY {k}),
+{name}_s AS (SELECT {gk}, coalesce(ov.o, 0) / greatest(len(g.gp), 1) AS p,
                     coalesce(ov.o, 0) / greatest(len(g.gr), 1) AS r
-             FROM {name}_g g LEFT JOIN {name}_ov ov ON g.id = ov.id AND g.model = ov.model),
-{name} AS (SELECT id, model, {_rnd(rounded)('p')} AS {prefix}_p, {_rnd(rounded)('r')} AS {prefix}_r,
+             FROM {name}_g g LEFT JOIN {name}_ov ov ON {on}),
+{name} AS (SELECT {k}, {_rnd(rounded)('p')} AS {prefix}_p, {_rnd(rounded)('r')} AS {prefix}_r,
                   {_rnd(rounded)('CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END')} AS {prefix}_f
            FROM {name}_s)"""
 
@@ -604,3 +607,11 @@ WITH {eval_ctes()},
 a AS (SELECT model, count(*) AS n, round(avg(rouge1_f), 6) AS rouge1_f, round(avg(rouge2_f), 6) AS rouge2_f
       FROM r1 JOIN r2 USING (id, model) GROUP BY model)
 SELECT *, rank() OVER (ORDER BY rouge1_f DESC) AS rank FROM a"""
+
+_PK = ("qid", "pos_i", "pos_j")
+SQL["q32b_rouge_long_answers"] = f"""
+WITH {PREF_CTE},
+lt AS (SELECT qid, pos_i, pos_j, {TOK.format(x='response_k')} AS pt, {TOK.format(x='response_j')} AS rt FROM pairs),
+{overlap_ctes('l1', ngram_expr('pt', 1), ngram_expr('rt', 1), 'rouge1', True, _PK, 'lt')},
+{overlap_ctes('l2', ngram_expr('pt', 2), ngram_expr('rt', 2), 'rouge2', True, _PK, 'lt')}
+SELECT * FROM l1 JOIN l2 USING (qid, pos_i, pos_j)"""

@@ -293,6 +293,18 @@ def q32(spark, sf):
     return out.select("id", "model", F.round("running_mean", 6).alias("running_mean"))
 
 
+@query("q32b_rouge_long_answers")
+def q32b(spark, sf):
+    """ROUGE-1/2 of a long generated answer against the preferred answer
+    (whole texts; the worse answer of each pair stands in for a model
+    answer), by the exploded, linear-time method."""
+    from qforge.operators.prefs import pairs
+    from qforge.operators.rouge import rouge_scores
+    p = pairs(_pref_answers(spark, sf)).select(
+        "qid", "pos_i", "pos_j", F.col("response_k").alias("prediction"), F.col("response_j").alias("reference"))
+    return rouge_scores(p, ["qid", "pos_i", "pos_j"], metrics=("rouge1", "rouge2"), method="exploded")
+
+
 @query("q33_bertscore")
 def q33(spark, sf):
     from qforge.operators.bertscore import bertscore

@@ -107,3 +107,26 @@ def test_reward_goldens(spark, f1, pred, target, answer, expected):
     df = spark.createDataFrame([(f1, pred, target, answer)], "f double, p string, t string, a string")
     got = df.select(RW.reward("f", "p", "t", "a")).first()[0]
     assert round(got, 6) == expected
+
+
+def test_bigint_lcs_matches_dp():
+    from qforge.functions.lcs import lcs_len_dp
+    rng = random.Random(5)
+    for _ in range(300):
+        a = [rng.choice("abcde") for _ in range(rng.randint(0, 150))]
+        b = [rng.choice("abcde") for _ in range(rng.randint(0, 150))]
+        assert lcs_len(a, b) == lcs_len_dp(a, b)
+
+
+def test_exploded_rouge_matches_row(spark):
+    rng = random.Random(13)
+    vocab = ["p", "q", "r", "s", "t"]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 400))),
+             " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 400)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, prediction string, reference string")
+    a = {r["id"]: r for r in rouge_scores(df, ["id"], metrics=("rouge1", "rouge2", "rougeL")).collect()}
+    b = {r["id"]: r for r in rouge_scores(df, ["id"], metrics=("rouge1", "rouge2", "rougeL"),
+                                          method="exploded").collect()}
+    for i in a:
+        for c in ("rouge1_f", "rouge2_p", "rouge2_r", "rougeL_f"):
+            assert a[i][c] == b[i][c], (i, c)
