@@ -18,12 +18,14 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "q01_prompt_answer_aware",
     "q11_named_splits",
+    "q13_batches",
     "q17_pref_pairs_capped",
     "q25_rouge1",
     "q26_rouge2",
     "q27_rougeL",
     "q29_rougeS",
     "q30_rouge_summary",
+    "q32b_rouge_long_answers",
     "q33_bertscore",
     "q34_reward_code",
     "q38_html_markdown",

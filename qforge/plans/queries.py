@@ -160,6 +160,17 @@ def q17(spark, sf):
     return cap_pairs(pairs(_pref_answers(spark, sf)), 10, 42)
 
 
+@query("q17b_pref_pipeline")
+def q17b(spark, sf):
+    """The forum pipeline end to end: nested records -> ordered pairs ->
+    seeded cap of 10 -> HTML to Markdown on question and both responses
+    (after the cap, once per surviving row); every input column except
+    ``answers`` is kept."""
+    from qforge.operators.prefs import pairs_from_records
+    rec = FX.preference_records(read_table(spark, sf, "documents"))
+    return pairs_from_records(rec, max_pairs=10, seed=42, to_markdown=True)
+
+
 @query("q18_best_worst")
 def q18(spark, sf):
     from qforge.operators.prefs import best_worst

@@ -100,3 +100,27 @@ def test_seeded_index_matches_sorted_index(spark):
     a = {r["k"]: r["row_idx"] for r in IX.seeded_index(df, "k", 42, buckets=31).collect()}
     b = {r["k"]: r["row_idx"] for r in IX.with_row_index(df, IX.seeded_order("k", 42)).collect()}
     assert a == b and sorted(a.values()) == list(range(3000))
+
+
+def test_json_lines_and_qa_reader(spark, tmp_path):
+    from qforge.sources.sinks import write_json_records
+    from qforge.sources.tables import read_qa
+    df = spark.createDataFrame([(1, "c", "q", (["a"], [0]), "validation"), (2, "c2", "q2", ([], []), "train")],
+                               "id bigint, context string, question string, "
+                               "answers struct<text:array<string>, answer_start:array<int>>, split string")
+    out = str(tmp_path / "k7")
+    write_json_records(df.select("context", "question", "answers"), out)
+    back = spark.read.json(out)
+    assert back.count() == 2 and set(back.columns) == {"context", "question", "answers"}
+    pq = str(tmp_path / "qa")
+    df.withColumn("title", F.lit("t")).write.parquet(pq)
+    v = read_qa(spark, pq, "validation").collect()
+    assert len(v) == 1 and v[0]["answers"]["text"] == ["a"]
+
+
+def test_pref_pipeline_counts(spark):
+    import __spark_entry__ as E
+    from tests.conftest import SF01
+    p = E.queries()["q17b_pref_pipeline"](spark, SF01)
+    assert p.count() == 197                      # FIXTURES.md: 197 pairs after the cap
+    assert "answers" not in p.columns and {"qid", "question", "date", "metadata"} <= set(p.columns)
