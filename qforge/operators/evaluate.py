@@ -4,7 +4,6 @@ the metric queries share."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from qforge.functions.text import clean_eval, clean_reward, clean_target
 

@@ -94,11 +94,16 @@ def causal_eval_prompts(qa: DataFrame, ms: M.MarkerSet = M.CAUSAL_EVAL) -> DataF
 
 
 def plain_qa_prompts(df: DataFrame, question_col: str = "question", lower: bool = False,
-                     preview_chars: int = 128) -> DataFrame:
-    """P9 (+P13, X13): ``### Question: q ### Answer: `` and a preview."""
+                     preview_chars: int = 128, add_lower: bool = False) -> DataFrame:
+    """P9 (+P13, X13): ``### Question: q ### Answer: `` and a preview;
+    ``add_lower`` also emits the lower-cased prompt (P13) in the same
+    projection."""
+    def prompt(q):
+        return F.concat(F.lit(M.QA_QUESTION), q, F.lit(M.QA_ANSWER))
     q = F.lower(F.col(question_col)) if lower else F.col(question_col)
-    return df.withColumn("prompt", F.concat(F.lit(M.QA_QUESTION), q, F.lit(M.QA_ANSWER))) \
-             .withColumn("preview", F.left(F.col(question_col), F.lit(preview_chars)))
+    out = df.withColumn("prompt", prompt(q)) \
+        .withColumn("preview", F.left(F.col(question_col), F.lit(preview_chars)))
+    return out.withColumn("prompt_lower", prompt(F.lower(F.col(question_col)))) if add_lower else out
 
 
 def report_prompts(qa: DataFrame, ms: M.MarkerSet = M.REPORT) -> DataFrame:

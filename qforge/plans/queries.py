@@ -62,12 +62,8 @@ def q06(spark, sf):
 @query("q07_prompt_qa")
 def q07(spark, sf):
     conv = read_table(spark, sf, "conversations").where(F.col("role") == "user")
-    out = P.plain_qa_prompts(conv, "text")
-    lower = P.plain_qa_prompts(conv, "text", lower=True).select("conv_id", "turn",
-                                                                F.col("prompt").alias("prompt_lower"))
-    return out.select("conv_id", "turn", "prompt", "preview",
-                      F.concat(F.lit("### Question: "), F.lower("text"), F.lit(" ### Answer: "))
-                      .alias("prompt_lower"))
+    out = P.plain_qa_prompts(conv, "text", add_lower=True)
+    return out.select("conv_id", "turn", "prompt", "preview", "prompt_lower")
 
 
 @query("q07b_prompt_report")

@@ -47,7 +47,7 @@ def shard_plan(df: DataFrame, order, split_col: str = "split", shard_bytes: int
     for name in sorted(per_split):
         firsts[name] = acc
         acc += per_split[name][0]
-    shard_expr, ns_expr, start_expr = None, None, None
+    shard_expr, ns_expr = None, None
     for name, (n, b) in per_split.items():
         ns = int(b / shard_bytes) + 1
         cond = F.col(split_col) == F.lit(name)

@@ -1,9 +1,6 @@
 """Byte-exact goldens (FIXTURES.md section 4) for templates and cleanup."""
 
-import math
-
 import pytest
-from pyspark.sql import functions as F
 
 from qforge.functions import text as X
 from qforge.operators import prompts as P

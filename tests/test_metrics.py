@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from qforge.functions.lcs import lcs_len
 from qforge.operators import reward as RW

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from qforge.operators import prefs as PF
 from qforge.sources import fixtures as FX
 
 
