@@ -42,7 +42,10 @@ def main():
     from qforge.plans.queries import REGISTRY
     from qforge.session import get_spark
 
-    spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    from qforge.session import input_bytes, scale_conf
+    conf = scale_conf(input_bytes([os.path.join(sf_dir, "*.parquet")]), int(cpus))
+    spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=int(conf.pop("spark.sql.shuffle.partitions")),
+                      extra=conf)
     # warm-up, not timed: JVM, code generation and Python workers, by running
     # every timed query once on the smallest scale factor
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")

@@ -71,3 +71,44 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/qforge-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def scale_conf(input_bytes: int, cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings sized to the data: scan splits and shuffle partitions of
+    about ``target_partition_bytes`` (so a task's partition fits executor
+    memory with room for sort/aggregation buffers), never fewer shuffle
+    partitions than 2x the cores, AQE coalescing and skew splitting on.
+
+    Scan splits are not made smaller than the Parquet row groups: a split
+    without a row-group midpoint is an empty task, and a file of one row
+    group would look well split while one task does all the work.
+
+    For 100 TB on 1000 executors x 8 cores: 400k shuffle partitions of 256 MB
+    before AQE coalescing; a skewed partition above 4x the median (and above
+    1 GB) is split by AQE."""
+    parts = max(2 * cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1 << 30),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
+def input_bytes(paths) -> int:
+    """Total size of the input files (driver-side listing, no data read)."""
+    import glob
+    total = 0
+    for p in paths:
+        for f in glob.glob(p) if any(ch in p for ch in "*?[") else [p]:
+            if os.path.isdir(f):
+                for root, _, files in os.walk(f):
+                    total += sum(os.path.getsize(os.path.join(root, x)) for x in files)
+            elif os.path.exists(f):
+                total += os.path.getsize(f)
+    return total
