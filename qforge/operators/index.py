@@ -102,8 +102,21 @@ def seeded_order(key_col, seed: int = 42) -> list[Column]:
     return [seeded_key(seed, key_col), F.col(key_col) if isinstance(key_col, str) else key_col]
 
 
-def position_slice(df: DataFrame, order, start: int, stop: int, idx_col: str = "row_idx") -> DataFrame:
-    """rows whose position is in ``[start, stop)``."""
+def position_slice(df: DataFrame, order, start: int, stop: int, idx_col: str = "row_idx",
+                   max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """rows whose position is in ``[start, stop)``.
+
+    When the order is given as column names forming a key, only those
+    columns are sorted and checkpointed; the slice (at most ``stop - start``
+    rows, so broadcast when that bound is small) is joined back to the full
+    rows.  Whole texts never go through the sort."""
+    if all(isinstance(c, str) for c in order) and set(order) != set(df.columns):
+        keys = list(order)
+        idx = with_row_index(df.select(*keys), keys, idx_col)
+        sl = idx.where((F.col(idx_col) >= start) & (F.col(idx_col) < stop))
+        if stop - start <= max_broadcast_rows:
+            sl = F.broadcast(sl)
+        return df.join(sl, keys)
     out = with_row_index(df, order, idx_col)
     return out.where((F.col(idx_col) >= start) & (F.col(idx_col) < stop))
 
