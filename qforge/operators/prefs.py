@@ -3,11 +3,12 @@ none), T1 (cap of k pairs per question, seeded), T2 (best/worst answer),
 A4/A5 (pair statistics), X19 (row-multiplying map).
 
 Input is the flat answer table ``qid, pos, text, pm_score`` (one row per
-answer).  Pairs are formed by a self equi-join on ``qid`` with ``i < j``; the
-join is over answer sets whose size the caller bounds (the fixture keeps the
-first 8 answers of a question through a pre-shuffle WindowGroupLimit), so a
-question yields at most ``k*(k-1)/2`` candidate pairs.  Both join sides are
-the same hash-partitioned frame, so the exchange is planned once and reused.
+answer).  The uncapped pairs (J2) are, by definition, every non-tied pair of
+a question: a self equi-join on ``qid`` with ``i < j``, quadratic in the
+answers of one question, as the reference's per-record enumeration is.  The
+capped pairs (T1, the pipeline's output) never enumerate a question's pairs:
+``capped_pairs`` cuts each (question, score) group to its k seeded-first
+answers before the shuffle and ranks only the pairs among those.
 """
 
 from __future__ import annotations
@@ -26,17 +27,21 @@ def answers_from_records(records: DataFrame) -> DataFrame:
                 F.col("a.text").alias("text"), F.col("a.pm_score").alias("pm_score"))
 
 
-def pairs(answers: DataFrame) -> DataFrame:
+def pairs(answers: DataFrame, carry: str | None = None) -> DataFrame:
     """For answers ``i < j`` of a question with different scores, the
-    better text is ``response_j`` and the worse ``response_k``."""
+    better text is ``response_j`` and the worse ``response_k``.  ``carry``
+    names a per-answer column kept as ``<carry>_i`` / ``<carry>_j``."""
+    ex_i = [F.col(carry).alias(f"{carry}_i")] if carry else []
+    ex_j = [F.col(carry).alias(f"{carry}_j")] if carry else []
     x = answers.select("qid", F.col("pos").alias("pos_i"), F.col("text").alias("t_i"),
-                       F.col("pm_score").alias("s_i"))
+                       F.col("pm_score").alias("s_i"), *ex_i)
     y = answers.select("qid", F.col("pos").alias("pos_j"), F.col("text").alias("t_j"),
-                       F.col("pm_score").alias("s_j"))
+                       F.col("pm_score").alias("s_j"), *ex_j)
     j = x.join(y, "qid").where((F.col("pos_i") < F.col("pos_j")) & (F.col("s_i") != F.col("s_j")))
     i_better = F.col("s_i") > F.col("s_j")
+    extra = [f"{carry}_i", f"{carry}_j"] if carry else []
     return j.select(
-        "qid", "pos_i", "pos_j",
+        "qid", "pos_i", "pos_j", *extra,
         F.when(i_better, F.col("t_i")).otherwise(F.col("t_j")).alias("response_j"),
         F.when(i_better, F.col("t_j")).otherwise(F.col("t_i")).alias("response_k"),
         F.greatest("s_i", "s_j").cast("bigint").alias("score_j"),
@@ -53,6 +58,33 @@ def cap_pairs(pair_df: DataFrame, max_pairs: int = 10, seed: int = 42) -> DataFr
             .withColumn("pair_rank", F.col("pair_rank").cast("bigint")))
 
 
+def capped_pairs(answers: DataFrame, max_pairs: int = 10, seed: int = 42) -> DataFrame:
+    """T1 without enumerating all pairs of a question.
+
+    Every answer gets a seeded key ``u = md5(seed:qid:pos)``; a non-tied pair
+    is ranked by ``(max(u_i, u_j), min(u_i, u_j))`` and the first
+    ``max_pairs`` are kept (each pair is equally likely to be chosen).
+
+    Exactness of the pre-filter: if answer b of a chosen pair (a, b) were
+    not among the ``max_pairs`` smallest-u answers of its own score group,
+    the k earlier answers b' of that group would each form a non-tied pair
+    (a, b') with a smaller key, so (a, b) could not be in the first k; the
+    same holds for a.  Hence only the top-k per (question, score) can take
+    part: that cut is a WindowGroupLimit applied before the shuffle, and the
+    self-join sees at most (#scores x k) answers per question, however many
+    answers a hot question has."""
+    a = answers.withColumn("_u", seeded_key(seed, "qid", "pos"))
+    w = Window.partitionBy("qid", "pm_score").orderBy("_u")
+    cand = a.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_pairs).drop("_r")
+    p = pairs(cand, carry="_u")
+    hi, lo = F.greatest("_u_i", "_u_j"), F.least("_u_i", "_u_j")
+    wr = Window.partitionBy("qid").orderBy(hi, lo)
+    return (p.withColumn("pair_rank", F.row_number().over(wr))
+            .where(F.col("pair_rank") <= max_pairs)
+            .withColumn("pair_rank", F.col("pair_rank").cast("bigint"))
+            .drop("_u_i", "_u_j"))
+
+
 def best_worst(answers: DataFrame) -> DataFrame:
     """One (best, worst) pair per question: best = highest score
     (earliest position on ties), worst = lowest score (latest position).
@@ -94,9 +126,10 @@ def pairs_from_records(records: DataFrame, max_pairs: int | None = 10, seed: int
     question and once per surviving answer, after the cap, never per pair."""
     base = records.drop("answers")
     ans = answers_from_records(records)
-    p = pairs(ans)
     if max_pairs is not None:
-        p = cap_pairs(p, max_pairs, seed).drop("pair_rank")
+        p = capped_pairs(ans, max_pairs, seed).drop("pair_rank")
+    else:
+        p = pairs(ans)
     out = base.join(p, "qid")
     if to_markdown:
         from qforge.functions.markdown import html_to_markdown

@@ -174,10 +174,12 @@ WITH {PREF_CTE}
 SELECT * FROM pairs"""
 
 CAPPED_CTE = f"""{PREF_CTE},
+pu AS (SELECT *, md5(concat('42:', qid, ':', CAST(pos_i AS VARCHAR))) AS ui,
+                 md5(concat('42:', qid, ':', CAST(pos_j AS VARCHAR))) AS uj FROM pairs),
 capped AS (
-  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY
-           md5(concat('42:', qid, ':', CAST(pos_i AS VARCHAR), ':', CAST(pos_j AS VARCHAR)))) AS pair_rank
-  FROM pairs)"""
+  SELECT qid, pos_i, pos_j, response_j, response_k, score_j, score_k,
+         row_number() OVER (PARTITION BY qid ORDER BY greatest(ui, uj), least(ui, uj)) AS pair_rank
+  FROM pu)"""
 
 SQL["q17_pref_pairs_capped"] = f"""
 WITH {CAPPED_CTE}

@@ -152,8 +152,8 @@ def q16(spark, sf):
 
 @query("q17_pref_pairs_capped")
 def q17(spark, sf):
-    from qforge.operators.prefs import cap_pairs, pairs
-    return cap_pairs(pairs(_pref_answers(spark, sf)), 10, 42)
+    from qforge.operators.prefs import capped_pairs
+    return capped_pairs(_pref_answers(spark, sf), 10, 42)
 
 
 @query("q17b_pref_pipeline")
