@@ -184,7 +184,7 @@ def q20(spark, sf):
     from qforge.sources.sinks import shard_plan
     planned = shard_plan(_doc_splits(spark, sf).select("split", "row_idx", "doc_id", "source", "text"),
                          ["row_idx"], "split", shard_bytes=1 << 18,
-                         byte_cols=["doc_id", "source", "text"])
+                         byte_cols=["doc_id", "source", "text"], position_col="row_idx")
     return (planned.groupBy("split", "shard", "num_shards", "file_name")
             .agg(F.count(F.lit(1)).alias("n_rows"), F.min("row_idx").alias("first_row"),
                  F.max("row_idx").alias("last_row")))

@@ -29,30 +29,36 @@ def estimated_bytes(df: DataFrame, cols) -> F.Column:
 
 
 def shard_plan(df: DataFrame, order, split_col: str = "split", shard_bytes: int = SHARD_BYTES,
-               byte_cols=None) -> DataFrame:
+               byte_cols=None, position_col: str | None = None) -> DataFrame:
     """Assign every row ``split, shard, num_shards, file_name``.
 
     Per split: ``num_shards = int(bytes / shard_bytes) + 1`` (one small
-    aggregation), positions inside the split from one global dense index
-    (splits are contiguous ranges of it or are ranked separately), shards
-    contiguous with the first ``n % num_shards`` one row longer."""
-    byte_cols = byte_cols or [c for c in df.columns if c != split_col]
+    aggregation), shards contiguous in ``order`` with the first
+    ``n % num_shards`` one row longer.  Positions inside a split come from
+    ``position_col`` when the rows already carry a dense position whose
+    splits are contiguous ranges (named splits are): position minus the
+    split's first position, no sort.  Otherwise one dense index over
+    (split, order) is built."""
+    byte_cols = byte_cols or [c for c in df.columns if c not in (split_col, position_col)]
     sized = df.withColumn("_bytes", estimated_bytes(df, byte_cols))
-    per_split = {r[split_col]: (r["n"], r["b"]) for r in
-                 sized.groupBy(split_col).agg(F.count(F.lit(1)).alias("n"),
-                                              F.sum("_bytes").alias("b")).collect()}
-    idx = with_row_index(sized, [F.col(split_col)] + list(order), "_pos")
-    # rank inside split = global position - first position of the split
-    firsts, acc = {}, 0
-    for name in sorted(per_split):
-        firsts[name] = acc
-        acc += per_split[name][0]
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum("_bytes").alias("b")]
+    if position_col:
+        aggs.append(F.min(position_col).alias("first"))
+    stats = {r[split_col]: r for r in sized.groupBy(split_col).agg(*aggs).collect()}
+    if position_col:
+        idx = sized.withColumn("_pos", F.col(position_col))
+        firsts = {name: r["first"] for name, r in stats.items()}
+    else:
+        idx = with_row_index(sized, [F.col(split_col)] + list(order), "_pos")
+        firsts, acc = {}, 0
+        for name in sorted(stats):          # same order as the index: by split name
+            firsts[name] = acc
+            acc += stats[name]["n"]
     shard_expr, ns_expr = None, None
-    for name, (n, b) in per_split.items():
-        ns = int(b / shard_bytes) + 1
+    for name, r in stats.items():
+        ns = int(r["b"] / shard_bytes) + 1
         cond = F.col(split_col) == F.lit(name)
-        local = F.col("_pos") - F.lit(firsts[name])
-        s = contiguous_shard(local, n, ns)
+        s = contiguous_shard(F.col("_pos") - F.lit(firsts[name]), r["n"], ns)
         shard_expr = F.when(cond, s) if shard_expr is None else shard_expr.when(cond, s)
         ns_expr = F.when(cond, F.lit(ns)) if ns_expr is None else ns_expr.when(cond, F.lit(ns))
     out = idx.withColumn("shard", shard_expr.cast("bigint")) \
