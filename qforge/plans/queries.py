@@ -498,7 +498,8 @@ def q51(spark, sf):
     refs = P.qa_prompts(qa).select("id", "target")
     table = "qforge_stream_" + pred_dir.rsplit("-", 1)[-1]
     return running_model_means(spark, pred_dir, preds.schema, refs,
-                               scratch_path(spark, "stream-ckpt"), table)
+                               scratch_path(spark, "stream-ckpt"), table,
+                               out_path=scratch_path(spark, "stream-out"))
 
 
 @query("q52_apply_model")

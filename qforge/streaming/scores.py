@@ -26,12 +26,25 @@ def scored_stream(preds_stream: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def running_model_means(spark: SparkSession, pred_dir: str, pred_schema, refs: DataFrame,
-                        checkpoint: str, table: str) -> DataFrame:
-    """Run the stream to completion and return the per-model table."""
+                        checkpoint: str, table: str, out_path: str | None = None) -> DataFrame:
+    """Run the stream to completion and return the per-model table.
+
+    With ``out_path`` the complete per-model table is written by
+    ``foreachBatch`` as an overwrite of a Parquet folder (idempotent: a
+    replayed batch rewrites the same result; the stream checkpoint makes the
+    query restartable after a failure).  Without it, an in-memory table
+    named ``table`` holds the result (local use)."""
     stream = spark.readStream.schema(pred_schema).option("maxFilesPerTrigger", 1).parquet(pred_dir)
     agg = (scored_stream(stream, refs).groupBy("model")
            .agg(F.count(F.lit(1)).alias("n"), F.avg("rouge1_f").alias("rouge1_mean")))
-    q = (agg.writeStream.outputMode("complete").format("memory").queryName(table)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    w = agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint) \
+        .trigger(availableNow=True)
+    if out_path:
+        def write_batch(batch_df, batch_id):
+            batch_df.write.mode("overwrite").parquet(out_path)
+        q = w.foreachBatch(write_batch).start()
+    else:
+        q = w.format("memory").queryName(table).start()
     q.awaitTermination()
-    return spark.table(table).select("model", "n", F.round("rouge1_mean", 6).alias("rouge1_mean"))
+    res = spark.read.parquet(out_path) if out_path else spark.table(table)
+    return res.select("model", "n", F.round("rouge1_mean", 6).alias("rouge1_mean"))
