@@ -82,25 +82,30 @@ def length_profile(df: DataFrame, group_col: str, text_col: str, title_col: str
     return df.groupBy(group_col).agg(*aggs)
 
 
-def distinct_n(df: DataFrame, group_col: str, text_col: str) -> DataFrame:
-    """A10: distinct-1 / distinct-2 per group.  Grams are counted per
-    (group, gram) first (partial aggregation), then summed per group, so a
-    group with a third of all rows never collects its grams in one task."""
+def distinct_n(df: DataFrame, group_col: str, text_col: str, ns=(1, 2)) -> DataFrame:
+    """A10: distinct-n per group, all ``ns`` in one pass.  Grams are
+    exploded once (tagged with n, plus one sentinel per row so groups without
+    grams stay), counted per (group, n, gram) -- partial aggregation, so a
+    group holding a third of all rows never gathers its grams in one task --
+    then folded per group."""
     toks = df.select(group_col, metric_tokens(text_col).alias("t"))
-    out = None
-    for n in (1, 2):
-        g = toks.select(group_col, F.explode(ngrams("t", n)).alias("g"))
-        per = g.groupBy(group_col, "g").agg(F.count(F.lit(1)).alias("c"))
-        agg = per.groupBy(group_col).agg(F.count(F.lit(1)).alias(f"n_distinct{n}"),
-                                         F.sum("c").alias(f"n_grams{n}"))
-        out = agg if out is None else out.join(agg, group_col, "full_outer")
-    groups = df.select(group_col).distinct()
-    out = groups.join(out, group_col, "left")
+    def tagged(n):
+        return F.transform(ngrams("t", n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+    parts = [tagged(n) for n in ns]
+    sentinel = F.array(F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("g")))
+    items = toks.select(group_col, F.inline(F.concat(*parts, sentinel)))
+    per = items.groupBy(group_col, "n", "g").agg(F.count(F.lit(1)).alias("c"))
+    aggs = []
+    for n in ns:
+        on = F.col("n") == n
+        aggs += [F.count(F.when(on, F.lit(1))).alias(f"_d{n}"),
+                 F.sum(F.when(on, F.col("c")).otherwise(0)).alias(f"_g{n}")]
+    out = per.groupBy(group_col).agg(*aggs)
     res = [group_col]
-    for n in (1, 2):
-        tot = F.coalesce(F.col(f"n_grams{n}"), F.lit(0)).cast("bigint")
+    for n in ns:
+        tot = F.col(f"_g{n}").cast("bigint")
         res += [tot.alias(f"n_grams{n}"),
-                F.round(F.try_divide(F.col(f"n_distinct{n}").cast("double"), tot), 6).alias(f"distinct{n}")]
+                F.round(F.try_divide(F.col(f"_d{n}").cast("double"), tot), 6).alias(f"distinct{n}")]
     return out.select(*res)
 
 
