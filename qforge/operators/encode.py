@@ -57,6 +57,15 @@ def build_vocab(df: DataFrame, cols, max_size: int = 32000) -> DataFrame:
             .select("token", (F.col("_rank") + N_SPECIAL).alias("tid"), "count"))
 
 
+def _vocab_dict(vocab: DataFrame) -> dict:
+    """The vocabulary as a dict for broadcasting; the read itself is the size
+    check (at most ``MAX_BROADCAST_VOCAB + 1`` rows are fetched)."""
+    rows = vocab.select("token", "tid").limit(MAX_BROADCAST_VOCAB + 1).collect()
+    if len(rows) > MAX_BROADCAST_VOCAB:
+        raise ValueError("vocabulary too big to broadcast; use encode(..., strategy='join')")
+    return {r["token"]: int(r["tid"]) for r in rows}
+
+
 def _lookup_factory(bc):
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def lookup(tokens: pd.Series) -> pd.Series:
@@ -78,10 +87,7 @@ def encode(df: DataFrame, key: str, col: str, vocab: DataFrame, max_len: int,
     at most ``max_len`` rows per key), for vocabularies too big to ship."""
     toks = F.slice(word_tokens(col), 1, max_len - 1)
     if strategy == "broadcast":
-        n = vocab.count()
-        if n > MAX_BROADCAST_VOCAB:
-            raise ValueError(f"vocabulary of {n} tokens is too big to broadcast; use strategy='join'")
-        mapping = {r["token"]: int(r["tid"]) for r in vocab.select("token", "tid").collect()}
+        mapping = _vocab_dict(vocab)
         bc = df.sparkSession.sparkContext.broadcast(mapping)
         base = df.select(key, _lookup_factory(bc)(toks).alias("_ids"))
         seq = F.concat(F.col("_ids"), F.array(F.lit(EOS)))
@@ -98,6 +104,22 @@ def encode(df: DataFrame, key: str, col: str, vocab: DataFrame, max_len: int,
                        pad_truncate(F.transform("_seq", lambda x: F.lit(1)), max_len, 0).alias("attention_mask"))
 
 
+def encode_columns(df: DataFrame, key: str, specs: dict, vocab: DataFrame) -> DataFrame:
+    """Several text columns encoded in one projection (broadcast vocabulary):
+    ``specs = {text_col: (max_len, out_col)}``; one pass, no join between
+    the encodings.  Masks are named ``<out_col>_mask``."""
+    mapping = _vocab_dict(vocab)
+    lookup = _lookup_factory(df.sparkSession.sparkContext.broadcast(mapping))
+    out = df.select(key, *[lookup(F.slice(word_tokens(c), 1, L - 1)).alias(f"_ids_{o}")
+                           for c, (L, o) in specs.items()])
+    cols = [key]
+    for c, (L, o) in specs.items():
+        out = out.withColumn(f"_seq_{o}", F.concat(F.col(f"_ids_{o}"), F.array(F.lit(EOS))))
+        cols += [pad_truncate(f"_seq_{o}", L, PAD).alias(o),
+                 pad_truncate(F.transform(f"_seq_{o}", lambda x: F.lit(1)), L, 0).alias(f"{o}_mask")]
+    return out.select(*cols)
+
+
 def token_budget(df: DataFrame, cols_limits: dict) -> DataFrame:
     """Per text column, rows, share truncated at the limit, max and
     median token counts (one aggregation)."""

@@ -395,14 +395,12 @@ def q39(spark, sf):
 
 @query("q40_encode")
 def q40(spark, sf):
-    from qforge.operators.encode import encode
+    from qforge.operators.encode import encode_columns
     pr = _prompts(spark, sf)
-    vocab = _vocab(spark, sf)
-    x = encode(pr, "id", "inputs", vocab, 512, "input_ids")
-    y = encode(pr, "id", "target", vocab, 32, "labels").drop("attention_mask")
-    return x.join(y, "id").select(
+    enc = encode_columns(pr, "id", {"inputs": (512, "input_ids"), "target": (32, "labels")}, _vocab(spark, sf))
+    return enc.select(
         "id", F.array_join("input_ids", " ").alias("input_ids"), F.array_join("labels", " ").alias("labels"),
-        F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, m: a + m).alias("n_input_tokens"))
+        F.aggregate("input_ids_mask", F.lit(0).cast("bigint"), lambda a, m: a + m).alias("n_input_tokens"))
 
 
 @query("q41_token_budget")
