@@ -13,13 +13,12 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qforge.functions.arrays import pad_truncate
 from qforge.functions.text import word_tokens
-from qforge.operators.index import with_row_index
 
 PAD, EOS, UNK = 0, 1, 2
 N_SPECIAL = 3
@@ -27,14 +26,16 @@ MAX_BROADCAST_VOCAB = 4_000_000   # ~ a few hundred MB as a Python dict
 
 
 def build_vocab(df: DataFrame, cols, max_size: int = 32000) -> DataFrame:
-    """``token, tid, count``: the ``max_size - 3`` most frequent tokens.
+    """``token, tid, count``: the ``max_size - 3`` most frequent tokens, ties
+    by token.
 
     Counting is a partial+final aggregation (hot tokens are combined map
-    side).  Only candidates are ranked: the frequency histogram is cut at the
-    count c* of the K-th token (at most K histogram rows are read back, K =
-    ``max_size - 3``), tokens with count >= c* are kept, and the dense index
-    ranks those few by (count desc, token) - never all distinct tokens, never
-    in a single task."""
+    side).  The rank needs no global sort: the histogram of counts (at most
+    K rows read back, K = ``max_size - 3``) gives, for every count value, the
+    number of tokens ranked above it; inside one count value the rank is the
+    token order, computed by ``row_number() <= K`` per count value, which is
+    cut to K rows per task before its shuffle (the tie bucket at the cut may
+    be large).  Offsets are broadcast (at most K rows)."""
     k = max_size - N_SPECIAL
     toks = None
     for c in cols:
@@ -44,17 +45,22 @@ def build_vocab(df: DataFrame, cols, max_size: int = 32000) -> DataFrame:
         .persist(StorageLevel.MEMORY_AND_DISK)   # deterministic: safe to recompute
     hist = (counts.groupBy("count").agg(F.count(F.lit(1)).alias("n"))
             .orderBy(F.desc("count")).limit(k).collect())
-    acc, cut = 0, 0
+    offsets, above = [], 0
     for row in hist:
-        acc += row["n"]
-        cut = row["count"]
-        if acc >= k:
+        offsets.append((row["count"], above))
+        above += row["n"]
+        if above >= k:
             break
-    cand = counts.where(F.col("count") >= cut)
-    ranked = with_row_index(cand, [F.desc("count"), F.asc("token")], "_rank")
-    counts.unpersist()
-    return (ranked.where(F.col("_rank") < k)
-            .select("token", (F.col("_rank") + N_SPECIAL).alias("tid"), "count"))
+    spark = df.sparkSession
+    off_df = spark.createDataFrame(offsets or [], "count bigint, _off bigint")
+    cut = offsets[-1][0] if offsets else 0
+    w = Window.partitionBy("count").orderBy("token")
+    ranked = (counts.where(F.col("count") >= cut)
+              .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+              .join(F.broadcast(off_df), "count")
+              .withColumn("_rank", F.col("_off") + F.col("_r") - 1)
+              .where(F.col("_rank") < k))
+    return ranked.select("token", (F.col("_rank") + N_SPECIAL).alias("tid"), "count")
 
 
 def _vocab_dict(vocab: DataFrame) -> dict:
