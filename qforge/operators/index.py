@@ -10,8 +10,10 @@ small row per partition), offsets broadcast back (bounded by the number of
 partitions), ``monotonically_increasing_id`` minus the partition base for the
 local position.  The sorted, tagged frame is checkpointed to the cluster's
 checkpoint directory first, so the counts and the final rows come from the
-same materialised partitions even if executors are lost.  No unpartitioned
-window ever touches the data.
+same materialised partitions even if executors are lost.  Under the seeded
+shuffle order the index needs no sort at all (``seeded_index``: md5 prefix
+buckets, bucket counts, broadcast offsets, ``row_number`` per bucket).  No
+unpartitioned window ever touches the data.
 """
 
 from __future__ import annotations
