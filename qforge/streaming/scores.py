@@ -1,10 +1,12 @@
 """Incremental evaluation with Structured Streaming.
 
 Prediction files arrive in a folder; each micro-batch is scored statelessly
-(ROUGE-1 per row after a stream-static join with the references), and a
-running ``avg`` / ``count`` per model is kept as streaming state.  With the
-``availableNow`` trigger every file present is processed and the query
-stops; the final table equals the batch result.
+(ROUGE-1 per row after a stream-static join with the references).  The
+durable form appends scored rows to a Parquet table (file sink, exactly-once)
+and reports the means so far by aggregating it; the local form keeps a
+running ``avg`` / ``count`` per model as streaming state in a memory table.
+With the ``availableNow`` trigger every file present is processed and the
+query stops; the final table equals the batch result.
 """
 
 from __future__ import annotations
@@ -29,22 +31,25 @@ def running_model_means(spark: SparkSession, pred_dir: str, pred_schema, refs: D
                         checkpoint: str, table: str, out_path: str | None = None) -> DataFrame:
     """Run the stream to completion and return the per-model table.
 
-    With ``out_path`` the complete per-model table is written by
-    ``foreachBatch`` as an overwrite of a Parquet folder (idempotent: a
-    replayed batch rewrites the same result; the stream checkpoint makes the
-    query restartable after a failure).  Without it, an in-memory table
-    named ``table`` holds the result (local use)."""
+    With ``out_path`` the scored rows are appended to a Parquet table by the
+    file sink (exactly-once through the stream checkpoint: a restart reads
+    only new prediction files), and the means so far are an aggregation over
+    that table.  Without it, the per-model average is kept as streaming
+    aggregation state and emitted to an in-memory table named ``table``
+    (local use)."""
     stream = spark.readStream.schema(pred_schema).option("maxFilesPerTrigger", 1).parquet(pred_dir)
-    agg = (scored_stream(stream, refs).groupBy("model")
-           .agg(F.count(F.lit(1)).alias("n"), F.avg("rouge1_f").alias("rouge1_mean")))
-    w = agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint) \
-        .trigger(availableNow=True)
+    scored = scored_stream(stream, refs)
     if out_path:
-        def write_batch(batch_df, batch_id):
-            batch_df.write.mode("overwrite").parquet(out_path)
-        q = w.foreachBatch(write_batch).start()
+        q = (scored.writeStream.outputMode("append").format("parquet").option("path", out_path)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
+        res = (spark.read.parquet(out_path).groupBy("model")
+               .agg(F.count(F.lit(1)).alias("n"), F.avg("rouge1_f").alias("rouge1_mean")))
     else:
-        q = w.format("memory").queryName(table).start()
-    q.awaitTermination()
-    res = spark.read.parquet(out_path) if out_path else spark.table(table)
+        agg = (scored.groupBy("model")
+               .agg(F.count(F.lit(1)).alias("n"), F.avg("rouge1_f").alias("rouge1_mean")))
+        q = (agg.writeStream.outputMode("complete").format("memory").queryName(table)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
+        res = spark.table(table)
     return res.select("model", "n", F.round("rouge1_mean", 6).alias("rouge1_mean"))
