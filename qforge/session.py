@@ -60,11 +60,25 @@ def spread(df, min_partitions: int | None = None):
     scan already has many splits and this is a no-op (no shuffle)."""
     sc = df.sparkSession.sparkContext
     want = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    if scan_partitions(df) < want:
         return df.repartition(want)
     return df
 
 
+_SCAN_PARTS: dict = {}
+
+
+def scan_partitions(df) -> int:
+    """Partitions of a bare scan, remembered per (application, input files):
+    the count only steers ``spread`` (never results), and listing a table
+    again for every read of it in one query costs a planning round trip."""
+    sc = df.sparkSession.sparkContext
+    key = (sc.applicationId, tuple(sorted(df.inputFiles())))
+    if key not in _SCAN_PARTS:
+        _SCAN_PARTS[key] = df.rdd.getNumPartitions()
+    return _SCAN_PARTS[key]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory (never a
     machine-local temp folder on a cluster)."""
