@@ -69,11 +69,12 @@ _SCAN_PARTS: dict = {}
 
 
 def scan_partitions(df) -> int:
-    """Partitions of a bare scan, remembered per (application, input files):
-    the count only steers ``spread`` (never results), and listing a table
-    again for every read of it in one query costs a planning round trip."""
+    """Partitions of a bare scan, remembered per (application, scan plan):
+    the count only steers ``spread`` (never results), and planning a table's
+    splits again for every read of it in one query costs a round trip.  The
+    key is the plan's semantic hash, so no file list is held on the driver."""
     sc = df.sparkSession.sparkContext
-    key = (sc.applicationId, tuple(sorted(df.inputFiles())))
+    key = (sc.applicationId, df.semanticHash())
     if key not in _SCAN_PARTS:
         _SCAN_PARTS[key] = df.rdd.getNumPartitions()
     return _SCAN_PARTS[key]
