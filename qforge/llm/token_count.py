@@ -1,8 +1,8 @@
 """Token counts without token ids: pieces are counted once per distinct
 pre-token, joined to per-document pre-token frequencies and summed.
 
-A pre-token is a run of blanks with the letters and digits, or the marks,
-that follow.  No piece of the model reaches over such a cut (checked against
+A pre-token is a run of blanks with the letters and digits, or with the
+other characters, that follow.  No piece of the model reaches over such a cut (checked against
 every piece when the model is read; a model that fails raises), so the pieces
 of a text are those of its pre-tokens.
 
@@ -43,16 +43,17 @@ FLUSH = 1 << 18            # distinct pre-tokens held by a task before it hands
 
 
 def word_class() -> str:
-    """Letters, decimal digits and combining marks, as ranges of a character class."""
-    kinds, spans, start = ("L", "M"), [], None
-    for code in range(0x110001):
-        kind = unicodedata.category(chr(code)) if code < 0x110000 else ""
-        if kind[:1] in kinds or kind == "Nd":
+    """Letters, decimal digits, combining marks and all characters beyond the
+    basic plane, as ranges of a character class."""
+    spans, start = [], None
+    for code in range(0x10001):
+        kind = unicodedata.category(chr(code)) if code < 0x10000 else ""
+        if kind[:1] in ("L", "M") or kind == "Nd":
             start = code if start is None else start
         elif start is not None:
-            spans.append(f"\\U{start:08x}-\\U{code - 1:08x}")
+            spans.append(f"\\u{start:04x}-\\u{code - 1:04x}")
             start = None
-    return "".join(spans)
+    return "".join(spans) + "\\U00010000-\\U0010ffff"
 
 
 @functools.cache
