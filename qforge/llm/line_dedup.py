@@ -77,7 +77,7 @@ def drop_boilerplate_lines(df: DataFrame, text_col: str = "text", site_col: str
     kept = F.filter(_lines(text), lambda x: ~F.coalesce(F.array_contains("_gone.gone", F.xxhash64(_trimmed(x))), F.lit(False)))
     n = F.when(text.isNull(), 0).otherwise(F.size(_lines(text)))
     joined = df.select(*[F.col(f"`{c}`") for c in rest]).withColumn("_t", F.xxhash64(text)) \
-        .join(gone.select(F.col("t").alias("_t"), F.struct("gone").alias("_gone")), "_t", "left")
+        .join(gone.select(F.col("t").alias("_t"), F.struct("gone").alias("_gone")).hint("merge"), "_t", "left")
     out = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull() & text.isNotNull(), kept))
     return out.select(*[F.col(f"`{c}`") for c in rest if c.lower() not in mine],
                       F.coalesce(F.array_join("_kept", "\n"), text).alias("clean_text"), n.alias("n_lines"),
