@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from qforge.llm import bpe, line_dedup, mixing, token_count, url_filter, warc
+from qforge.llm import bpe, line_dedup, mixing, token_count, toxicity, url_filter, warc
 from qforge.llm.common import Scratch, table
 
 REGISTRY = {}
@@ -25,6 +25,12 @@ def op1(spark, sf_dir):
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query("op3_toxicity")
+def op3(spark, sf_dir):
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return toxicity.toxicity_scores(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op4_mixing")
 def op4(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
