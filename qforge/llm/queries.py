@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from qforge.llm import bpe, line_dedup, mixing, token_count, toxicity, url_filter, warc
+from qforge.llm import bpe, cover_tree, line_dedup, mixing, token_count, toxicity, url_filter, warc
 from qforge.llm.common import Scratch, table
 
 REGISTRY = {}
@@ -48,6 +48,11 @@ def op6(spark, sf_dir):
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op8_embedding_near_dedup")
+def op8(spark, sf_dir):
+    return cover_tree.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 #: (host, path, verdict)
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"),
              ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -107,6 +112,21 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
        CASE WHEN keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
 FROM d LEFT JOIN m USING (k)
+""",
+    "op8_embedding_near_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+g AS (SELECT r, label, x, len(x) AS n FROM v
+      WHERE label IS NOT NULL AND len(x) > 0 AND NOT list_contains(list_transform(x, lambda y: coalesce(isfinite(y), false)), false)
+        AND list_contains(list_transform(x, lambda y: y <> 0), true)),
+p AS (SELECT a.r AS i, b.r AS j FROM g a JOIN g b ON a.label = b.label AND a.n = b.n AND a.r <> b.r
+      WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.93),
+reach AS (SELECT i, i AS j FROM p UNION SELECT reach.i, p.j FROM reach JOIN p ON reach.j = p.i),
+c AS (SELECT reach.i AS r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.j GROUP BY reach.i),
+n AS (SELECT i AS r, count(*) AS n_links FROM p GROUP BY i)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id,
+       coalesce(component_id, vec_id) IS NOT DISTINCT FROM vec_id AS kept
+FROM v LEFT JOIN n USING (r) LEFT JOIN c USING (r)
 """,
     "op9_url_filter": r"""
 WITH u AS (
