@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from qforge.llm import bpe, cover_tree, line_dedup, mixing, token_count, toxicity, url_filter, warc
+from qforge.llm import bpe, cover_tree, line_dedup, m_tree, mixing, token_count, toxicity, url_filter, warc
 from qforge.llm.common import Scratch, table
 
 REGISTRY = {}
@@ -48,6 +48,11 @@ def op6(spark, sf_dir):
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op7_exact_top_k")
+def op7(spark, sf_dir):
+    return m_tree.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 @query("op8_embedding_near_dedup")
 def op8(spark, sf_dir):
     return cover_tree.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
@@ -112,6 +117,14 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
        CASE WHEN keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
 FROM d LEFT JOIN m USING (k)
+""",
+    "op7_exact_top_k": r"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda y: floor(64 * y::DOUBLE)) AS x FROM embeddings
+           WHERE len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda y: coalesce(isfinite(y), false)), false)),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score, c.r AS cr
+      FROM v q JOIN v c ON q.r <> c.r AND len(q.x) = len(c.x) WHERE q.vec_id % 20 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, cr) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM k WHERE rank <= 20
 """,
     "op8_embedding_near_dedup": r"""
 WITH RECURSIVE v AS (
