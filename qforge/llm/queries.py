@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from qforge.llm import bpe, cover_tree, line_dedup, m_tree, mixing, token_count, toxicity, url_filter, warc
+from qforge.llm import bpe, cover_tree, jaccard_join, line_dedup, m_tree, mixing, token_count, toxicity, url_filter, warc
 from qforge.llm.common import Scratch, table
 
 REGISTRY = {}
@@ -25,6 +25,12 @@ def op1(spark, sf_dir):
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query("op2_ngram_jaccard_join")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.similar_texts(docs, width=4, num=85, den=100).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 @query("op3_toxicity")
 def op3(spark, sf_dir):
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
