@@ -31,8 +31,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words, and pre-tokens, kept per Python worker; a table is emptied when it is full.
-CACHE = 250_000
+#: Words and pre-tokens kept per Python worker; a table is emptied when it is full.
+CACHE_WORDS = 400_000
+CACHE_PIECES = 700_000
 #: Longer ones are encoded each time and not kept.
 CACHE_LENGTH = 64
 
@@ -203,8 +204,8 @@ class Codec:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.pieces = Table(self._piece)
-        self.words = Table(self._word)
+        self.pieces = Table(self._piece, CACHE_PIECES)
+        self.words = Table(self._word, CACHE_WORDS)
         self.word = re.compile(f"[^{SPACE}]+")
 
     def _piece(self, piece: str) -> Form:
@@ -228,7 +229,8 @@ Form = tuple[int, bytes, bytes]
 
 
 def joined(forms: list[Form]) -> Form:
-    forms = [f for f in forms if f[0]]
+    if len(forms) == 1:
+        return forms[0]
     if not forms:
         return 0, b"", b""
     n, ids, words = zip(*forms)
@@ -236,15 +238,15 @@ def joined(forms: list[Form]) -> Form:
 
 
 class Table(dict):
-    """Computed values by key, bounded to CACHE entries of CACHE_LENGTH characters."""
+    """Computed values by key, bounded to ``most`` entries of CACHE_LENGTH characters."""
 
-    def __init__(self, compute):
-        self.compute = compute
+    def __init__(self, compute, most: int):
+        self.compute, self.most = compute, most
 
     def __missing__(self, key: str):
         value = self.compute(key)
         if len(key) <= CACHE_LENGTH:
-            if len(self) >= CACHE:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = value
         return value

@@ -145,8 +145,9 @@ def eligible(sizes: np.ndarray, block: np.ndarray, cross: bool, hubs: list[np.nd
 
 
 def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row, doc_id, n_shingles, n_links, component_id`` per row of ``df``;
-    ``row`` is ``monotonically_increasing_id()`` of ``df``."""
+    """``row, doc_id, n_shingles, n_links, component_id, component`` per row of
+    ``df``, a written table.  ``row`` is its ``monotonically_increasing_id()``;
+    ``component`` is a key of the component, null without shingles."""
     spark = df.sparkSession
     sc = spark.sparkContext
     scratch = Scratch(spark, "jaccard")
@@ -325,10 +326,24 @@ def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     per = scratch.keep(per.join(root.withColumnRenamed("node", "cid"), "cid", "left").join(links, "cid", "left")
                        .select("cid", "copies", "least", F.coalesce("root", "cid").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
     names = scratch.keep(per.groupBy("root").agg(F.min("least").alias("component_id")), "names")
-    facts = scratch.keep(per.join(names, "root").select("cid", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id"), "facts")
+    facts = scratch.keep(per.join(names, "root").select("cid", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id", F.col("root").alias("component")), "facts")
     return texts.join(facts.hint("merge"), "cid", "left").select(
         "row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("component")).alias("component"))
+
+
+def one_of_each(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, a written table, without all but one of each
+    component: that of the least id stays (null last, then by position); rows
+    without shingles all stay."""
+    found = similar_texts(df, width, num, den, id_col, text_col)
+    scratch = Scratch(df.sparkSession, "one_of_each")
+    rows = scratch.keep(found.where("component is not null and n_links > 0").select("row", "doc_id", "component"), "rows")
+    stay = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("s")).select(F.col("s.row").alias("row"))
+    gone = scratch.keep(rows.select("row").join(stay, "row", "left_anti").withColumnRenamed("row", "_row"), "gone")
+    return df.withColumn("_row", F.monotonically_increasing_id()).join(gone.hint("merge"), "_row", "left_anti") \
+        .select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def _lists(column) -> list[np.ndarray]:

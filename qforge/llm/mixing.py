@@ -66,28 +66,41 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, most
 
 
 def mix(df: DataFrame, seed: str = "mix", weights=(5, 2, 1), share: float = 1.5, most: int = 2,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        keep: tuple = ()) -> DataFrame:
-    """``doc_id, size, source_size, target, copies, taken`` and the columns
-    named in ``keep``, one row per row of ``df``; ``taken = copies * size``."""
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``doc_id, size, source_size, target, copies, taken``, one row per row of
+    ``df``; ``taken = copies * size``."""
     scratch = Scratch(df.sparkSession, "mix")
+    sized = scratch.keep(df.select(F.col(f"`{id_col}`").alias("doc_id"), *_sized(id_col, text_col, source_col, seed)), "sizes")
+    return _with_copies(sized, sized, scratch, weights, share, most) \
+        .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(df: DataFrame, seed: str = "mix", weights=(5, 2, 1), share: float = 1.5, most: int = 2,
+               id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: the rows of ``df``, each as often as it is taken."""
+    scratch = Scratch(df.sparkSession, "mix")
+    facts = _sized(id_col, text_col, source_col, seed)
+    sizes = scratch.keep(df.select(*facts), "sizes")
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *facts)
+    return _with_copies(whole, sizes, scratch, weights, share, most).where("copies > 0") \
+        .select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
+
+
+def _sized(id_col: str, text_col: str, source_col: str, seed: str) -> list[Column]:
     text = F.col(f"`{text_col}`")
-    sized = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"),
-                      word_count(text).alias("size"), row_hash(F.col(f"`{id_col}`"), text, seed).alias("h"),
-                      *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)])
-    rows = sized if keep else scratch.keep(sized, "sizes")
-    small = scratch.keep(sized.select("source", "size", "h"), "hashes") if keep else rows
-    targets = source_targets(small, weights, share, most)
+    return [F.col(f"`{source_col}`").alias("source"), word_count(text).alias("size"),
+            row_hash(F.col(f"`{id_col}`"), text, seed).alias("h")]
+
+
+def _with_copies(rows: DataFrame, sizes: DataFrame, scratch: Scratch, weights, share: float, most: int) -> DataFrame:
+    targets = source_targets(sizes, weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     targets = scratch.keep(targets.withColumn("whole", whole.cast("long"))
                            .withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
-    limits = scratch.keep(thresholds(small, targets), "limits")
-    taken = F.col("whole") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
-    joined = rows.alias("r").join(F.broadcast(limits).alias("t") if _few(limits) else limits.alias("t"),
-                                  F.col("r.source").eqNullSafe(F.col("t.source")))
-    return joined.select("doc_id", F.col("r.size").alias("size"), "source_size", "target",
-                         taken.alias("copies"), (taken * F.col("r.size")).alias("taken"),
-                         *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
+    limits = scratch.keep(thresholds(sizes, targets), "limits").withColumnRenamed("source", "of")
+    limits = F.broadcast(limits) if _few(limits) else limits
+    copies = F.col("whole") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
+    return rows.join(limits, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", copies)
 
 
 def _few(limits: DataFrame, most: int = 100_000) -> bool:
