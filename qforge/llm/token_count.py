@@ -37,9 +37,9 @@ from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
 from qforge.llm.common import Scratch
 
-HOT = 1 << 18
+HOT = 1 << 20
 HOT_LENGTH = 64
-FLUSH = 1 << 18            # distinct pre-tokens held by a task before it hands them on
+FLUSH = 1 << 19            # distinct pre-tokens held by a task before it hands them on
 
 
 def word_class() -> str:
