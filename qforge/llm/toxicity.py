@@ -4,7 +4,8 @@ A linear numpy model is trained on confirmed toxic texts (P) and unlabelled
 texts (U) with the risk ``prior * R_P(+) + max(0, R_U(-) - prior * R_P(-))``:
 unlabelled texts stand for clean ones, and what toxic texts among them add is
 taken off by the class prior; where that correction turns negative the step
-goes the other way (non-negative estimator).  No text is ever used as a
+goes the other way (non-negative estimator).  The offset is set by the same
+risk under the zero-one loss.  No text is ever used as a
 confirmed negative; labels other than the positive ones enter only through
 the prior, their toxic share.
 
@@ -36,7 +37,7 @@ DIM_BITS = 20
 MAX_POSITIVE = 4000
 MAX_UNLABELLED = 8000
 STEMS = (4, 5, 6)           # lengths of the word beginnings that are features
-SCREENED = 2048             # places that the model uses
+SCREENED = 512              # places that the model uses
 PIECE = 1 << 22             # bytes of one text that are hashed at a time
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -114,7 +115,7 @@ def screen(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int =
 class NnPu:
     """Linear model trained with the non-negative PU risk (logistic loss, Adam)."""
 
-    def __init__(self, prior: float, steps: int = 2000, batch: int = 512, rate: float = 0.02, decay: float = 1e-4, seed: int = 7):
+    def __init__(self, prior: float, steps: int = 2000, batch: int = 512, rate: float = 0.01, decay: float = 3e-3, seed: int = 7):
         self.prior, self.steps, self.batch, self.rate, self.decay, self.seed = prior, steps, batch, rate, decay, seed
 
     def fit(self, positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> Model:
@@ -137,20 +138,36 @@ class NnPu:
         for t in range(1, self.steps + 1):
             xp = p[rng.integers(0, len(p), self.batch)]
             xu = u[rng.integers(0, len(u), self.batch)]
-            zp, zu = xp @ w, xu @ w
+            now = w.astype(np.float32)
+            zp, zu = (xp @ now).astype(float), (xu @ now).astype(float)
             sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
             negative = np.logaddexp(0, zu).mean() - self.prior * np.logaddexp(0, zp).mean()
             # slopes of the risks by z; below zero the correction is climbed instead
             up, down_p, down_u = self.prior * (sp - 1) / len(xp), -self.prior * sp / len(xp), su / len(xu)
             if negative >= 0:
-                grad = xp.T @ (up + down_p) + xu.T @ down_u
+                grad = ((up + down_p).astype(np.float32) @ xp + down_u.astype(np.float32) @ xu).astype(float)
             else:
-                grad = -(xp.T @ down_p) - xu.T @ down_u
+                grad = -(down_p.astype(np.float32) @ xp + down_u.astype(np.float32) @ xu).astype(float)
             grad[:dim] += self.decay * w[:dim]
             m += 0.1 * (grad - m)
             v += 0.001 * (grad * grad - v)
             w -= self.rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
-        return Model(places, w[:dim].astype(np.float32), float(w[dim]))
+        weights = w[:dim].astype(np.float32)
+        return Model(places, weights, -cut(p[:, :dim] @ weights, u[:, :dim] @ weights, self.prior))
+
+
+def cut(p: np.ndarray, u: np.ndarray, prior: float) -> float:
+    """The threshold of least non-negative PU risk under the zero-one loss; of
+    equal ones the middle of the widest gap."""
+    values = np.unique(np.concatenate([p, u]).astype(float))
+    if len(values) < 2:
+        return float(values[0]) + 1.0
+    middle, gap = (values[1:] + values[:-1]) / 2, np.diff(values)
+    found = 1 - np.searchsorted(np.sort(p), middle) / len(p)
+    flagged = 1 - np.searchsorted(np.sort(u), middle) / len(u)
+    risk = prior * (1 - found) + np.maximum(0, flagged - prior * found)
+    best = np.flatnonzero(risk <= risk.min() + 1e-12)
+    return float(middle[best[np.argmax(gap[best])]])
 
 
 def held_out(doc_id: Column) -> Column:
