@@ -45,7 +45,7 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     """Connected components by alternating large-star and small-star rounds.
 
     ``edges(a LONG, b LONG)`` gives ``node, root`` with root the least node of
-    the component; nodes without edges are absent.  Each half round is one
+    the component; roots and nodes without edges are absent.  Each half round is one
     aggregation and one join of written tables, so a node with very many
     edges is pre-aggregated in the first and split by the skew join in the
     second.  Null ends and self loops are ignored; repeated edges are merged;
