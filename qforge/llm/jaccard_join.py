@@ -134,14 +134,17 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def eligible(sizes: np.ndarray, block: np.ndarray, cross: bool, hubs: list[np.ndarray], hub: int, num: int, den: int) -> np.ndarray:
-    """Pairs (upper triangle) of fitting sizes, of two blocks if ``cross``, whose least common hub is ``hub``."""
+def eligible(sizes: np.ndarray, block: np.ndarray, cross: bool, num: int, den: int) -> np.ndarray:
+    """Pairs (upper triangle) of fitting sizes, of two blocks if ``cross``."""
     ok = np.triu(den * np.minimum.outer(sizes, sizes) >= num * np.maximum.outer(sizes, sizes), 1)
-    if cross:
-        ok &= block[:, None] != block[None, :]
-    if ok.any() and any(len(h) and h[0] < hub for h in hubs):
-        ok &= common([h[h < hub] for h in hubs]) == 0
-    return ok
+    return ok & (block[:, None] != block[None, :]) if cross else ok
+
+
+def meet_here(hubs: list[np.ndarray], hub: int) -> np.ndarray:
+    """Pairs without a common hub below ``hub``."""
+    if not any(len(h) and h[0] < hub for h in hubs):
+        return np.ones((len(hubs), len(hubs)), bool)
+    return common([h[h < hub] for h in hubs]) == 0
 
 
 def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,18 +235,21 @@ def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     hubs = scratch.keep(post.groupBy("token").agg(F.min("cid").alias("hub"), F.max("cid").alias("hi"))
                         .where("hub != hi").select("token", "hub"), "hubs")
     mine = post.join(hubs.hint("merge"), "token").groupBy("cid", "n", "top") \
-        .agg(F.collect_set(F.struct("token", "level", "hub")).alias("t")) \
-        .select("cid", "n", "top", F.array_sort(F.transform("t", lambda x: F.struct(x["token"].alias("token"), x["level"].alias("level")))).alias("t"),
-                F.array_sort(F.array_distinct(F.transform("t", lambda x: x["hub"]))).alias("hubs"))
-    members = scratch.keep(mine.select("cid", "n", "top", F.col("t.token").alias("tokens"), F.col("t.level").alias("levels"), "hubs",
-                                       F.explode("hubs").alias("hub")), "members")
+        .agg(F.array_sort(F.collect_set(F.struct("token", "level", "hub"))).alias("t")) \
+        .select("cid", "n", "top", "t", F.array_sort(F.array_distinct(F.transform("t", lambda x: x["hub"]))).alias("hubs"))
+    mine = scratch.keep(mine, "mine")
+    # at level 1 one common shingle is enough, so only those of the hub go to its cluster
+    members = mine.select("cid", "n", "top", "t", F.explode("hubs").alias("hub")) \
+        .withColumn("t", F.when(F.col("top") > 1, F.col("t")).otherwise(F.filter("t", lambda x: x["hub"] == F.col("hub")))) \
+        .select("cid", "n", "top", F.col("t.token").alias("tokens"), F.col("t.level").alias("levels"), "hub")
+    members = scratch.keep(members, "members")
     scratch.drop("postings")
     load = members.groupBy("hub").agg(F.count("*").alias("m")).where("m > 64")
     load = scratch.keep(load.select("hub", F.ceil(F.sqrt("m") / 4).cast("int").alias("blocks")), "load")
     placed = members.join(load, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) \
         .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "n", "top", "tokens", "levels", "hubs")
+        .select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "n", "top", "tokens", "levels")
     keys = ("hub", "i", "j")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,13 +258,13 @@ def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100,
         for table in grouped(batches, keys, weight):
             table = table.combine_chunks()
             hub, i, j, block, n, top = (table.column(c).to_numpy() for c in ("hub", "i", "j", "block", "n", "top"))
-            token, level, own = (_lists(table.column(c)) for c in ("tokens", "levels", "hubs"))
+            token, level = (_lists(table.column(c)) for c in ("tokens", "levels"))
             keep = np.zeros(table.num_rows, bool)
             for a, b in spans(table, keys):
                 if b - a < 2:
                     continue
                 at = slice(a, b)
-                ok = eligible(n[at].astype(np.int64), block[at], i[a] != j[a], own[at], int(hub[a]), num, den)
+                ok = eligible(n[at].astype(np.int64), block[at], i[a] != j[a], num, den)
                 if not ok.any():
                     continue
                 need = np.minimum.outer(top[at], top[at])
@@ -266,11 +272,12 @@ def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100,
                     those = ok & (need == m)
                     those &= common([t[v <= m] for t, v in zip(token[at], level[at])]) >= m
                     keep[at] |= those.any(0) | those.any(1)
-            yield from table.filter(pa.array(keep)).select(["hub", "i", "j", "block", "cid", "n", "hubs"]).to_batches()
+            yield from table.filter(pa.array(keep)).select(["hub", "i", "j", "block", "cid", "n"]).to_batches()
 
     wanted = placed.repartition(*keys).sortWithinPartitions(*keys) \
-        .mapInArrow(candidates, "hub long, i int, j int, block int, cid long, n int, hubs array<long>")
+        .mapInArrow(candidates, "hub long, i int, j int, block int, cid long, n int")
     wanted = scratch.keep(wanted, "wanted")
+    scratch.drop("members")
 
     # ---- third pass: the whole sets of classes that have a candidate
     marked = sc.broadcast(_bitmap(wanted.select("cid").distinct()))
@@ -291,7 +298,7 @@ def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100,
 
     sets = docs.select("text").mapInArrow(fetch, "cid long, s binary, copies long").groupBy("cid") \
         .agg(F.first("s").alias("s"), F.sum("copies").alias("copies"))
-    whole = wanted.join(sets.hint("merge"), "cid").repartition(*keys).sortWithinPartitions(*keys) \
+    whole = wanted.join(sets.hint("merge"), "cid").join(mine.select("cid", "hubs").hint("merge"), "cid").repartition(*keys).sortWithinPartitions(*keys) \
         .select(*keys, "block", "cid", "n", "hubs", "s", "copies")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +311,9 @@ def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100,
             out = [[], [], []]
             for a, b in spans(table, keys):
                 size = n[a:b].astype(np.int64)
-                ok = eligible(size, block[a:b], i[a] != j[a], own[a:b], int(hub[a]), num, den)
+                ok = eligible(size, block[a:b], i[a] != j[a], num, den)
+                if ok.any():
+                    ok &= meet_here(own[a:b], int(hub[a]))
                 if not ok.any():
                     continue
                 both = common([np.frombuffer(packed[k].as_py(), np.uint64) for k in range(a, b)])
