@@ -20,7 +20,7 @@ integers.  Every task gives at most ``k`` rows a query and the last step
 keeps the ``k`` best.
 
 Defined cases: vectors that are null, empty or hold null or non-finite
-components, or components whose integer does not fit 27 bits, take no part;
+components, or components whose integer does not fit 26 bits, take no part;
 vectors of another length than the query's are no candidates of it; a null
 id is no query and comes last among ties; rows are told apart by position,
 so repeated rows are candidates of each other; fewer than ``k`` candidates
@@ -40,9 +40,9 @@ from qforge.llm.cells import deal, matrix, usable
 from qforge.llm.common import Scratch
 
 PAGE = 1024
-NODE = 32
-BLOCK = 512                # queries that search a page together
-LIMIT = 1 << 27
+NODE = 64
+BLOCK = 2048               # queries that search a page together
+LIMIT = 1 << 26
 SLACK = 1e-6               # for rounding in distances, which only ever prune
 LAST = np.iinfo(np.int64).max
 
@@ -72,58 +72,73 @@ class Page:
         self.own = [np.sqrt(((p[m] - c[k]) ** 2).sum(1)) for k, m in enumerate(self.members)]   # member to node
         self.radii = np.array([float(d.max()) if len(d) else 0.0 for d in self.own])
 
-    def search(self, q: np.ndarray, score, k: int, m: float, floor: float):
-        """Indices and scores of points that can be among the best k: all whose
-        score is at least ``floor`` and at least the k-th best found here.
-
-        ``score(indices)`` gives exact scores; ``q`` is the query's point."""
-        qq = float(q @ q)
-
-        def reach(least: float) -> float:
-            return float("inf") if least == -float("inf") else np.sqrt(max(qq + m - 2 * least, 0)) * (1 + SLACK) + SLACK
-        best_i, best_s, least = np.empty(0, np.int64), np.empty(0), floor
-        limit = reach(least)
-        to_page = float(np.sqrt(((q - self.centre) ** 2).sum()))
-        if to_page - self.radius > limit:
-            return best_i, best_s
+    def search(self, q: np.ndarray, scores, k: int, m: float, floor: np.ndarray, none):
+        """Best-first search of a block of queries, the rows of ``q``.
+
+        ``scores(members, queries)`` gives exact scores, ``none`` where a pair
+        is no candidate; ``floor`` is a score each query's results must reach.
+        Returns (query, member, score) of all pairs that can be among the best
+        k, and each query's k best scores found."""
+        n = len(q)
+        qq, every = (q * q).sum(1), np.arange(n)
+        best = np.full((n, k), none)
+        least = floor.copy()
+        out = []
+
+        def reach(which):
+            low = least[which].astype(float)
+            far = np.sqrt(np.maximum(qq[which] + m - 2 * low, 0)) * (1 + SLACK) + SLACK
+            return np.where(least[which] <= none, np.inf, far)
+        limit = reach(every)
+        to_page = np.sqrt(((q - self.centre) ** 2).sum(1))
         # by stored distances: |d(q, page) - d(node, page)| - radius is a lower bound
-        open_ = np.flatnonzero(np.abs(to_page - self.parent) - self.radii <= limit)
-        to_node = np.sqrt(((self.centres[open_] - q) ** 2).sum(1))
-        bound = to_node - self.radii[open_]
-        for at in np.argsort(bound, kind="stable"):
-            if bound[at] > limit:
+        open_ = (np.abs(to_page[:, None] - self.parent) - self.radii <= limit[:, None]) & (to_page - self.radius <= limit)[:, None]
+        to_node = np.full(open_.shape, np.inf)
+        for node in np.flatnonzero(open_.any(0)):
+            to_node[open_[:, node], node] = np.sqrt(((q[open_[:, node]] - self.centres[node]) ** 2).sum(1))
+        bound = to_node - self.radii
+        order = np.argsort(bound, axis=1, kind="stable")
+        for step in range(bound.shape[1]):
+            node_of = order[:, step]
+            going = np.flatnonzero(bound[every, node_of] <= limit)
+            if not len(going):
                 break
-            node = open_[at]
-            rows = self.members[node][np.abs(to_node[at] - self.own[node]) <= limit]
-            if not len(rows):
-                continue
-            s = score(rows)
-            good = s >= least
-            best_i, best_s = np.concatenate([best_i, rows[good]]), np.concatenate([best_s, s[good]])
-            if len(best_s) >= k:
-                least = max(floor, float(np.partition(best_s, len(best_s) - k)[len(best_s) - k]))
-                good = best_s >= least
-                best_i, best_s = best_i[good], best_s[good]
-                limit = reach(least)
-        return best_i, best_s
-
-
-def _exact(x: np.ndarray):
-    """Score function of one query's integers over rows of x, exact."""
-    top = np.abs(x).max() if x.size else 0.0
-    whole = x.astype(np.int64)
-
-    def of(q: np.ndarray):
-        if top * max(float(np.abs(q).max()), 1.0) * x.shape[1] < 2.0 ** 52:
-            return lambda rows: x[rows] @ q
-        qi = q.astype(np.int64)
-        return lambda rows: np.array([int(sum(int(a) * int(b) for a, b in zip(whole[r], qi))) for r in rows], object)
-    return of
-
-
-def _ranked(i: np.ndarray, s: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int):
-    order = sorted(range(len(i)), key=lambda t: (-s[t], ids[i[t]], rows[i[t]]))[:k]
-    return i[order], s[order]
+            for node in np.unique(node_of[going]):
+                who = going[node_of[going] == node]
+                near = np.abs(to_node[who, node][:, None] - self.own[node]) <= limit[who][:, None]
+                some = near.any(0)
+                if not some.any():
+                    continue
+                rows = self.members[node][some]
+                s = scores(rows, who)
+                s[~near[:, some]] = none
+                good = s >= np.maximum(least[who], none + 1)[:, None]
+                x, y = np.nonzero(good)
+                out.append((who[x], rows[y], s[x, y]))
+                both = np.concatenate([best[who], s], axis=1)
+                best[who] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k:]
+                least[who] = np.maximum(least[who], best[who].min(1))
+                limit[who] = reach(who)
+        if not out:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, best.dtype), best
+        a, b, s = (np.concatenate(c) for c in zip(*out))
+        stay = s >= least[a]
+        return a[stay], b[stay], s[stay], best
+
+
+def exact(x: np.ndarray, q: np.ndarray, x_rows: np.ndarray, q_rows: np.ndarray):
+    """Exact scores between rows of x and of q (integers held as doubles), and
+    the value for a row with itself."""
+    top = max(np.abs(x).max(), 1.0) * max(np.abs(q).max(), 1.0) if len(q) else 0.0
+    kind = np.float64 if top * x.shape[1] < 2.0 ** 52 else np.int64
+    none = kind(-2 ** 62)
+    xs, qs = x.astype(kind), q.astype(kind)
+
+    def scores(members: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        s = qs[queries] @ xs[members].T
+        s[q_rows[queries][:, None] == x_rows[members][None, :]] = none
+        return s
+    return scores, none
 
 
 def top_k(df: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -150,14 +165,15 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col:
     def at_home(pdf: pd.DataFrame) -> pd.DataFrame:
         """Of the page's own queries: the k-th best score in the page; and the page's outline."""
         x = matrix(pdf.p)
-        page, plain = Page(x), _exact(np.ascontiguousarray(x[:, :-1]))
+        page, rows = Page(x), pdf.row.to_numpy(np.int64)
         out = [(None, pdf.cell.iloc[0], None, page.centre.tobytes(), page.radius)]
-        for t in np.flatnonzero(pdf.asks.to_numpy()):
-            q = np.append(x[t, :-1], 0.0)
-            i, s = page.search(q, plain(x[t, :-1]), k + 1, most, -float("inf"))
-            s = s[i != t]
-            floor = float(np.partition(s, len(s) - k)[len(s) - k]) if len(s) >= k else None
-            out.append((int(pdf.row.iloc[t]), pdf.cell.iloc[0], floor, None, None))
+        asking = np.flatnonzero(pdf.asks.to_numpy())
+        if len(asking):
+            q = x[asking].copy()
+            q[:, -1] = 0
+            scores, none = exact(x[:, :-1], q[:, :-1], rows, rows[asking])
+            best = page.search(q, scores, k, most, np.full(len(q), none), none)[3].min(1)
+            out += [(int(rows[t]), pdf.cell.iloc[0], None if b <= none else float(b), None, None) for t, b in zip(asking, best)]
         return pd.DataFrame(out, columns=["row", "cell", "floor", "centre", "radius"]).astype({"row": "Int64", "floor": "Float64", "radius": "Float64"})
 
     home = scratch.keep(pages.groupBy("cell").applyInPandas(at_home, "row long, cell string, floor double, centre binary, radius double"), "home")
@@ -203,23 +219,21 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col:
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         q = pdf[pdf.q]
         own = pdf[~pdf.q]
-        out = {c: [] for c in ("query", "query_id", "row", "vec_id", "score")}
-        if len(q) and len(own):
-            x, page_rows = matrix(own.p), own.row.to_numpy(np.int64)
-            ids = own.vec_id.to_numpy(np.int64, na_value=LAST) if own.vec_id.dtype.name == "Int64" else \
-                np.array([LAST if pd.isna(v) else int(v) for v in own.vec_id], np.int64)
-            page, plain = Page(x), _exact(np.ascontiguousarray(x[:, :-1]))
-            for row, query_id, p, floor in zip(q.row, q.vec_id, q.p, q["floor"]):
-                point = np.frombuffer(bytes(p))
-                i, s = page.search(np.append(point[:-1], 0.0), plain(point[:-1]), k + 1, most, -float("inf") if pd.isna(floor) else float(floor))
-                other = page_rows[i] != row
-                i, s = _ranked(i[other], s[other], ids, page_rows, k)
-                out["query"] += [int(row)] * len(i)
-                out["query_id"] += [int(query_id)] * len(i)
-                out["row"] += page_rows[i].tolist()
-                out["vec_id"] += ids[i].tolist()
-                out["score"] += [int(v) for v in s]
-        return pd.DataFrame(out).astype("int64")
+        if not len(q) or not len(own):
+            return pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("query", "query_id", "row", "vec_id", "score")})
+        x, rows, asking = matrix(own.p), own.row.to_numpy(np.int64), matrix(q.p).copy()
+        asking[:, -1] = 0
+        ids = np.array([LAST if pd.isna(v) else int(v) for v in own.vec_id], np.int64)
+        query, query_id = q.row.to_numpy(np.int64), q.vec_id.to_numpy(np.int64)
+        scores, none = exact(x[:, :-1], asking[:, :-1], rows, query)
+        # a home score above 2^52 may have been rounded up
+        floor = np.array([none if pd.isna(f) else f - abs(f) * 2.0 ** -50 for f in q["floor"]]).astype(none.dtype)
+        a, b, s, _ = Page(x).search(asking, scores, k, most, floor, none)
+        order = np.lexsort((rows[b], ids[b], -s, a))
+        a, b, s = a[order], b[order], s[order]
+        place = np.arange(len(a)) - np.searchsorted(a, a)
+        a, b, s = a[place < k], b[place < k], s[place < k]
+        return pd.DataFrame({"query": query[a], "query_id": query_id[a], "row": rows[b], "vec_id": ids[b], "score": s.astype(np.int64)})
 
     hits = members.unionByName(seekers).groupBy("cell", "block") \
         .applyInPandas(search, "query long, query_id long, row long, vec_id long, score long")

@@ -194,15 +194,20 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
 def test_page_search_skips_by_stored_distances():
     rnd = np.random.default_rng(9)
     p = np.concatenate([rnd.normal(size=(200, 5)) + c for c in (0, 20, 40)])
-    page = m_tree.Page(p)
+    q = np.ones((1, 5))
+    m = float((p * p).sum(1).max())
+    lifted = np.column_stack([p, np.sqrt(m - (p * p).sum(1))])
+    page = m_tree.Page(lifted)
     seen = []
 
-    def score(rows):
-        seen.extend(rows.tolist())
-        return p[rows] @ np.ones(5)
-    page.search(p[0], score, 5, float((p * p).sum(1).max()), float("-inf"))
+    def scores(members, queries):
+        seen.extend(members.tolist())
+        return q[queries] @ p[members].T
+    none = np.float64(-2 ** 62)
+    a, b, s, best = page.search(np.column_stack([q, [0.0]]), scores, 5, m, np.full(1, none), none)
     assert len(seen) < 600
-    assert (np.sqrt(((p - page.centre) ** 2).sum(1)) <= page.radius + 1e-9).all()
+    assert sorted(best[0].tolist()) == sorted((p @ np.ones(5)).tolist())[-5:]
+    assert (np.sqrt(((lifted - page.centre) ** 2).sum(1)) <= page.radius + 1e-9).all()
 
 
 def test_deal_is_even(spark, monkeypatch):
