@@ -1,4 +1,4 @@
-"""Array functions: n-grams, skip-bigrams, ordered pairs, pad/truncate.
+"""Array functions: n-grams, multiset overlap, LCS, pad/truncate.
 
 Every ``sequence`` is guarded by a size check: ``sequence(1, 0)`` counts
 *down* in Spark, it does not return an empty array.
@@ -23,16 +23,6 @@ def ngrams(tokens, n: int) -> Column:
     return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
-def skip_bigrams(tokens) -> Column:
-    """M4: every ordered token pair ``i < j`` (unbounded skip distance)."""
-    t = _c(tokens)
-    pairs = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.size(t) - 1),
-        lambda i: F.transform(F.sequence(i + 1, F.size(t)),
-                              lambda j: F.concat_ws(" ", F.element_at(t, i), F.element_at(t, j)))))
-    return F.when(F.size(t) >= 2, pairs).otherwise(F.array().cast("array<string>"))
-
-
 def occurrence_tags(sorted_arr) -> Column:
     """Elements of an already *sorted* array suffixed by their occurrence
     number (``a, a, b`` -> ``a#1, a#2, b#1``), so multiset operations become
@@ -55,15 +45,6 @@ def pad_truncate(ids, n: int, pad: int = 0) -> Column:
     return F.slice(F.concat(_c(ids), F.array_repeat(F.lit(pad), n)), 1, n)
 
 
-def ordered_pairs(n) -> Column:
-    """Array of ``struct(i, j)`` for ``1 <= i < j <= n``."""
-    m = _c(n)
-    pairs = F.flatten(F.transform(
-        F.sequence(F.lit(1), m - 1),
-        lambda i: F.transform(F.sequence(i + 1, m), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    return F.when(m >= 2, pairs).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
-
-
 def lcs_bitparallel(pred_tokens, ref_tokens, idx=None, full=None) -> Column:
     """LCS length by the bit-parallel recurrence (Hyyro 2004), natively.
 

@@ -11,119 +11,77 @@ ids from 3 by descending frequency (ties by token); inputs 512 ids, labels
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from qforge.functions.arrays import pad_truncate
 from qforge.functions.text import word_tokens
 
 PAD, EOS, UNK = 0, 1, 2
 N_SPECIAL = 3
-MAX_BROADCAST_VOCAB = 4_000_000   # ~ a few hundred MB as a Python dict
 
 
-def build_vocab(df: DataFrame, cols, max_size: int = 32000) -> DataFrame:
-    """``token, tid, count``: the ``max_size - 3`` most frequent tokens, ties
-    by token.
+def build_vocab(df: DataFrame, cols, max_size: int | None = None) -> DataFrame:
+    """``token, tid, count``: all tokens by falling count, ties by token; with
+    ``max_size`` only the ``max_size - 3`` most frequent ones.
 
     Counting is a partial+final aggregation (hot tokens are combined map
-    side).  The rank needs no global sort: the histogram of counts (at most
-    K rows read back, K = ``max_size - 3``) gives, for every count value, the
-    number of tokens ranked above it; inside one count value the rank is the
-    token order, computed by ``row_number() <= K`` per count value, which is
-    cut to K rows per task before its shuffle (the tie bucket at the cut may
-    be large).  Offsets are broadcast (at most K rows)."""
-    k = max_size - N_SPECIAL
+    side); the rank is the dense index of one range-partitioned sort, so no
+    count value, token or list of counts has to fit one task or the driver."""
+    from qforge.operators.index import with_row_index
     toks = None
     for c in cols:
         t = df.select(F.explode(word_tokens(c)).alias("token"))
         toks = t if toks is None else toks.unionByName(t)
-    counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("count")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)   # deterministic: safe to recompute
-    hist = (counts.groupBy("count").agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.desc("count")).limit(k).collect())
-    offsets, above = [], 0
-    for row in hist:
-        offsets.append((row["count"], above))
-        above += row["n"]
-        if above >= k:
-            break
-    spark = df.sparkSession
-    off_df = spark.createDataFrame(offsets or [], "count bigint, _off bigint")
-    cut = offsets[-1][0] if offsets else 0
-    w = Window.partitionBy("count").orderBy("token")
-    ranked = (counts.where(F.col("count") >= cut)
-              .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-              .join(F.broadcast(off_df), "count")
-              .withColumn("_rank", F.col("_off") + F.col("_r") - 1)
-              .where(F.col("_rank") < k))
+    counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+    ranked = with_row_index(counts, [F.desc("count"), F.col("token")], "_rank")
+    if max_size is not None:
+        ranked = ranked.where(F.col("_rank") < max_size - N_SPECIAL)
     return ranked.select("token", (F.col("_rank") + N_SPECIAL).alias("tid"), "count")
 
 
-def _vocab_dict(vocab: DataFrame) -> dict:
-    """The vocabulary as a dict for broadcasting; the read itself is the size
-    check (at most ``MAX_BROADCAST_VOCAB + 1`` rows are fetched)."""
-    rows = vocab.select("token", "tid").limit(MAX_BROADCAST_VOCAB + 1).collect()
-    if len(rows) > MAX_BROADCAST_VOCAB:
-        raise ValueError("vocabulary too big to broadcast; use encode(..., strategy='join')")
-    return {r["token"]: int(r["tid"]) for r in rows}
-
-
-def _lookup_factory(bc):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def lookup(tokens: pd.Series) -> pd.Series:
-        vocab = bc.value
-        return pd.Series([[vocab.get(t, UNK) for t in ts] for ts in tokens])
-    return lookup
-
-
-def encode(df: DataFrame, key: str, col: str, vocab: DataFrame, max_len: int,
-           out_col: str = "input_ids", strategy: str = "broadcast") -> DataFrame:
-    """J7 + X18: ids of ``col`` truncated to ``max_len - 1`` tokens, ``</s>``
-    appended, padded with ``<pad>`` to ``max_len``; unknown tokens get
-    ``<unk>``.  Also ``attention_mask`` (1 for real ids).
-
-    ``broadcast`` (default): the vocabulary is bounded by its ``max_size``
-    (checked here), shipped once per executor as a dict, and each row's
-    truncated token array is looked up in an Arrow batch: no shuffle.
-    ``join``: explode, broadcast hash join, regroup by ``key`` (one shuffle of
-    at most ``max_len`` rows per key), for vocabularies too big to ship."""
-    toks = F.slice(word_tokens(col), 1, max_len - 1)
-    if strategy == "broadcast":
-        mapping = _vocab_dict(vocab)
-        bc = df.sparkSession.sparkContext.broadcast(mapping)
-        base = df.select(key, _lookup_factory(bc)(toks).alias("_ids"))
-        seq = F.concat(F.col("_ids"), F.array(F.lit(EOS)))
-    else:
-        t = df.select(key, F.posexplode(toks).alias("pos", "token"))
-        ids = (t.join(F.broadcast(vocab.select("token", "tid")), "token", "left")
-               .select(key, "pos", F.coalesce("tid", F.lit(UNK)).cast("int").alias("tid")))
-        grouped = ids.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "tid"))).alias("_s"))
-        base = df.select(key).join(grouped, key, "left")
-        seq = F.concat(F.coalesce(F.transform("_s", lambda x: x["tid"]), F.array().cast("array<int>")),
-                       F.array(F.lit(EOS)))
-    base = base.withColumn("_seq", seq)
-    return base.select(key, pad_truncate("_seq", max_len, PAD).alias(out_col),
-                       pad_truncate(F.transform("_seq", lambda x: F.lit(1)), max_len, 0).alias("attention_mask"))
+HEAVY_SHARE = 1 << 16
+
+
+def _padded(seq, max_len: int):
+    return (pad_truncate(seq, max_len, PAD), pad_truncate(F.transform(seq, lambda x: F.lit(1)), max_len, 0))
 
 
 def encode_columns(df: DataFrame, key: str, specs: dict, vocab: DataFrame) -> DataFrame:
-    """Several text columns encoded in one projection (broadcast vocabulary):
-    ``specs = {text_col: (max_len, out_col)}``; one pass, no join between
-    the encodings.  Masks are named ``<out_col>_mask``."""
-    mapping = _vocab_dict(vocab)
-    lookup = _lookup_factory(df.sparkSession.sparkContext.broadcast(mapping))
-    out = df.select(key, *[lookup(F.slice(word_tokens(c), 1, L - 1)).alias(f"_ids_{o}")
-                           for c, (L, o) in specs.items()])
-    cols = [key]
-    for c, (L, o) in specs.items():
-        out = out.withColumn(f"_seq_{o}", F.concat(F.col(f"_ids_{o}"), F.array(F.lit(EOS))))
-        cols += [pad_truncate(f"_seq_{o}", L, PAD).alias(o),
-                 pad_truncate(F.transform(f"_seq_{o}", lambda x: F.lit(1)), L, 0).alias(f"{o}_mask")]
-    return out.select(*cols)
+    """J7 + X18: ids of text columns, ``specs = {text_col: (max_len, out_col)}``:
+    the first ``max_len - 1`` tokens, ``</s>`` appended, padded with ``<pad>``
+    to ``max_len``; unknown tokens get ``<unk>``.  Masks are ``<out_col>_mask``.
+
+    The vocabulary is joined, never collected.  Tokens that make up at least
+    1 / HEAVY_SHARE of all occurrences are at most HEAVY_SHARE by construction:
+    they are broadcast; all others meet their ids in a shuffle join whose keys
+    are all rare.  Rows are put together again by ``key``, which must be
+    unique."""
+    cols = list(specs)
+    toks = F.array(*[F.struct(F.lit(i).alias("c"), F.slice(word_tokens(c), 1, specs[c][0] - 1).alias("t")) for i, c in enumerate(cols)])
+    items = df.select(key, F.inline(toks)).select(key, "c", F.posexplode("t").alias("pos", "token"))
+    total = vocab.agg(F.sum("count")).first()[0] or 0
+    heavy = F.broadcast(vocab.where(F.col("count") * HEAVY_SHARE >= total).select("token", F.col("tid").alias("_hot")))
+    rare = vocab.where(F.col("count") * HEAVY_SHARE < total).select("token", F.col("tid").alias("_rare"))
+    known = items.join(heavy, "token", "left")
+    found = known.where("_hot is not null").select(key, "c", "pos", F.col("_hot").alias("tid")) \
+        .unionByName(known.where("_hot is null").drop("_hot").join(rare, "token", "left")
+                     .select(key, "c", "pos", F.coalesce("_rare", F.lit(UNK)).alias("tid")))
+    grouped = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("c", "pos", F.col("tid").cast("int").alias("tid")))).alias("_s"))
+    out = df.select(key).join(grouped, key, "left")
+    shown = [key]
+    for i, c in enumerate(cols):
+        max_len, name = specs[c]
+        ids = F.transform(F.filter(F.coalesce("_s", F.array().cast("array<struct<c:int,pos:int,tid:int>>")), lambda x: x["c"] == i), lambda x: x["tid"])
+        out = out.withColumn(f"_seq_{name}", F.concat(ids, F.array(F.lit(EOS))))
+        padded, mask = _padded(f"_seq_{name}", max_len)
+        shown += [padded.alias(name), mask.alias(f"{name}_mask")]
+    return out.select(*shown)
+
+
+def encode(df: DataFrame, key: str, col: str, vocab: DataFrame, max_len: int, out_col: str = "input_ids") -> DataFrame:
+    """One text column: ``key, <out_col>, attention_mask``."""
+    return encode_columns(df, key, {col: (max_len, out_col)}, vocab).withColumnRenamed(f"{out_col}_mask", "attention_mask")
 
 
 def token_budget(df: DataFrame, cols_limits: dict) -> DataFrame:

@@ -7,8 +7,7 @@ answer).  The uncapped pairs (J2) are, by definition, every non-tied pair of
 a question: a self equi-join on ``qid`` with ``i < j``, quadratic in the
 answers of one question, as the reference's per-record enumeration is.  The
 capped pairs (T1, the pipeline's output) never enumerate a question's pairs:
-``capped_pairs`` cuts each (question, score) group to its k seeded-first
-answers before the shuffle and ranks only the pairs among those.
+``capped_pairs`` draws ranks and computes the pair of each.
 """
 
 from __future__ import annotations
@@ -27,62 +26,70 @@ def answers_from_records(records: DataFrame) -> DataFrame:
                 F.col("a.text").alias("text"), F.col("a.pm_score").alias("pm_score"))
 
 
-def pairs(answers: DataFrame, carry: str | None = None) -> DataFrame:
+def pairs(answers: DataFrame) -> DataFrame:
     """For answers ``i < j`` of a question with different scores, the
-    better text is ``response_j`` and the worse ``response_k``.  ``carry``
-    names a per-answer column kept as ``<carry>_i`` / ``<carry>_j``."""
-    ex_i = [F.col(carry).alias(f"{carry}_i")] if carry else []
-    ex_j = [F.col(carry).alias(f"{carry}_j")] if carry else []
+    better text is ``response_j`` and the worse ``response_k``."""
     x = answers.select("qid", F.col("pos").alias("pos_i"), F.col("text").alias("t_i"),
-                       F.col("pm_score").alias("s_i"), *ex_i)
+                       F.col("pm_score").alias("s_i"))
     y = answers.select("qid", F.col("pos").alias("pos_j"), F.col("text").alias("t_j"),
-                       F.col("pm_score").alias("s_j"), *ex_j)
+                       F.col("pm_score").alias("s_j"))
     j = x.join(y, "qid").where((F.col("pos_i") < F.col("pos_j")) & (F.col("s_i") != F.col("s_j")))
     i_better = F.col("s_i") > F.col("s_j")
-    extra = [f"{carry}_i", f"{carry}_j"] if carry else []
     return j.select(
-        "qid", "pos_i", "pos_j", *extra,
+        "qid", "pos_i", "pos_j",
         F.when(i_better, F.col("t_i")).otherwise(F.col("t_j")).alias("response_j"),
         F.when(i_better, F.col("t_j")).otherwise(F.col("t_i")).alias("response_k"),
         F.greatest("s_i", "s_j").cast("bigint").alias("score_j"),
         F.least("s_i", "s_j").cast("bigint").alias("score_k"))
 
 
-def cap_pairs(pair_df: DataFrame, max_pairs: int = 10, seed: int = 42) -> DataFrame:
-    """At most ``max_pairs`` pairs per question, chosen without
-    replacement by the seeded key ``md5(seed:qid:i:j)``.  ``rank <= k`` is
-    planned as a WindowGroupLimit (partial top-k before the shuffle)."""
-    w = Window.partitionBy("qid").orderBy(seeded_key(seed, "qid", "pos_i", "pos_j"))
-    return (pair_df.withColumn("pair_rank", F.row_number().over(w))
-            .where(F.col("pair_rank") <= max_pairs)
-            .withColumn("pair_rank", F.col("pair_rank").cast("bigint")))
-
-
 def capped_pairs(answers: DataFrame, max_pairs: int = 10, seed: int = 42) -> DataFrame:
-    """T1 without enumerating all pairs of a question.
-
-    Every answer gets a seeded key ``u = md5(seed:qid:pos)``; a non-tied pair
-    is ranked by ``(max(u_i, u_j), min(u_i, u_j))`` and the first
-    ``max_pairs`` are kept (each pair is equally likely to be chosen).
-
-    Exactness of the pre-filter: if answer b of a chosen pair (a, b) were
-    not among the ``max_pairs`` smallest-u answers of its own score group,
-    the k earlier answers b' of that group would each form a non-tied pair
-    (a, b') with a smaller key, so (a, b) could not be in the first k; the
-    same holds for a.  Hence only the top-k per (question, score) can take
-    part: that cut is a WindowGroupLimit applied before the shuffle, and the
-    self-join sees at most (#scores x k) answers per question, however many
-    answers a hot question has."""
-    a = answers.withColumn("_u", seeded_key(seed, "qid", "pos"))
-    w = Window.partitionBy("qid", "pm_score").orderBy("_u")
-    cand = a.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_pairs).drop("_r")
-    p = pairs(cand, carry="_u")
-    hi, lo = F.greatest("_u_i", "_u_j"), F.least("_u_i", "_u_j")
-    wr = Window.partitionBy("qid").orderBy(hi, lo)
-    return (p.withColumn("pair_rank", F.row_number().over(wr))
-            .where(F.col("pair_rank") <= max_pairs)
-            .withColumn("pair_rank", F.col("pair_rank").cast("bigint"))
-            .drop("_u_i", "_u_j"))
+    """``max_pairs`` non-tied pairs per question, drawn uniformly without
+    replacement, without enumerating a question's pairs.
+
+    The non-tied pairs of a question are ranked 0 .. N-1 by (better score,
+    better position, worse score, worse position); N comes from the score
+    histogram.  Up to ``100 * max_pairs`` pairs the ranks are ordered by
+    ``md5(seed:qid:rank)``; beyond, the draws are ``md5(seed:qid:t) mod N`` for
+    t = 0, 1, .. without repeats.  A drawn rank is turned into its two answers
+    by arithmetic: with the dense index over (qid, score, position), the
+    answers worse than a score group are the index range before it.  A
+    question with very many answers costs its share of one range sort of
+    (qid, score, position) and ``max_pairs`` rows; texts are fetched for the
+    drawn answers only."""
+    from qforge.operators.index import with_row_index
+    idx = with_row_index(answers.select("qid", "pm_score", "pos"), ["qid", "pm_score", "pos"], "_i")
+    hist = idx.groupBy("qid", "pm_score").agg(F.count(F.lit(1)).alias("g"), F.min("_i").alias("first"))
+    q = Window.partitionBy("qid")
+    hist = (hist.withColumn("start", F.min("first").over(q))
+            .withColumn("lower", F.col("first") - F.col("start"))
+            .withColumn("upto", F.sum(F.col("g") * F.col("lower")).over(q.orderBy("pm_score")))
+            .withColumn("n", F.sum(F.col("g") * F.col("lower")).over(q)))
+    ranks = hist.where("n > 0").groupBy("qid").agg(F.max("n").alias("n"))
+    keyed = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1),
+                        lambda r: F.struct(seeded_key(seed, "qid", r).alias("k"), r.alias("r")))
+    few = F.transform(F.array_sort(keyed), lambda x: x["r"])
+    many = F.array_distinct(F.transform(
+        F.sequence(F.lit(0), F.lit(10 * max_pairs - 1)),
+        lambda t: F.pmod(F.conv(F.substr(seeded_key(seed, "qid", t), F.lit(1), F.lit(13)), 16, 10).cast("bigint"), F.col("n"))))
+    drawn = ranks.select("qid", F.posexplode(F.slice(F.when(F.col("n") <= 100 * max_pairs, few).otherwise(many), 1, max_pairs))
+                         .alias("t", "r"))
+    size = F.col("g") * F.col("lower")
+    picked = (drawn.join(hist, "qid").where((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - size))
+              .withColumn("at", F.col("r") - (F.col("upto") - size))
+              .select("qid", (F.col("t") + 1).cast("bigint").alias("pair_rank"),
+                      (F.col("first") + F.floor(F.col("at") / F.greatest("lower", F.lit(1)))).alias("hi"),
+                      (F.col("start") + F.col("at") % F.greatest("lower", F.lit(1))).alias("lo")))
+
+    def end(side):
+        return idx.select(F.col("_i").alias(side), F.col("pos").alias(f"pos_{side}"))
+
+    def text(side, name):
+        return answers.select("qid", F.col("pos").alias(f"pos_{side}"), F.col("text").alias(name), F.col("pm_score").cast("bigint").alias(f"s_{side}"))
+    placed = picked.join(end("hi"), "hi").join(end("lo"), "lo")
+    return (placed.join(text("hi", "response_j"), ["qid", "pos_hi"]).join(text("lo", "response_k"), ["qid", "pos_lo"])
+            .select("qid", F.least("pos_hi", "pos_lo").alias("pos_i"), F.greatest("pos_hi", "pos_lo").alias("pos_j"),
+                    "response_j", "response_k", F.col("s_hi").alias("score_j"), F.col("s_lo").alias("score_k"), "pair_rank"))
 
 
 def best_worst(answers: DataFrame) -> DataFrame:
@@ -118,22 +125,10 @@ def pair_stats(answers: DataFrame, max_pairs: int = 10) -> DataFrame:
                        F.least(n_pairs, F.lit(max_pairs)).cast("bigint").alias("n_capped"))
 
 
-def pairs_from_records(records: DataFrame, max_pairs: int | None = 10, seed: int = 42,
-                       to_markdown: bool = False) -> DataFrame:
+def pairs_from_records(records: DataFrame, max_pairs: int | None = 10, seed: int = 42) -> DataFrame:
     """X19/Z2 end to end: nested records in, one row per (capped) pair out,
     every input column except ``answers`` kept.  Questions with no pair
-    disappear.  HTML to Markdown (X1), when asked, runs once per surviving
-    question and once per surviving answer, after the cap, never per pair."""
-    base = records.drop("answers")
+    disappear."""
     ans = answers_from_records(records)
-    if max_pairs is not None:
-        p = capped_pairs(ans, max_pairs, seed).drop("pair_rank")
-    else:
-        p = pairs(ans)
-    out = base.join(p, "qid")
-    if to_markdown:
-        from qforge.functions.markdown import html_to_markdown
-        out = (out.withColumn("question", html_to_markdown("question"))
-               .withColumn("response_j", html_to_markdown("response_j"))
-               .withColumn("response_k", html_to_markdown("response_k")))
-    return out
+    p = pairs(ans) if max_pairs is None else capped_pairs(ans, max_pairs, seed).drop("pair_rank")
+    return records.drop("answers").join(p, "qid")

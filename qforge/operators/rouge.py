@@ -3,7 +3,7 @@
 Scores are computed inside each (prediction, reference) row, so scoring
 needs no shuffle at all: the only exchange in an evaluation plan is the J1
 join that brings predictions and references together.  ROUGE-N and ROUGE-S
-use native array functions; ROUGE-L uses a native bit-parallel LCS for
+count in arrays or by pair counts; ROUGE-L uses a native bit-parallel LCS for
 predictions up to 62 tokens and an Arrow-batched Python DP above that;
 ROUGE-Lsum (sentence-level union LCS) is the one Python-only piece.
 
@@ -14,12 +14,13 @@ F = 2PR / (P + R), 0 when P + R = 0.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qforge.functions.arrays import clipped_overlap, lcs_bitparallel, ngrams, skip_bigrams
+from qforge.functions.arrays import clipped_overlap, lcs_bitparallel, ngrams
 from qforge.functions.text import metric_tokens
 
 BIT_LIMIT = 62
@@ -95,8 +96,36 @@ def rouge_n_exploded(t: DataFrame, keys, ns=(1, 2), ndigits=6) -> DataFrame:
     return res.select(*k, *out)
 
 
+def skip_counts(tokens, ids: dict) -> np.ndarray:
+    """``m[a, b]``: how often b comes anywhere after a, over the tokens in ``ids``."""
+    m = np.zeros((len(ids), len(ids)), np.int64)
+    after = np.zeros(len(ids), np.int64)
+    for t in reversed(tokens):
+        k = ids.get(t)
+        if k is not None:
+            m[k] += after
+            after[k] += 1
+    return m
+
+
+@F.pandas_udf(T.LongType())
+def _skip_overlap(pred: pd.Series, ref: pd.Series) -> pd.Series:
+    out = []
+    for p, r in zip(pred, ref):
+        ids = {t: k for k, t in enumerate(sorted(set(p) & set(r)))}
+        out.append(int(np.minimum(skip_counts(p, ids), skip_counts(r, ids)).sum()) if ids else 0)
+    return pd.Series(out, dtype="int64")
+
+
 def rouge_s_stage(t: DataFrame, prefix: str = "rougeS", ndigits=6) -> DataFrame:
-    return overlap_stage(t, prefix, skip_bigrams("pred_tokens"), skip_bigrams("ref_tokens"), ndigits)
+    """Clipped overlap of ordered token pairs from counts per pair of common
+    tokens: linear in the text times its distinct common tokens, no pair of
+    positions is ever built."""
+    def n_pairs(col):
+        return F.expr(f"cast(size({col}) as bigint) * (size({col}) - 1) div 2")
+    t = (t.withColumn(f"_{prefix}_o", _skip_overlap("pred_tokens", "ref_tokens"))
+          .withColumn(f"_{prefix}_np", n_pairs("pred_tokens")).withColumn(f"_{prefix}_nr", n_pairs("ref_tokens")))
+    return _prf_stage(t, prefix, ndigits)
 
 
 @F.pandas_udf(T.IntegerType())

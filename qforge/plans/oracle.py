@@ -5,15 +5,16 @@ outermost projection; every double is rounded to 6 digits on both sides.
 """
 
 QA_CTE = """qa AS (
-  SELECT doc_id AS id, source AS title, text AS context,
+  SELECT doc_id AS id, source AS title, d.text AS context,
     concat(CASE doc_id % 5 WHEN 0 THEN 'what' WHEN 1 THEN 'who' WHEN 2 THEN 'when'
                            WHEN 3 THEN 'where' ELSE 'how' END,
-           ' ', replace(substring(text, 1, 40), chr(10), ' '), '?') AS question,
-    CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(length(text) // 3 AS BIGINT) END AS s,
+           ' ', replace(ba.text, chr(10), ' '), ' ', replace(bb.text, chr(10), ' '), '?') AS question,
+    CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(length(d.text) // 3 AS BIGINT) END AS s,
     CASE WHEN doc_id % 7 = 0 THEN NULL ELSE
-      substring(text, CAST(length(text) // 3 AS BIGINT) + 1,
-                least(12, length(text) - length(text) // 3)) END AS answer
-  FROM documents)"""
+      regexp_extract(substring(d.text, CAST(length(d.text) // 3 AS BIGINT) + 1), '(?s)^.[^ \\t\\n\\x0B\\f\\r]*') END AS answer
+  FROM documents d
+  JOIN benchmark ba ON ba.item_id = d.doc_id % (SELECT count(*) FROM benchmark)
+  JOIN benchmark bb ON bb.item_id = (7 * d.doc_id + 3) % (SELECT count(*) FROM benchmark))"""
 
 HL = ("concat(substring(context, 1, s), ' {hl} ', substring(context, s + 1, length(answer)), "
       "' {hl} ', substring(context, s + length(answer) + 1))")
@@ -156,35 +157,57 @@ SQL["q15_overlap_anti"] = f"""
 WITH {SAMPLE_CTE}
 SELECT id, title FROM qa WHERE s IS NOT NULL AND id NOT IN (SELECT id FROM smp)"""
 
-PREF_CTE = """pa AS (
+PAIR_COLUMNS = """x.qid, x.pos AS pos_i, y.pos AS pos_j,
+    CASE WHEN x.pm_score > y.pm_score THEN x.text ELSE y.text END AS response_j,
+    CASE WHEN x.pm_score > y.pm_score THEN y.text ELSE x.text END AS response_k,
+    CAST(greatest(x.pm_score, y.pm_score) AS BIGINT) AS score_j,
+    CAST(least(x.pm_score, y.pm_score) AS BIGINT) AS score_k,
+    CASE WHEN x.pm_score > y.pm_score THEN x.pos ELSE y.pos END AS pos_hi,
+    CASE WHEN x.pm_score > y.pm_score THEN y.pos ELSE x.pos END AS pos_lo"""
+
+PREF_CTE = f"""pb AS (
   SELECT source AS qid, doc_id, text, length(text) % 5 AS pm_score,
          row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos
   FROM documents),
-pb AS (SELECT * FROM pa WHERE pos <= 8),
 pairs AS (
-  SELECT x.qid, x.pos AS pos_i, y.pos AS pos_j,
-    CASE WHEN x.pm_score > y.pm_score THEN x.text ELSE y.text END AS response_j,
-    CASE WHEN x.pm_score > y.pm_score THEN y.text ELSE x.text END AS response_k,
-    CAST(greatest(x.pm_score, y.pm_score) AS BIGINT) AS score_j,
-    CAST(least(x.pm_score, y.pm_score) AS BIGINT) AS score_k
+  SELECT {PAIR_COLUMNS}
   FROM pb x JOIN pb y ON x.qid = y.qid AND x.pos < y.pos AND x.pm_score <> y.pm_score)"""
 
-SQL["q16_pref_pairs"] = f"""
-WITH {PREF_CTE}
-SELECT * FROM pairs"""
+FORUM_CTE = f"""pb AS (SELECT conv_id AS qid, turn + 1 AS pos, text, length(text) % 5 AS pm_score FROM conversations),
+pairs AS (
+  SELECT {PAIR_COLUMNS}
+  FROM pb x JOIN pb y ON x.qid = y.qid AND x.pos < y.pos AND x.pm_score <> y.pm_score)"""
 
-CAPPED_CTE = f"""{PREF_CTE},
-pu AS (SELECT *, md5(concat('42:', qid, ':', CAST(pos_i AS VARCHAR))) AS ui,
-                 md5(concat('42:', qid, ':', CAST(pos_j AS VARCHAR))) AS uj FROM pairs),
+SQL["q16_pref_pairs"] = f"""
+WITH {FORUM_CTE}
+SELECT * EXCLUDE (pos_hi, pos_lo) FROM pairs"""
+
+DRAW_CTE = """ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score_j, pos_hi, score_k, pos_lo) - 1 AS r,
+         count(*) OVER (PARTITION BY qid) AS n FROM pairs),
+draws AS (
+  SELECT qid, ('0x' || substr(md5(concat('42:', CAST(qid AS VARCHAR), ':', CAST(t AS VARCHAR))), 1, 13))::BIGINT % n AS r, min(t) AS t
+  FROM (SELECT DISTINCT qid, n FROM ranked WHERE n > 1000), unnest(range(0, 100)) u(t) GROUP BY ALL),
 capped AS (
   SELECT qid, pos_i, pos_j, response_j, response_k, score_j, score_k,
-         row_number() OVER (PARTITION BY qid ORDER BY greatest(ui, uj), least(ui, uj)) AS pair_rank
-  FROM pu)"""
+         row_number() OVER (PARTITION BY qid ORDER BY md5(concat('42:', CAST(qid AS VARCHAR), ':', CAST(r AS VARCHAR)))) AS pair_rank
+  FROM ranked WHERE n <= 1000
+  UNION ALL
+  SELECT k.qid, pos_i, pos_j, response_j, response_k, score_j, score_k, row_number() OVER (PARTITION BY k.qid ORDER BY t) AS pair_rank
+  FROM ranked k JOIN draws d ON k.qid = d.qid AND k.r = d.r)"""
 
 SQL["q17_pref_pairs_capped"] = f"""
-WITH {CAPPED_CTE}
+WITH {PREF_CTE}, {DRAW_CTE}
 SELECT * FROM capped WHERE pair_rank <= 10"""
 
+SQL["q17b_pref_pipeline"] = f"""
+WITH {FORUM_CTE}, {DRAW_CTE},
+sp AS (SELECT qid, row_number() OVER (ORDER BY md5(concat('42:', CAST(qid AS VARCHAR))), qid) AS rn FROM (SELECT DISTINCT qid FROM pb))
+SELECT qid, concat('conversation ', CAST(qid AS VARCHAR)) AS question, CAST(NULL AS VARCHAR) AS date, 0 AS n_metadata,
+  CASE WHEN rn <= 30 THEN 'finetune' WHEN rn <= 60 THEN 'reward' WHEN rn <= 90 THEN 'rl' ELSE 'evaluation' END AS split,
+  pos_i, pos_j, response_j, response_k, score_j, score_k
+FROM capped JOIN sp USING (qid) WHERE pair_rank <= 10"""
+
 SQL["q18_best_worst"] = f"""
 WITH {PREF_CTE},
 b AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pm_score DESC, pos ASC) AS rb,
@@ -194,12 +217,11 @@ SELECT x.qid, x.pos AS best_pos, y.pos AS worst_pos, x.text AS response_j, y.tex
 FROM b x JOIN b y ON x.qid = y.qid AND x.rb = 1 AND y.rw = 1"""
 
 SQL["q19_pair_stats"] = f"""
-WITH {CAPPED_CTE},
+WITH {PREF_CTE},
 na AS (SELECT qid, count(*) AS n FROM pb GROUP BY qid),
-np AS (SELECT qid, count(*) AS n_pairs, count(*) FILTER (WHERE pair_rank <= 10) AS n_capped
-       FROM capped GROUP BY qid)
+np AS (SELECT qid, count(*) AS n_pairs FROM pairs GROUP BY qid)
 SELECT na.qid, na.n AS n_answers, na.n * na.n / 2.0 AS half_sq,
-       coalesce(np.n_pairs, 0) AS n_pairs, coalesce(np.n_capped, 0) AS n_capped
+       coalesce(np.n_pairs, 0) AS n_pairs, least(coalesce(np.n_pairs, 0), 10) AS n_capped
 FROM na LEFT JOIN np ON na.qid = np.qid"""
 
 SQL["q20_shard_plan"] = f"""
@@ -456,7 +478,7 @@ vt AS (SELECT unnest({WT.format(x='inputs')}) AS token FROM p
        UNION ALL SELECT unnest({WT.format(x='target')}) AS token FROM p),
 vc AS (SELECT token, count(*) AS count FROM vt GROUP BY token),
 vr AS (SELECT token, count, row_number() OVER (ORDER BY count DESC, token) AS rn FROM vc),
-v AS (SELECT token, rn + 2 AS tid, count FROM vr WHERE rn <= 31997)"""
+v AS (SELECT token, rn + 2 AS tid, count FROM vr)"""
 
 SQL["q39_vocab"] = f"""
 WITH {VOCAB_CTE}
@@ -612,7 +634,7 @@ SELECT *, rank() OVER (ORDER BY rouge1_f DESC) AS rank FROM a"""
 
 _PK = ("qid", "pos_i", "pos_j")
 SQL["q32b_rouge_long_answers"] = f"""
-WITH {PREF_CTE},
+WITH {FORUM_CTE},
 lt AS (SELECT qid, pos_i, pos_j, {TOK.format(x='response_k')} AS pt, {TOK.format(x='response_j')} AS rt FROM pairs),
 {overlap_ctes('l1', ngram_expr('pt', 1), ngram_expr('rt', 1), 'rouge1', True, _PK, 'lt')},
 {overlap_ctes('l2', ngram_expr('pt', 2), ngram_expr('rt', 2), 'rouge2', True, _PK, 'lt')}

@@ -21,7 +21,12 @@ def query(name):
 
 
 def _qa(spark, sf):
-    return FX.qa_from_documents(read_table(spark, sf, "documents"))
+    return FX.qa_from_documents(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+
+
+def _qa_ids(spark, sf):
+    """Answerable records without questions: their callers read ids and titles only."""
+    return _answerable(FX.qa_from_documents(read_table(spark, sf, "documents")))
 
 
 @query("q01_prompt_answer_aware")
@@ -80,7 +85,7 @@ def q08(spark, sf):
 @query("q09_position_slice")
 def q09(spark, sf):
     from qforge.operators.index import position_slice
-    qa = _answerable(_qa(spark, sf)).select("id", "title")
+    qa = _qa_ids(spark, sf).select("id", "title")
     return position_slice(qa, ["id"], 100, 600)
 
 
@@ -116,13 +121,13 @@ def q12(spark, sf):
 @query("q13_batches")
 def q13(spark, sf):
     from qforge.operators.index import batches, seeded_order
-    qa = P.rl_prompts(_qa(spark, sf)).select("id")
+    qa = _qa_ids(spark, sf).select("id")
     return batches(qa, seeded_order("id", 42), 16, seed_key="id", seed=42)
 
 
 def _fixed_sample_ids(spark, sf, k=100):
     from qforge.operators.index import seeded_sample
-    qa = _answerable(_qa(spark, sf)).select("id")
+    qa = _qa_ids(spark, sf).select("id")
     return seeded_sample(qa, "id", k, seed=42)
 
 
@@ -135,7 +140,7 @@ def q14(spark, sf):
 
 @query("q15_overlap_anti")
 def q15(spark, sf):
-    train = _answerable(_qa(spark, sf)).select("id", "title")
+    train = _qa_ids(spark, sf).select("id", "title")
     return train.join(F.broadcast(_fixed_sample_ids(spark, sf)), "id", "left_anti")
 
 
@@ -144,10 +149,14 @@ def _pref_answers(spark, sf):
     return FX.preference_answers(read_table(spark, sf, "documents"))
 
 
+def _forum_answers(spark, sf):
+    return FX.conversation_answers(read_table(spark, sf, "conversations"))
+
+
 @query("q16_pref_pairs")
 def q16(spark, sf):
     from qforge.operators.prefs import pairs
-    return pairs(_pref_answers(spark, sf))
+    return pairs(_forum_answers(spark, sf))
 
 
 @query("q17_pref_pairs_capped")
@@ -158,13 +167,17 @@ def q17(spark, sf):
 
 @query("q17b_pref_pipeline")
 def q17b(spark, sf):
-    """The forum pipeline end to end: nested records -> ordered pairs ->
-    seeded cap of 10 -> HTML to Markdown on question and both responses
-    (after the cap, once per surviving row); every input column except
+    """The forum pipeline end to end: nested records -> named splits of the
+    questions -> ordered pairs -> seeded cap of 10; every input column except
     ``answers`` is kept."""
+    from qforge.operators.index import named_splits, seeded_order
     from qforge.operators.prefs import pairs_from_records
-    rec = FX.preference_records(read_table(spark, sf, "documents"))
-    return pairs_from_records(rec, max_pairs=10, seed=42, to_markdown=True)
+    rec = FX.preference_records(read_table(spark, sf, "conversations"))
+    cuts = [("finetune", 30), ("reward", 30), ("rl", 30), ("evaluation", None)]
+    rec = named_splits(rec, seeded_order("qid", 42), cuts, seed_key="qid", seed=42).drop("row_idx")
+    out = pairs_from_records(rec, max_pairs=10, seed=42)
+    return out.select("qid", "question", "date", F.size("metadata").alias("n_metadata"), "split", "pos_i", "pos_j",
+                      "response_j", "response_k", "score_j", "score_k")
 
 
 @query("q18_best_worst")
@@ -182,9 +195,13 @@ def q19(spark, sf):
 @query("q20_shard_plan")
 def q20(spark, sf):
     from qforge.sources.sinks import shard_plan
-    planned = shard_plan(_doc_splits(spark, sf).select("split", "row_idx", "doc_id", "source", "text"),
-                         ["row_idx"], "split", shard_bytes=1 << 18,
-                         byte_cols=["doc_id", "source", "text"], position_col="row_idx")
+    from qforge.operators.index import named_splits, seeded_order
+    from qforge.sources.sinks import estimated_bytes
+    docs = read_table(spark, sf, "documents")
+    # bytes are taken in the scan: no text crosses the split's shuffle
+    sized = docs.select("doc_id", estimated_bytes(docs, ["doc_id", "source", "text"]).alias("_bytes"))
+    split = named_splits(sized, seeded_order("doc_id", 42), SPLIT_CUTS, seed_key="doc_id", seed=42)
+    planned = shard_plan(split, ["row_idx"], "split", shard_bytes=1 << 18, position_col="row_idx")
     return (planned.groupBy("split", "shard", "num_shards", "file_name")
             .agg(F.count(F.lit(1)).alias("n_rows"), F.min("row_idx").alias("first_row"),
                  F.max("row_idx").alias("last_row")))
@@ -307,7 +324,7 @@ def q32b(spark, sf):
     answer), by the exploded, linear-time method."""
     from qforge.operators.prefs import pairs
     from qforge.operators.rouge import rouge_scores
-    p = pairs(_pref_answers(spark, sf)).select(
+    p = pairs(_forum_answers(spark, sf)).select(
         "qid", "pos_i", "pos_j", F.col("response_k").alias("prediction"), F.col("response_j").alias("reference"))
     return rouge_scores(p, ["qid", "pos_i", "pos_j"], metrics=("rouge1", "rouge2"), method="exploded")
 
@@ -351,7 +368,7 @@ def q35(spark, sf):
 @query("q36_reward_by_batch")
 def q36(spark, sf):
     from qforge.operators.index import batches, seeded_order
-    b = batches(P.rl_prompts(_qa(spark, sf)).select("id"), seeded_order("id", 42), 16, seed_key="id", seed=42)
+    b = batches(_qa_ids(spark, sf).select("id"), seeded_order("id", 42), 16, seed_key="id", seed=42)
     r = _reward_rows(spark, sf, "code", ndigits=None)
     return (r.join(b, "id").groupBy("model", "batch_id")
             .agg(F.round(F.avg("reward"), 6).alias("mean_reward"), F.count(F.lit(1)).alias("n")))
@@ -372,8 +389,7 @@ def q37(spark, sf):
 @query("q38_html_markdown")
 def q38(spark, sf):
     from qforge.functions.markdown import html_to_markdown
-    from qforge.session import spread
-    pages = spread(read_table(spark, sf, "pages"))
+    pages = read_table(spark, sf, "pages")
     md = pages.select("page_id", "url", html_to_markdown("html").alias("markdown"))
     return md.select("page_id", "url", "markdown", F.length("markdown").cast("bigint").alias("md_chars"))
 
@@ -385,7 +401,7 @@ def _prompts(spark, sf):
 
 def _vocab(spark, sf):
     from qforge.operators.encode import build_vocab
-    return build_vocab(_prompts(spark, sf), ["inputs", "target"], 32000)
+    return build_vocab(_prompts(spark, sf), ["inputs", "target"])
 
 
 @query("q39_vocab")

@@ -54,32 +54,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a shared folder on the cluster")
 
 
-def spread(df, min_partitions: int | None = None):
-    """Round-robin a DataFrame whose scan yields fewer partitions than the
-    cluster has cores, before CPU-heavy per-row work.  On large inputs the
-    scan already has many splits and this is a no-op (no shuffle)."""
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    if scan_partitions(df) < want:
-        return df.repartition(want)
-    return df
-
-
-_SCAN_PARTS: dict = {}
-
-
-def scan_partitions(df) -> int:
-    """Partitions of a bare scan, remembered per (application, scan plan):
-    the count only steers ``spread`` (never results), and planning a table's
-    splits again for every read of it in one query costs a round trip.  The
-    key is the plan's semantic hash, so no file list is held on the driver."""
-    sc = df.sparkSession.sparkContext
-    key = (sc.applicationId, df.semanticHash())
-    if key not in _SCAN_PARTS:
-        _SCAN_PARTS[key] = df.rdd.getNumPartitions()
-    return _SCAN_PARTS[key]
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory (never a
     machine-local temp folder on a cluster)."""

@@ -4,12 +4,16 @@ top-k per group, so the derived tables grow with the inputs.
 
 FIXED VALUES of the derivation (shared with the DuckDB oracle):
   question word by doc_id % 5: 0 what, 1 who, 2 when, 3 where, 4 how
-  question text: word + " " + first 40 characters of the text with
-                 newlines as spaces + "?"
+  question text: word + " " + benchmark item doc_id % n + " " + benchmark item
+                 (7 * doc_id + 3) % n + "?", whole texts with newlines as spaces,
+                 n the number of items (ids 0 .. n - 1)
   unanswerable: doc_id % 7 = 0
-  answer_start = length(text) div 3; answer length = least(12, rest)
-  preferences: question = source, answers = first 8 documents of the
-               source by doc_id, pm_score = length(text) % 5
+  answer_start = n_chars div 3; answer = the character there and the rest of
+                 its run of characters that are not white space
+  preferences: question = source, answers = its documents by doc_id,
+               pm_score = n_chars % 5
+  forum records: question = conversation, answers = its turns in order,
+               pm_score = length(text) % 5
   stub models: echo = "question> " + q + " question>",
                drop_first = q without its first word,
                leak = q + " " + answer, empty = ""
@@ -17,57 +21,76 @@ FIXED VALUES of the derivation (shared with the DuckDB oracle):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 QUESTION_WORDS = ("what", "who", "when", "where", "how")
 MODELS = ("echo", "drop_first", "leak", "empty")
-MAX_ANSWERS = 8
 
 
-def qa_from_documents(documents: DataFrame) -> DataFrame:
-    """QA records ``id, title, context, question, answers{text, answer_start}``."""
-    d = documents.select("doc_id", "source", "text")
-    n = F.length("text")
-    start = F.floor(n / 3).cast("int")
-    ans = F.substr(F.col("text"), start + 1, F.least(F.lit(12), n - start))
+def _start():
+    return F.floor(F.col("n_chars") / 3).cast("int")
+
+
+def _answerable():
+    return F.pmod(F.col("doc_id"), F.lit(7)) != 0
+
+
+def qa_from_documents(documents: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
+    """QA records ``id, title, context, question, answers{text, answer_start}``.
+
+    Every field of ``answers`` has its own condition, so a caller that needs
+    ids or starts reads no text.  Without ``benchmark`` there is no
+    ``question``."""
+    start = _start()
+    ans = F.regexp_extract(F.substr(F.col("text"), start + 1), r"(?s)^.[^ \t\n\x0B\f\r]*", 0)
+    answers = F.struct(
+        F.when(_answerable(), F.array(ans)).otherwise(F.array().cast("array<string>")).alias("text"),
+        F.when(_answerable(), F.array(start)).otherwise(F.array().cast("array<int>")).alias("answer_start"))
+    plain = [F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("context")]
+    if benchmark is None:
+        return documents.select(*plain, answers.alias("answers"))
+    n = max(1, benchmark.count())
     word = F.element_at(F.array(*[F.lit(w) for w in QUESTION_WORDS]),
                         (F.pmod(F.col("doc_id"), F.lit(5)) + 1).cast("int"))
-    question = F.concat(word, F.lit(" "),
-                        F.replace(F.substr(F.col("text"), F.lit(1), F.lit(40)), F.lit("\n"), F.lit(" ")),
-                        F.lit("?"))
-    unans = F.pmod(F.col("doc_id"), F.lit(7)) == 0
-    answers = F.when(unans, F.struct(F.array().cast("array<string>").alias("text"),
-                                     F.array().cast("array<int>").alias("answer_start"))) \
-        .otherwise(F.struct(F.array(ans).alias("text"), F.array(start).alias("answer_start")))
-    return d.select(F.col("doc_id").alias("id"), F.col("source").alias("title"),
-                    F.col("text").alias("context"), question.alias("question"),
-                    answers.alias("answers"))
-
-
-def preference_answers(documents: DataFrame, max_answers: int = MAX_ANSWERS) -> DataFrame:
-    """Flat preference answers ``qid, pos, doc_id, text, pm_score``.
-
-    ``row_number() <= k`` per source is planned as a WindowGroupLimit that
-    keeps only k rows per source *before* the shuffle, so a source holding a
-    third of all rows costs one task k rows, not a third of the table."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return (documents.select("source", "doc_id", "text")
-            .withColumn("pos", F.row_number().over(w))
-            .where(F.col("pos") <= max_answers)
-            .select(F.col("source").alias("qid"), F.col("pos").cast("bigint").alias("pos"),
-                    "doc_id", "text",
-                    F.pmod(F.length("text"), F.lit(5)).cast("int").alias("pm_score")))
-
-
-def preference_records(documents: DataFrame, max_answers: int = MAX_ANSWERS) -> DataFrame:
-    """Nested preference records ``qid, question, date, metadata, answers``
-    in the shape of the reference's corpus (answers kept in position order).
-    The grouping reuses the window's hash partitioning on ``qid``."""
-    a = preference_answers(documents, max_answers)
-    return (a.groupBy("qid")
+
+    def item(name):
+        return benchmark.select(F.col("item_id").alias(f"_{name}"), F.replace("text", F.lit("\n"), F.lit(" ")).alias(f"_t{name}"))
+    question = F.concat(word, F.lit(" "), F.col("_ta"), F.lit(" "), F.col("_tb"), F.lit("?"))
+    return (documents.join(item("a"), F.col("_a") == F.pmod(F.col("doc_id"), F.lit(n)))
+            .join(item("b"), F.col("_b") == F.pmod(F.col("doc_id") * 7 + 3, F.lit(n)))
+            .select(*plain, question.alias("question"), answers.alias("answers")))
+
+
+def preference_answers(documents: DataFrame) -> DataFrame:
+    """Flat preference answers ``qid, pos, doc_id, text, pm_score``: all
+    documents of a source by doc_id.
+
+    Positions are a dense index within the source, built from the index over
+    (source, doc_id) and each source's first position, so a source that holds a
+    third of all rows is no single task's work; texts stay out of it."""
+    from qforge.operators.index import with_row_index
+    keys = documents.select("source", "doc_id")
+    idx = with_row_index(keys, ["source", "doc_id"], "_i")
+    first = idx.groupBy(F.col("source").alias("_s")).agg(F.min("_i").alias("_first"))
+    pos = idx.join(first, F.col("source").eqNullSafe(F.col("_s"))) \
+        .select(F.col("source").alias("qid"), "doc_id", (F.col("_i") - F.col("_first") + 1).cast("bigint").alias("pos"))
+    facts = documents.select("doc_id", "text", F.pmod("n_chars", F.lit(5)).cast("int").alias("pm_score"))
+    return pos.join(facts, "doc_id").select("qid", "pos", "doc_id", "text", "pm_score")
+
+
+def conversation_answers(conversations: DataFrame) -> DataFrame:
+    """Flat forum answers ``qid, pos, text, pm_score``: the turns of a conversation."""
+    return conversations.select(F.col("conv_id").alias("qid"), (F.col("turn") + 1).cast("bigint").alias("pos"), "text",
+                                F.pmod(F.length("text"), F.lit(5)).cast("int").alias("pm_score"))
+
+
+def preference_records(conversations: DataFrame) -> DataFrame:
+    """Nested forum records ``qid, question, date, metadata, answers`` in the
+    shape of the reference's corpus (answers kept in position order)."""
+    return (conversation_answers(conversations).groupBy("qid")
             .agg(F.sort_array(F.collect_list(F.struct("pos", "text", "pm_score"))).alias("a"))
-            .select("qid", F.col("qid").alias("question"), F.lit(None).cast("string").alias("date"),
+            .select("qid", F.concat(F.lit("conversation "), F.col("qid")).alias("question"), F.lit(None).cast("string").alias("date"),
                     F.array().cast("array<string>").alias("metadata"),
                     F.transform("a", lambda x: F.struct(x["text"].alias("text"),
                                                         x["pm_score"].alias("pm_score"))).alias("answers")))

@@ -38,9 +38,10 @@ def shard_plan(df: DataFrame, order, split_col: str = "split", shard_bytes: int
     ``position_col`` when the rows already carry a dense position whose
     splits are contiguous ranges (named splits are): position minus the
     split's first position, no sort.  Otherwise one dense index over
-    (split, order) is built."""
+    (split, order) is built.  A column ``_bytes`` of ``df`` is taken as the
+    rows' sizes."""
     byte_cols = byte_cols or [c for c in df.columns if c not in (split_col, position_col)]
-    sized = df.withColumn("_bytes", estimated_bytes(df, byte_cols))
+    sized = df if "_bytes" in df.columns else df.withColumn("_bytes", estimated_bytes(df, byte_cols))
     aggs = [F.count(F.lit(1)).alias("n"), F.sum("_bytes").alias("b")]
     if position_col:
         aggs.append(F.min(position_col).alias("first"))

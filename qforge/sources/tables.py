@@ -13,20 +13,14 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread_small: bool = True) -> DataFrame:
-    """One Parquet table of the driver data.
-
-    A table stored as one row group scans as one partition; CPU-heavy text
-    work on it would then run in a single task.  Such a scan is spread
-    round-robin over the cluster's cores (checked on the bare scan, which
-    costs no job).  Large inputs already have many splits: no shuffle."""
-    from qforge.session import spread
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if spread_small else df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One Parquet table of the driver data."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def read_qa(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """QA records in Parquet with a declared schema; optional split."""
+    from pyspark.sql import types as T
     from qforge.schemas import QA
-    df = spark.read.schema(QA.add("split", "string")).parquet(path)
+    df = spark.read.schema(T.StructType([*QA.fields, T.StructField("split", T.StringType())])).parquet(path)
     return df if split is None else df.where(df.split == split)

@@ -10,26 +10,34 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_hot_group_topk_is_cut_before_shuffle(spark):
+def test_positions_of_a_hot_source_use_no_window(spark):
     # one source holds a third of all rows
     rows = [(i, f"text {i}", "hot" if i % 3 == 0 else f"s{i % 50}", 6) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint")
-    ans = FX.preference_answers(docs, 8)
-    plan = _plan(ans)
-    partial = plan.find("WindowGroupLimit")
-    assert "Partial" in plan and partial >= 0
-    # the partial limit sits below (after, in the printed tree) the exchange
-    assert plan.find("Exchange hashpartitioning(source") < plan.rfind("WindowGroupLimit")
+    ans = FX.preference_answers(docs)
+    assert "Window" not in _plan(ans)
+    assert ans.count() == 3000
     hot = ans.where(F.col("qid") == "hot").orderBy("pos").collect()
-    assert [r["doc_id"] for r in hot] == [0, 3, 6, 9, 12, 15, 18, 21]
+    assert [r["pos"] for r in hot] == list(range(1, 1001))
+    assert [r["doc_id"] for r in hot] == list(range(0, 3000, 3))
 
 
-def test_scores_have_no_shuffle_after_alignment(spark):
+def test_id_queries_read_no_text(spark):
+    import __spark_entry__ as E
+    from tests.conftest import SF001
+    plan = _plan(E.queries()["q15_overlap_anti"](spark, SF001))
+    for scan in (x for x in plan.split("\n") if "FileScan" in x):
+        assert "text" not in scan.split("ReadSchema")[1]
+
+
+def test_rows_are_scored_where_the_alignment_left_them(spark):
     import __spark_entry__ as E
     from tests.conftest import SF001
     plan = _plan(E.queries()["q25_rouge1"](spark, SF001))
-    # the only exchanges are the input spread and the J1 join inputs
-    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+    assert "EvalPython" not in plan
+    # what is exchanged are inputs of joins, never scored rows
+    head = plan.split("Join")[0]
+    assert "Exchange" not in head
 
 
 def test_vector_table_broadcast_is_size_checked(spark):

@@ -9,7 +9,7 @@ def test_stream_restart_is_incremental(spark, tmp_path):
     from qforge.sources.tables import read_table
     from qforge.streaming.scores import running_model_means
     from tests.conftest import SF001
-    qa = FX.qa_from_documents(read_table(spark, SF001, "documents"))
+    qa = FX.qa_from_documents(read_table(spark, SF001, "documents"), read_table(spark, SF001, "benchmark"))
     preds = FX.stub_predictions(qa)
     refs = P.qa_prompts(qa).select("id", "target")
     src, ckpt, out = str(tmp_path / "in"), str(tmp_path / "ckpt"), str(tmp_path / "out")
