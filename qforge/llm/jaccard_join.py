@@ -9,8 +9,10 @@ shingles are ordered by it, rare ones first.  A class of ``n`` shingles has as
 its prefix of level ``l`` its first ``n - ceil(num n / den) + l`` shingles, and two
 linked classes share at least ``l`` shingles of both prefixes.  Each class
 picks the level of least cost, where the cost counts the postings of its
-prefix and one verification per ``l`` of them: texts made of frequent
-passages get longer prefixes and need more common shingles.  A pair is
+prefix (what the histogram shows above its noise, and a constant share for
+chance) and one verification per ``l`` of them, dearer for longer texts: long
+texts and texts made of frequent passages get longer prefixes and need more
+common shingles.  A pair is
 verified when it shares, up to the lesser level ``l`` of the two, at least
 ``l`` of them.
 
@@ -49,6 +51,7 @@ from qforge.llm.shingles import class_id, shingle_set, texts_of
 BUCKETS = 20                # log2 of the histogram's buckets: 4 MB as a broadcast
 CHUNK = 4096                # buckets per row of the histogram's table
 LEVELS = 8
+COLLISIONS = 0.2            # postings that any shingle is expected to share by chance
 VERIFY = 1 / 8              # cost of verifying a class per shingle, in postings
 BLOOM = 27                  # log2 of the bits that mark the classes to fetch
 FLUSH = 300_000             # shingles of whole groups that a task holds at a time
@@ -218,7 +221,7 @@ def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100,
                 seen.add(cid)
                 first = n - -(-num * n // den) + 1
                 order = prefix_order(s, freq)[:first + LEVELS - 1]
-                cost = np.maximum(freq[(s[order] >> np.uint64(64 - BUCKETS)).astype(np.int64)] - noise, 0)
+                cost = COLLISIONS + np.maximum(freq[(s[order] >> np.uint64(64 - BUCKETS)).astype(np.int64)] - noise, 0)
                 top = choose_level(n, cost, first)
                 token.append(s[order[:first + top - 1]])
                 info.append((cid, n, top, first))
