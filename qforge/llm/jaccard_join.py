@@ -23,7 +23,8 @@ pairs of blocks are tasks, so a hot passage is spread and a task is small.
 Inside, matches are counted by array products.  Only
 classes with a candidate go on; their whole sets are fetched and the exact
 overlap of each candidate pair is counted in the same way.  A pair that
-meets in several clusters counts in the one of their least common hub.
+meets in several clusters counts in that of the least hub of their common
+shingles.
 Tasks give link counts per class and edges to the least member of each
 component, never all pairs.
 
@@ -143,11 +144,11 @@ def eligible(sizes: np.ndarray, block: np.ndarray, cross: bool, num: int, den: i
     return ok & (block[:, None] != block[None, :]) if cross else ok
 
 
-def meet_here(hubs: list[np.ndarray], hub: int) -> np.ndarray:
-    """Pairs without a common hub below ``hub``."""
-    if not any(len(h) and h[0] < hub for h in hubs):
-        return np.ones((len(hubs), len(hubs)), bool)
-    return common([h[h < hub] for h in hubs]) == 0
+def meet_here(lower: list[np.ndarray]) -> np.ndarray:
+    """Pairs without a common shingle in ``lower``, those of lesser hubs."""
+    if not any(map(len, lower)):
+        return np.ones((len(lower), len(lower)), bool)
+    return common(lower) == 0
 
 
 def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,12 +240,13 @@ def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100,
                         .where("hub != hi").select("token", "hub"), "hubs")
     mine = post.join(hubs.hint("merge"), "token").groupBy("cid", "n", "top") \
         .agg(F.array_sort(F.collect_set(F.struct("token", "level", "hub"))).alias("t")) \
-        .select("cid", "n", "top", "t", F.array_sort(F.array_distinct(F.transform("t", lambda x: x["hub"]))).alias("hubs"))
+        .select("cid", "n", "top", "t", F.array_distinct(F.transform("t", lambda x: x["hub"])).alias("hubs"))
     mine = scratch.keep(mine, "mine")
     # at level 1 one common shingle is enough, so only those of the hub go to its cluster
     members = mine.select("cid", "n", "top", "t", F.explode("hubs").alias("hub")) \
         .withColumn("t", F.when(F.col("top") > 1, F.col("t")).otherwise(F.filter("t", lambda x: x["hub"] == F.col("hub")))) \
-        .select("cid", "n", "top", F.col("t.token").alias("tokens"), F.col("t.level").alias("levels"), "hub")
+        .select("cid", "n", "top", F.col("t.token").alias("tokens"), F.col("t.level").alias("levels"),
+                F.transform("t", lambda x: (x["hub"] < F.col("hub")).cast("byte")).alias("lower"), "hub")
     members = scratch.keep(members, "members")
     scratch.drop("postings")
     load = members.groupBy("hub").agg(F.count("*").alias("m")).where("m > 64")
@@ -252,7 +254,7 @@ def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     placed = members.join(load, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) \
         .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "n", "top", "tokens", "levels")
+        .select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "n", "top", "tokens", "levels", "lower")
     keys = ("hub", "i", "j")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +263,7 @@ def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100,
         for table in grouped(batches, keys, weight):
             table = table.combine_chunks()
             hub, i, j, block, n, top = (table.column(c).to_numpy() for c in ("hub", "i", "j", "block", "n", "top"))
-            token, level = (_lists(table.column(c)) for c in ("tokens", "levels"))
+            token, level, lower = (_lists(table.column(c)) for c in ("tokens", "levels", "lower"))
             keep = np.zeros(table.num_rows, bool)
             for a, b in spans(table, keys):
                 if b - a < 2:
@@ -270,6 +272,7 @@ def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100,
                 ok = eligible(n[at].astype(np.int64), block[at], i[a] != j[a], num, den)
                 if not ok.any():
                     continue
+                ok &= meet_here([t[v > 0] for t, v in zip(token[at], lower[at])])
                 need = np.minimum.outer(top[at], top[at])
                 for m in np.unique(need[ok]):
                     those = ok & (need == m)
@@ -301,8 +304,9 @@ def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100,
 
     sets = docs.select("text").mapInArrow(fetch, "cid long, s binary, copies long").groupBy("cid") \
         .agg(F.first("s").alias("s"), F.sum("copies").alias("copies"))
-    whole = wanted.join(sets.hint("merge"), "cid").join(mine.select("cid", "hubs").hint("merge"), "cid").repartition(*keys).sortWithinPartitions(*keys) \
-        .select(*keys, "block", "cid", "n", "hubs", "s", "copies")
+    whole = wanted.join(sets.hint("merge"), "cid").join(mine.select("cid", "t").hint("merge"), "cid") \
+        .withColumn("lower", F.transform(F.filter("t", lambda x: x["hub"] < F.col("hub")), lambda x: x["token"])) \
+        .select(*keys, "block", "cid", "n", "lower", "s", "copies").repartition(*keys).sortWithinPartitions(*keys)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def weight(batch):
@@ -310,13 +314,13 @@ def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100,
         for table in grouped(batches, keys, weight):
             table = table.combine_chunks()
             hub, i, j, block, cid, n, copies = (table.column(c).to_numpy() for c in ("hub", "i", "j", "block", "cid", "n", "copies"))
-            own, packed = _lists(table.column("hubs")), table.column("s")
+            lower, packed = _lists(table.column("lower")), table.column("s")
             out = [[], [], []]
             for a, b in spans(table, keys):
                 size = n[a:b].astype(np.int64)
                 ok = eligible(size, block[a:b], i[a] != j[a], num, den)
                 if ok.any():
-                    ok &= meet_here(own[a:b], int(hub[a]))
+                    ok &= meet_here(lower[a:b])
                 if not ok.any():
                     continue
                 both = common([np.frombuffer(packed[k].as_py(), np.uint64) for k in range(a, b)])
