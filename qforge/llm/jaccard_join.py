@@ -23,8 +23,8 @@ pairs of blocks are tasks, so a hot passage is spread and a task is small.
 Inside, matches are counted by array products.  Only
 classes with a candidate go on; their whole sets are fetched and the exact
 overlap of each candidate pair is counted in the same way.  A pair that
-meets in several clusters counts in that of the least hub of their common
-shingles.
+meets in several clusters counts in that of the least hub of the common
+shingles that its level allows, and nowhere else.
 Tasks give link counts per class and edges to the least member of each
 component, never all pairs.
 
@@ -144,11 +144,26 @@ def eligible(sizes: np.ndarray, block: np.ndarray, cross: bool, num: int, den: i
     return ok & (block[:, None] != block[None, :]) if cross else ok
 
 
-def meet_here(lower: list[np.ndarray]) -> np.ndarray:
-    """Pairs without a common shingle in ``lower``, those of lesser hubs."""
-    if not any(map(len, lower)):
-        return np.ones((len(lower), len(lower)), bool)
-    return common(lower) == 0
+def meet_here(ok: np.ndarray, top: np.ndarray, token: list[np.ndarray], level: list[np.ndarray], side: list[np.ndarray], enough: bool) -> np.ndarray:
+    """Pairs of ``ok`` whose least hub is this one: of the shingles with levels
+    up to the pair's, they share one of this hub (side 0) and none of a lesser
+    hub (side -1); with ``enough``, as many as the pair's level in all."""
+    out = np.zeros_like(ok)
+    need = np.minimum.outer(top, top)
+    for m in np.unique(need[ok]):
+        those = ok & (need == m)
+
+        def shared(which) -> np.ndarray:
+            sets = [t[(v <= m) & which(d)] for t, v, d in zip(token, level, side)]
+            return common(sets) if any(map(len, sets)) else np.zeros(ok.shape, np.int64)
+        if enough and m > 1:
+            those &= shared(lambda d: d == d) >= m
+        if those.any():
+            those &= shared(lambda d: d == 0) > 0
+        if those.any():
+            those &= shared(lambda d: d < 0) == 0
+        out |= those
+    return out
 
 
 def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,11 +257,15 @@ def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100,
         .agg(F.array_sort(F.collect_set(F.struct("token", "level", "hub"))).alias("t")) \
         .select("cid", "n", "top", "t", F.array_distinct(F.transform("t", lambda x: x["hub"])).alias("hubs"))
     mine = scratch.keep(mine, "mine")
+
+    def side_of(x):
+        return F.when(x["hub"] < F.col("hub"), -1).when(x["hub"] == F.col("hub"), 0).otherwise(1).cast("byte")
+
     # at level 1 one common shingle is enough, so only those of the hub go to its cluster
     members = mine.select("cid", "n", "top", "t", F.explode("hubs").alias("hub")) \
         .withColumn("t", F.when(F.col("top") > 1, F.col("t")).otherwise(F.filter("t", lambda x: x["hub"] == F.col("hub")))) \
         .select("cid", "n", "top", F.col("t.token").alias("tokens"), F.col("t.level").alias("levels"),
-                F.transform("t", lambda x: (x["hub"] < F.col("hub")).cast("byte")).alias("lower"), "hub")
+                F.transform("t", side_of).alias("sides"), "hub")
     members = scratch.keep(members, "members")
     scratch.drop("postings")
     load = members.groupBy("hub").agg(F.count("*").alias("m")).where("m > 64")
@@ -254,7 +273,7 @@ def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     placed = members.join(load, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) \
         .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "n", "top", "tokens", "levels", "lower")
+        .select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "n", "top", "tokens", "levels", "sides")
     keys = ("hub", "i", "j")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +282,7 @@ def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100,
         for table in grouped(batches, keys, weight):
             table = table.combine_chunks()
             hub, i, j, block, n, top = (table.column(c).to_numpy() for c in ("hub", "i", "j", "block", "n", "top"))
-            token, level, lower = (_lists(table.column(c)) for c in ("tokens", "levels", "lower"))
+            token, level, side = (_lists(table.column(c)) for c in ("tokens", "levels", "sides"))
             keep = np.zeros(table.num_rows, bool)
             for a, b in spans(table, keys):
                 if b - a < 2:
@@ -272,12 +291,8 @@ def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100,
                 ok = eligible(n[at].astype(np.int64), block[at], i[a] != j[a], num, den)
                 if not ok.any():
                     continue
-                ok &= meet_here([t[v > 0] for t, v in zip(token[at], lower[at])])
-                need = np.minimum.outer(top[at], top[at])
-                for m in np.unique(need[ok]):
-                    those = ok & (need == m)
-                    those &= common([t[v <= m] for t, v in zip(token[at], level[at])]) >= m
-                    keep[at] |= those.any(0) | those.any(1)
+                ok = meet_here(ok, top[at], token[at], level[at], side[at], True)
+                keep[at] |= ok.any(0) | ok.any(1)
             yield from table.filter(pa.array(keep)).select(["hub", "i", "j", "block", "cid", "n"]).to_batches()
 
     wanted = placed.repartition(*keys).sortWithinPartitions(*keys) \
@@ -304,23 +319,25 @@ def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100,
 
     sets = docs.select("text").mapInArrow(fetch, "cid long, s binary, copies long").groupBy("cid") \
         .agg(F.first("s").alias("s"), F.sum("copies").alias("copies"))
-    whole = wanted.join(sets.hint("merge"), "cid").join(mine.select("cid", "t").hint("merge"), "cid") \
-        .withColumn("lower", F.transform(F.filter("t", lambda x: x["hub"] < F.col("hub")), lambda x: x["token"])) \
-        .select(*keys, "block", "cid", "n", "lower", "s", "copies").repartition(*keys).sortWithinPartitions(*keys)
+    whole = wanted.join(sets.hint("merge"), "cid").join(mine.select("cid", "top", "t").hint("merge"), "cid") \
+        .withColumn("t", F.filter("t", lambda x: x["hub"] <= F.col("hub"))) \
+        .select(*keys, "block", "cid", "n", "top", F.col("t.token").alias("tokens"), F.col("t.level").alias("levels"),
+                F.transform("t", side_of).alias("sides"), "s", "copies").repartition(*keys).sortWithinPartitions(*keys)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def weight(batch):
             return batch.column("n").to_numpy()
         for table in grouped(batches, keys, weight):
             table = table.combine_chunks()
-            hub, i, j, block, cid, n, copies = (table.column(c).to_numpy() for c in ("hub", "i", "j", "block", "cid", "n", "copies"))
-            lower, packed = _lists(table.column("lower")), table.column("s")
+            i, j, block, cid, n, top, copies = (table.column(c).to_numpy() for c in ("i", "j", "block", "cid", "n", "top", "copies"))
+            token, level, side = (_lists(table.column(c)) for c in ("tokens", "levels", "sides"))
+            packed = table.column("s")
             out = [[], [], []]
             for a, b in spans(table, keys):
                 size = n[a:b].astype(np.int64)
                 ok = eligible(size, block[a:b], i[a] != j[a], num, den)
                 if ok.any():
-                    ok &= meet_here(lower[a:b])
+                    ok = meet_here(ok, top[a:b], token[a:b], level[a:b], side[a:b], False)
                 if not ok.any():
                     continue
                 both = common([np.frombuffer(packed[k].as_py(), np.uint64) for k in range(a, b)])

@@ -92,6 +92,24 @@ def test_jaccard_join_equals_brute_force(spark, width, num, den):
     assert kept.count() == len({root[i] for i in range(len(rows)) if sets[i]}) + sum(not s for s in sets)
 
 
+def test_jaccard_join_of_mixed_levels(spark, monkeypatch):
+    # texts of level 1 meet texts of higher levels; third texts share single shingles and so move hubs
+    monkeypatch.setattr(jaccard_join, "choose_level", lambda n, cost, first: min(1 + n % 3, n - first + 1))
+    rnd = random.Random(11)
+    texts = []
+    for _ in range(60):
+        base = rnd.sample([f"w{i}" for i in range(400)], rnd.randint(4, 12))
+        texts += [" ".join(base), " ".join(base[1:]), " ".join(base + [rnd.choice(base) + "x", f"w{rnd.randrange(400)}"])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = Scratch(spark, "t").keep(frame, "docs")
+    sets = [shingle_texts(t, 1) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 60 * len(sets[i] | sets[j])]
+    count = collections.Counter(x for e in links for x in e)
+    root = groups(range(len(texts)), links)
+    got = jaccard_join.similar_texts(path, 1, 60, 100).collect()
+    assert {r.doc_id: (r.n_links, r.component_id) for r in got} == {i: (count[i], root[i]) for i in range(len(texts))}
+
+
 def test_jaccard_join_of_nothing(spark):
     frame = Scratch(spark, "t").keep(spark.createDataFrame([], "doc_id long, text string"), "docs")
     assert jaccard_join.similar_texts(frame).count() == 0
