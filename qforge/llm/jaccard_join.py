@@ -42,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qforge.llm.common import Scratch, components
@@ -166,18 +166,25 @@ def meet_here(ok: np.ndarray, top: np.ndarray, token: list[np.ndarray], level: l
     return out
 
 
+def place(df: DataFrame) -> tuple[Column, Column]:
+    """``file`` (a hash of its path) and ``row`` (the position in it) of the rows
+    of a written table, the same however its files are split."""
+    meta = df.metadataColumn("_metadata")
+    return F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("row")
+
+
 def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row, doc_id, n_shingles, n_links, component_id, component`` per row of
-    ``df``, a written table.  ``row`` is its ``monotonically_increasing_id()``;
+    """``file, row, doc_id, n_shingles, n_links, component_id, component`` per row
+    of ``df``, a written table.  ``file, row`` name the row as ``place()`` does;
     ``component`` is a key of the component, null without shingles."""
     spark = df.sparkSession
     sc = spark.sparkContext
     scratch = Scratch(spark, "jaccard")
-    docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+    docs = df.select(*place(df), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                      F.col(f"`{text_col}`").alias("text"))
 
     # ---- one pass: classes, and the histogram of shingles
-    first_schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()),
+    first_schema = pa.schema([("file", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()),
                               ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,15 +203,15 @@ def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100,
             if load:
                 hist += np.bincount(np.concatenate(waiting), minlength=1 << BUCKETS).astype(np.int32)
             k = len(cid)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(cid, pa.int64()), pa.array(n, pa.int64()),
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file", "row", "doc_id")), pa.array(cid, pa.int64()), pa.array(n, pa.int64()),
                                               pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=first_schema)
         chunks = [(c, part.tobytes()) for c, part in enumerate(hist.reshape(-1, CHUNK)) if part.any()]
         k = len(chunks)
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 4, pa.array([c for c, _ in chunks], pa.int32()),
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 5, pa.array([c for c, _ in chunks], pa.int32()),
                                           pa.array([b for _, b in chunks], pa.binary())], schema=first_schema)
 
-    survey_rows = scratch.keep(docs.mapInArrow(survey, "row long, doc_id long, cid long, n long, chunk int, counts binary"), "survey")
-    texts = survey_rows.where("chunk is null").select("row", "doc_id", "cid", "n")
+    survey_rows = scratch.keep(docs.mapInArrow(survey, "file long, row long, doc_id long, cid long, n long, chunk int, counts binary"), "survey")
+    texts = survey_rows.where("chunk is null").select("file", "row", "doc_id", "cid", "n")
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CHUNK, np.int64)
@@ -361,22 +368,25 @@ def similar_texts(df: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     names = scratch.keep(per.groupBy("root").agg(F.min("least").alias("component_id")), "names")
     facts = scratch.keep(per.join(names, "root").select("cid", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id", F.col("root").alias("component")), "facts")
     return texts.join(facts.hint("merge"), "cid", "left").select(
-        "row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        "file", "row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("component")).alias("component"))
 
 
 def one_of_each(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, a written table, without all but one of each
-    component: that of the least id stays (null last, then by position); rows
-    without shingles all stay."""
+    component: that of the least id stays (null last, then by file and position
+    in it); rows without shingles all stay.  The table is read twice, and how its
+    files are split then may differ, so rows go by their place in a file."""
     found = similar_texts(df, width, num, den, id_col, text_col)
     scratch = Scratch(df.sparkSession, "one_of_each")
-    rows = scratch.keep(found.where("component is not null and n_links > 0").select("row", "doc_id", "component"), "rows")
-    stay = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("s")).select(F.col("s.row").alias("row"))
-    gone = scratch.keep(rows.select("row").join(stay, "row", "left_anti").withColumnRenamed("row", "_row"), "gone")
-    return df.withColumn("_row", F.monotonically_increasing_id()).join(gone.hint("merge"), "_row", "left_anti") \
-        .select(*[F.col(f"`{c}`") for c in df.columns])
+    rows = scratch.keep(found.where("component is not null and n_links > 0").select("file", "row", "doc_id", "component"), "rows")
+    stay = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")).alias("s")).select("s.file", "s.row")
+    gone = scratch.keep(rows.select("file", "row").join(stay, ["file", "row"], "left_anti")
+                        .select(F.col("file").alias("_file"), F.col("row").alias("_row")), "gone")
+    file, row = place(df)
+    return df.select(*[F.col(f"`{c}`") for c in df.columns], file.alias("_file"), row.alias("_row")) \
+        .join(gone.hint("merge"), ["_file", "_row"], "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def _lists(column) -> list[np.ndarray]:

@@ -110,6 +110,27 @@ def test_jaccard_join_of_mixed_levels(spark, monkeypatch):
     assert {r.doc_id: (r.n_links, r.component_id) for r in got} == {i: (count[i], root[i]) for i in range(len(texts))}
 
 
+def test_one_of_each_when_files_are_split_anew(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i // 2 if i % 3 else i}_{k}" for k in range(20))) for i in range(240)]
+    path = Scratch(spark, "t").keep(spark.createDataFrame(rows, "doc_id long, text string").repartition(12), "docs")
+    survey, setting = jaccard_join.similar_texts, "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+
+    def survey_then_other_splits(*args):
+        found = survey(*args)
+        spark.conf.set(setting, "64k")
+        return found
+    monkeypatch.setattr(jaccard_join, "similar_texts", survey_then_other_splits)
+    try:
+        kept = [r.doc_id for r in jaccard_join.one_of_each(path).collect()]
+    finally:
+        spark.conf.set(setting, before)
+    least = {}
+    for i, t in reversed(rows):
+        least[t] = i
+    assert sorted(kept) == sorted(least.values()) and len(kept) < len(rows)
+
+
 def test_jaccard_join_of_nothing(spark):
     frame = Scratch(spark, "t").keep(spark.createDataFrame([], "doc_id long, text string"), "docs")
     assert jaccard_join.similar_texts(frame).count() == 0
