@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = line_dedup.drop_boilerplate_lines(docs)
+    clean = line_dedup.drop_boilerplate_lines(docs, min_sites=None)
     own = {"text": F.col("clean_text").alias("text"), "n_chars": F.length("clean_text").cast("long").alias("n_chars")}
     return clean.select(*[own.get(c, F.col(f"`{c}`")) for c in docs.columns])
 

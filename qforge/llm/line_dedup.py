@@ -1,7 +1,8 @@
 """Cross-site line removal by distinct-site spread, DataFrame functions only.
 
 A line (trimmed of blanks, tabs and carriage returns) is boilerplate when it
-stands in ``min_sites`` sites or more.  Copies of one text speak for one site
+stands in ``min_sites`` sites or more, or, where none is given, in half of the sites that
+speak, but at least ``FEWEST`` and at most ``MIN_SITES``.  Copies of one text speak for one site
 (the least of theirs), so a page mirrored everywhere isn't boilerplate.
 HyperLogLog sketches per line hash merge by aggregation; lines whose estimate
 lies within ``BAND`` relative errors (one site at least) of the threshold get
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from qforge.llm.common import Scratch
 
-MIN_SITES = 10          # about half of the sites of the tables this was set on
+MIN_SITES = 10          # as in the query's SQL; the most that any corpus asks for
+FEWEST = 3              # the least, however few sites there are
 LG_K = 12               # sketch of 4096 registers: relative error 1.04 / 64
 BAND = 3.0
 BLANKS = " \t\r"
@@ -55,8 +57,14 @@ def boilerplate(lines: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES)
     return scratch.keep(spread.where(F.col("est") > min_sites + slack).select("h").unionByName(exact), "boilerplate")
 
 
+def share_of_sites(rows: DataFrame) -> int:
+    """The threshold for ``rows(t, site)``: half of the sites that speak for a text, within bounds."""
+    speak = rows.groupBy("t").agg(F.min("site").alias("site")).select("site").distinct()
+    return min(MIN_SITES, max(FEWEST, -(-speak.limit(2 * MIN_SITES).count() // 2)))
+
+
 def drop_boilerplate_lines(df: DataFrame, text_col: str = "text", site_col: str = "source",
-                           min_sites: int = MIN_SITES) -> DataFrame:
+                           min_sites: int | None = MIN_SITES) -> DataFrame:
     """``df`` plus ``clean_text, n_lines, n_removed``."""
     scratch = Scratch(df.sparkSession, "lines")
     text = F.col(f"`{text_col}`")
@@ -69,7 +77,7 @@ def drop_boilerplate_lines(df: DataFrame, text_col: str = "text", site_col: str
                         .select("t", "site", _trimmed(F.col("line")).alias("line"))
                         .where("line != ''").select("t", "site", F.xxhash64("line").alias("h")), "lines")
     spoken = rows.join(voice, "t", "left").select("h", F.coalesce("voice", "site").alias("site"))
-    drop = boilerplate(spoken, scratch, min_sites)
+    drop = boilerplate(spoken, scratch, share_of_sites(rows) if min_sites is None else min_sites)
     gone = scratch.keep(rows.join(drop, "h").select("t", "h").distinct()
                         .groupBy("t").agg(F.collect_list("h").alias("gone")), "gone")
     mine = ("clean_text", "n_lines", "n_removed")

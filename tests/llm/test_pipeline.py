@@ -52,6 +52,15 @@ def test_line_stage(stages):
     assert rows(stages[2]) == want
 
 
+def test_line_stage_with_few_sources_and_a_hot_one(spark):
+    # five sources, one of them with most rows: 3 sites make a line boilerplate, 2 don't, however often it stands there
+    texts = [("hot", f"own {i}\nonly here\nfooter") for i in range(60)]
+    texts += [(f"s{i % 4}", f"page {i}\nfooter" + ("\nhalf" if i % 4 < 3 else "") + ("\nonly here" if i % 4 == 0 else "")) for i in range(12)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, (s, t) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in P.drop_lines(spark, docs, "").collect()}
+    assert got == {i: "\n".join(x for x in t.split("\n") if x not in ("footer", "half")) for i, (_, t) in enumerate(texts)}
+
+
 def test_near_duplicate_stage(stages):
     from tests.llm.test_pair_ops import groups, shingle_texts
     docs = stages[2].collect()
