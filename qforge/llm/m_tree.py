@@ -20,7 +20,8 @@ integers.  Every task gives at most ``k`` rows a query and the last step
 keeps the ``k`` best.
 
 Defined cases: vectors that are null, empty or hold null or non-finite
-components, or components whose integer does not fit 26 bits, take no part;
+components, or whose squared length as integers reaches 2^62 (so that a score
+might not fit 64 bits), take no part;
 vectors of another length than the query's are no candidates of it; a null
 id is no query and comes last among ties; rows are told apart by position,
 so repeated rows are candidates of each other; fewer than ``k`` candidates
@@ -42,7 +43,7 @@ from qforge.llm.common import Scratch
 PAGE = 1024
 NODE = 64
 BLOCK = 2048               # queries that search a page together
-LIMIT = 1 << 26
+LIMIT = 2.0 ** 62 * (1 - 1e-9)   # squared length below which all scores fit 64 bits
 SLACK = 1e-6               # for rounding in distances, which only ever prune
 LAST = np.iinfo(np.int64).max
 
@@ -87,7 +88,7 @@ class Page:
 
         def reach(which):
             low = least[which].astype(float)
-            far = np.sqrt(np.maximum(qq[which] + m - 2 * low, 0)) * (1 + SLACK) + SLACK
+            far = np.sqrt(np.maximum(qq[which] + m - 2 * low, 0)) * (1 + SLACK) + SLACK * (1 + m ** 0.5)
             return np.where(least[which] <= none, np.inf, far)
         limit = reach(every)
         to_page = np.sqrt(((q - self.centre) ** 2).sum(1))
@@ -146,10 +147,9 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col:
     spark = df.sparkSession
     scratch = Scratch(spark, "top_k")
     vec = F.transform(F.col(f"`{vec_col}`").cast("array<double>"), lambda x: F.floor(x * scale).cast("double"))
-    fits = F.forall("v", lambda x: F.abs(x) < LIMIT)
     rows = (df.where(usable(F.col(f"`{vec_col}`").cast("array<double>")))
             .select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("vec_id"), vec.alias("v"))
-            .where(fits).withColumn("sq", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
+            .withColumn("sq", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).where(F.col("sq") < LIMIT))
     rows = scratch.keep(rows, "rows")
     most = float(rows.agg(F.max("sq")).first()[0] or 0.0)
 
@@ -202,7 +202,7 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col:
             x[:, -1] = 0
             gap = np.sqrt(((x - c) ** 2).sum(1)) - radius.to_numpy(float)
             least = floor.to_numpy(float, na_value=-np.inf)
-            limit = np.sqrt(np.maximum((x * x).sum(1) + most - 2 * least, 0)) * (1 + SLACK) + SLACK
+            limit = np.sqrt(np.maximum((x * x).sum(1) + most - 2 * least, 0)) * (1 + SLACK) + SLACK * (1 + most ** 0.5)
             yield pd.Series(np.isnan(least) | (gap <= limit))
 
     # vector lengths with one pivot each are joined like the others: at most PIVOTS entries a length

@@ -230,6 +230,22 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert m_tree.top_k(frame.limit(0)).count() == 0
 
 
+def test_top_k_of_long_vectors(spark, monkeypatch):
+    # components over 2^20, whose scores need more than 53 bits, beside short ones
+    monkeypatch.setattr(m_tree, "PAGE", 32)
+    rnd = np.random.default_rng(12)
+    size = np.where(np.arange(200) % 4 == 0, 9e6, np.where(np.arange(200) % 4 == 1, 1.5e6, 1.0))
+    rows = [(i, [float(x) for x in (rnd.normal(size=4).clip(-1.7, 1.7) * s).astype(np.float32)]) for i, s in enumerate(size)]
+    rows += [(200 + i, [x + 4.0 * (k == i) for k, x in enumerate(rows[0][1])]) for i in range(4)]     # next to each other far out
+    ints = [[math.floor(64 * float(np.float32(x))) for x in v] for _, v in rows]
+    got = collections.defaultdict(list)
+    for r in m_tree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), k=5, every=5).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    for i in range(0, len(rows), 5):
+        best = sorted((-sum(a * b for a, b in zip(ints[i], ints[j])), j) for j in range(len(rows)) if j != i)[:5]
+        assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)], i
+
+
 def test_page_search_skips_by_stored_distances():
     rnd = np.random.default_rng(9)
     p = np.concatenate([rnd.normal(size=(200, 5)) + c for c in (0, 20, 40)])
