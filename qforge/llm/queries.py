@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from qforge.llm import bpe, cover_tree, jaccard_join, line_dedup, m_tree, mixing, token_count, toxicity, url_filter, warc
+from qforge.llm import (bpe, cover_tree, jaccard_join, k2_treap, license_scan, line_dedup, m_tree, mixing, runs, token_count, toxicity,
+                        url_filter, warc)
 from qforge.llm.common import Scratch, table
 
 REGISTRY = {}
@@ -82,6 +83,56 @@ def op10(spark, sf_dir):
         "doc_id", "n_lines", "n_removed", F.md5("clean_text").alias("clean_md5"))
 
 
+@query("op11_license_scan")
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = F.col("licenses")
+    return license_scan.scan_licenses(docs).select(
+        "doc_id", found.n_words.alias("n_words"), found.n_base.alias("n_base"), found.first_word.alias("first_word"),
+        found.last_word.alias("last_word"), F.array_join(found.base_labels, ",").alias("base_labels"),
+        F.array_join(found.labels, ",").alias("labels"), found.score.alias("score"))
+
+
+def tenth_made_periodic(docs):
+    """Of every tenth document by checksum of its id, the words from a certain
+    one on repeat in a certain period; all other texts stay."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n = F.size("words").cast("long")
+    changed = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(
+        F.element_at("words", (F.col("a") + (i - F.col("a")) % F.col("p") + 1).cast("int"))))
+    on = F.coalesce(h % 10 == 0, F.lit(False))
+    return (docs.withColumn("words", F.when(on, words)).withColumn("a", F.when(n > 0, g % n))
+            .withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+            .withColumn("text", F.when(on & (n > 0), F.array_join(changed, " ")).otherwise(F.col("text")))
+            .select("doc_id", "text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf_dir):
+    docs = tenth_made_periodic(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    runs_ = F.col("periodic.runs")
+    lines = F.transform(runs_, lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+
+    def order(a, b):
+        x, y = a.length * b.period, b.length * a.period
+        return (F.when(x != y, F.when(x > y, -1).otherwise(1)).when(a.start != b.start, F.when(a.start < b.start, -1).otherwise(1))
+                .when(a.period != b.period, F.when(a.period < b.period, -1).otherwise(1)).otherwise(0))
+    top = F.get(F.array_sort(runs_, order), 0)
+    return (runs.periodic_runs(docs).select("doc_id", F.size(runs_).cast("long").alias("n_runs"), top.alias("top"),
+                                            F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+                                            F.sha2(F.col("periodic.collapsed"), 256).alias("collapsed_sha256"))
+            .select("doc_id", "n_runs", "top.start", "top.length", "top.period",
+                    F.expr("(1000 * top.length) div top.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"))
+
+
+@query("op13_ranked_search")
+def op13(spark, sf_dir):
+    index = k2_treap.index_documents(table(spark, sf_dir, "documents"), Scratch(spark, "lexical").path("index"))
+    return k2_treap.search(index, table(spark, sf_dir, "benchmark"))
+
+
 SQL = {
     "op4_mixing": r"""
 WITH d AS (
@@ -174,5 +225,24 @@ y AS (SELECT r, count(*) AS n_lines, count(*) FILTER (b.line IS NOT NULL) AS n_r
       FROM x LEFT JOIN bad b ON trim(x.line, ' ' || chr(9) || chr(13)) = b.line GROUP BY r)
 SELECT doc_id, coalesce(n_lines, 0)::INTEGER AS n_lines, coalesce(n_removed, 0)::INTEGER AS n_removed, md5(clean) AS clean_md5
 FROM d LEFT JOIN y USING (r)
+""",
+    "op13_ranked_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+s AS (SELECT count(*) FILTER (len(t) > 0) AS n, sum(len(t))::BIGINT AS l FROM d),
+q AS (
+  SELECT i, item_id, unnest(list_distinct(t)) AS term FROM (
+    SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark)),
+p AS (SELECT r, unnest(t) AS term FROM d),
+f AS (SELECT r, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+      FROM (SELECT term, count(*) AS df FROM f GROUP BY term), s),
+m AS (SELECT r, doc_id, 50 + ((50 * len(t) * n) // l) AS m FROM d, s WHERE len(t) > 0),
+x AS (SELECT q.i, q.item_id, m.r, m.doc_id, sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 20 * m.m)))::BIGINT AS score
+      FROM q JOIN f USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY q.i, q.item_id, m.r, m.doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM x WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 50
 """,
 }
