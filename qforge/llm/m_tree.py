@@ -19,9 +19,15 @@ triangle inequality before any distance is computed; scores are exact
 integers.  Every task gives at most ``k`` rows a query and the last step
 keeps the ``k`` best.
 
+Vectors whose squared length as integers reaches 2^62 would spoil the lifted
+coordinate of all others and their scores may not fit 64 bits.  They stay out
+of the tree: pairs with one of them are scored in blocks of queries and chunks
+of candidates, by extended floats with an error bound first and by unbounded
+integers where that leaves a doubt.  Scores beyond 64 bits rank by their exact
+value and are returned as the nearest 64-bit number.
+
 Defined cases: vectors that are null, empty or hold null or non-finite
-components, or whose squared length as integers reaches 2^62 (so that a score
-might not fit 64 bits), take no part;
+components take no part;
 vectors of another length than the query's are no candidates of it; a null
 id is no query and comes last among ties; rows are told apart by position,
 so repeated rows are candidates of each other; fewer than ``k`` candidates
@@ -113,7 +119,7 @@ class Page:
                 rows = self.members[node][some]
                 s = scores(rows, who)
                 s[~near[:, some]] = none
-                good = s >= np.maximum(least[who], none + 1)[:, None]
+                good = (s > none) & (s >= least[who][:, None])
                 x, y = np.nonzero(good)
                 out.append((who[x], rows[y], s[x, y]))
                 both = np.concatenate([best[who], s], axis=1)
@@ -147,10 +153,13 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col:
     spark = df.sparkSession
     scratch = Scratch(spark, "top_k")
     vec = F.transform(F.col(f"`{vec_col}`").cast("array<double>"), lambda x: F.floor(x * scale).cast("double"))
-    rows = (df.where(usable(F.col(f"`{vec_col}`").cast("array<double>")))
-            .select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("vec_id"), vec.alias("v"))
-            .withColumn("sq", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).where(F.col("sq") < LIMIT))
-    rows = scratch.keep(rows, "rows")
+    every_row = (df.where(usable(F.col(f"`{vec_col}`").cast("array<double>")))
+                 .select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("vec_id"), vec.alias("v"),
+                         F.col(f"`{vec_col}`").cast("array<double>").alias("x"))
+                 .withColumn("sq", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).withColumn("far", F.col("sq") >= LIMIT)
+                 .withColumn("x", F.when(F.col("far"), F.col("x"))))
+    every_row = scratch.keep(every_row, "rows")
+    rows = every_row.where(~F.col("far"))
     most = float(rows.agg(F.max("sq")).first()[0] or 0.0)
 
     @F.pandas_udf("binary")
@@ -236,12 +245,71 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col:
         return pd.DataFrame({"query": query[a], "query_id": query_id[a], "row": rows[b], "vec_id": ids[b], "score": s.astype(np.int64)})
 
     hits = members.unionByName(seekers).groupBy("cell", "block") \
-        .applyInPandas(search, "query long, query_id long, row long, vec_id long, score long")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
+        .applyInPandas(search, "query long, query_id long, row long, vec_id long, score long").withColumn("beyond", F.lit(None).cast("binary"))
+    far = _far_pairs(every_row, k, every, scale)
+    hits = hits if far is None else hits.unionByName(far)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.desc_nulls_last("beyond"), "vec_id", "row")
     return (hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", F.when(F.col("vec_id") != int(LAST), F.col("vec_id")).alias("vec_id"), "score"))
 
 
+FAR = np.longdouble
+
+
+def _sortable(value: int) -> bytes:
+    """Bytes that sort as the integers do."""
+    size = (abs(value).bit_length() + 7) // 8
+    if value >= 0:
+        return b"\x01" + size.to_bytes(2) + value.to_bytes(size)
+    return b"\x00" + (65535 - size).to_bytes(2) + ((1 << 8 * size) - 1 + value).to_bytes(size)
+
+
+def _far_pairs(every_row: DataFrame, k: int, every: int, scale: int) -> DataFrame | None:
+    """The best ``k`` of each query in each chunk, over all pairs in which the
+    query or the candidate is far out; None where no row is."""
+    asks = F.col("vec_id").isNotNull() & (F.col("vec_id") % every == 0)
+    n_far, n_rows, n_asks, n_far_asks = every_row.agg(F.count_if("far"), F.count("*"), F.count_if(asks), F.count_if(asks & F.col("far"))).first()
+    if not n_far:
+        return None
+    near = ~F.col("far")
+    parts = []
+    for name, candidates, count, queries, asked in (("all", F.col("far"), n_far, asks, n_asks), ("far", near, n_rows - n_far, asks & F.col("far"), n_far_asks)):
+        chunks, blocks = max(1, -(-count // PAGE)), max(1, -(-asked // BLOCK))
+        deal_, spread = (lambda n: F.pmod(F.xxhash64("row"), F.lit(n))), (lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+        own = ["row", "vec_id", F.size("v").alias("n"), "v", "x", F.lit(name).alias("kind")]
+        parts.append(every_row.where(candidates).select(*own, deal_(chunks).alias("chunk"), spread(blocks).alias("block"), F.lit(False).alias("q")))
+        parts.append(every_row.where(queries).select(*own, deal_(blocks).alias("block"), spread(chunks).alias("chunk"), F.lit(True).alias("q")))
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+
+    def whole(v, x) -> list[int]:
+        if x is None:
+            return [int(c) for c in v]
+        return [int(c) * scale if abs(c) >= 2.0 ** 53 else int(np.floor(c * scale)) for c in x]
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, own = pdf[pdf.q], pdf[~pdf.q]
+        out = []
+        if len(q) and len(own):
+            asked, held = ([whole(v, x) for v, x in zip(part.v, part.x)] for part in (q, own))
+            a, b = (np.array([[FAR(c) for c in v] for v in part], FAR) for part in (asked, held))
+            rough, doubt = a @ b.T, (np.abs(a) @ np.abs(b).T) * FAR(2.0 ** -61 * (a.shape[1] + 2))
+            rows, ids = own.row.to_numpy(np.int64), [None if pd.isna(v) else int(v) for v in own.vec_id]
+            for t, (row, query_id) in enumerate(zip(q.row.tolist(), q.vec_id.tolist())):
+                others = np.flatnonzero(rows != row)
+                if len(others) > k:
+                    low = np.sort(rough[t, others] - doubt[t, others])[-k]
+                    others = others[rough[t, others] + doubt[t, others] >= low]
+                scored = [(-sum(x * y for x, y in zip(asked[t], held[o])), ids[o] is None, ids[o] or 0, int(rows[o])) for o in others]
+                for score, empty, vec_id, found in sorted(scored)[:k]:
+                    fits = max(-1 << 63, min((1 << 63) - 1, -score))
+                    out.append((row, int(query_id), found, LAST if empty else vec_id, fits, None if fits == -score else _sortable(-score)))
+        return pd.DataFrame(out, columns=["query", "query_id", "row", "vec_id", "score", "beyond"])
+    return both.groupBy("kind", "n", "chunk", "block").applyInPandas(
+        search, "query long, query_id long, row long, vec_id long, score long, beyond binary")
+
+
 def _stack(values) -> np.ndarray:
     """Rows of one length or, padded with zeros, of several."""
     parts = [np.frombuffer(bytes(v)) for v in values]

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -211,6 +212,46 @@ def test_cover_tree_levels():
     assert sorted(walk(tree.root).tolist()) == list(range(300))
 
 
+def in_64_bits(score):
+    return max(-1 << 63, min((1 << 63) - 1, score))
+
+
+def top_k_by_hand(rows, k):
+    """query_id, rank, vec_id, score of every query, exactly."""
+    ints = [[math.floor(64 * Fraction(x)) for x in v] for _, v in rows]
+    out = []
+    for i, (query, _) in enumerate(rows):
+        if query % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(ints[i], ints[j])), rows[j][0], j) for j in range(len(rows))
+                          if j != i and len(ints[j]) == len(ints[i]))[:k]
+            out += [(query, rank, vec_id, in_64_bits(-score)) for rank, (score, vec_id, _) in enumerate(best, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("count", [1, 2, 20, 21, 22])
+def test_top_k_of_few_vectors(spark, count):
+    """A query is no candidate of itself, however few there are."""
+    rnd = random.Random(count)
+    rows = [(20 * i, [rnd.uniform(-2, 2) for _ in range(3)]) for i in range(count)] + [(20 * i, [rnd.random()]) for i in range(count // 2)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    assert sorted(tuple(r) for r in m_tree.top_k(frame).collect()) == top_k_by_hand(rows, 20)
+
+
+def test_top_k_far_out(spark, monkeypatch):
+    """Scores up to and beyond 64 bits; nothing is left out."""
+    monkeypatch.setattr(m_tree, "PAGE", 8)
+    monkeypatch.setattr(m_tree, "BLOCK", 4)
+    rnd = random.Random(9)
+    sizes = [1, 1, 1e3, 4e7, 4e7, 1e12, 1e30, 1e160, 1.7e308]
+    rows = [(i * 5, [rnd.choice((-1, 1)) * rnd.uniform(0.3, 1) * rnd.choice(sizes) for _ in range(2)]) for i in range(80)]
+    rows += [(7, [4e7, 1.0]), (20, [1.0, 2.0]), (20, [1.0, 2.0]), (3, [0.0, 0.0]), (2, [-1e300, 1e300])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in m_tree.top_k(frame, k=6).collect())
+    assert got == top_k_by_hand(rows, 6) and any(r[3] == (1 << 63) - 1 for r in got) and (20, 1, 7) not in got
+    values = [0, 1, -1, 255, 256, -255, -256, 1 << 900, -(1 << 900), (1 << 63), -(1 << 63) - 1] + [rnd.randint(-1 << 100, 1 << 100) for _ in range(50)]
+    assert sorted(values) == sorted(values, key=m_tree._sortable)
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     rows = [(a, v, lb, x) for a, v, lb, x in vectors(n=500)]
     monkeypatch.setattr(m_tree, "PAGE", 64)
@@ -219,14 +260,15 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     got = collections.defaultdict(list)
     for r in m_tree.top_k(frame, k=20).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
-    ints = [[math.floor(64 * float(np.float32(x))) for x in v] if fine(v) and max(map(abs, v)) < 1e5 else None for _, v, _, _ in rows]
+    ints = [[math.floor(64 * Fraction(float(np.float32(x)))) for x in v] if fine(v) else None for _, v, _, _ in rows]
+    assert any(max(map(abs, v)) > 1 << 90 for v in ints if v)
     last = 1 << 62
     for i, (vid, _, _, _) in enumerate(rows):
         if ints[i] is None or vid is None or vid % 20:
             continue
         best = sorted((-sum(a * b for a, b in zip(ints[i], ints[j])), last if rows[j][0] is None else rows[j][0])
                       for j in range(len(rows)) if j != i and ints[j] is not None and len(ints[j]) == len(ints[i]))[:20]
-        assert sorted(got[vid]) == [(k + 1, None if v == last else v, -s) for k, (s, v) in enumerate(best)], vid
+        assert sorted(got[vid]) == [(k + 1, None if v == last else v, in_64_bits(-s)) for k, (s, v) in enumerate(best)], vid
     assert m_tree.top_k(frame.limit(0)).count() == 0
 
 
