@@ -15,8 +15,9 @@ and bytes beyond ASCII), word beginnings and byte 4-grams it holds, hashed to
 among P and U differ most.
 
 Bounds: ``max_positive`` confirmed and ``max_unlabelled`` unlabelled texts, the
-first by md5 of their id, are featurised by Spark and gathered for training;
-the model is one broadcast of ``2^DIM_BITS`` floats at most.  Scoring is one pass over
+first by md5 of their id, are written once; their place counts are summed by
+Spark, and one bit per screened place and text is gathered for training.  The
+model is one broadcast of ``2^DIM_BITS`` floats at most.  Scoring is one pass over
 all whole texts in bounded pieces, without a shuffle.
 
 Defined cases: null and empty texts have no features and get the score of the
@@ -30,9 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qforge.llm.common import Scratch
+
 DIM_BITS = 20
 MAX_POSITIVE = 4000
 MAX_UNLABELLED = 8000
@@ -100,16 +104,28 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
 
 
-def screen(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int = SCREENED) -> np.ndarray:
-    """Places whose share among P differs most from that among U, in standard errors."""
-    dim = 1 << DIM_BITS
-    share_p = np.bincount(np.concatenate(positive), minlength=dim) / len(positive)
-    share_u = np.bincount(np.concatenate(unlabelled), minlength=dim) / len(unlabelled)
-    both = (share_p * len(positive) + share_u * len(unlabelled) + 1) / (len(positive) + len(unlabelled) + 2)
-    error = np.sqrt(both * (1 - both) * (1 / len(positive) + 1 / len(unlabelled)))
-    z = np.abs(share_p - share_u) / error
-    best = np.argsort(-z, kind="stable")[:most]
-    return np.sort(best[z[best] > 2])
+def screen(sample: DataFrame, n_positive: int, n_unlabelled: int, most: int = SCREENED) -> np.ndarray:
+    """Places whose share among P differs most from that among U, in standard
+    errors.  Counted where the texts are: a task gives one row per place that
+    its texts hold; ``most`` rows reach the driver."""
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, 1 << DIM_BITS), np.int64)
+        for batch in batches:
+            for text, p, u in zip(batch.column("text"), batch.column("p").to_pylist(), batch.column("u").to_pylist()):
+                found = features(text.as_py() or b"")
+                counts[0, found] += p
+                counts[1, found] += u
+        place = np.flatnonzero(counts.any(0))
+        for at in range(0, len(place), 1 << 16):
+            part = place[at:at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[0, part]), pa.array(counts[1, part])], names=["place", "p", "u"])
+
+    held = sample.select("text", "p", "u").mapInArrow(tally, "place long, p long, u long").groupBy("place").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    both = (F.col("p") + F.col("u") + 1) / F.lit(float(n_positive + n_unlabelled + 2))
+    error = F.sqrt(both * (1 - both) * F.lit(1 / n_positive + 1 / n_unlabelled))
+    z = F.abs(F.col("p") / F.lit(float(n_positive)) - F.col("u") / F.lit(float(n_unlabelled))) / error
+    best = held.select("place", z.alias("z")).where("z > 2").orderBy(F.desc("z"), "place").limit(most)
+    return np.sort(np.array([r.place for r in best.collect()], np.int64))
 
 
 class NnPu:
@@ -118,36 +134,29 @@ class NnPu:
     def __init__(self, prior: float, steps: int = 2000, batch: int = 512, rate: float = 0.01, decay: float = 3e-3, seed: int = 7):
         self.prior, self.steps, self.batch, self.rate, self.decay, self.seed = prior, steps, batch, rate, decay, seed
 
-    def fit(self, positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> Model:
-        places = screen(positive, unlabelled)
+    def slope(self, xp: np.ndarray, xu: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The step's direction: of the whole risk, or, where the corrected
+        negative risk is below zero, away from that."""
+        now = w.astype(np.float32)
+        zp, zu = (xp @ now).astype(float), (xu @ now).astype(float)
+        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+        negative = np.logaddexp(0, zu).mean() - self.prior * np.logaddexp(0, zp).mean()
+        up, down_p, down_u = self.prior * (sp - 1) / len(xp), -self.prior * sp / len(xp), su / len(xu)
+        if negative >= 0:
+            return ((up + down_p).astype(np.float32) @ xp + down_u.astype(np.float32) @ xu).astype(float)
+        return -(down_p.astype(np.float32) @ xp + down_u.astype(np.float32) @ xu).astype(float)
+
+    def fit(self, places: np.ndarray, p: np.ndarray, u: np.ndarray) -> Model:
+        """``p`` and ``u``: which of ``places`` each text holds, as 0 and 1."""
         dim = len(places)
-        column = np.full(1 << DIM_BITS, -1, np.int32)
-        column[places] = np.arange(dim)
-
-        def dense(rows):
-            out = np.zeros((len(rows), dim + 1), np.float32)
-            out[:, dim] = 1
-            for k, row in enumerate(rows):
-                c = column[row]
-                out[k, c[c >= 0]] = 1
-            return out
-        p, u = dense(positive), dense(unlabelled)
+        p, u = (np.column_stack([x, np.ones(len(x))]).astype(np.float32) for x in (p, u))
         w, m, v = (np.zeros(dim + 1) for _ in range(3))
         w[dim] = np.log(self.prior / (1 - self.prior))
         rng = np.random.default_rng(self.seed)
         for t in range(1, self.steps + 1):
             xp = p[rng.integers(0, len(p), self.batch)]
             xu = u[rng.integers(0, len(u), self.batch)]
-            now = w.astype(np.float32)
-            zp, zu = (xp @ now).astype(float), (xu @ now).astype(float)
-            sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-            negative = np.logaddexp(0, zu).mean() - self.prior * np.logaddexp(0, zp).mean()
-            # slopes of the risks by z; below zero the correction is climbed instead
-            up, down_p, down_u = self.prior * (sp - 1) / len(xp), -self.prior * sp / len(xp), su / len(xu)
-            if negative >= 0:
-                grad = ((up + down_p).astype(np.float32) @ xp + down_u.astype(np.float32) @ xu).astype(float)
-            else:
-                grad = -(down_p.astype(np.float32) @ xp + down_u.astype(np.float32) @ xu).astype(float)
+            grad = self.slope(xp, xu, w)
             grad[:dim] += self.decay * w[:dim]
             m += 0.1 * (grad - m)
             v += 0.001 * (grad * grad - v)
@@ -192,20 +201,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not chosen["p"] or not chosen["u"]:
         return None
     spark = docs.sparkSession
-    wanted = spark.createDataFrame([(i,) for i in sorted({*chosen["p"], *chosen["u"]})], "id long")
-
-    @F.pandas_udf("binary")
-    def featurised(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    p, u = set(chosen["p"]), set(chosen["u"])
+    wanted = spark.createDataFrame([(i, int(i in p), int(i in u)) for i in sorted(p | u)], "id long, p int, u int")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    # one text an id, so at most max_positive + max_unlabelled texts, however often an id is repeated
+    sample = Scratch(spark, "toxicity").keep(
+        texts.join(F.broadcast(wanted), "id").groupBy("id", "p", "u").agg(F.max("text").alias("text")), "sample")
+    places = screen(sample, len(p), len(u))
+
+    def held(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield part.map(lambda x: features((x or "").encode()).tobytes())
-
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    needed = texts.join(F.broadcast(wanted), "id") \
-        .select("id", featurised("text").alias("places"))
-    sets = {r.id: bytes(r.places) for r in needed.groupBy("id").agg(F.max("places").alias("places")).toLocalIterator()}
-    p = [np.frombuffer(sets[i], np.int32) for i in chosen["p"]]
-    u = [np.frombuffer(sets[i], np.int32) for i in chosen["u"]]
-    return NnPu(min(max(float(prior), 0.001), 0.5)).fit(p, u)
+            yield part.map(lambda x: np.packbits(np.isin(places, features(x or b""))).tobytes())
+    # one bit a place: SCREENED / 8 bytes a text
+    bits = {r.id: np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), count=len(places))
+            for r in sample.select("id", F.pandas_udf("binary")(held)("text").alias("bits")).toLocalIterator()}
+    p, u = (np.stack([bits[i] for i in chosen[kind]]) for kind in ("p", "u"))
+    return NnPu(min(max(float(prior), 0.001), 0.5)).fit(places, p, u)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
