@@ -97,9 +97,10 @@ def _with_copies(rows: DataFrame, sizes: DataFrame, scratch: Scratch, weights, s
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     targets = scratch.keep(targets.withColumn("whole", whole.cast("long"))
                            .withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
-    limits = scratch.keep(thresholds(sizes, targets), "limits").withColumnRenamed("source", "of")
+    limits = scratch.keep(thresholds(sizes, targets, scratch), "limits").withColumnRenamed("source", "of")
     limits = F.broadcast(limits) if _few(limits) else limits
-    copies = F.col("whole") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
+    # a source at its cap has no budget left, but rows without words may lie below its threshold
+    copies = F.least(F.col("whole") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0), F.lit(most).cast("long"))
     return rows.join(limits, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", copies)
 
 
@@ -108,8 +109,9 @@ def _few(limits: DataFrame, most: int = 100_000) -> bool:
     return limits.limit(most + 1).count() <= most
 
 
-def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source the hash below which rows are taken once more."""
+def thresholds(rows: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Per source the hash below which rows are taken once more.  Each level's
+    state, one row a source, is written, so that plans stay small."""
     small = _few(targets)
     hint = F.broadcast if small else (lambda d: d)
     at = targets.withColumn("lo", F.lit(0).cast("long")).withColumn("got", F.lit(0).cast("long"))
@@ -134,8 +136,7 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
                       F.coalesce(F.col("x.hit.bucket") * width, F.col("lo") + span).alias("lo"),
                       F.coalesce("x.hit.got", "t.got").alias("got"), F.col("x.hit.words").alias("words")))
         # a source whose running sum never passes its budget takes the rest of its range
-        if level < 3:
-            at = at.drop("words")
+        at = scratch.keep(at.drop("words") if level < 3 else at, f"at_{level}")
     nearer = F.abs(F.col("got") + F.col("words") - F.col("budget")) < F.abs(F.col("got") - F.col("budget"))
     return at.select("source", "source_size", "target", "whole",
                      (F.col("lo") + F.when(nearer, 1).otherwise(0)).alias("threshold"))

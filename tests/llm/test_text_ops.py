@@ -161,6 +161,10 @@ def test_mixing(spark):
     mixed = mixing.mixed_rows(frame)
     assert mixed.columns == frame.columns
     assert mixed.count() == sum(r.copies for r in got)
+    # texts without words below a capped source's threshold come no more than twice
+    capped = spark.createDataFrame([(i, "" if i % 20 else "w " * 50, "one") for i in range(60)] + [(99, "w " * 9000, "two")],
+                                   "doc_id long, text string, source string")
+    assert {r["count"] for r in mixing.mixed_rows(capped).where("source = 'one'").groupBy("doc_id").count().collect()} <= {1, 2}
     assert mixing.mix(frame.limit(0)).count() == 0 and mixing.mixed_rows(frame.limit(0)).count() == 0
 
 
