@@ -23,21 +23,24 @@ def ngrams(tokens, n: int) -> Column:
     return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
-def occurrence_tags(sorted_arr) -> Column:
-    """Elements of an already *sorted* array suffixed by their occurrence
-    number (``a, a, b`` -> ``a#1, a#2, b#1``), so multiset operations become
-    set operations.  Pass a column reference: the array is scanned once per
-    element by ``array_position``."""
-    s = _c(sorted_arr)
-    return F.transform(s, lambda x, i: F.concat(x, F.lit("#"),
-                                                (i + 1 - F.array_position(s, x)).cast("string")))
-
-
-def clipped_overlap(pred_sorted, ref_sorted) -> Column:
-    """Sum over distinct grams of ``min(count_pred, count_ref)`` for two
-    sorted gram arrays: the size of the multiset intersection, as a hash set
-    intersection of occurrence-tagged grams (native ``array_intersect``)."""
-    return F.size(F.array_intersect(occurrence_tags(pred_sorted), occurrence_tags(ref_sorted))).cast("bigint")
+def clipped_overlap(pred_grams, ref_grams) -> Column:
+    """Sum over distinct grams of ``min(count_pred, count_ref)``: the size of
+    the multiset intersection.  Both sides are sorted together, a gram's
+    prediction occurrences before its reference ones, and one fold spends the
+    former on the latter; linear after the sort."""
+    def side(grams, k):
+        return F.transform(_c(grams), lambda g: F.struct(g.alias("g"), F.lit(k).alias("side")))
+
+    def state(g, left, o):
+        return F.struct(g.alias("g"), left.cast("int").alias("left"), o.cast("bigint").alias("o"))
+
+    def step(s, x):
+        same = s["g"] == x["g"]
+        return (F.when(x["side"] == 0, state(x["g"], F.when(same, s["left"] + 1).otherwise(1), s["o"]))
+                .when(same & (s["left"] > 0), state(s["g"], s["left"] - 1, s["o"] + 1))
+                .otherwise(state(x["g"], F.lit(0), s["o"])))
+    both = F.array_sort(F.concat(side(pred_grams, 0), side(ref_grams, 1)))
+    return F.aggregate(both, state(F.lit(None).cast("string"), F.lit(0), F.lit(0)), step, lambda s: s["o"])
 
 
 def pad_truncate(ids, n: int, pad: int = 0) -> Column:
@@ -45,30 +48,65 @@ def pad_truncate(ids, n: int, pad: int = 0) -> Column:
     return F.slice(F.concat(_c(ids), F.array_repeat(F.lit(pad), n)), 1, n)
 
 
-def lcs_bitparallel(pred_tokens, ref_tokens, idx=None, full=None) -> Column:
-    """LCS length by the bit-parallel recurrence (Hyyro 2004), natively.
+LIMB = 62                  # bits of a limb: the sum of two and a carry stays below 2^63
+FULL = (1 << LIMB) - 1
 
-    The prediction side is the bit vector, so it must have at most 62
-    tokens (callers route longer rows to the Python path).  For each
-    reference token c: ``U = V & M[c]; V = (V + U) | (V - U)``; the LCS is the
-    number of zero bits of V among the low ``m`` bits.  ``idx`` (positions
-    ``0..m-1``) and ``full`` (``2^m - 1``) should be passed as materialised
-    columns so the lambdas do not rebuild them per element."""
-    p, r = _c(pred_tokens), _c(ref_tokens)
+
+def token_masks(tokens) -> Column:
+    """``struct(keys, masks)``: the distinct tokens, sorted, and for each its
+    places as a bit vector in limbs of ``LIMB`` bits.  One fold over the sorted
+    (token, place) pairs."""
+    t = _c(tokens)
+    limbs = F.ceil(F.size(t) / LIMB).cast("int")
+    zero = F.array_repeat(F.lit(0).cast("bigint"), limbs)
+    pairs = F.array_sort(F.transform(t, lambda x, i: F.struct(x.alias("t"), i.alias("i"))))
+
+    def state(keys, masks):
+        return F.struct(keys.alias("keys"), masks.alias("masks"))
+
+    def marked(mask, i):
+        return F.transform(mask, lambda v, w: F.when(w == F.floor(i / LIMB), v.bitwiseOR(F.call_function(
+            "shiftleft", F.lit(1).cast("bigint"), F.pmod(i, F.lit(LIMB))))).otherwise(v))
+
+    def step(s, x):
+        n = F.size(s["keys"])
+        same = (n > 0) & (F.get(s["keys"], n - 1) == x["t"])
+        last = F.get(s["masks"], n - 1)
+        return F.when(F.coalesce(same, F.lit(False)),
+                      state(s["keys"], F.concat(F.slice(s["masks"], 1, n - 1), F.array(marked(last, x["i"]))))) \
+            .otherwise(state(F.array_append(s["keys"], x["t"]), F.array_append(s["masks"], marked(zero, x["i"]))))
+    return F.aggregate(pairs, state(F.array().cast("array<string>"), F.array().cast("array<array<bigint>>")), step)
+
+
+def lcs_bitparallel(pred_tokens, ref_tokens, masks) -> Column:
+    """LCS length by the bit-parallel recurrence (Hyyro 2004) over bit vectors
+    of any length: for each reference token with mask M, ``V = (V + (V & M)) |
+    (V & ~M)``, limb by limb with carry; the LCS is the number of zero bits
+    among the low ``m``.  ``masks`` is a column of ``token_masks`` of the
+    prediction, materialised so that it is built once a row."""
+    p, r, known = _c(pred_tokens), _c(ref_tokens), _c(masks)
     m = F.size(p)
-    one = F.lit(1).cast("bigint")
-    full = _c(full) if full is not None else F.call_function("shiftleft", one, m) - 1
-    idx = _c(idx) if idx is not None else F.sequence(F.lit(0), F.greatest(m - 1, F.lit(0)))
-
-    def mask(c):
-        return F.aggregate(idx, F.lit(0).cast("bigint"),
-                           lambda acc, j: acc.bitwiseOR(
-                               F.when(F.get(p, j) == c, F.call_function("shiftleft", one, j))
-                               .otherwise(F.lit(0).cast("bigint"))))
-
-    def step(v, c):
-        u = v.bitwiseAND(mask(c))
-        return (v + u).bitwiseOR(v - u).bitwiseAND(full)
-
-    v = F.aggregate(r, full, step)
-    return F.when((m == 0) | (F.size(r) == 0), F.lit(0)).otherwise(m - F.bit_count(v))
+    limbs = F.ceil(m / LIMB).cast("int")
+    full = F.lit(FULL).cast("bigint")
+
+    def limb_step(vector, mask):
+        def step(s, i):
+            v, k = F.get(vector, i), F.get(mask, i)
+            total = v + v.bitwiseAND(k) + s["carry"]
+            return F.struct(F.call_function("shiftright", total, F.lit(LIMB)).alias("carry"),
+                            F.array_append(s["out"], total.bitwiseAND(full).bitwiseOR(v.bitwiseAND(F.bitwise_not(k)))).alias("out"))
+        start = F.struct(F.lit(0).cast("bigint").alias("carry"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(vector) - 1), start, step, lambda s: s["out"])
+
+    def step(vector, token):
+        at = F.array_position(known["keys"], token).cast("int")
+        return F.when(at == 0, vector).otherwise(limb_step(vector, F.get(known["masks"], at - 1)))
+
+    vector = F.aggregate(r, F.array_repeat(full, limbs), step)
+
+    def ones(acc, v, w):
+        low = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(m - w * LIMB, F.lit(LIMB))) - 1
+        return acc + F.bit_count(v.bitwiseAND(low))
+    kept = F.aggregate(F.transform(vector, lambda v, w: F.struct(v.alias("v"), w.alias("w"))), F.lit(0),
+                       lambda acc, x: ones(acc, x["v"], x["w"]))
+    return F.when((m == 0) | (F.size(r) == 0), F.lit(0)).otherwise(m - kept)

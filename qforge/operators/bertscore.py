@@ -5,15 +5,23 @@ For a (prediction, reference) pair with token vectors p_i and r_j:
 P = mean_i max_j cos(p_i, r_j), R = mean_j max_i cos(p_i, r_j),
 F = 2PR / (P + R) (0 when P + R = 0); a side without tokens gives 0.
 
-Tokens map to vectors by ``vec_id = md5-bucket(token) mod n_vectors``.
-Two physical strategies, chosen by the checked size of the vector table:
-
-* ``broadcast``: the table (n x dim doubles) is under ``max_broadcast_bytes``;
-  it is shipped once per executor and every row is scored in an Arrow batch
-  with one small matrix product.  No shuffle.
-* ``join``: the table is too big to ship.  Tokens are exploded, joined to the
-  vectors (shuffle join, AQE splits hot tokens), regrouped per pair (the group
-  is one text pair, bounded by the text lengths) and scored the same way.
+The table is ``token STRING, vec ARRAY<DOUBLE>``; tokens are the keys, so ids
+play no part.  Tokens it does not hold, and tokens whose vector is null, empty
+or has a null or non-finite component, count on neither side.  A zero vector
+has cosine 0 with all.  Of several rows of a token the least vector holds.
+Vectors are brought to unit length once, in the JVM, whatever their magnitude.
+
+The scores are the same by both physical plans, of which the checked size of
+the unit vectors chooses:
+
+* ``broadcast``: they are under ``max_broadcast_bytes`` and go to every
+  executor once; a row needs no shuffle.
+* ``join``: each text's distinct tokens, with their counts, meet their vectors
+  in a shuffle join (a hot token is split by AQE) and are grouped by pair
+  again; a group is bounded by the vocabulary of one text pair.
+
+Cosines are taken inside the pair.  A table of token pairs joined back would
+shuffle |p| x |r| rows a pair where the join ships |p| + |r| vectors.
 """
 
 from __future__ import annotations
@@ -30,38 +38,47 @@ _PRF = T.StructType([T.StructField("p", T.DoubleType()), T.StructField("r", T.Do
                      T.StructField("f", T.DoubleType())])
 
 
-def vec_bucket(token_col, n_vectors: int):
-    return F.pmod(F.conv(F.substr(F.md5(token_col), F.lit(1), F.lit(7)), 16, 10).cast("bigint"),
-                  F.lit(n_vectors))
+def unit_vectors(vectors: DataFrame) -> DataFrame:
+    """``token, vec``: one vector of length 1 (or 0) per usable token."""
+    v = F.col("vec").cast("array<double>")
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    one = (vectors.where(F.col("token").isNotNull() & (F.size(v) > 0) & F.coalesce(fine, F.lit(False)))
+           .groupBy("token").agg(F.min(v).alias("vec")))
+    # components are scaled by the largest first, so that squares neither vanish nor overflow
+    most = F.array_max(F.transform("vec", F.abs))
+    scaled = one.withColumn("vec", F.when(most > 0, F.transform("vec", lambda x: x / most)).otherwise(F.col("vec")))
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    return (scaled.withColumn("norm", norm)
+            .select("token", F.when(F.col("norm") > 0, F.transform("vec", lambda x: x / F.col("norm"))).otherwise(F.col("vec")).alias("vec")))
 
 
-def _greedy(pm: np.ndarray, rm: np.ndarray):
-    if pm.shape[0] == 0 or rm.shape[0] == 0:
+def _greedy(pm: np.ndarray, rm: np.ndarray, pn: np.ndarray | None = None, rn: np.ndarray | None = None):
+    """P, R, F of unit vectors; ``pn`` and ``rn`` count each token's occurrences."""
+    if len(pm) == 0 or len(rm) == 0:
         return 0.0, 0.0, 0.0
-    pn = pm / np.linalg.norm(pm, axis=1, keepdims=True)
-    rn = rm / np.linalg.norm(rm, axis=1, keepdims=True)
-    sim = pn @ rn.T
-    p = float(sim.max(axis=1).mean())
-    r = float(sim.max(axis=0).mean())
+    sim = pm @ rm.T
+    p = float(np.average(sim.max(axis=1), weights=pn))
+    r = float(np.average(sim.max(axis=0), weights=rn))
     f = 2 * p * r / (p + r) if p + r != 0 else 0.0
     return p, r, f
 
 
-def _score_ids_factory(bc):
+def _score_tokens_factory(bc):
     @F.pandas_udf(_PRF)
-    def score_ids(p_ids: pd.Series, r_ids: pd.Series) -> pd.DataFrame:
-        mat = bc.value
-        out = [_greedy(mat[np.asarray(a, dtype=np.int64)], mat[np.asarray(b, dtype=np.int64)])
-               for a, b in zip(p_ids, r_ids)]
-        return pd.DataFrame(out, columns=["p", "r", "f"])
-    return score_ids
+    def score_tokens(p_tokens: pd.Series, r_tokens: pd.Series) -> pd.DataFrame:
+        place, mat = bc.value
+
+        def side(tokens):
+            return mat[[place[t] for t in ([] if tokens is None else tokens) if t in place]]
+        return pd.DataFrame([_greedy(side(a), side(b)) for a, b in zip(p_tokens, r_tokens)], columns=["p", "r", "f"])
+    return score_tokens
 
 
 @F.pandas_udf(_PRF)
-def _score_vecs(p_vecs: pd.Series, r_vecs: pd.Series) -> pd.DataFrame:
+def _score_vecs(p_vecs: pd.Series, p_counts: pd.Series, r_vecs: pd.Series, r_counts: pd.Series) -> pd.DataFrame:
     def mat(v):
         return np.stack(v).astype(np.float64) if len(v) else np.zeros((0, 1))
-    out = [_greedy(mat(a), mat(b)) for a, b in zip(p_vecs, r_vecs)]
+    out = [_greedy(mat(a), mat(b), np.asarray(n), np.asarray(m)) for a, n, b, m in zip(p_vecs, p_counts, r_vecs, r_counts)]
     return pd.DataFrame(out, columns=["p", "r", "f"])
 
 
@@ -69,40 +86,36 @@ def bertscore(df: DataFrame, keys, vectors: DataFrame, pred_tokens: str = "pred_
               ref_tokens: str = "ref_tokens", prefix: str = "bert", ndigits=6,
               strategy: str = "auto", max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST,
               passthrough=()) -> DataFrame:
-    """Score every row of ``df`` (one pair per row).  ``vectors`` is
-    ``vec_id BIGINT (dense 0..n-1), vec ARRAY<DOUBLE>``.  ``passthrough``
-    columns are carried to the output (no join back needed by callers)."""
+    """Score every row of ``df`` (one pair per row, told apart by ``keys``).
+    ``vectors`` is ``token STRING, vec ARRAY<DOUBLE>``, all vectors of one
+    length.  ``passthrough`` columns are carried to the output (no join back
+    needed by callers)."""
     spark = df.sparkSession
-    stats = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
-    n_vec, dim = int(stats["n"]), int(stats["d"] or 0)
-    size = n_vec * dim * 8
+    units = unit_vectors(vectors)
     if strategy == "auto":
+        # the check reads sizes only: what is sent holds at most this many bytes
+        size = vectors.agg(F.sum(8 * F.size("vec") + F.octet_length("token") + 64)).first()[0] or 0
         strategy = "broadcast" if size <= max_broadcast_bytes else "join"
     rnd = (lambda c: F.round(c, ndigits)) if ndigits is not None else (lambda c: c)
     kcols = [F.col(k) for k in keys] + [F.col(c) for c in passthrough]
 
     if strategy == "broadcast":
-        rows = vectors.orderBy("vec_id").select("vec").collect()  # size checked above
-        mat = np.array([r["vec"] for r in rows], dtype=np.float64) if rows else np.zeros((0, dim))
-        bc = spark.sparkContext.broadcast(mat)
-        ids = df.select(*kcols,
-                        F.transform(pred_tokens, lambda t: vec_bucket(t, n_vec)).alias("_pi"),
-                        F.transform(ref_tokens, lambda t: vec_bucket(t, n_vec)).alias("_ri"))
-        s = _score_ids_factory(bc)(F.col("_pi"), F.col("_ri"))
+        rows = units.collect()  # size checked above
+        mat = np.array([r["vec"] for r in rows], dtype=np.float64) if rows else np.zeros((0, 1))
+        bc = spark.sparkContext.broadcast(({r["token"]: k for k, r in enumerate(rows)}, mat))
+        ids, s = df, _score_tokens_factory(bc)(F.col(pred_tokens), F.col(ref_tokens))
     else:
         sides = F.array(F.struct(F.lit(0).alias("side"), F.col(pred_tokens).alias("toks")),
                         F.struct(F.lit(1).alias("side"), F.col(ref_tokens).alias("toks")))
-        toks = (df.select(*kcols, F.inline(sides))
-                .select(*kcols, "side", F.explode("toks").alias("tok"))
-                .withColumn("vec_id", vec_bucket(F.col("tok"), n_vec)))
-        joined = toks.join(vectors, "vec_id")
-        grouped = joined.groupBy(*keys).agg(
-            F.collect_list(F.when(F.col("side") == 0, F.col("vec"))).alias("_pv"),
-            F.collect_list(F.when(F.col("side") == 1, F.col("vec"))).alias("_rv"))
-        # pairs whose both sides are empty never reach the join: add them back
+        kept = [F.col(k) for k in keys]
+        counted = (df.select(*kept, F.inline(sides)).select(*kept, "side", F.explode("toks").alias("token"))
+                   .groupBy(*keys, "side", "token").agg(F.count("*").alias("n")))
+        met = counted.join(units, "token")
+        per_side = [F.sort_array(F.collect_list(F.when(F.col("side") == k, F.struct("token", "n", "vec")))).alias(f"_{k}") for k in (0, 1)]
+        grouped = met.groupBy(*keys).agg(*per_side)
+        # pairs without a known token never reach the join: add them back
         ids = df.select(*kcols).join(grouped, list(keys), "left")
-        kcols = [F.col(k) for k in keys] + [F.col(c) for c in passthrough]
-        empty = F.array().cast("array<array<double>>")
-        s = _score_vecs(F.coalesce("_pv", empty), F.coalesce("_rv", empty))
+        vecs, counts = F.array().cast("array<array<double>>"), F.array().cast("array<bigint>")
+        s = _score_vecs(F.coalesce("_0.vec", vecs), F.coalesce("_0.n", counts), F.coalesce("_1.vec", vecs), F.coalesce("_1.n", counts))
     return ids.select(*kcols, rnd(s["p"]).alias(f"{prefix}_p"), rnd(s["r"]).alias(f"{prefix}_r"),
                       rnd(s["f"]).alias(f"{prefix}_f"))

@@ -1,11 +1,9 @@
 """ROUGE-1/2 (M1), ROUGE-L (M2), ROUGE-Lsum (M3), ROUGE-S (M4) per row.
 
-Scores are computed inside each (prediction, reference) row, so scoring
-needs no shuffle at all: the only exchange in an evaluation plan is the J1
-join that brings predictions and references together.  ROUGE-N and ROUGE-S
-count in arrays or by pair counts; ROUGE-L uses a native bit-parallel LCS for
-predictions up to 62 tokens and an Arrow-batched Python DP above that;
-ROUGE-Lsum (sentence-level union LCS) is the one Python-only piece.
+Scores are computed inside each (prediction, reference) row.  ROUGE-N merges
+sorted grams in one fold, ROUGE-L folds a bit vector of any length, both in the
+JVM; ROUGE-S counts token pairs in numpy and ROUGE-Lsum (sentence-level union
+LCS) is the one Python-only piece.
 
 Definitions (clipped counts, P/R/F as the public ``rouge_score`` package):
 P = overlap / max(#pred grams, 1), R = overlap / max(#ref grams, 1),
@@ -20,11 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qforge.functions.arrays import clipped_overlap, lcs_bitparallel, ngrams
+from qforge.functions.arrays import clipped_overlap, lcs_bitparallel, ngrams, token_masks
 from qforge.functions.text import metric_tokens
 
-BIT_LIMIT = 62
-
 
 def _round(ndigits):
     return (lambda c: F.round(c, ndigits)) if ndigits is not None else (lambda c: c)
@@ -51,10 +47,10 @@ def with_tokens(df: DataFrame, pred_col: str = "prediction", ref_col: str = "ref
 
 
 def overlap_stage(t: DataFrame, prefix: str, pred_grams, ref_grams, ndigits=6) -> DataFrame:
-    """Clipped gram overlap in three projections: sorted grams, tagged set
-    intersection, then P/R/F."""
+    """Clipped gram overlap in three projections: grams, their overlap, then
+    P/R/F."""
     gp, gr = f"_{prefix}_gp", f"_{prefix}_gr"
-    t = t.withColumn(gp, F.array_sort(pred_grams)).withColumn(gr, F.array_sort(ref_grams))
+    t = t.withColumn(gp, pred_grams).withColumn(gr, ref_grams)
     t = (t.withColumn(f"_{prefix}_o", clipped_overlap(gp, gr))
           .withColumn(f"_{prefix}_np", F.size(gp)).withColumn(f"_{prefix}_nr", F.size(gr)))
     return _prf_stage(t, prefix, ndigits)
@@ -96,31 +92,46 @@ def rouge_n_exploded(t: DataFrame, keys, ns=(1, 2), ndigits=6) -> DataFrame:
     return res.select(*k, *out)
 
 
-def skip_counts(tokens, ids: dict) -> np.ndarray:
-    """``m[a, b]``: how often b comes anywhere after a, over the tokens in ``ids``."""
-    m = np.zeros((len(ids), len(ids)), np.int64)
-    after = np.zeros(len(ids), np.int64)
-    for t in reversed(tokens):
-        k = ids.get(t)
-        if k is not None:
-            m[k] += after
-            after[k] += 1
-    return m
+SKIP_BLOCK = 64            # first tokens whose pairs are counted together
+
+
+def _pairs_after(codes: np.ndarray, first: int, size: int, d: int) -> np.ndarray:
+    """``c[b, a]``: how often token b comes anywhere after token ``first + a``,
+    for all d tokens b and ``size`` tokens a.  Every token occurs."""
+    before = (codes[:, None] == np.arange(first, first + size)).cumsum(0)
+    order = np.argsort(codes, kind="stable")
+    heads = np.searchsorted(codes[order], np.arange(d))
+    counts = np.add.reduceat(before[order], heads, axis=0)
+    # an occurrence was counted as before itself
+    own = np.arange(first, first + size)
+    counts[own, own - first] -= np.bincount(codes, minlength=d)[own]
+    return counts
+
+
+def skip_overlap(pred: list, ref: list) -> int:
+    """Clipped overlap of ordered token pairs.  Only tokens common to both
+    sides count; pairs are counted for ``SKIP_BLOCK`` first tokens at a time, so
+    memory is ``SKIP_BLOCK`` times the common tokens' occurrences."""
+    ids = {t: k for k, t in enumerate(sorted(set(pred) & set(ref)))}
+    if not ids:
+        return 0
+    p, r = (np.array([ids[t] for t in side if t in ids]) for side in (pred, ref))
+    total = 0
+    for first in range(0, len(ids), SKIP_BLOCK):
+        size = min(SKIP_BLOCK, len(ids) - first)
+        total += int(np.minimum(_pairs_after(p, first, size, len(ids)), _pairs_after(r, first, size, len(ids))).sum())
+    return total
 
 
 @F.pandas_udf(T.LongType())
 def _skip_overlap(pred: pd.Series, ref: pd.Series) -> pd.Series:
-    out = []
-    for p, r in zip(pred, ref):
-        ids = {t: k for k, t in enumerate(sorted(set(p) & set(r)))}
-        out.append(int(np.minimum(skip_counts(p, ids), skip_counts(r, ids)).sum()) if ids else 0)
-    return pd.Series(out, dtype="int64")
+    return pd.Series([skip_overlap(list(p), list(r)) for p, r in zip(pred, ref)], dtype="int64")
 
 
 def rouge_s_stage(t: DataFrame, prefix: str = "rougeS", ndigits=6) -> DataFrame:
     """Clipped overlap of ordered token pairs from counts per pair of common
-    tokens: linear in the text times its distinct common tokens, no pair of
-    positions is ever built."""
+    tokens: time grows with the text times its distinct common tokens, memory
+    with the text; no pair of positions and no square of the tokens is built."""
     def n_pairs(col):
         return F.expr(f"cast(size({col}) as bigint) * (size({col}) - 1) div 2")
     t = (t.withColumn(f"_{prefix}_o", _skip_overlap("pred_tokens", "ref_tokens"))
@@ -128,26 +139,10 @@ def rouge_s_stage(t: DataFrame, prefix: str = "rougeS", ndigits=6) -> DataFrame:
     return _prf_stage(t, prefix, ndigits)
 
 
-@F.pandas_udf(T.IntegerType())
-def _lcs_udf(pred: pd.Series, ref: pd.Series) -> pd.Series:
-    from qforge.functions.lcs import lcs_len
-    out = []
-    for p, r in zip(pred, ref):
-        out.append(None if p is None or r is None else lcs_len(list(r), list(p)))
-    return pd.Series(out, dtype="Int32")
-
-
 def lcs_stage(t: DataFrame) -> DataFrame:
-    """``_lcs``: native bit-parallel LCS for predictions up to 62 tokens,
-    Python DP for longer ones (only long rows carry data to Python)."""
-    m = F.size("pred_tokens")
-    t = (t.withColumn("_long", m > BIT_LIMIT)
-          .withColumn("_idx", F.when(m <= BIT_LIMIT, F.sequence(F.lit(0), F.greatest(m - 1, F.lit(0)))))
-          .withColumn("_full", F.when(m <= BIT_LIMIT,
-                                      F.call_function("shiftleft", F.lit(1).cast("bigint"), m) - 1)))
-    slow = _lcs_udf(F.when(F.col("_long"), F.col("pred_tokens")), F.when(F.col("_long"), F.col("ref_tokens")))
-    return t.withColumn("_lcs", F.when(F.col("_long"), slow)
-                        .otherwise(lcs_bitparallel("pred_tokens", "ref_tokens", "_idx", "_full")))
+    """``_lcs``: native bit-parallel LCS of token lists of any length."""
+    t = t.withColumn("_masks", token_masks("pred_tokens"))
+    return t.withColumn("_lcs", lcs_bitparallel("pred_tokens", "ref_tokens", "_masks")).drop("_masks")
 
 
 def rouge_l_stage(t: DataFrame, prefix: str = "rougeL", ndigits=6) -> DataFrame:

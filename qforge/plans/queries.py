@@ -249,9 +249,15 @@ def q24(spark, sf):
 
 
 # ------------------------------------------------------------------ ROUGE
+def _scored(spark, sf, cleanup="eval"):
+    """The evaluation frame, ready for scores of each row."""
+    from qforge.operators.evaluate import spread
+    return spread(_eval(spark, sf, cleanup), "id", "model")
+
+
 def _rouge(spark, sf, metrics, ndigits=6):
     from qforge.operators.rouge import rouge_scores
-    return rouge_scores(_eval(spark, sf), ["id", "model"], metrics=metrics, ndigits=ndigits)
+    return rouge_scores(_scored(spark, sf), ["id", "model"], metrics=metrics, ndigits=ndigits)
 
 
 @query("q25_rouge1")
@@ -279,19 +285,25 @@ def q29(spark, sf):
     return _rouge(spark, sf, ("rougeS",))
 
 
-def _vectors(spark, sf):
-    return FX.token_vectors(read_table(spark, sf, "embeddings"))
+def _vectors(spark, sf, rows):
+    """The token-vector table of the tokens in ``rows``, stored as a caller's would be."""
+    from qforge.session import scratch_path
+    tokens = rows.select(F.explode(F.array_union("pred_tokens", "ref_tokens")).alias("token"))
+    table = FX.token_vectors(read_table(spark, sf, "embeddings"), tokens)
+    path = scratch_path(spark, "token-vectors")
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
 
 
 def _all_scores(spark, sf):
     """Per (id, model): ROUGE-1/2/L/S and the embedding score, one frame."""
     from qforge.operators.bertscore import bertscore
     from qforge.operators.rouge import rouge_scores, with_tokens
-    ev = _eval(spark, sf)
+    ev = _scored(spark, sf)
     mets = ("rouge1", "rouge2", "rougeL", "rougeS")
     r = rouge_scores(ev, ["id", "model"], metrics=mets, ndigits=None, keep=("pred_tokens", "ref_tokens"))
     # one pass: the embedding score is a per-row column over the same frame
-    return bertscore(r, ["id", "model"], _vectors(spark, sf), ndigits=None,
+    return bertscore(r, ["id", "model"], _vectors(spark, sf, with_tokens(_scored(spark, sf))), ndigits=None,
                      passthrough=[f"{m}_f" for m in mets])
 
 
@@ -333,7 +345,7 @@ def q32b(spark, sf):
 def q33(spark, sf):
     from qforge.operators.bertscore import bertscore
     from qforge.operators.rouge import with_tokens
-    return bertscore(with_tokens(_eval(spark, sf)), ["id", "model"], _vectors(spark, sf))
+    return bertscore(with_tokens(_scored(spark, sf)), ["id", "model"], _vectors(spark, sf, with_tokens(_scored(spark, sf))))
 
 
 # ------------------------------------------------------------------ reward
@@ -342,8 +354,8 @@ def _reward_rows(spark, sf, cfg_name="code", ndigits=6):
     from qforge.operators.bertscore import bertscore
     from qforge.operators.rouge import with_tokens
     cfg = RW.CODE if cfg_name == "code" else RW.PAPER
-    ev = _eval(spark, sf, "reward")
-    j = bertscore(with_tokens(ev), ["id", "model"], _vectors(spark, sf), ndigits=None,
+    vectors = _vectors(spark, sf, with_tokens(_scored(spark, sf, "reward")))
+    j = bertscore(with_tokens(_scored(spark, sf, "reward")), ["id", "model"], vectors, ndigits=None,
                   passthrough=["prediction", "reference", "answer"])
     t = RW.reward_terms("prediction", "reference", "answer", cfg)
     return j.select("id", "model", F.round("bert_f", 6).alias("bert_f"),

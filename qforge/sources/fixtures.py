@@ -112,6 +112,11 @@ def stub_predictions(qa: DataFrame, models=MODELS) -> DataFrame:
             .select("id", F.inline(arr)))
 
 
-def token_vectors(embeddings: DataFrame) -> DataFrame:
-    """``vec_id, vec ARRAY<DOUBLE>``: the caller's token-vector table."""
-    return embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+def token_vectors(embeddings: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``token, vec ARRAY<DOUBLE>``: the caller's token-vector table.  Stands in
+    for an encoder: each distinct token of ``tokens`` has the embedding whose
+    ``vec_id`` is 28 bits of its md5 modulo the number of embeddings."""
+    n = max(1, embeddings.count())
+    bucket = F.pmod(F.conv(F.substr(F.md5("token"), F.lit(1), F.lit(7)), 16, 10).cast("bigint"), F.lit(n))
+    return (tokens.select("token").distinct().withColumn("vec_id", bucket).join(embeddings.select("vec_id", "embedding"), "vec_id")
+            .select("token", F.col("embedding").cast("array<double>").alias("vec")))

@@ -1,10 +1,13 @@
 """ROUGE, LCS, embedding score and reward: goldens and Python differentials."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from qforge.functions.arrays import clipped_overlap
 from qforge.functions.lcs import lcs_len
 from qforge.operators import reward as RW
 from qforge.operators.bertscore import bertscore
@@ -80,20 +83,77 @@ def test_rouge_n_differential(spark):
         assert s[i]["rougeS_f"] == py(p, r, skip)
 
 
-def test_bertscore_strategies_agree(spark):
+def plain_bertscore(pred, ref, table):
+    def unit(v):
+        v = np.array(v) / max(np.abs(v).max(), 1e-320)
+        return v / max(np.linalg.norm(v), 1e-320)
+    ps, rs = ([unit(table[t]) for t in side.split() if t in table] for side in (pred, ref))
+    if not ps or not rs:
+        return 0.0, 0.0, 0.0
+    sim = np.array([[float(a @ b) for b in rs] for a in ps])
+    p, r = sim.max(1).mean(), sim.max(0).mean()
+    return p, r, 2 * p * r / (p + r) if p + r else 0.0
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "join"])
+def test_bertscore_by_token(spark, strategy):
+    """Tokens are the keys; unknown tokens, bad vectors and zero vectors have
+    one meaning in both plans."""
     rng = np.random.default_rng(3)
-    vecs = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(50)]
-    vt = spark.createDataFrame(vecs, "vec_id bigint, vec array<double>")
-    df = spark.createDataFrame([(1, "a b c", "a b"), (2, "", "x"), (3, "same", "same")],
-                               "id int, prediction string, reference string")
-    t = with_tokens(df)
-    b = {r["id"]: r for r in bertscore(t, ["id"], vt, strategy="broadcast").collect()}
-    j = {r["id"]: r for r in bertscore(t, ["id"], vt, strategy="join").collect()}
-    for k in (1, 2, 3):
-        assert b[k]["bert_f"] == j[k]["bert_f"]
-    assert b[2]["bert_f"] == 0.0
-    assert b[3]["bert_f"] == 1.0
-    assert -1.0 <= b[1]["bert_p"] <= 1.0
+    table = {f"w{7 * i}": [float(x) for x in rng.normal(size=8)] for i in range(40)}          # sparse numbers in the names
+    table |= {"zero": [0.0] * 8, "tiny": [1e-200] * 8, "huge": [1e300] + [1e250] * 7}
+    bad = [("null", None), ("part", [1.0, None] * 4), ("nan", [float("nan")] * 8), ("empty", []), (None, [1.0] * 8), ("w0", [9.0] * 8)]
+    vt = spark.createDataFrame([*table.items(), *bad], "token string, vec array<double>")
+    table["w0"] = min(table["w0"], [9.0] * 8)
+    names = [*table, "null", "part", "nan", "empty", "never"]
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.choices(names, k=rnd.randint(0, 30))), " ".join(rnd.choices(names, k=rnd.randint(0, 30)))) for i in range(60)]
+    rows += [(100, "w7 w14", "w7 w14"), (101, "zero", "zero"), (102, "tiny", "tiny"), (103, "huge huge", "huge"), (104, "", ""),
+             (105, "never", "w7"), (106, "w7 w7 w7 w14", "w7 w21")]
+    df = with_tokens(spark.createDataFrame(rows, "id int, prediction string, reference string")).withColumn("_0", F.lit("kept"))
+    got = {r["id"]: r for r in bertscore(df, ["id"], vt, strategy=strategy, ndigits=None, passthrough=["reference"]).collect()}
+    assert len(got) == len(rows)
+    for i, pred, ref in rows:
+        want = plain_bertscore(pred, ref, table)
+        assert np.allclose((got[i]["bert_p"], got[i]["bert_r"], got[i]["bert_f"]), want, atol=1e-12), (pred, ref)
+        assert got[i]["reference"] == ref
+    assert got[100]["bert_f"] == pytest.approx(1) and got[101]["bert_f"] == 0 and got[102]["bert_f"] == pytest.approx(1)
+
+
+def test_lcs_of_any_length(spark):
+    """Bit vectors of several limbs: carries, limb edges, long rows."""
+    rng = random.Random(9)
+    pairs = [(["a"] * n, ["a"] * m) for n in (1, 61, 62, 63, 124, 125, 200) for m in (1, 62, 130)]
+    pairs += [([rng.choice("abcd") for _ in range(rng.randint(50, 300))], [rng.choice("abcde") for _ in range(rng.randint(0, 300))]) for _ in range(25)]
+    pairs += [([f"t{rng.randrange(400)}" for _ in range(900)], [f"t{rng.randrange(400)}" for _ in range(800)])]
+    got = _lcs_spark(spark, pairs)
+    for i, (a, b) in enumerate(pairs):
+        assert got[i] == lcs_len(b, a), (len(a), len(b))
+
+
+def test_overlap_is_linear_and_exact(spark):
+    rng = random.Random(4)
+    pairs = [([rng.choice(["a", "b", "a b", "", "c#1"]) for _ in range(rng.randint(0, 40))] for _ in range(2)) for _ in range(60)]
+    pairs = [(i, list(a), list(b)) for i, (a, b) in enumerate(pairs)] + [(1000, ["x"] * 30_000, ["x"] * 20_000 + ["y"] * 9)]
+    df = spark.createDataFrame(pairs, "id int, p array<string>, r array<string>")
+    got = {r.id: r.o for r in df.select("id", clipped_overlap("p", "r").alias("o")).collect()}
+    assert got == {i: sum((Counter(a) & Counter(b)).values()) for i, a, b in pairs}
+
+
+def test_skip_overlap_of_long_texts():
+    from qforge.operators.rouge import skip_overlap
+    rng = random.Random(2)
+    for _ in range(60):
+        a, b = ([rng.choice("abcdefgh") for _ in range(rng.randint(0, 25))] for _ in range(2))
+        def count(t):
+            return Counter((t[i], t[j]) for i in range(len(t)) for j in range(i + 1, len(t)))
+        assert skip_overlap(a, b) == sum((count(a) & count(b)).values())
+    n = 20_000                                    # distinct tokens: a square of them would take gigabytes
+    import tracemalloc
+    tracemalloc.start()
+    assert skip_overlap([str(i) for i in range(n)], [str(i) for i in range(n)]) == n * (n - 1) // 2
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
 
 
 @pytest.mark.parametrize("f1,pred,target,answer,expected", [
