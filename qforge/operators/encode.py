@@ -84,6 +84,24 @@ def encode(df: DataFrame, key: str, col: str, vocab: DataFrame, max_len: int, ou
     return encode_columns(df, key, {col: (max_len, out_col)}, vocab).withColumnRenamed(f"{out_col}_mask", "attention_mask")
 
 
+def pad_to_longest(df: DataFrame, batch_col: str, seq_col: str, pad: int = PAD, width_col: str = "width") -> DataFrame:
+    """Sequences padded to the longest of their batch; ``width_col`` is that
+    length.  Batch maxima are one small aggregation joined back; each row is
+    padded where it is.  A null sequence counts as empty; rows without a batch
+    are a batch of their own kind."""
+    size = F.coalesce(F.size(seq_col), F.lit(0))
+    widths = df.groupBy(F.col(batch_col).alias("_batch")).agg(F.max(size).cast("bigint").alias(width_col))
+    seq = F.coalesce(F.col(seq_col), F.array().cast(df.schema[seq_col].dataType))
+    return (df.join(widths, F.col(batch_col).eqNullSafe(F.col("_batch")))
+            .withColumn(seq_col, F.concat(seq, F.array_repeat(F.lit(pad).cast(df.schema[seq_col].dataType.elementType),
+                                                              (F.col(width_col) - size).cast("int")))).drop("_batch"))
+
+
+def ragged(ids, mask):
+    """A padded sequence without its padding."""
+    return F.slice(ids, 1, F.aggregate(mask, F.lit(0), lambda a, m: a + m))
+
+
 def token_budget(df: DataFrame, cols_limits: dict) -> DataFrame:
     """Per text column, rows, share truncated at the limit, max and
     median token counts (one aggregation)."""

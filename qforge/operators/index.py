@@ -104,23 +104,76 @@ def seeded_order(key_col, seed: int = 42) -> list[Column]:
     return [seeded_key(seed, key_col), F.col(key_col) if isinstance(key_col, str) else key_col]
 
 
-def position_slice(df: DataFrame, order, start: int, stop: int, idx_col: str = "row_idx",
-                   max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """rows whose position is in ``[start, stop)``.
-
-    When the order is given as column names forming a key, only those
-    columns are sorted and checkpointed; the slice (at most ``stop - start``
-    rows, so broadcast when that bound is small) is joined back to the full
-    rows.  Whole texts never go through the sort."""
-    if all(isinstance(c, str) for c in order) and set(order) != set(df.columns):
-        keys = list(order)
-        idx = with_row_index(df.select(*keys), keys, idx_col)
-        sl = idx.where((F.col(idx_col) >= start) & (F.col(idx_col) < stop))
-        if stop - start <= max_broadcast_rows:
-            sl = F.broadcast(sl)
-        return df.join(sl, keys)
-    out = with_row_index(df, order, idx_col)
-    return out.where((F.col(idx_col) >= start) & (F.col(idx_col) < stop))
+HISTOGRAM = 4096           # ranges a refinement counts
+FINE = 1 << 16             # rows a boundary range may hold
+
+
+def _between(df: DataFrame, key: str, start: int, stop: int) -> tuple[DataFrame, int]:
+    """Rows of few key ranges that hold ranks ``[start, stop)`` of the order by
+    ``key`` (nulls first), and how many rows come before them.
+
+    One histogram holds both bounds; then only the range with a bound is
+    counted again, finer, until it holds few rows or one key."""
+    k = F.col(f"`{key}`")
+    n, nulls, least, most = df.agg(F.count(F.lit(1)), F.count_if(k.isNull()), F.min(k), F.max(k)).first()
+    if start >= n or stop <= start:
+        return df.where(F.lit(False)), 0
+    if stop <= nulls:
+        return df.where(k.isNull()), 0
+    seen: dict[tuple, list] = {}
+
+    def histogram(a: int, b: int) -> list:
+        """(first key, last key, rows) of the non-empty ranges of ``a .. b``."""
+        if (a, b) not in seen:
+            width = -(-(b - a + 1) // HISTOGRAM)
+            place = F.call_function("div", k.cast("decimal(20,0)") - F.lit(a).cast("decimal(20,0)"), F.lit(str(width)).cast("decimal(20,0)"))
+            counts = df.where((k >= a) & (k <= b)).groupBy(place.cast("bigint").alias("place")).agg(F.count(F.lit(1)).alias("n"))
+            seen[a, b] = [(a + r.place * width, min(b, a + (r.place + 1) * width - 1), r.n) for r in sorted(counts.collect())]   # HISTOGRAM rows at most
+        return seen[a, b]
+
+    def cut(rank: int) -> tuple[int, int, int]:
+        """The range that holds ``rank``, as (first key, last key, rows before)."""
+        a, b, before, rows = int(least), int(most), nulls, n - nulls
+        while rows > FINE and a < b:
+            for a, b, rows in histogram(a, b):
+                if before + rows > rank:
+                    break
+                before += rows
+        return a, b, before
+    last = cut(min(stop, n) - 1)[1]
+    if start < nulls:
+        return df.where(k.isNull() | (k <= last)), 0
+    first, _, before = cut(start)
+    return df.where((k >= first) & (k <= last)), before
+
+
+def position_slice(df: DataFrame, order, start: int, stop: int, idx_col: str = "row_idx") -> DataFrame:
+    """rows whose position is in ``[start, stop)`` of ``order``.
+
+    Where the first column is an integer, the key ranges that hold the bounds
+    are found by counting (``_between``); the table is then filtered to the
+    slice's keys, and only the slice and the rows of its two boundary ranges
+    are sorted, however large the table.  Other orders are indexed whole, by
+    their key columns where these are names.  Fewer rows than ``start`` give
+    none; an empty range gives none."""
+    named = all(isinstance(c, str) for c in order)
+    before, start = 0, max(start, 0)
+    if named and df.schema[order[0]].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
+        df, before = _between(df, order[0], start, stop)
+    keys = list(order) if named and set(order) != set(df.columns) else None
+    out = with_row_index(df.select(*keys) if keys else df, keys or order, idx_col).withColumn(idx_col, F.col(idx_col) + F.lit(before).cast("bigint"))
+    out = out.where((F.col(idx_col) >= start) & (F.col(idx_col) < stop))
+    if keys is None:
+        return out
+    # the order is a key: a slice meets its rows again by it
+    own = out.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], idx_col)
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    return df.join(own, same).select(*df.columns, idx_col)
+
+
+def row_at(df: DataFrame, order, position: int, idx_col: str = "row_idx") -> DataFrame:
+    """the one row at ``position``; none beyond the end."""
+    return position_slice(df, order, position, position + 1, idx_col)
 
 
 def seeded_sample(df: DataFrame, key_col: str, k: int, seed: int = 42) -> DataFrame:
@@ -217,26 +270,37 @@ def contiguous_shard(row_idx: Column, total: int, num_shards: int) -> Column:
         .otherwise(F.lit(mod) + F.floor((row_idx - big) / div)).cast("bigint")
 
 
+BLOCK = 1 << 16            # rows, and blocks of rows, that one window task sums
+
+
 def running_mean(df: DataFrame, value_col: str, group_col: str, order_col: str,
-                 out_col: str = "running_mean", block: int = 1 << 16) -> DataFrame:
-    """Mean so far per group in ``order_col`` order, as a distributed scan.
+                 out_col: str = "running_mean", block: int = BLOCK) -> DataFrame:
+    """Mean so far per group in ``order_col`` order, as a prefix scan.
 
     A plain ``avg over (partition by group order by pos)`` puts a whole group
-    in one task.  Instead the rows are cut into blocks of ``block`` positions:
-    per-block sums (partial aggregation), a prefix over the small block table,
-    then a running sum inside each (group, block) window."""
-    blk = F.floor(F.col(order_col) / block).cast("bigint")
-    base = df.withColumn("_blk", blk)
-    sums = (base.groupBy(group_col, "_blk")
-            .agg(F.sum(value_col).alias("_s"), F.count(value_col).alias("_c")))
-    wb = Window.partitionBy(group_col).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = sums.select(group_col, "_blk",
-                         F.coalesce(F.sum("_s").over(wb), F.lit(0.0)).alias("_ps"),
-                         F.coalesce(F.sum("_c").over(wb), F.lit(0)).alias("_pc"))
-    wi = Window.partitionBy(group_col, "_blk").orderBy(order_col) \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    out = (base.join(prefix, [group_col, "_blk"])
-           .withColumn(out_col, (F.col("_ps") + F.sum(value_col).over(wi))
-                       / (F.col("_pc") + F.count(value_col).over(wi)))
-           .drop("_blk", "_ps", "_pc"))
-    return out
+    in one task.  Here rows get dense positions by (group, order) first, so
+    that blocks of ``block`` positions hold that many rows whatever the ids.
+    Sums of blocks, and of blocks of blocks, are small tables; a prefix over
+    each level inside the one above and a running sum inside each block make
+    up a row's mean.  No window holds more than ``block`` rows, but the top
+    one: a group's rows by ``block`` squared.
+
+    The indexed rows are a checkpoint, so ``df`` is computed once.  Null values
+    count in no mean (null before a group's first value); a null group is a
+    group; ``order_col`` must be unique within a group."""
+    pos = with_row_index(df, [group_col, order_col], "_pos")
+    base = pos.withColumn("_b1", F.floor(F.col("_pos") / block).cast("bigint")).withColumn("_b2", F.floor(F.col("_b1") / block).cast("bigint"))
+
+    def before(sums, parts, by):
+        w = Window.partitionBy(*parts).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return (sums.withColumn("_ps", F.coalesce(F.sum("_s").over(w), F.lit(0.0))).withColumn("_pc", F.coalesce(F.sum("_c").over(w), F.lit(0))))
+    level1 = base.groupBy(group_col, "_b2", "_b1").agg(F.coalesce(F.sum(value_col), F.lit(0)).cast("double").alias("_s"), F.count(value_col).alias("_c"))
+    level2 = level1.groupBy(group_col, "_b2").agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
+    top = before(level2, [group_col], "_b2").select(F.col(group_col).alias("_g"), F.col("_b2").alias("_t"), F.col("_ps").alias("_ts"), F.col("_pc").alias("_tc"))
+    mid = before(level1, [group_col, "_b2"], "_b1").join(top, F.col(group_col).eqNullSafe(F.col("_g")) & (F.col("_b2") == F.col("_t"))) \
+        .select(F.col(group_col).alias("_g"), F.col("_b1").alias("_t"), (F.col("_ps") + F.col("_ts")).alias("_ps"), (F.col("_pc") + F.col("_tc")).alias("_pc"))
+    inside = Window.partitionBy(group_col, "_b1").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    count = F.col("_pc") + F.count(value_col).over(inside)
+    return (base.join(mid, F.col(group_col).eqNullSafe(F.col("_g")) & (F.col("_b1") == F.col("_t")))
+            .withColumn(out_col, F.when(count > 0, (F.col("_ps") + F.coalesce(F.sum(value_col).over(inside), F.lit(0.0))) / count))
+            .drop("_pos", "_b1", "_b2", "_g", "_t", "_ps", "_pc"))

@@ -98,6 +98,10 @@ WITH {QA_CTE},
 r AS (SELECT id, title, row_number() OVER (ORDER BY id) AS rn FROM qa WHERE s IS NOT NULL)
 SELECT id, title, rn - 1 AS row_idx FROM r WHERE rn > 100 AND rn <= 600"""
 
+SQL["q09b_row_at"] = """
+WITH r AS (SELECT doc_id AS id, source AS title, row_number() OVER (ORDER BY doc_id) AS rn FROM documents WHERE doc_id % 7 <> 0)
+SELECT id, title, rn - 1 AS row_idx FROM r WHERE rn = 124"""
+
 SQL["q10_seeded_sample"] = f"""
 WITH {QA_CTE}
 SELECT id, title, question FROM qa WHERE s IS NOT NULL
@@ -153,9 +157,10 @@ SQL["q14_fixed_sample_semi"] = f"""
 WITH {SAMPLE_CTE}, {MODELS_CTE}
 SELECT id, model, prediction FROM preds WHERE id IN (SELECT id FROM smp)"""
 
-SQL["q15_overlap_anti"] = f"""
-WITH {SAMPLE_CTE}
-SELECT id, title FROM qa WHERE s IS NOT NULL AND id NOT IN (SELECT id FROM smp)"""
+SQL["q15_overlap_anti"] = """
+WITH ids AS (SELECT doc_id AS id, source AS title FROM documents WHERE doc_id % 7 <> 0),
+smp AS (SELECT id FROM ids ORDER BY md5(concat('42:', CAST(id AS VARCHAR))), id LIMIT 100)
+SELECT id, title FROM ids ANTI JOIN smp USING (id)"""
 
 PAIR_COLUMNS = """x.qid, x.pos AS pos_i, y.pos AS pos_j,
     CASE WHEN x.pm_score > y.pm_score THEN x.text ELSE y.text END AS response_j,
@@ -242,6 +247,11 @@ SELECT split, CAST(shard AS BIGINT) AS shard, CAST(ns AS BIGINT) AS num_shards,
        count(*) AS n_rows, min(row_idx) AS first_row, max(row_idx) AS last_row
 FROM sh GROUP BY split, shard, ns"""
 
+SQL["q20b_named_shards"] = SQL["q20_shard_plan"].split("SELECT split, CAST(shard")[0] + """
+SELECT sh.split, printf('train-%05d-of-%05d.parquet', shard, ns) AS file_name, count(*) AS n_rows,
+       min(sh.row_idx) AS first_row, max(sh.row_idx) AS last_row, CAST(sum(length(sp.text)) AS BIGINT) AS n_chars
+FROM sh JOIN sp ON sh.split = sp.split AND sh.row_idx = sp.row_idx GROUP BY sh.split, shard, ns"""
+
 # ---------------------------------------------------------------- evaluation frame
 X6 = "replace(replace(replace({x}, 'question>', ''), '<question>', ''), '<hl>', '')"
 X7 = "replace({x}, '<question>', '')"
@@ -501,6 +511,15 @@ SELECT ei.id, array_to_string(ei.ids, ' ') AS input_ids, array_to_string(el.ids,
        ei.n AS n_input_tokens
 FROM ei JOIN el ON ei.id = el.id"""
 
+SQL["q40b_pad_longest"] = f"""
+WITH {VOCAB_CTE}, {_enc('ei', 'inputs', 512)},
+br AS (SELECT id, row_number() OVER (ORDER BY md5(concat('42:', CAST(id AS VARCHAR))), id) AS rn, count(*) OVER () AS n FROM p),
+b AS (SELECT id, CAST((rn - 1) // 16 AS BIGINT) AS batch_id FROM br WHERE (rn - 1) // 16 < n // 16),
+w AS (SELECT b.id, b.batch_id, s.seq, max(len(s.seq)) OVER (PARTITION BY b.batch_id) AS width FROM b JOIN ei_s s ON s.id = b.id)
+SELECT id, batch_id, width, len(seq) AS n_tokens,
+       array_to_string(list_concat(seq, list_transform(range(width - len(seq)), lambda x: 0)), ' ') AS input_ids
+FROM w"""
+
 SQL["q41_token_budget"] = f"""
 WITH {PROMPTS_CTE},
 n AS (SELECT len({WT.format(x='inputs')}) AS ni, len({WT.format(x='target')}) AS nt FROM p)

@@ -89,6 +89,12 @@ def q09(spark, sf):
     return position_slice(qa, ["id"], 100, 600)
 
 
+@query("q09b_row_at")
+def q09b(spark, sf):
+    from qforge.operators.index import row_at
+    return row_at(_qa_ids(spark, sf).select("id", "title"), ["id"], 123)
+
+
 @query("q10_seeded_sample")
 def q10(spark, sf):
     from qforge.operators.index import seeded_sample
@@ -207,6 +213,23 @@ def q20(spark, sf):
                  F.max("row_idx").alias("last_row")))
 
 
+@query("q20b_named_shards")
+def q20b(spark, sf):
+    """Shards written under their names and read back by the manifest."""
+    from qforge.operators.index import named_splits, seeded_order
+    from qforge.session import scratch_path
+    from qforge.sources.sinks import estimated_bytes, read_shards, shard_plan, write_shards
+    docs = read_table(spark, sf, "documents").select("doc_id", "source", "text")
+    sized = docs.select("doc_id", estimated_bytes(docs, docs.columns).alias("_bytes"))
+    split = named_splits(sized, seeded_order("doc_id", 42), SPLIT_CUTS, seed_key="doc_id", seed=42)
+    planned = shard_plan(split, ["row_idx"], "split", shard_bytes=1 << 18, position_col="row_idx")
+    path = scratch_path(spark, "shards")
+    write_shards(planned.join(docs, "doc_id"), path)
+    return (read_shards(spark, path).groupBy("split", "file_name")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row"),
+                 F.sum(F.length("text")).alias("n_chars")))
+
+
 # ------------------------------------------------------------------ evaluation: cleanup, extraction
 def _preds(spark, sf):
     return FX.stub_predictions(_qa(spark, sf))
@@ -431,6 +454,20 @@ def q40(spark, sf):
         F.aggregate("input_ids_mask", F.lit(0).cast("bigint"), lambda a, m: a + m).alias("n_input_tokens"))
 
 
+@query("q40b_pad_longest")
+def q40b(spark, sf):
+    """Batches of 16 in the seeded order, each padded to its longest row."""
+    from qforge.operators.encode import encode_columns, pad_to_longest, ragged
+    from qforge.operators.index import batches, seeded_order
+    pr = _prompts(spark, sf)
+    enc = encode_columns(pr, "id", {"inputs": (512, "input_ids")}, _vocab(spark, sf)) \
+        .select("id", ragged("input_ids", "input_ids_mask").alias("input_ids"))
+    ids = batches(_qa_ids(spark, sf).select("id"), seeded_order("id", 42), 16, seed_key="id", seed=42).select("id", "batch_id")
+    rows = enc.join(ids, "id").withColumn("n_tokens", F.size("input_ids").cast("bigint"))
+    return pad_to_longest(rows, "batch_id", "input_ids").select(
+        "id", "batch_id", "width", "n_tokens", F.array_join("input_ids", " ").alias("input_ids"))
+
+
 @query("q41_token_budget")
 def q41(spark, sf):
     from qforge.operators.encode import token_budget

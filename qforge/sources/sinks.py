@@ -69,13 +69,76 @@ def shard_plan(df: DataFrame, order, split_col: str = "split", shard_bytes: int
         .drop("_bytes")
 
 
+def _fs(spark, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def _file_facts(rows: DataFrame, split_col: str) -> DataFrame:
+    """``split, file_name, rows, bytes, checksum`` of stored shards; the
+    checksum is the sum of the rows' hashes, whatever their order."""
+    each = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(rows.columns) if c != split_col]).cast("decimal(38,0)")
+    return (rows.withColumn("_hash", each)
+            .groupBy(F.col(split_col).cast("string").alias("split"), F.col("_metadata.file_name").alias("file_name"))
+            .agg(F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("bytes"),
+                 F.sum("_hash").cast("string").alias("checksum")))
+
+
 def write_shards(planned: DataFrame, path: str, split_col: str = "split") -> None:
-    """K4/K5 writer: one job for all splits; rows of one shard land in one
-    task (hash on split+shard) and one directory ``split=/shard=``."""
-    (planned.repartition(split_col, "shard")
-     .sortWithinPartitions("_pos")
-     .drop("_pos", "file_name", "num_shards")
-     .write.mode("overwrite").partitionBy(split_col, "shard").parquet(path))
+    """K4/K5 writer: ``<path>/<split_col>=<split>/train-%05d-of-%05d.parquet``
+    and a manifest (split, file_name, rows, bytes, checksum).
+
+    One job writes all splits to a staging folder, rows of one shard in one
+    task and one file, in position order; Spark's commit leaves one file a
+    shard however often a task is tried.  Files are renamed into place, and
+    the manifest, read off the stored files, is written last: a set without
+    one is not complete, and ``read_shards`` refuses it.  What ``path`` held is
+    replaced."""
+    spark = planned.sparkSession
+    fs, hadoop = _fs(spark, path)
+    fs.delete(hadoop(path), True)
+    staging = f"{path}/_staging"
+    (planned.withColumn("_split", F.col(split_col)).repartition("_split", "file_name")
+     .sortWithinPartitions("_split", "file_name", "_pos").drop("_pos", "num_shards", split_col)
+     .write.partitionBy("_split", "file_name").parquet(staging))
+    for split in fs.listStatus(hadoop(staging)):
+        if not split.isDirectory():
+            continue
+        target = f"{path}/{split_col}={split.getPath().getName().split('=', 1)[1]}"
+        fs.mkdirs(hadoop(target))
+        for shard in fs.listStatus(split.getPath()):
+            part = next(f.getPath() for f in fs.listStatus(shard.getPath()) if f.getPath().getName().startswith("part-"))
+            if not fs.rename(part, hadoop(f"{target}/{shard.getPath().getName().split('=', 1)[1]}")):
+                raise OSError(f"could not rename {part}")
+    fs.delete(hadoop(staging), True)
+    schema = planned.drop("_pos", "num_shards", "file_name").schema
+    facts = _file_facts(spark.read.schema(schema).parquet(path), split_col)
+    facts.coalesce(1).write.json(f"{path}/_manifest")           # one row a shard
+
+
+MANIFEST = "split string, file_name string, rows bigint, bytes bigint, checksum string"
+
+
+def read_shards(spark, path: str, split_col: str = "split", verify: bool = True) -> DataFrame:
+    """The rows of a complete shard set, with ``file_name``.
+
+    The stored files must be those of the manifest; with ``verify`` their rows
+    and checksums are compared too, file by file, before anything is given
+    out.  A set without a manifest, a missing, extra or changed file is an error."""
+    fs, hadoop = _fs(spark, path)
+    if not fs.exists(hadoop(f"{path}/_manifest/_SUCCESS")):
+        raise FileNotFoundError(f"{path} has no manifest: the shard set is not complete")
+    listed = spark.read.schema(MANIFEST).json(f"{path}/_manifest")
+    rows = spark.read.parquet(path)
+    rows = rows.withColumn(split_col, F.col(split_col).cast("string"))
+    if verify:
+        found, key = _file_facts(rows, split_col), ["split", "file_name", "rows", "bytes", "checksum"]
+        wrong = listed.select(key).exceptAll(found.select(key)).unionByName(found.select(key).exceptAll(listed.select(key)))
+        first = wrong.select("split", "file_name").first()
+        if first is not None:
+            raise ValueError(f"shard {first.split}/{first.file_name} is not as the manifest says")
+    return rows.withColumn("file_name", F.col("_metadata.file_name"))
 
 
 def write_json_records(df: DataFrame, path: str) -> None:

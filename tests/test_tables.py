@@ -1,5 +1,8 @@
 """Positions, splits, pairs, shards, Markdown, encoding: goldens and invariants."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from qforge.functions.markdown import html2md
@@ -187,3 +190,73 @@ def test_capped_pairs_draw_from_many_answers(spark):
         used.setdefault(r["qid"], set()).update((r["pos_i"], r["pos_j"]))
     mean = sum(map(len, used.values())) / len(used)
     assert 14.5 < mean < 17
+
+
+def test_position_slices_by_counting(spark, monkeypatch):
+    """Against a sorted list: sparse, negative, repeated and null first keys."""
+    monkeypatch.setattr(IX, "FINE", 5)
+    monkeypatch.setattr(IX, "HISTOGRAM", 7)
+    rnd = random.Random(3)
+    keys = [rnd.choice([rnd.randrange(-50, 50), rnd.randrange(-2 ** 62, 2 ** 62), 7]) for _ in range(150)] + [None] * 6 + [2 ** 63 - 1, -2 ** 63]
+    rows = [(k, i, f"t{i}") for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "k long, u int, t string").repartition(5)
+    ranked = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for start, stop in [(0, 3), (0, 6), (2, 9), (10, 11), (60, 100), (150, 158), (150, 900), (157, 158), (158, 170), (500, 600), (5, 5), (0, 158)]:
+        got = sorted((r.row_idx, r.u) for r in IX.position_slice(df, ["k", "u"], start, stop).collect())
+        assert got == [(i, r[1]) for i, r in enumerate(ranked)][start:stop], (start, stop)
+    by_u = spark.createDataFrame([(3 * i, f"t{i}") for i in range(500)], "u int, t string")
+    assert [tuple(r) for r in IX.row_at(by_u, ["u"], 123).collect()] == [(369, "t123", 123)]
+    assert IX.row_at(by_u, ["u"], 500).count() == 0 and IX.position_slice(by_u.limit(0), ["u"], 0, 5).count() == 0
+
+
+def test_slice_sorts_the_slice_only(spark, monkeypatch):
+    monkeypatch.setattr(IX, "FINE", 100)
+    sorted_rows = []
+    plain = IX.with_row_index
+    monkeypatch.setattr(IX, "with_row_index", lambda df, *a, **k: (sorted_rows.append(df.count()), plain(df, *a, **k))[1])
+    df = spark.range(200_000).select((F.col("id") * 17).alias("id"), F.lit("x").alias("t"))
+    got = sorted(r.row_idx for r in IX.position_slice(df, ["id"], 100_000, 100_050).collect())
+    assert got == list(range(100_000, 100_050)) and sorted_rows[0] <= 250
+
+
+def test_running_mean_of_sparse_ids_and_hot_groups(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.randrange(10 ** 15) * 1000 + i, "hot" if i % 3 else None if i % 2 else f"g{i % 9}", None if i % 11 == 0 else rnd.random()) for i in range(900)]
+    df = spark.createDataFrame(rows, "pos long, model string, v double").repartition(6)
+    got = {r.pos: r.running_mean for r in IX.running_mean(df, "v", "model", "pos", block=4).collect()}
+    assert len(got) == len(rows)
+    sums: dict = {}
+    for pos, model, v in sorted(rows):
+        s, c = sums.get(model, (0.0, 0))
+        sums[model] = s, c = (s, c) if v is None else (s + v, c + 1)
+        assert got[pos] is None if not c else abs(got[pos] - s / c) < 1e-9
+
+
+def test_pad_to_longest(spark):
+    from qforge.operators.encode import pad_to_longest
+    rows = [(0, 0, [5, 6, 7]), (1, 0, [8]), (2, 1, []), (3, 1, None), (4, None, [1]), (5, None, [1, 2])]
+    got = {r.id: (r.width, r.s) for r in pad_to_longest(spark.createDataFrame(rows, "id int, b long, s array<int>"), "b", "s").collect()}
+    assert got == {0: (3, [5, 6, 7]), 1: (3, [8, 0, 0]), 2: (0, []), 3: (0, []), 4: (2, [1, 0]), 5: (2, [1, 2])}
+
+
+def test_shard_sets_are_complete_or_refused(spark, tmp_path):
+    import os
+    import shutil
+    from qforge.sources.sinks import read_shards, write_shards
+    df = spark.createDataFrame([("a/b" if i < 30 else "c", i, "x" * (i % 9), None) for i in range(50)], "split string, k int, t string, e string")
+    out = str(tmp_path / "set")
+    write_shards(shard_plan(df, ["k"], "split", shard_bytes=100, byte_cols=["t"]), out)
+    back = read_shards(spark, out)
+    assert sorted((r.split, r.k, r.t, r.e) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
+    names = {r.file_name for r in back.select("file_name").distinct().collect()}
+    assert {n.split("-of-")[0] for n in names} >= {"train-00000", "train-00001"} and all(len(n) == len("train-00000-of-00002.parquet") for n in names)
+    assert not os.path.exists(out + "/_staging")
+    for first in sorted(os.listdir(out + "/split=c")):
+        if first.startswith("train-"):
+            break
+    os.remove(f"{out}/split=c/{first}")
+    with pytest.raises(ValueError):
+        read_shards(spark, out)
+    shutil.rmtree(out + "/_manifest")
+    with pytest.raises(FileNotFoundError):
+        read_shards(spark, out)
