@@ -557,12 +557,9 @@ def q51(spark, sf):
     qa = _qa(spark, sf)
     preds = FX.stub_predictions(qa)
     pred_dir = scratch_path(spark, "stream-in")
-    preds.repartition(4, "model").write.mode("overwrite").parquet(pred_dir)
+    preds.repartition(8, "id").write.mode("overwrite").parquet(pred_dir)       # files as they might arrive
     refs = P.qa_prompts(qa).select("id", "target")
-    table = "qforge_stream_" + pred_dir.rsplit("-", 1)[-1]
-    return running_model_means(spark, pred_dir, preds.schema, refs,
-                               scratch_path(spark, "stream-ckpt"), table,
-                               out_path=scratch_path(spark, "stream-out"))
+    return running_model_means(spark, pred_dir, preds.schema, refs, scratch_path(spark, "stream-ckpt"), scratch_path(spark, "stream-out"))
 
 
 @query("q52_apply_model")

@@ -69,7 +69,8 @@ def shard_plan(df: DataFrame, order, split_col: str = "split", shard_bytes: int
         .drop("_bytes")
 
 
-def _fs(spark, path: str):
+def filesystem(spark, path: str):
+    """Hadoop's file system of ``path`` and its path class."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
@@ -96,7 +97,7 @@ def write_shards(planned: DataFrame, path: str, split_col: str = "split") -> Non
     one is not complete, and ``read_shards`` refuses it.  What ``path`` held is
     replaced."""
     spark = planned.sparkSession
-    fs, hadoop = _fs(spark, path)
+    fs, hadoop = filesystem(spark, path)
     fs.delete(hadoop(path), True)
     staging = f"{path}/_staging"
     (planned.withColumn("_split", F.col(split_col)).repartition("_split", "file_name")
@@ -126,7 +127,7 @@ def read_shards(spark, path: str, split_col: str = "split", verify: bool = True)
     The stored files must be those of the manifest; with ``verify`` their rows
     and checksums are compared too, file by file, before anything is given
     out.  A set without a manifest, a missing, extra or changed file is an error."""
-    fs, hadoop = _fs(spark, path)
+    fs, hadoop = filesystem(spark, path)
     if not fs.exists(hadoop(f"{path}/_manifest/_SUCCESS")):
         raise FileNotFoundError(f"{path} has no manifest: the shard set is not complete")
     listed = spark.read.schema(MANIFEST).json(f"{path}/_manifest")
