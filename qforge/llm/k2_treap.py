@@ -21,8 +21,9 @@ each item:
 4. Each block gives at most ``k`` rows an item; the ``k`` best of these stay.
 
 A block holds up to ``DOCS`` documents or about ``POSTINGS`` postings, a task
-one block and one pack.  Blocks meet packs in an equi-join on (pack, salt);
-neither side is ever one key's burden.
+one block and one pack.  A single pack of checked size is sent to all tasks;
+otherwise blocks meet packs in an equi-join on (pack, salt), so that neither
+side is ever one key's burden.
 
 Defined cases: null and empty texts hold no term, count in no statistic and
 are never found; items without text or without a known term give no rows;
@@ -49,6 +50,7 @@ POSTINGS = 1 << 20
 PACK = 1 << 17
 WIDTH = 128                # states opened at once
 SALT = 4                   # blocks a salt value stands for
+SENT = 16 << 20            # bytes of a pack that may go to all tasks
 
 INDEX = ("block long, doc_ids array<long>, doc_rows binary, doc_terms binary, n_docs long, n_terms long, "
          "terms array<binary>, df array<int>, posting_docs binary, posting_tf binary")
@@ -275,7 +277,8 @@ def search(index: DataFrame, items: DataFrame, k: int = 50, id_col: str = "item_
     kind = asked.schema["item_id"].dataType.simpleString()
     pairs = scratch.keep(asked.mapInArrow(_item_terms, f"item long, item_id {kind}, term binary"), "pairs")
     n, total, blocks = index.agg(F.sum("n_docs"), F.sum("n_terms"), F.count("*")).first()
-    packs = max(1, -(-pairs.count() // PACK))
+    n_pairs, n_bytes = pairs.agg(F.count("*"), F.sum(F.octet_length("term") + 24)).first()
+    packs = max(1, -(-n_pairs // PACK))
     counts = (index.select(F.explode(F.arrays_zip("terms", "df")).alias("t")).select("t.terms", "t.df")
               .join(pairs.select(F.col("term").alias("terms")).distinct(), "terms", "left_semi")
               .groupBy(F.col("terms").alias("term")).agg(F.sum("df").alias("df")))
@@ -283,12 +286,16 @@ def search(index: DataFrame, items: DataFrame, k: int = 50, id_col: str = "item_
                .select(F.pmod(F.xxhash64("item"), F.lit(packs)).alias("pack"), "item", "term", "weight"))
     packed = scratch.keep(weighed.groupBy("pack").applyInPandas(
         _pack, "pack long, item_rows binary, item_heads binary, pack_terms array<binary>, item_terms binary, weights binary"), "packs")
-    # every block meets every pack, by equal (pack, salt)
-    salts = max(1, -(-(blocks or 0) // SALT))
-    left = index.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(packs - 1).cast("long"))).alias("pack"),
-                        F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"), *[c for c in index.columns if c not in ("block", "n_docs", "n_terms")])
-    right = packed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    met = left.join(right, ["pack", "salt"]).drop("pack", "salt")
+    blocked = index.select(*[c for c in index.columns if c not in ("n_docs", "n_terms")])
+    if packs == 1 and (n_bytes or 0) <= SENT:
+        met = blocked.withColumn("pack", F.lit(0).cast("long")).join(F.broadcast(packed), "pack")
+    else:                                                  # every block meets every pack, by equal (pack, salt)
+        salts = max(1, -(-(blocks or 0) // SALT))
+        left = (blocked.withColumn("pack", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(packs - 1).cast("long"))))
+                .withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts))))
+        right = packed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        met = left.join(right, ["pack", "salt"]).drop("salt")
+    met = met.drop("pack", "block")
     hits = met.mapInArrow(_searcher(k, n or 0, total or 1), "item long, doc_id long, row long, score long")
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row")
     best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -249,14 +249,16 @@ def test_search_equals_brute_force(spark, monkeypatch):
     items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(0, 30)))) for i in range(25)] + [(None, "w1"), (3, "w2 w3"), (99, None), (98, "nowhere")]
     frame = spark.createDataFrame([(d, t, 1, 2) for d, t in docs], "doc_id long, text string, block int, terms int").coalesce(1)
     asked = spark.createDataFrame([(d, t, 1) for d, t in items], "item_id long, text string, rank int").coalesce(1)
-    monkeypatch.setattr(k2_treap, "PACK", 60)
     frame.cache().count()
 
     def run(docs_, items_):
         index = k2_treap.index_documents(docs_, Scratch(spark, "t").path("index"))
         return [tuple(r) for r in k2_treap.search(index, items_, k=5).collect()]
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[3])
-    assert sorted(run(frame, asked), key=key) == sorted(plain_search(docs, items, 5), key=key)
+    want = sorted(plain_search(docs, items, 5), key=key)
+    assert sorted(run(frame, asked), key=key) == want            # one pack, sent to all tasks
+    monkeypatch.setattr(k2_treap, "PACK", 60)
+    assert sorted(run(frame, asked), key=key) == want            # several packs, joined
     assert run(frame.limit(0), asked) == [] and run(frame, asked.limit(0)) == []
     assert run(frame.where("text is null"), asked) == []
 
