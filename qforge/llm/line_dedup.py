@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from qforge.llm.common import Scratch
 
-MIN_SITES = 10          # as in the query's SQL; the most that any corpus asks for
+MIN_SITES = 10          # the most that any corpus asks for
 FEWEST = 3              # the least, however few sites there are
 LG_K = 12               # sketch of 4096 registers: relative error 1.04 / 64
 BAND = 3.0
@@ -65,7 +65,8 @@ def share_of_sites(rows: DataFrame) -> int:
 
 def drop_boilerplate_lines(df: DataFrame, text_col: str = "text", site_col: str = "source",
                            min_sites: int | None = MIN_SITES) -> DataFrame:
-    """``df`` plus ``clean_text, n_lines, n_removed``."""
+    """``df`` plus ``clean_text, n_lines, n_removed``.  Without ``min_sites`` the
+    threshold is half of the sites that speak for a text, 3 to 10."""
     scratch = Scratch(df.sparkSession, "lines")
     text = F.col(f"`{text_col}`")
     site = F.coalesce(F.concat(F.lit("s"), F.col(f"`{site_col}`").cast("string")), F.lit("null"))

@@ -79,7 +79,7 @@ def op9(spark, sf_dir):
 @query("op10_line_dedup")
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return line_dedup.drop_boilerplate_lines(docs).select(
+    return line_dedup.drop_boilerplate_lines(docs, min_sites=None).select(
         "doc_id", "n_lines", "n_removed", F.md5("clean_text").alias("clean_md5"))
 
 
@@ -217,7 +217,8 @@ FROM r
 WITH v AS (SELECT text, min('s' || source) AS voice_s, count(*) FILTER (source IS NULL) AS nulls FROM documents WHERE text IS NOT NULL GROUP BY text),
 voice AS (SELECT text, CASE WHEN nulls > 0 THEN least(coalesce(voice_s, 'null'), 'null') ELSE voice_s END AS site FROM v),
 l AS (SELECT trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS line, site FROM voice),
-bad AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10),
+few AS (SELECT least(10, greatest(3, (count(DISTINCT site) + 1) // 2)) AS sites FROM l WHERE line <> ''),
+bad AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= (SELECT sites FROM few)),
 d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 x AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE text IS NOT NULL),
 y AS (SELECT r, count(*) AS n_lines, count(*) FILTER (b.line IS NOT NULL) AS n_removed,

@@ -87,6 +87,6 @@ def test_mixing_and_encoding_stages(stages):
 
 def test_contract():
     names = set(E.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in REGISTRY}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in REGISTRY}
     assert set(REGISTRY) | {"pipeline"} <= names
     assert set(SQL) <= set(REGISTRY) and set(SQL) <= set(E.oracle_sql())

@@ -197,6 +197,20 @@ def test_line_dedup(spark):
     assert line_dedup.drop_boilerplate_lines(frame.limit(0)).count() == 0
 
 
+def test_op10_on_few_sites(spark, tmp_path):
+    """Five sources: a line on three of them goes, one on two stays; query and SQL agree."""
+    import duckdb
+    from qforge.llm import queries
+    rows = [(i, f"own {i}\nshared by all\n{'on three' if i % 5 < 3 else 'other %d' % i}\n{'on two' if i % 5 > 2 else 'x%d' % i}", f"s{i % 5}") for i in range(30)]
+    spark.createDataFrame(rows + [(99, None, None), (98, "", "s1")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, queries.op10(spark, str(tmp_path)).collect()))
+    assert {r[2] for r in got if r[0] < 90} == {1, 2} and all(r[2] == 1 + (r[0] % 5 < 3) for r in got if r[0] < 90)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.SQL["op10_line_dedup"]).fetchall()
+    assert sorted(want, key=repr) == sorted(got, key=repr)
+
+
 def test_line_spread_near_the_threshold(spark):
     # 3000 sites and a threshold of 1000: sketches err here, exact counts decide
     lines = spark.range(3000).select(F.col("id").cast("string").alias("site"), F.explode(F.sequence(F.lit(950), F.lit(1050), F.lit(5))).alias("n")) \
