@@ -7,14 +7,12 @@ outermost projection; every double is rounded to 6 digits on both sides.
 QA_CTE = """qa AS (
   SELECT doc_id AS id, source AS title, d.text AS context,
     concat(CASE doc_id % 5 WHEN 0 THEN 'what' WHEN 1 THEN 'who' WHEN 2 THEN 'when'
-                           WHEN 3 THEN 'where' ELSE 'how' END,
-           ' ', replace(ba.text, chr(10), ' '), ' ', replace(bb.text, chr(10), ' '), '?') AS question,
-    CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(length(d.text) // 3 AS BIGINT) END AS s,
-    CASE WHEN doc_id % 7 = 0 THEN NULL ELSE
+                           WHEN 3 THEN 'where' ELSE 'how' END, ' ',
+           array_to_string(list_filter(d.w, lambda x, i: x <> '' AND (i = 1 OR d.w[i - 1] <> x)), ' '), '?') AS question,
+    CASE WHEN doc_id % 7 <> 0 THEN CAST(length(d.text) // 3 AS BIGINT) END AS s,
+    CASE WHEN doc_id % 7 <> 0 THEN
       regexp_extract(substring(d.text, CAST(length(d.text) // 3 AS BIGINT) + 1), '(?s)^.[^ \\t\\n\\x0B\\f\\r]*') END AS answer
-  FROM documents d
-  JOIN benchmark ba ON ba.item_id = d.doc_id % (SELECT count(*) FROM benchmark)
-  JOIN benchmark bb ON bb.item_id = (7 * d.doc_id + 3) % (SELECT count(*) FROM benchmark))"""
+  FROM (SELECT *, string_split_regex(regexp_extract(text, '[^\\n.?!]*'), '[ \\t\\x0B\\f\\r]+') AS w FROM documents) d)"""
 
 HL = ("concat(substring(context, 1, s), ' {hl} ', substring(context, s + 1, length(answer)), "
       "' {hl} ', substring(context, s + length(answer) + 1))")
@@ -399,24 +397,23 @@ a AS (SELECT model, count(*) AS n, round(avg(rouge1_f), 6) AS rouge1_f, round(av
 SELECT *, rank() OVER (ORDER BY rouge1_f DESC) AS rank FROM a"""
 
 
-def _poisson_case(u):
-    import math
-    cdf, term, parts = 0.0, math.exp(-1.0), []
-    for k in range(0, 12):
-        cdf += term
-        parts.append(f"WHEN {u} < {cdf!r} THEN {k}")
-        term = term / (k + 1)
-    return "CASE " + " ".join(parts) + " ELSE 12 END"
-
-
 SQL["q31_rouge_bootstrap"] = f"""
 WITH {eval_ctes()}, {overlap_ctes('r1', ngram_expr('pt', 1), ngram_expr('rt', 1), 'rouge1', False)},
-reps AS (SELECT model, id, rouge1_f, unnest(range(1, 1001)) AS rep FROM r1),
-u AS (SELECT model, rep, rouge1_f,
-        ('0x' || substr(md5(concat('42:', CAST(rep AS VARCHAR), ':', CAST(id AS VARCHAR))), 1, 12))::BIGINT
-          / 281474976710656.0 AS u FROM reps),
-w AS (SELECT model, rep, rouge1_f, {_poisson_case('u')} AS w FROM u),
-m AS (SELECT model, rep, sum(w * rouge1_f) / nullif(sum(w), 0) AS m FROM w GROUP BY model, rep),
+hist AS (SELECT model, rouge1_f AS s, count(*) AS c FROM r1 GROUP BY model, rouge1_f),
+reps AS (SELECT model, s, c, unnest(range(1, 1001)) AS rep FROM hist),
+h AS (SELECT model, s, c, rep, md5(concat('42:', CAST(rep AS VARCHAR), ':', model, ':', CAST(CAST(floor(s) AS BIGINT) AS VARCHAR), ':',
+                                          CAST(CAST(floor((s - floor(s)) * 9007199254740992.0) AS BIGINT) AS VARCHAR))) AS h FROM reps),
+u AS (SELECT model, s, c, rep, ('0x' || substr(h, 1, 12))::BIGINT / 281474976710656.0 AS u,
+             sqrt(-2 * ln((('0x' || substr(h, 1, 12))::BIGINT + 0.5) / 281474976710656.0))
+               * cos(2 * pi() * (('0x' || substr(h, 13, 12))::BIGINT / 281474976710656.0)) AS z FROM h),
+pmf AS (SELECT c, k, exp(k * ln(c) - c - lgamma(k + 1)) AS p
+        FROM (SELECT unnest(range(1, 129)) AS c) CROSS JOIN (SELECT unnest(range(0, 300)) AS k)),
+cdf AS (SELECT c, k, coalesce(sum(p) OVER (PARTITION BY c ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM pmf),
+w AS (SELECT u.model, u.rep, u.s, cdf.k AS w FROM u ASOF JOIN cdf ON u.c = cdf.c AND u.u >= cdf.lo WHERE u.c <= 128
+      UNION ALL
+      SELECT model, rep, s, greatest(0, floor(c + sqrt(c) * z + (z * z - 1) / 6 + (z - z * z * z) / (72 * sqrt(c)) + 0.5))
+      FROM u WHERE c > 128),
+m AS (SELECT model, rep, sum(w * s) / nullif(sum(w), 0) AS m FROM w GROUP BY model, rep),
 q AS (SELECT model, quantile_cont(m, [0.025, 0.5, 0.975]) AS q FROM m WHERE m IS NOT NULL GROUP BY model)
 SELECT model, round(q[1], 6) AS low, round(q[2], 6) AS mid, round(q[3], 6) AS high FROM q"""
 

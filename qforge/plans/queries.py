@@ -21,11 +21,11 @@ def query(name):
 
 
 def _qa(spark, sf):
-    return FX.qa_from_documents(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+    return FX.qa_from_documents(read_table(spark, sf, "documents"))
 
 
 def _qa_ids(spark, sf):
-    """Answerable records without questions: their callers read ids and titles only."""
+    """Answerable records whose callers read ids and titles only."""
     return _answerable(FX.qa_from_documents(read_table(spark, sf, "documents")))
 
 
@@ -341,7 +341,7 @@ def q30(spark, sf):
 def q31(spark, sf):
     from qforge.operators.summary import bootstrap
     s = _rouge(spark, sf, ("rouge1",), ndigits=None)
-    return bootstrap(s, "model", "id", "rouge1_f", n_samples=1000, seed=42)
+    return bootstrap(s, "model", "rouge1_f", n_samples=1000, seed=42)
 
 
 @query("q32_running_mean")

@@ -4,10 +4,10 @@ top-k per group, so the derived tables grow with the inputs.
 
 FIXED VALUES of the derivation (shared with the DuckDB oracle):
   question word by doc_id % 5: 0 what, 1 who, 2 when, 3 where, 4 how
-  question text: word + " " + benchmark item doc_id % n + " " + benchmark item
-                 (7 * doc_id + 3) % n + "?", whole texts with newlines as spaces,
-                 n the number of items (ids 0 .. n - 1)
-  unanswerable: doc_id % 7 = 0
+  question text: word + " " + the words of the document's first sentence + "?";
+                 the sentence ends before the first . ? ! or newline, and a
+                 word that repeats the one before it is left out
+  unanswerable: doc_id % 7 = 0 (a null id is unanswerable, its question word how)
   answer_start = n_chars div 3; answer = the character there and the rest of
                  its run of characters that are not white space
   preferences: question = source, answers = its documents by doc_id,
@@ -36,30 +36,28 @@ def _answerable():
     return F.pmod(F.col("doc_id"), F.lit(7)) != 0
 
 
-def qa_from_documents(documents: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
-    """QA records ``id, title, context, question, answers{text, answer_start}``.
+def _first_sentence():
+    """Words of the first sentence, those that repeat their predecessor left out."""
+    words = F.split(F.regexp_extract(F.coalesce("text", F.lit("")), r"[^\n.?!]*", 0), r"[ \t\x0B\f\r]+")
+    fresh = F.zip_with(words, F.concat(F.array(F.lit("")), words), lambda w, before: F.when(w != before, w))
+    return F.array_join(F.filter(fresh, lambda w: w != ""), " ")
+
+
+def qa_from_documents(documents: DataFrame) -> DataFrame:
+    """QA records ``id, title, context, question, answers{text, answer_start}``,
+    one per document, each made of that document alone.
 
     Every field of ``answers`` has its own condition, so a caller that needs
-    ids or starts reads no text.  Without ``benchmark`` there is no
-    ``question``."""
+    ids or starts reads no text."""
     start = _start()
     ans = F.regexp_extract(F.substr(F.col("text"), start + 1), r"(?s)^.[^ \t\n\x0B\f\r]*", 0)
     answers = F.struct(
         F.when(_answerable(), F.array(ans)).otherwise(F.array().cast("array<string>")).alias("text"),
         F.when(_answerable(), F.array(start)).otherwise(F.array().cast("array<int>")).alias("answer_start"))
-    plain = [F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("context")]
-    if benchmark is None:
-        return documents.select(*plain, answers.alias("answers"))
-    n = max(1, benchmark.count())
     word = F.element_at(F.array(*[F.lit(w) for w in QUESTION_WORDS]),
-                        (F.pmod(F.col("doc_id"), F.lit(5)) + 1).cast("int"))
-
-    def item(name):
-        return benchmark.select(F.col("item_id").alias(f"_{name}"), F.replace("text", F.lit("\n"), F.lit(" ")).alias(f"_t{name}"))
-    question = F.concat(word, F.lit(" "), F.col("_ta"), F.lit(" "), F.col("_tb"), F.lit("?"))
-    return (documents.join(item("a"), F.col("_a") == F.pmod(F.col("doc_id"), F.lit(n)))
-            .join(item("b"), F.col("_b") == F.pmod(F.col("doc_id") * 7 + 3, F.lit(n)))
-            .select(*plain, question.alias("question"), answers.alias("answers")))
+                        (F.coalesce(F.pmod(F.col("doc_id"), F.lit(5)), F.lit(4)) + 1).cast("int"))
+    return documents.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("context"),
+                            F.concat(word, F.lit(" "), _first_sentence(), F.lit("?")).alias("question"), answers.alias("answers"))
 
 
 def preference_answers(documents: DataFrame) -> DataFrame:
