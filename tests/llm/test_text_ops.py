@@ -98,7 +98,7 @@ def test_url_filter(spark):
 def test_warc_round_trip(spark):
     big, other = "é" * 700, "y" * 999
     rows = [(1, "u1", big, "x"), (2, "u2\r\nWARC-Type: evil", big, "x"), (9, None, big, "x"), (9, "again", big, "x"), (None, "n", big, "x"), (3, "u", other, "x"),
-            (4, "u", other, "x"), (5, "u", None, "x"), (6, "u", "", "x"), (7, "u", "z" * 1000, "x"), (8, "u", "\r\n\r\n" * 300, "x")]
+            (4, "u", other, "x"), (5, "u", None, "x"), (6, "u", "", "x"), (7, "", "z" * 1000, "x"), (10, "a%0Ab\n", "q", "x"), (11, "a%0Ab", "q", "x"), (8, "u", "\r\n\r\n" * 300, "x")]
     frame = spark.createDataFrame(rows, "page_id int, url string, html string, payload string")
     path = Scratch(spark, "warc_test").path("a")
     warc.write_archive(frame, path)
@@ -106,15 +106,29 @@ def test_warc_round_trip(spark):
     assert len(got) == len(rows)
     payloads = {(r.page_id, r.url): r for r in got}
     for page_id, url, html, _ in rows:
-        r = payloads[page_id, re.sub(r"[\r\n]", " ", url) if url else None]
+        r = payloads[page_id, url]
         body = (html or "").encode()
         revisit = len(body) >= 1000 and html == big and page_id != 9
         assert bytes(r.payload) == body and r.payload_bytes == len(body) and r.payload_digest == hashlib.sha1(body).hexdigest()
         assert (r.record_type, r.refers_to) == (("revisit", 9) if revisit else ("response", None))
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
-        assert head.startswith(b"WARC/1.1\r\nWARC-Type: " + r.record_type.encode())
+        lines = head.decode().split("\r\n")
+        fields = dict(x.split(": ", 1) for x in lines[1:])
+        assert lines[0] == "WARC/1.1" and len(fields) == len(lines) - 1 and fields["WARC-Type"] == r.record_type
+        assert fields["WARC-Record-ID"] == f"<urn:x-page:{'-' if page_id is None else page_id}>"
+        assert fields["WARC-Date"] == "1970-01-01T00:00:00Z" and fields["Content-Length"] == str(0 if revisit else len(body))
+        assert fields.get("WARC-Target-URI") == (None if url is None else url.replace("\r", "%0D").replace("\n", "%0A"))
+        assert fields["WARC-Payload-Digest"] == "sha1:" + hashlib.sha1(body).hexdigest()
+        if revisit:
+            assert fields["WARC-Refers-To"] == "<urn:x-page:9>" and fields["WARC-Profile"] == warc.PROFILE and "Content-Type" not in fields
+        else:
+            assert fields["Content-Type"] == "text/html; charset=utf-8" and "WARC-Profile" not in fields
         assert rest == (b"" if revisit else body) + b"\r\n\r\n"
     assert spark.read.parquet(f"{path}/payloads").count() == len({r[2] or "" for r in rows})
+    dated = frame.where("page_id = 1").selectExpr("*", "timestamp_seconds(86400) AS t").unionByName(frame.where("page_id = 3").selectExpr("*", "cast(null AS timestamp) AS t"))
+    warc.write_archive(dated, path, date="2020-01-01T00:00:00Z", date_col="t")
+    heads = [bytes(r.record) for r in warc.read_archive(spark, path).orderBy("page_id").collect()]
+    assert b"WARC-Date: 1970-01-02T00:00:00Z\r\n" in heads[0] and b"WARC-Date: 2020-01-01T00:00:00Z\r\n" in heads[1]
     warc.write_archive(frame.limit(0), path)
     assert warc.read_archive(spark, path).count() == 0
 
