@@ -16,7 +16,8 @@ joined to components by Spark.
 
 Defined cases: null labels, null, empty or zero vectors and vectors holding
 null or non-finite components link with nothing; vectors of different length
-do not link; repeated rows are rows of their own and link with each other;
+do not link; vectors of any finite size, the least and the largest doubles
+too, link by their direction; repeated rows are rows of their own and link with each other;
 a null id never is a component's id unless all ids in it are null.
 """
 
@@ -136,7 +137,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     @F.pandas_udf("binary")
     def packed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for p in parts:
-            yield p.map(lambda v: np.asarray(v, np.float64).tobytes())
+            yield p.map(lambda v: _scaled(np.asarray(v, np.float64)).tobytes())
 
     points = classes.select("row", F.concat_ws(":", F.size("vec").cast("string"), "label").alias("grp"), "copies",
                             unit("vec").alias("p"), packed("vec").alias("raw"))
@@ -188,6 +189,12 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """``v`` times the power of two that brings its largest component to [0.5, 1):
+    cosines keep every bit, and products neither overflow nor vanish."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max())[1])
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
-    v = v / np.abs(v).max()
+    v = _scaled(v)
     return v / np.sqrt((v * v).sum())

@@ -197,6 +197,14 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch):
     assert cover_tree.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_near_vectors_of_extreme_size(spark):
+    rows = [(1, [1e-200, 0.0], 0), (2, [2e-200, 0.0], 0), (3, [1e200, 1e200], 0), (4, [2e200, 2e200], 0), (5, [5e-324, 0.0], 0),
+            (6, [1.7e308, 1.7e308], 0), (7, [0.0, 1e-310], 0), (8, [0.0, -3.0], 0), (9, [0.0, 1e-310, 0.0], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in cover_tree.near_vectors(frame).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 5: (2, 1), 3: (2, 3), 4: (2, 3), 6: (2, 3), 7: (0, 7), 8: (0, 8), 9: (0, 9)}
+
+
 def test_cover_tree_levels():
     rnd = np.random.default_rng(8)
     x = np.stack([cover_tree._unit(v) for v in rnd.normal(size=(300, 4))])
