@@ -90,3 +90,27 @@ def test_contract():
     assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in REGISTRY}
     assert set(REGISTRY) | {"pipeline"} <= names
     assert set(SQL) <= set(REGISTRY) and set(SQL) <= set(E.oracle_sql())
+
+
+def test_odd_tables_through_all_stages(spark):
+    """Null ids, texts and sources, empty and long texts, repeated rows and an
+    extra column: nothing crashes, and every row without a text passes the filters."""
+    from tests.conftest import SF001
+    rows = [(None, "some words stand here", "en", "a", 21, "x"), (1, None, "en", "a", None, "x"), (2, "", None, None, 0, "x"),
+            (3, "one two three four five six seven", "en", "a", 33, "x"), (3, "one two three four five six seven", "en", "a", 33, "x"),
+            (4, "long " * 20000, "en", "b", 100000, "x"), (5, None, None, None, None, None), (6, " \n\t\n", "en", "b", 4, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, ids string"
+    for frame in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        scratch, docs = Scratch(spark, "pipeline_odd"), frame
+        for name, stage in P.STAGES:
+            out = scratch.keep(stage(spark, docs, SF001), name)
+            if name != "bpe_encode_decode":
+                assert out.columns == frame.columns
+            if name == "ngram_jaccard_join" and frame.count():
+                left = out.collect()
+                assert sorted(r.doc_id for r in left if r.doc_id is not None) == [1, 2, 3, 4, 5, 6]
+                assert sum(r.doc_id is None for r in left) == 1
+            docs = out
+        assert docs.columns[:3] == ["doc_id", "source", "n_tokens"]
+        if not frame.count():
+            assert docs.count() == 0
