@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qforge.functions.arrays import ngrams
@@ -20,6 +20,20 @@ def stack_models(frames: dict) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def write_models(long_df: DataFrame, path: str, model_col: str = "model") -> None:
+    """One folder of Parquet files per model, written in one pass over ``long_df``."""
+    long_df.write.mode("overwrite").partitionBy(model_col).parquet(path)
+
+
+def read_models(spark: SparkSession, path: str, columns: str, model_col: str = "model", models=None) -> DataFrame:
+    """U1 over the folders of ``write_models``: all models in one scan instead of
+    one scan and one union branch each; ``models`` reads their folders only.
+    ``columns`` is the DDL of the other columns.  Model names come back as the
+    strings they were, a null one as null."""
+    out = spark.read.schema(f"{columns}, `{model_col}` string").parquet(path)
+    return out if models is None else out.where(F.col(f"`{model_col}`").isin(list(models)))
+
+
 def wide_models(long_df: DataFrame, models, key: str = "id") -> DataFrame:
     """One column per model.  The model list is given, so the pivot
     needs no extra job to discover values; one aggregation by key."""

@@ -485,11 +485,6 @@ def q42(spark, sf):
         "id", "prediction", "question", F.col("prediction").isNotNull().alias("has_prediction"))
 
 
-def _per_model_frames(spark, sf):
-    preds = _preds(spark, sf)
-    return {m: preds.where(F.col("model") == m) for m in FX.MODELS}
-
-
 @query("q43_wide_models")
 def q43(spark, sf):
     from qforge.operators.compare import wide_models
@@ -498,8 +493,11 @@ def q43(spark, sf):
 
 @query("q44_long_models")
 def q44(spark, sf):
-    from qforge.operators.compare import long_models, stack_models, wide_models
-    stacked = stack_models(_per_model_frames(spark, sf))
+    from qforge.operators.compare import long_models, read_models, wide_models, write_models
+    from qforge.session import scratch_path
+    path = scratch_path(spark, "models")
+    write_models(_preds(spark, sf), path)
+    stacked = read_models(spark, path, "id bigint, prediction string")
     return long_models(wide_models(stacked, FX.MODELS), FX.MODELS)
 
 
@@ -531,7 +529,7 @@ def q47(spark, sf):
 def q48(spark, sf):
     from qforge.operators.compare import length_profile
     qa = _answerable(_qa(spark, sf))
-    preds = _preds(spark, sf).join(qa.select("id", "title"), "id")
+    preds = FX.stub_predictions(qa, keep=("title",))
     refs = qa.select("id", "title", F.lit("reference").alias("model"), F.col("question").alias("prediction"))
     both = preds.select("id", "title", "model", "prediction").unionByName(refs)
     return length_profile(both, "model", "prediction", "title")

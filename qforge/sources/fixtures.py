@@ -94,9 +94,10 @@ def preference_records(conversations: DataFrame) -> DataFrame:
                                                         x["pm_score"].alias("pm_score"))).alias("answers")))
 
 
-def stub_predictions(qa: DataFrame, models=MODELS) -> DataFrame:
+def stub_predictions(qa: DataFrame, models=MODELS, keep=()) -> DataFrame:
     """Long predictions ``id, model, prediction`` from deterministic stub
-    models over the answerable QA rows (stand-ins for generated text)."""
+    models over the answerable QA rows (stand-ins for generated text); ``keep``
+    names columns of ``qa`` that each row carries along."""
     q = F.col("question")
     a = F.get(F.col("answers.text"), 0)
     exprs = {
@@ -107,7 +108,7 @@ def stub_predictions(qa: DataFrame, models=MODELS) -> DataFrame:
     }
     arr = F.array(*[F.struct(F.lit(m).alias("model"), exprs[m].alias("prediction")) for m in models])
     return (qa.where(F.size("answers.answer_start") > 0)
-            .select("id", F.inline(arr)))
+            .select("id", *keep, F.inline(arr)))
 
 
 def token_vectors(embeddings: DataFrame, tokens: DataFrame) -> DataFrame:

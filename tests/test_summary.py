@@ -64,6 +64,22 @@ def test_draws_follow_the_histogram(spark):
     assert "HashAggregate" in below and "score" in below
 
 
+def test_models_are_stacked_in_one_scan(spark, tmp_path):
+    from qforge.operators.compare import read_models, stack_models, write_models
+    from tests.test_plans import _plan
+    rows = [(1, "007", "a"), (2, "007", None), (1, "x=/y z", ""), (3, "1e3", "b"), (3, "1e3", "b"), (4, None, "c")]
+    df = spark.createDataFrame(rows, "id bigint, model string, prediction string")
+    path = str(tmp_path / "models")
+    write_models(df, path)
+    back = read_models(spark, path, "id bigint, prediction string")
+    assert sorted(map(repr, back.select("id", "model", "prediction").collect())) == sorted(map(repr, df.collect()))
+    plan = _plan(back)
+    assert plan.count("FileScan") == 1 and "Union" not in plan
+    some = read_models(spark, path, "id bigint, prediction string", models=["007", "1e3"])
+    frames = {m: df.where(F.col("model") == m) for m in ("007", "1e3")}
+    assert sorted(map(repr, some.select("id", "model", "prediction").collect())) == sorted(map(repr, stack_models(frames).collect()))
+
+
 def test_questions_come_from_the_document_itself(spark):
     rows = [(1, "One two two  three. Four", "s"), (2, "a a\tb\nc", "s"), (3, None, "s"), (4, "", None), (None, "x x x", "s"), (5, ". x", "s")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("n_chars", F.length("text").cast("bigint"))
