@@ -9,6 +9,10 @@ backticks; ``pre`` as a fenced block whose language is the first class
 token's last ``-`` segment (X2); lists ``* `` / ``1. ``; ``blockquote`` lines
 prefixed ``> ``; ``script``, ``style``, ``head`` and comments dropped;
 entities decoded.  Then X3 (blank-line runs collapse, strip) and X4.
+
+FIXED RULES, set by the corpus format: the language of a code block (X2), blank
+lines (X3), characters that cannot be encoded (X4); `qforge.functions.text` has
+them as column functions.
 """
 
 from __future__ import annotations
@@ -149,7 +153,7 @@ class _Md(HTMLParser):
             self._emit(_SPACES.sub(" ", data))
 
 
-def html2md(html: str | None) -> str | None:
+def markdown_of(html: str | None) -> str | None:
     """One document; X3 and X4 applied to the result."""
     if html is None:
         return None
@@ -171,7 +175,7 @@ def html2md(html: str | None) -> str | None:
 
 @F.pandas_udf(T.StringType())
 def _html_to_markdown_udf(html: pd.Series) -> pd.Series:
-    return html.map(html2md)
+    return html.map(markdown_of)
 
 
 def html_to_markdown(col):

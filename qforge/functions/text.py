@@ -42,11 +42,18 @@ def first(arr) -> Column:
 
 
 # ---------------------------------------------------------------- cleanup
+# FIXED VALUES, in the order they are removed
+#   evaluator:  question>  <question>  <hl>
+#   reward:     <pad>  <unk>  </s>  question>  <question>  <
+EVAL_TOKENS = ("question>", "<question>", "<hl>")
+REWARD_TOKENS = ("<pad>", "<unk>", "</s>", "question>", "<question>", "<")
+
+
 def clean_eval(pred) -> Column:
     """Evaluator cleanup, order-sensitive: ``question>``, then
     ``<question>``, then ``<hl>`` are removed."""
     p = _c(pred)
-    for tok in ("question>", "<question>", "<hl>"):
+    for tok in EVAL_TOKENS:
         p = F.replace(p, F.lit(tok), F.lit(""))
     return p
 
@@ -65,7 +72,7 @@ def clean_reward(pred) -> Column:
     """Reward cleanup: drop ``<pad>``, ``<unk>``, ``</s>``,
     ``question>``, ``<question>``, ``<`` in that order, then strip."""
     p = _c(pred)
-    for tok in ("<pad>", "<unk>", "</s>", "question>", "<question>", "<"):
+    for tok in REWARD_TOKENS:
         p = F.replace(p, F.lit(tok), F.lit(""))
     return py_strip(p)
 
@@ -137,12 +144,18 @@ def sigmoid(x) -> Column:
 
 # ---------------------------------------------------------------- html bits
 def code_language(cls) -> Column:
-    """First class token, last ``-`` segment (``lang-py`` -> ``py``)."""
-    first_cls = F.get(F.split(F.trim(_c(cls)), " +"), 0)
+    """First class token, last ``-`` segment (``lang-py`` -> ``py``); null
+    where there is no token.  Tokens are parted by HTML white space (fixed rule)."""
+    first_cls = F.get(F.regexp_extract_all(_c(cls), F.lit(r"[^ \t\n\f\r]+"), F.lit(0)), 0)
     return F.when(F.coalesce(first_cls, F.lit("")) == "", F.lit(None).cast("string")) \
         .otherwise(F.element_at(F.split(first_cls, "-"), -1))
 
 
+def class_attributes(html) -> Column:
+    """Values of the ``class`` attributes of an HTML text, in order of appearance."""
+    return F.regexp_extract_all(_c(html), F.lit("<[A-Za-z][^<>]*?\\sclass=\"([^\"<>]*)\""), F.lit(1))
+
+
 def collapse_blank_lines(x) -> Column:
     """``re.sub(r"\\n\\s*\\n", "\\n\\n", x).strip()``."""
     return py_strip(F.regexp_replace(_c(x), f"\\n{WS}*\\n", "\n\n"))

@@ -17,6 +17,8 @@ FIXED VALUES (must equal the reference for byte-identical prompts):
     answer <answer>, matching the context. Each question starts after
     <question> and starts with a question word like "who, what, where, when"
   plain QA prompt:   "### Question: " + q + " ### Answer: "
+  report instruction prompt (report markers, system text as above):
+    "<s>\n[INST] \n" + system + ". [\\INST]" + "<ctx> c <ctx> <ans> a <ans> <question> q <question> \n<\\s>"
 """
 
 from __future__ import annotations
@@ -51,5 +53,7 @@ CAUSAL_SYSTEM = ('You are a question generation system. Generate questions for t
                  'given answer <answer>, matching the context. Each question starts '
                  'after <question> and starts with a question word like '
                  '"who, what, where, when"')
+REPORT_OPEN = f"<s>\n[INST] \n{CAUSAL_SYSTEM}. [\\INST]"
+REPORT_CLOSE = " \n<\\s>"
 QA_QUESTION = "### Question: "
 QA_ANSWER = " ### Answer: "

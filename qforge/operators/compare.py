@@ -1,7 +1,7 @@
 """Model comparison: J3 (wide table), U1 (stacking), W4/W5 (blind labels and
 reviewer assignment), J6/A7 (human scores joined back, averaged), A8
 (question-word distribution), A9/A14 (length and dataset profile), A10
-(distinct-n), T4 (best model per item)."""
+(distinct-n), T4 (best model per item, win counts)."""
 
 from __future__ import annotations
 
@@ -129,3 +129,22 @@ def best_model_per_item(scores: DataFrame, metric: str, key: str = "id") -> Data
     w = Window.partitionBy(key).orderBy(F.desc(metric), F.asc("model"))
     return (scores.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
             .select(key, F.col("model").alias("winner"), F.round(metric, 6).alias("score")))
+
+
+def win_counts(scores: DataFrame, metric: str, key: str = "id") -> DataFrame:
+    """T4: how often each model has the best score of an item: ``n_items``
+    scored, ``wins`` alone, ``ties`` shared, ``win_share`` with a shared first
+    place counted in equal parts.
+
+    One shuffle by item; what an item's best score is and how many models hold
+    it comes from a window over its few rows, and the counts per model are
+    summed before they move.  Null and NaN scores count as scored but never win;
+    a model without any win has zeros."""
+    s = F.when(~F.isnan(metric), F.col(metric))
+    item = Window.partitionBy(key)
+    top = scores.select(key, "model", s.alias("_s")).withColumn("_top", F.coalesce(F.col("_s") == F.max("_s").over(item), F.lit(False)))
+    each = top.withColumn("_n", F.sum(F.col("_top").cast("int")).over(item))
+    part = F.when(F.col("_top"), 1.0 / F.col("_n")).otherwise(0.0)
+    return each.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_items"), F.count_if(F.col("_top") & (F.col("_n") == 1)).alias("wins"),
+        F.count_if(F.col("_top") & (F.col("_n") > 1)).alias("ties"), F.round(F.avg(part), 6).alias("win_share"))

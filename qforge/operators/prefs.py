@@ -125,6 +125,20 @@ def pair_stats(answers: DataFrame, max_pairs: int = 10) -> DataFrame:
                        F.least(n_pairs, F.lit(max_pairs)).cast("bigint").alias("n_capped"))
 
 
+def expected_pairs(stats: DataFrame, *by: str) -> DataFrame:
+    """A4 next to A5: over the rows of ``pair_stats`` (per group of ``by``, if
+    named) the mean of ``n*n/2``, the estimate of pairs a question, and the
+    exact mean and sums of pairs before and after the cap.
+
+    Without ``by`` an empty table gives one row of zero questions and null
+    means; with ``by`` it gives none.  Nulls of ``by`` are a group."""
+    n = F.count(F.lit(1))
+    return stats.groupBy(*by).agg(
+        n.alias("n_questions"), F.round(F.avg("half_sq"), 6).alias("mean_half_sq"),
+        F.round(F.avg("n_pairs"), 6).alias("mean_pairs"),
+        F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_pairs"), F.coalesce(F.sum("n_capped"), F.lit(0)).alias("n_capped"))
+
+
 def pairs_from_records(records: DataFrame, max_pairs: int | None = 10, seed: int = 42) -> DataFrame:
     """X19/Z2 end to end: nested records in, one row per (capped) pair out,
     every input column except ``answers`` kept.  Questions with no pair

@@ -113,6 +113,16 @@ def report_prompts(qa: DataFrame, ms: M.MarkerSet = M.REPORT) -> DataFrame:
     return qa.where(_answerable()).select("id", text.alias("inputs"))
 
 
+def instruction_prompts(qa: DataFrame, ms: M.MarkerSet = M.REPORT, with_question: bool = True) -> DataFrame:
+    """P15, instruction form: system text, highlighted context, answer and, for
+    training, the question to be learned; without ``with_question`` the prompt
+    ends where the question is to be generated."""
+    head = F.concat(F.lit(f"{M.REPORT_OPEN}{ms.context} "), context_expr(ms),
+                    F.lit(f" {ms.end_context} {ms.answer} "), _answer(), F.lit(f" {ms.end_answer} {ms.question}"))
+    text = F.concat(head, F.lit(" "), F.col("question"), F.lit(f" {ms.end_question}{M.REPORT_CLOSE}")) if with_question else head
+    return qa.where(_answerable()).select("id", "title", text.alias("text"))
+
+
 def span_check(qa: DataFrame) -> DataFrame:
     """Does the context slice equal the answer, and is the offset the
     first occurrence?  One row per answerable record."""

@@ -655,3 +655,74 @@ lt AS (SELECT qid, pos_i, pos_j, {TOK.format(x='response_k')} AS pt, {TOK.format
 {overlap_ctes('l1', ngram_expr('pt', 1), ngram_expr('rt', 1), 'rouge1', True, _PK, 'lt')},
 {overlap_ctes('l2', ngram_expr('pt', 2), ngram_expr('rt', 2), 'rouge2', True, _PK, 'lt')}
 SELECT * FROM l1 JOIN l2 USING (qid, pos_i, pos_j)"""
+
+# ---------------------------------------------------------------- records by split, instruction prompt, pair estimate
+SQL["q01b_prompt_split"] = SQL["q01_prompt_answer_aware"] + """
+  AND ('0x' || substr(md5(concat('42:', CAST(id AS VARCHAR))), 1, 7))::BIGINT % 10 = 8"""
+
+SQL["q07c_prompt_instruction"] = f"""
+WITH {QA_CTE}
+SELECT id, title,
+  concat('<s>' || chr(10) || '[INST] ' || chr(10), '{CAUSAL_SYSTEM}', '. [\\INST]<ctx> ', {hl()}, ' <ctx> <ans> ', answer,
+         ' <ans> <question> ', question, ' <question> ' || chr(10) || '<\\s>') AS text
+FROM qa WHERE s IS NOT NULL"""
+
+SQL["q19b_expected_pairs"] = f"""
+WITH {FORUM_CTE},
+na AS (SELECT qid, count(*) AS n, row_number() OVER (ORDER BY md5(concat('42:', CAST(qid AS VARCHAR))), qid) AS rn FROM pb GROUP BY qid),
+np AS (SELECT qid, count(*) AS n_pairs FROM pairs GROUP BY qid),
+st AS (SELECT CASE WHEN rn <= 30 THEN 'finetune' WHEN rn <= 60 THEN 'reward' WHEN rn <= 90 THEN 'rl' ELSE 'evaluation' END AS split,
+              n * n / 2.0 AS half_sq, coalesce(n_pairs, 0) AS n_pairs FROM na LEFT JOIN np USING (qid))
+SELECT split, count(*) AS n_questions, round(avg(half_sq), 6) AS mean_half_sq, round(avg(n_pairs), 6) AS mean_pairs,
+       CAST(sum(n_pairs) AS BIGINT) AS n_pairs, CAST(sum(least(n_pairs, 10)) AS BIGINT) AS n_capped
+FROM st GROUP BY split"""
+
+# ---------------------------------------------------------------- ranks, wins, stored scores
+_R12 = f"""{eval_ctes()},
+{overlap_ctes('r1', ngram_expr('pt', 1), ngram_expr('rt', 1), 'rouge1', False)},
+{overlap_ctes('r2', ngram_expr('pt', 2), ngram_expr('rt', 2), 'rouge2', False)}"""
+
+SQL["q30b_metric_ranks"] = f"""
+WITH {_R12},
+a AS (SELECT model, count(*) AS n, round(avg(rouge1_p), 6) AS rouge1_p, round(avg(rouge1_r), 6) AS rouge1_r,
+             round(avg(rouge1_f), 6) AS rouge1_f, round(avg(rouge2_f), 6) AS rouge2_f FROM r1 JOIN r2 USING (id, model) GROUP BY model)
+SELECT *, rank() OVER (ORDER BY rouge1_p DESC) AS rouge1_p_rank, rank() OVER (ORDER BY rouge1_r DESC) AS rouge1_r_rank,
+       rank() OVER (ORDER BY rouge1_f DESC) AS rouge1_f_rank, rank() OVER (ORDER BY rouge2_f DESC) AS rouge2_f_rank FROM a"""
+
+SQL["q50b_win_counts"] = f"""
+WITH {eval_ctes()}, {overlap_ctes('r1', ngram_expr('pt', 1), ngram_expr('rt', 1), 'rouge1', True)},
+b AS (SELECT id, max(rouge1_f) AS best FROM r1 GROUP BY id),
+t AS (SELECT r1.id, count(*) AS k FROM r1 JOIN b ON r1.id = b.id AND r1.rouge1_f = b.best GROUP BY r1.id)
+SELECT model, count(*) AS n_items, count(*) FILTER (rouge1_f = best AND k = 1) AS wins, count(*) FILTER (rouge1_f = best AND k > 1) AS ties,
+       round(avg(CASE WHEN rouge1_f = best THEN 1.0::DOUBLE / k ELSE 0.0 END), 6) AS win_share
+FROM r1 JOIN b USING (id) JOIN t USING (id) GROUP BY model"""
+
+SQL["q53e_scores_doc"] = f"""
+WITH {_R12}
+SELECT id, model, ev.prediction, ev.reference AS target, round(rouge1_f, 6) AS rouge1_f, round(rouge2_f, 6) AS rouge2_f
+FROM r1 JOIN r2 USING (id, model) JOIN ev USING (id, model) WHERE model IN ('drop_first', 'leak')"""
+
+# ---------------------------------------------------------------- text rules, turns, records
+SQL["q38b_code_languages"] = """
+WITH c AS (SELECT page_id, regexp_extract_all(html, '<[A-Za-z][^<>]*?\\sclass="([^"<>]*)"', 1) AS cs FROM pages),
+e AS (SELECT page_id, unnest(range(0, len(cs))) AS pos, cs FROM c),
+f AS (SELECT page_id, pos, cs[pos + 1] AS class, regexp_extract(cs[pos + 1], '[^ \\t\\n\\f\\r]+') AS first FROM e)
+SELECT page_id, pos, class, CASE WHEN first <> '' THEN string_split(first, '-')[-1] END AS language FROM f"""
+
+_SPACE = "[\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+SQL["q38c_blank_lines"] = f"""
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', chr(10), 'g'), '\\n{_SPACE}*\\n', chr(10) || chr(10), 'g'),
+                               '^{_SPACE}+|{_SPACE}+$', '', 'g') AS text FROM pages"""
+
+SQL["q47b_turn_words"] = f"""
+WITH w AS (SELECT lower(({word_list('text')})[1]) AS word FROM conversations WHERE role = 'user'),
+c AS (SELECT word, count(*) AS n FROM w GROUP BY word)
+SELECT word, n, round(n / sum(n) OVER (), 6) AS share FROM c"""
+
+SQL["q53f_json_records"] = f"""
+WITH {QA_CTE}
+SELECT id, context, question, answer, s AS answer_start FROM qa"""
+
+SQL["q53g_review_sample"] = f"""
+WITH {QA_CTE}, {SMP_ONLY}
+SELECT id, context, question, answer, s AS answer_start FROM qa WHERE id IN (SELECT id FROM smp)"""

@@ -34,6 +34,17 @@ def q01(spark, sf):
     return P.qa_prompts(_qa(spark, sf))
 
 
+@query("q01b_prompt_split")
+def q01b(spark, sf):
+    """Records stored by split; prompts of the validation split's answerable ones."""
+    from qforge.operators.index import hash_split
+    from qforge.session import scratch_path
+    from qforge.sources.tables import read_qa, write_qa
+    path = scratch_path(spark, "qa")
+    write_qa(hash_split(_qa(spark, sf), "id", 42), path)
+    return P.qa_prompts(read_qa(spark, path, split="validation", unanswerable=False))
+
+
 def _answerable(df):
     return df.where(F.size("answers.answer_start") > 0)
 
@@ -76,6 +87,11 @@ def q07b(spark, sf):
     return P.report_prompts(_qa(spark, sf))
 
 
+@query("q07c_prompt_instruction")
+def q07c(spark, sf):
+    return P.instruction_prompts(_qa(spark, sf))
+
+
 @query("q08_span_check")
 def q08(spark, sf):
     return P.span_check(_qa(spark, sf))
@@ -198,6 +214,16 @@ def q19(spark, sf):
     return pair_stats(_pref_answers(spark, sf), 10)
 
 
+@query("q19b_expected_pairs")
+def q19b(spark, sf):
+    """Expected against exact pairs a question, per split of the questions."""
+    from qforge.operators.index import named_splits, seeded_order
+    from qforge.operators.prefs import expected_pairs, pair_stats
+    stats = pair_stats(_forum_answers(spark, sf), 10)
+    cuts = [("finetune", 30), ("reward", 30), ("rl", 30), ("evaluation", None)]
+    return expected_pairs(named_splits(stats, seeded_order("qid", 42), cuts, seed_key="qid", seed=42), "split")
+
+
 @query("q20_shard_plan")
 def q20(spark, sf):
     from qforge.sources.sinks import shard_plan
@@ -337,6 +363,14 @@ def q30(spark, sf):
                        ["rouge1_f", "rouge2_f", "rougeL_f", "rougeS_f", "bert_f"], rank_by="rouge1_f")
 
 
+@query("q30b_metric_ranks")
+def q30b(spark, sf):
+    from qforge.operators.summary import leaderboard, metric_ranks
+    mets = ["rouge1_p", "rouge1_r", "rouge1_f", "rouge2_f"]
+    board = leaderboard(_rouge(spark, sf, ("rouge1", "rouge2"), ndigits=None), "model", mets, rank_by="rouge1_f")
+    return metric_ranks(board.drop("rank"), mets)
+
+
 @query("q31_rouge_bootstrap")
 def q31(spark, sf):
     from qforge.operators.summary import bootstrap
@@ -429,6 +463,24 @@ def q38(spark, sf):
     return md.select("page_id", "url", "markdown", F.length("markdown").cast("bigint").alias("md_chars"))
 
 
+@query("q38b_code_languages")
+def q38b(spark, sf):
+    """The class attributes of each page in order, and the language each names."""
+    from qforge.functions.text import class_attributes, code_language
+    pages = read_table(spark, sf, "pages")
+    each = pages.select("page_id", F.posexplode(class_attributes("html")).alias("pos", "class"))
+    return each.select("page_id", F.col("pos").cast("bigint").alias("pos"), "class", code_language("class").alias("language"))
+
+
+@query("q38c_blank_lines")
+def q38c(spark, sf):
+    """Pages with a line break for each tag, runs of blank lines collapsed,
+    characters that cannot be encoded replaced."""
+    from qforge.functions.text import collapse_blank_lines, make_valid
+    lines = F.regexp_replace("html", "<[^>]*>", "\n")
+    return read_table(spark, sf, "pages").select("page_id", make_valid(collapse_blank_lines(lines)).alias("text"))
+
+
 # ------------------------------------------------------------------ vocabulary and encoding
 def _prompts(spark, sf):
     return P.qa_prompts(_qa(spark, sf))
@@ -525,6 +577,13 @@ def q47(spark, sf):
     return question_words(_answerable(_qa(spark, sf)))
 
 
+@query("q47b_turn_words")
+def q47b(spark, sf):
+    """The same distribution over what users of the given conversations ask."""
+    from qforge.operators.compare import question_words
+    return question_words(read_table(spark, sf, "conversations").where(F.col("role") == "user"), "text")
+
+
 @query("q48_length_profile")
 def q48(spark, sf):
     from qforge.operators.compare import length_profile
@@ -547,6 +606,12 @@ def q50(spark, sf):
     return best_model_per_item(_rouge(spark, sf, ("rouge1",), ndigits=None), "rouge1_f")
 
 
+@query("q50b_win_counts")
+def q50b(spark, sf):
+    from qforge.operators.compare import win_counts
+    return win_counts(_rouge(spark, sf, ("rouge1",)), "rouge1_f")
+
+
 # ------------------------------------------------------------------ streaming, model application, JSON
 @query("q51_stream_scores")
 def q51(spark, sf):
@@ -605,13 +670,56 @@ def q53c(spark, sf):
     return read_json_array(spark, path, doc.schema)
 
 
-@query("q53d_metrics_doc")
-def q53d(spark, sf):
+def _metrics_doc(spark, sf):
+    """Scores with their texts and the summary, stored; (path, schema of the scores, summary)."""
+    from qforge.operators.rouge import rouge_scores
     from qforge.operators.summary import leaderboard
     from qforge.session import scratch_path
     from qforge.sources.sinks import write_scores
-    scores = _rouge(spark, sf, ("rouge1", "rouge2"), ndigits=None)
-    summary = leaderboard(scores, "model", ["rouge1_f", "rouge2_f"], rank_by="rouge1_f")
+    scores = rouge_scores(_scored(spark, sf), ["id", "model"], metrics=("rouge1", "rouge2"), ndigits=None,
+                          keep=("prediction", "reference"))
     path = scratch_path(spark, "metrics")
-    write_scores(scores, summary, path)
-    return spark.read.schema(summary.schema).json(f"{path}/summary")
+    summary = write_scores(scores, lambda s: leaderboard(s, "model", ["rouge1_f", "rouge2_f"], rank_by="rouge1_f"), path)
+    return path, scores.schema, summary
+
+
+@query("q53d_metrics_doc")
+def q53d(spark, sf):
+    return _metrics_doc(spark, sf)[2]
+
+
+@query("q53e_scores_doc")
+def q53e(spark, sf):
+    """The stored scores of two of the models, with predictions and targets."""
+    from qforge.sources.sinks import read_scores
+    path, schema, _ = _metrics_doc(spark, sf)
+    back = read_scores(spark, path, schema, models=["drop_first", "leak"])
+    return back.select("id", "model", "prediction", F.col("reference").alias("target"),
+                       F.round("rouge1_f", 6).alias("rouge1_f"), F.round("rouge2_f", 6).alias("rouge2_f"))
+
+
+def _record_columns(records):
+    return records.select("id", "context", "question", F.get("answers.text", 0).alias("answer"),
+                          F.get("answers.answer_start", 0).cast("bigint").alias("answer_start"))
+
+
+@query("q53f_json_records")
+def q53f(spark, sf):
+    """All records exported as JSON objects, one a line, and read back."""
+    from qforge.session import scratch_path
+    from qforge.sources.sinks import read_json_records, write_json_records
+    records = _qa(spark, sf).select("id", "context", "question", "answers")
+    path = scratch_path(spark, "json-records")
+    write_json_records(records, path)
+    return _record_columns(read_json_records(spark, path, records.schema))
+
+
+@query("q53g_review_sample")
+def q53g(spark, sf):
+    """A seeded sample of 100 answerable records for review, read back."""
+    from qforge.session import scratch_path
+    from qforge.sources.sinks import read_json_records, review_sample
+    qa = _answerable(_qa(spark, sf))
+    path = scratch_path(spark, "review")
+    review_sample(qa, path, 100, seed=42)
+    return _record_columns(read_json_records(spark, path, qa.select("id", "context", "question", "answers").schema))

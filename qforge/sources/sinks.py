@@ -142,9 +142,23 @@ def read_shards(spark, path: str, split_col: str = "split", verify: bool = True)
     return rows.withColumn("file_name", F.col("_metadata.file_name"))
 
 
-def write_json_records(df: DataFrame, path: str) -> None:
-    """K1/K7: valid JSON lines, one object per row."""
-    df.write.mode("overwrite").json(path)
+def write_json_records(df: DataFrame, path: str, keep_nulls: bool = False) -> None:
+    """K1/K7: valid JSON lines, one object per row, written by all tasks.  A null
+    field is left out, or with ``keep_nulls`` written as ``null``; both are read
+    back as null."""
+    df.write.mode("overwrite").option("ignoreNullFields", str(not keep_nulls).lower()).json(path)
+
+
+def read_json_records(spark, path: str, schema) -> DataFrame:
+    """K1/K7 read back with a declared schema; a line that is not an object of
+    that schema is an error, not a row of nulls."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def review_sample(qa: DataFrame, path: str, k: int = 100, seed: int = 42) -> None:
+    """K7: ``k`` seeded records ``{id, context, question, answers}`` for review."""
+    from qforge.operators.index import seeded_sample
+    write_json_records(seeded_sample(qa, "id", k, seed).select("id", "context", "question", "answers"), path)
 
 
 def parallel_array_doc(df: DataFrame, order_col: str, cols, max_rows: int = 1_000_000) -> DataFrame:
@@ -157,7 +171,19 @@ def parallel_array_doc(df: DataFrame, order_col: str, cols, max_rows: int = 1_00
     return df.agg(srt.alias("_rows")).select(*[F.col("_rows")[c].alias(c) for c in cols])
 
 
-def write_scores(scores: DataFrame, summary: DataFrame, path: str) -> None:
-    """K3: ``scores`` (one row per id/model) and ``summary`` (per model)."""
+def write_scores(scores: DataFrame, summarise, path: str) -> DataFrame:
+    """K3: ``scores`` (one row per id/model, with whatever texts it carries) in a
+    folder per model, then ``summarise`` of them (per model, a few rows) as JSON.
+
+    The summary is taken from the stored scores, so nothing is scored twice and
+    the two always agree; it is written last and is returned as read back."""
     scores.write.mode("overwrite").partitionBy("model").parquet(f"{path}/scores")
+    summary = summarise(read_scores(scores.sparkSession, path, scores.schema))
     summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    return scores.sparkSession.read.schema(summary.schema).json(f"{path}/summary")
+
+
+def read_scores(spark, path: str, schema, models=None) -> DataFrame:
+    """K3 read back; of ``models``, if named, only their folders are read."""
+    out = spark.read.schema(schema).parquet(f"{path}/scores")
+    return out if models is None else out.where(F.col("model").isin(list(models)))

@@ -1,58 +1,35 @@
-"""Python-vs-Spark differentials on random strings (X3, X6, X8, X9, X12),
-the shard writer round trip, and partition independence."""
-
-import random
-import re
+"""Text rules as tables of inputs and outputs (X3, X6, X8, X9, X12), the
+shard writer round trip, and partition independence."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from qforge.functions import text as X
 
-PIECES = ["<question>", "question>", "<hl>", "<pad>", "</s>", "<unk>", "<", ">", " ", "  ", "\n",
-          "\n \n", "Who", "is", "?", "### Question:", "a", "b", "é", "\t"]
-
-
-def rand_strings(seed, n=200):
-    rng = random.Random(seed)
-    return ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 12))) for _ in range(n)]
-
-
-def py_x6(p):
-    return p.replace("question>", "").replace("<question>", "").replace("<hl>", "")
-
-
-def py_x8(p):
-    for tok in ("<pad>", "<unk>", "</s>", "question>", "<question>", "<"):
-        p = p.replace(tok, "")
-    return p.strip()
-
-
-def py_x3(t):
-    return re.sub(r"\n\s*\n", "\n\n", t).strip()
-
-
-def py_x9(p, marker="### Question:"):
-    parts = p.split(marker)
-    if len(parts) < 2:
-        return None
-    return parts[1].split("?")[0] + "?"
-
-
-def py_words(t):
-    return len(t.split())
-
-
-@pytest.mark.parametrize("fn,py", [
-    (X.clean_eval, py_x6), (X.clean_reward, py_x8), (X.collapse_blank_lines, py_x3),
-    (X.extract_completion, py_x9), (X.word_count, py_words),
-])
-def test_differential(spark, fn, py):
-    data = rand_strings(hash(py.__name__) % 1000)
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(data)], "i int, s string")
+CASES = [
+    # evaluator cleanup: the tokens go in their fixed order, so halves can be left over
+    (X.clean_eval, [("<question> a question>", "< a "), ("<hl>b<hl>", "b"), ("question>question>", ""), ("", ""), (None, None),
+                    ("quesquestion>tion>", "question>"), ("< question>", "< "), ("</s> é", "</s> é"), ("<<hl>question>", "<")]),
+    # reward cleanup: every "<" goes last, then outer white space of any kind
+    (X.clean_reward, [("<pad><pad> Who is? </s>", "Who is?"), ("\n <unk>\ta\u00a0", "a"), ("a < b", "a  b"), ("<question>", ""), (None, None),
+                      ("<hl>x<hl>", "hl>xhl>"), ("<pa<unk>d>x", "pad>x"), ("question>  ", "")]),
+    # blank lines
+    (X.collapse_blank_lines, [("a\n\nb", "a\n\nb"), ("a\n \n\t\n b\n", "a\n\n b"), ("a\nb", "a\nb"), ("\n\n", ""), (" x ", "x"), (None, None),
+                              ("a\n\u00a0\nb", "a\n\nb"), ("a \n\n\n c\n\n\n", "a \n\n c")]),
+    # completion
+    (X.extract_completion, [("c ### Question: who?", " who?"), ("### Question: a ### Question: b?", " a ?"), ("no marker?", None), ("", None), (None, None),
+                            ("### Question:", "?"), ("### Question:?x", "?"), ("x### Question: a? b?", " a?")]),
+    # words
+    (X.word_count, [("", 0), (" \t\n", 0), ("a", 1), (" a\u00a0b  c\n", 3), ("é < >", 3), ("a\u2003b", 2)]),
+]
+
+
+@pytest.mark.parametrize("fn,pairs", CASES)
+def test_text_rules(spark, fn, pairs):
+    df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(pairs)], "i int, s string")
     got = {r["i"]: r["y"] for r in df.select("i", fn("s").alias("y")).collect()}
-    for i, s in enumerate(data):
-        assert got[i] == py(s), repr(s)
+    for i, (given, wanted) in enumerate(pairs):
+        assert got[i] == wanted, repr(given)
 
 
 def test_write_shards_roundtrip(spark, tmp_path):

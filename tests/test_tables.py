@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from qforge.functions.markdown import html2md
+from qforge.functions.markdown import markdown_of
 from qforge.operators import index as IX
 from qforge.operators import prefs as PF
 from qforge.sources.sinks import shard_plan
@@ -79,12 +79,12 @@ def test_shard_count_rule(spark):
 
 
 def test_markdown_goldens():
-    assert html2md("<h1>T</h1><p>a <b>b</b> <a href='/x'>l</a></p>") == "# T\n\na **b** [l](/x)"
-    assert html2md("<ul><li>one</li><li>two</li></ul>") == "* one\n* two"
-    assert html2md('<pre><code class="lang-py s-code">x = 1\n</code></pre>') == "```py\nx = 1\n```"
-    assert html2md("<p>a</p>\n\n  \n<p>b</p><script>var s;</script><style>p{}</style>") == "a\n\nb"
-    assert html2md("<p>x &amp; y<br>z</p>") == "x & y  \nz"
-    assert html2md("<blockquote><p>q</p></blockquote>") == "> q"
+    assert markdown_of("<h1>T</h1><p>a <b>b</b> <a href='/x'>l</a></p>") == "# T\n\na **b** [l](/x)"
+    assert markdown_of("<ul><li>one</li><li>two</li></ul>") == "* one\n* two"
+    assert markdown_of('<pre><code class="lang-py s-code">x = 1\n</code></pre>') == "```py\nx = 1\n```"
+    assert markdown_of("<p>a</p>\n\n  \n<p>b</p><script>var s;</script><style>p{}</style>") == "a\n\nb"
+    assert markdown_of("<p>x &amp; y<br>z</p>") == "x & y  \nz"
+    assert markdown_of("<blockquote><p>q</p></blockquote>") == "> q"
 
 
 def test_encode_fixed_length(spark):
