@@ -11,8 +11,10 @@ exactly.
 
 ``Vocabulary`` reads a ``tokenizers`` JSON file of the kind word_bpe (BPE with
 a word-end suffix after NFC, white space and lower-case normalisation);
-another kind raises.  Letters that Unicode gained in 2024 and 2025 can be cut
-otherwise than by a ``tokenizers`` build with older tables.  The file's bytes travel in one broadcast, whose size is
+another kind raises.  What is a letter, its lower case and its composed form
+follow Python's Unicode tables; a word with a character that these do not know,
+or with several marks in a row, is normalised and cut by the ``tokenizers``
+library's own tables, so both agree whichever is newer.  The file's bytes travel in one broadcast, whose size is
 that of the file.
 """
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -30,12 +33,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 #: Words and pre-tokens kept per Python worker; a table is emptied when it is full.
 CACHE_WORDS = 400_000
 CACHE_PIECES = 700_000
 #: Longer ones are encoded each time and not kept.
 CACHE_LENGTH = 64
+#: Judged token pairs kept per worker; emptied when full.
+CACHE_PAIRS = 500_000
 
 # FIXED VALUES: white space as the file's normaliser understands it, and the
 # byte-level alphabet's rule (printable Latin-1 bytes stand for themselves,
@@ -51,6 +57,19 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def characters(*categories: str) -> str:
+    """Ranges of the characters of these Unicode categories, for a character class."""
+    category, ranges, first = unicodedata.category, [], -1
+    for i in range(sys.maxunicode + 2):
+        inside = i <= sys.maxunicode and category(chr(i)) in categories
+        if inside and first < 0:
+            first = i
+        elif not inside and first >= 0:
+            ranges.append(f"\\U{first:08x}-\\U{i - 1:08x}")
+            first = -1
+    return "".join(ranges)
+
+
 class Vocabulary:
     """Tokens, merges, the automaton and the decoding table of one file."""
 
@@ -67,6 +86,10 @@ class Vocabulary:
         if pattern != PIECES:
             raise ValueError("only files with the known pre-token pattern are read")
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}"))
+        # not assigned as far as Python knows, or marks in a row, whose order depends on the tables
+        self.unsure = re.compile(f"[{characters('Cn')}]|[{characters('Mn', 'Mc', 'Me')}]{{2}}")
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
+        self.cutter = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         ids = model["vocab"]
         text = {i: t for t, i in ids.items()}
@@ -133,6 +156,8 @@ class Vocabulary:
                 limit, left = left, a[1]
             else:
                 limit, right = right + 1, b[0]
+        if len(self.compatible) >= CACHE_PAIRS:
+            self.compatible.clear()
         self.compatible[key] = good
         return good
 
@@ -177,6 +202,8 @@ class Vocabulary:
             yield text[at:], -1
 
     def pre_tokens(self, text: str) -> list[str]:
+        if not text.isascii() and self.unsure.search(text):
+            return [piece for piece, _ in self.cutter.pre_tokenize_str(self.normal.normalize_str(text))]
         # lower-casing is by character: a final capital sigma isn't special
         return self.pieces.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 

@@ -7,6 +7,7 @@ import re
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from qforge.llm import bpe, line_dedup, mixing, token_count, url_filter, warc
 from qforge.llm.common import Scratch
@@ -31,7 +32,6 @@ def vocabulary():
 
 
 def test_backtracking_equals_the_library(vocabulary):
-    from tokenizers import Tokenizer
     library = Tokenizer.from_file(WORD_BPE)
     rnd = random.Random(1)
     parts = ["a", "b", "e", "th", "in", "the ", "Ω", "Σ", "'s", "1", "!", "...", "é", "́", "日", "<|endoftext|>", "​", "ß"]
@@ -42,6 +42,30 @@ def test_backtracking_equals_the_library(vocabulary):
         assert vocabulary.decode_bytes(want).decode() == library.decode(want, skip_special_tokens=False)
 
 
+def test_every_kind_of_character_is_cut_as_the_library_does(vocabulary):
+    """Also characters that Python's Unicode tables do not know, alone, before
+    marks, and in sequences that newer tables compose."""
+    points = [i for i in (*range(0x0, 0x110000, 13), *range(0x530, 0x600), *range(0xA7C0, 0xA800), *range(0x16D60, 0x16D70), *range(0x11380, 0x113D0))
+              if not 0xD800 <= i < 0xE000]
+    chars = [chr(i) for i in points]
+    words = [f"a{c}B1{c}{c}.{c}́" for c in chars] + [a + b for a, b in zip(chars, chars[1:])]
+    words += ["\U00016D67\U00016D67\U00016D68", "\U00011382\U000113C9", "\U00016EA0x\U00016EA0"]
+    texts = [" ".join(words[at:at + 50]) for at in range(0, len(words), 50)]
+    library = Tokenizer.from_file(WORD_BPE)
+    codec = bpe.Codec(vocabulary)
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert codec.run(text)[1].decode() == " ".join(map(str, want.ids))
+
+
+def test_judged_pairs_are_bounded(vocabulary, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 50)
+    vocabulary.compatible.clear()
+    text = "several words that are cut into many different pieces, unquestionably antidisestablishmentarian xqzjk"
+    again = [vocabulary.encode(text) for _ in range(2)]
+    assert again[0] == again[1] == Tokenizer.from_file(WORD_BPE).encode(text, add_special_tokens=False).ids
+    assert 0 < len(vocabulary.compatible) <= 50
+
+
 def test_encode_decode_rows(spark, vocabulary):
     frame = docs(spark)
     got = bpe.encode_decode(frame, WORD_BPE).collect()
