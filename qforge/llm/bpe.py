@@ -87,6 +87,7 @@ class Vocabulary:
             raise ValueError("only files with the known pre-token pattern are read")
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}"))
         # not assigned as far as Python knows, or marks in a row, whose order depends on the tables
+        self.latin = re.compile("[\\x00-\u02ff]*")         # settled, and no marks
         self.unsure = re.compile(f"[{characters('Cn')}]|[{characters('Mn', 'Mc', 'Me')}]{{2}}")
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
         self.cutter = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
@@ -202,7 +203,7 @@ class Vocabulary:
             yield text[at:], -1
 
     def pre_tokens(self, text: str) -> list[str]:
-        if not text.isascii() and self.unsure.search(text):
+        if not self.latin.fullmatch(text) and self.unsure.search(text):
             return [piece for piece, _ in self.cutter.pre_tokenize_str(self.normal.normalize_str(text))]
         # lower-casing is by character: a final capital sigma isn't special
         return self.pieces.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
