@@ -7,7 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from qforge.operators.summary import bootstrap, poisson_cdf, poisson_draw
+from qforge.operators.summary import bootstrap, bootstrap_rows, poisson_cdf, poisson_draw
 from qforge.sources import fixtures as FX
 
 DRAWS = 20000
@@ -85,3 +85,39 @@ def test_questions_come_from_the_document_itself(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("n_chars", F.length("text").cast("bigint"))
     got = {r["id"]: r["question"] for r in FX.qa_from_documents(docs).collect()}
     assert got == {1: "who One two three?", 2: "when a b?", 3: "where ?", 4: "how ?", None: "how x?", 5: "what ?"}
+
+
+def test_every_row_is_drawn_in_every_replicate(spark):
+    import numpy as np
+    nan = float("nan")
+    rows = [("a", i, i % 7 / 7) for i in range(300)] + [("b", i, i % 2 / 1.0) for i in range(300)] \
+        + [("b", 5, 0.5), ("b", None, 0.25), ("b", 3, None), ("b", 4, nan), (None, 1, 0.5), ("none", 1, None)]
+    df = spark.createDataFrame(rows, "model string, id bigint, score double")
+
+    def weight(rep, key):
+        u = int(hashlib.md5(f"42:{rep}:{'' if key is None else key}".encode()).hexdigest()[:12], 16) / 2 ** 48
+        k, cdf, term = 0, math.exp(-1), math.exp(-1)
+        while k < 12 and u >= cdf:
+            k += 1
+            term /= k
+            cdf += term
+        return k
+    want = {}
+    for model in ("a", "b", None):
+        mine = [(k, s) for m, k, s in rows if m == model and s is not None and s == s]
+        ws = [[weight(rep, k) for k, _ in mine] for rep in range(1, 51)]
+        means = [sum(w * s for w, (_, s) in zip(each, mine)) / sum(each) for each in ws if sum(each)]
+        want[model] = [round(float(x), 6) for x in np.percentile(means, [2.5, 50, 97.5])]
+    for parts in (1, 5):
+        got = {r["model"]: [r["low"], r["mid"], r["high"]] for r in bootstrap_rows(df.repartition(parts), "model", "id", "score", n_samples=50).collect()}
+        assert set(got) == set(want) and all(got[m] == pytest.approx(want[m], abs=2e-6) for m in want)
+
+
+def test_q31_resamples_rows(spark):
+    from qforge.plans.oracle import SQL
+    from qforge.plans.queries import REGISTRY
+    from tests.conftest import SF001
+    from tests.test_plans import _plan
+    assert "unnest(range(1, 1001)) AS rep FROM r1" in SQL["q31_rouge_bootstrap"]
+    plan = _plan(REGISTRY["q31_rouge_bootstrap"](spark, SF001))
+    assert "hashpartitioning(key" in plan and "MapInPandas" in plan
