@@ -16,23 +16,26 @@ the unit vectors chooses:
 
 * ``broadcast``: they are under ``max_broadcast_bytes`` and go to every
   executor once; a row needs no shuffle.
-* ``join``: each text's distinct tokens, with their counts, meet their vectors
-  in a shuffle join (a hot token is split by AQE) and are grouped by pair
-  again; a group is bounded by the vocabulary of one text pair.
+* ``join``: rows are dealt into packs of about ``PACK_ROWS``.  The distinct tokens
+  of a pack meet their vectors in a shuffle join (a hot token has one row a pack)
+  and go to the pack's rows, so a vector is sent once for all rows of a pack.
 
 Cosines are taken inside the pair.  A table of token pairs joined back would
-shuffle |p| x |r| rows a pair where the join ships |p| + |r| vectors.
+shuffle |p| x |r| rows a pair.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_MAX_BROADCAST = 64 << 20
+PACK_ROWS = 8192           # rows that share one set of vectors
 
 _PRF = T.StructType([T.StructField("p", T.DoubleType()), T.StructField("r", T.DoubleType()),
                      T.StructField("f", T.DoubleType())])
@@ -52,13 +55,12 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
             .select("token", F.when(F.col("norm") > 0, F.transform("vec", lambda x: x / F.col("norm"))).otherwise(F.col("vec")).alias("vec")))
 
 
-def _greedy(pm: np.ndarray, rm: np.ndarray, pn: np.ndarray | None = None, rn: np.ndarray | None = None):
-    """P, R, F of unit vectors; ``pn`` and ``rn`` count each token's occurrences."""
+def _greedy(pm: np.ndarray, rm: np.ndarray):
+    """P, R, F of unit vectors."""
     if len(pm) == 0 or len(rm) == 0:
         return 0.0, 0.0, 0.0
     sim = pm @ rm.T
-    p = float(np.average(sim.max(axis=1), weights=pn))
-    r = float(np.average(sim.max(axis=0), weights=rn))
+    p, r = float(sim.max(axis=1).mean()), float(sim.max(axis=0).mean())
     f = 2 * p * r / (p + r) if p + r != 0 else 0.0
     return p, r, f
 
@@ -74,22 +76,34 @@ def _score_tokens_factory(bc):
     return score_tokens
 
 
-@F.pandas_udf(_PRF)
-def _score_vecs(p_vecs: pd.Series, p_counts: pd.Series, r_vecs: pd.Series, r_counts: pd.Series) -> pd.DataFrame:
-    def mat(v):
-        return np.stack(v).astype(np.float64) if len(v) else np.zeros((0, 1))
-    out = [_greedy(mat(a), mat(b), np.asarray(n), np.asarray(m)) for a, n, b, m in zip(p_vecs, p_counts, r_vecs, r_counts)]
-    return pd.DataFrame(out, columns=["p", "r", "f"])
+def _score_pack(rows: pa.Table, known: pa.Table) -> pa.Table:
+    """The rows of a pack with ``_p``, ``_r``, ``_f``, by the pack's vectors."""
+    tokens = known.column("token").combine_chunks()
+    mat = known.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    mat = mat.reshape(len(tokens), -1) if len(tokens) else np.zeros((0, 1))
+
+    def side(name):
+        lists = rows.column(name).combine_chunks()
+        at = pc.fill_null(pc.index_in(lists.flatten(), value_set=tokens), -1).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        return [part[part >= 0] for part in np.split(at, ends[:-1])]
+    out = np.array([_greedy(mat[a], mat[b]) for a, b in zip(side("_pt"), side("_rt"))], dtype=np.float64).reshape(-1, 3)
+    rows = rows.drop_columns(["_pack", "_pt", "_rt"])
+    for name, column in zip(("_p", "_r", "_f"), out.T):
+        rows = rows.append_column(name, pa.array(column))
+    return rows
 
 
 def bertscore(df: DataFrame, keys, vectors: DataFrame, pred_tokens: str = "pred_tokens",
               ref_tokens: str = "ref_tokens", prefix: str = "bert", ndigits=6,
               strategy: str = "auto", max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST,
-              passthrough=()) -> DataFrame:
+              passthrough=(), near=()) -> DataFrame:
     """Score every row of ``df`` (one pair per row, told apart by ``keys``).
     ``vectors`` is ``token STRING, vec ARRAY<DOUBLE>``, all vectors of one
     length.  ``passthrough`` columns are carried to the output (no join back
-    needed by callers)."""
+    needed by callers).  Rows that agree in ``near`` (``keys``, if none are
+    given) share a pack of the join; name columns of few rows a value whose
+    texts share tokens."""
     spark = df.sparkSession
     units = unit_vectors(vectors)
     if strategy == "auto":
@@ -105,17 +119,20 @@ def bertscore(df: DataFrame, keys, vectors: DataFrame, pred_tokens: str = "pred_
         bc = spark.sparkContext.broadcast(({r["token"]: k for k, r in enumerate(rows)}, mat))
         ids, s = df, _score_tokens_factory(bc)(F.col(pred_tokens), F.col(ref_tokens))
     else:
-        sides = F.array(F.struct(F.lit(0).alias("side"), F.col(pred_tokens).alias("toks")),
-                        F.struct(F.lit(1).alias("side"), F.col(ref_tokens).alias("toks")))
-        kept = [F.col(k) for k in keys]
-        counted = (df.select(*kept, F.inline(sides)).select(*kept, "side", F.explode("toks").alias("token"))
-                   .groupBy(*keys, "side", "token").agg(F.count("*").alias("n")))
-        met = counted.join(units, "token")
-        per_side = [F.sort_array(F.collect_list(F.when(F.col("side") == k, F.struct("token", "n", "vec")))).alias(f"_{k}") for k in (0, 1)]
-        grouped = met.groupBy(*keys).agg(*per_side)
-        # pairs without a known token never reach the join: add them back
-        ids = df.select(*kcols).join(grouped, list(keys), "left")
-        vecs, counts = F.array().cast("array<array<double>>"), F.array().cast("array<bigint>")
-        s = _score_vecs(F.coalesce("_0.vec", vecs), F.coalesce("_0.n", counts), F.coalesce("_1.vec", vecs), F.coalesce("_1.n", counts))
+        packs = max(1, -(-df.count() // PACK_ROWS))
+        pack = F.pmod(F.xxhash64(*(near or keys)), F.lit(packs)).cast("int")
+        rows = df.select(pack.alias("_pack"), *[c.alias(f"_c{i}") for i, c in enumerate(kcols)],
+                         F.col(pred_tokens).alias("_pt"), F.col(ref_tokens).alias("_rt"))
+        none = F.array().cast("array<string>")
+        asked = rows.select("_pack", F.explode(F.array_union(F.coalesce("_pt", none), F.coalesce("_rt", none))).alias("token")).distinct()
+        met = asked.join(units, "token").select(F.col("_pack").alias("_at"), "token", "vec")
+        kept = [f for f in rows.schema.fields if f.name not in ("_pack", "_pt", "_rt")]
+        scored = T.StructType([*kept, *[T.StructField(c, T.DoubleType()) for c in ("_p", "_r", "_f")]])
+        # a pack is PACK_ROWS pairs and the vectors of their distinct tokens, whatever the input's size
+        done = rows.groupBy("_pack").cogroup(met.groupBy("_at")).applyInArrow(_score_pack, scored)
+        names = [*keys, *passthrough]
+        scores = F.struct(F.col("_p").alias("p"), F.col("_r").alias("r"), F.col("_f").alias("f")).alias("_scores")
+        ids = done.select(*[F.col(f.name).alias(n) for f, n in zip(kept, names)], scores)
+        s = F.col("_scores")
     return ids.select(*kcols, rnd(s["p"]).alias(f"{prefix}_p"), rnd(s["r"]).alias(f"{prefix}_r"),
                       rnd(s["f"]).alias(f"{prefix}_f"))

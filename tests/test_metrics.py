@@ -120,6 +120,28 @@ def test_bertscore_by_token(spark, strategy):
     assert got[100]["bert_f"] == pytest.approx(1) and got[101]["bert_f"] == 0 and got[102]["bert_f"] == pytest.approx(1)
 
 
+def test_vectors_are_sent_once_a_pack(spark, monkeypatch):
+    """Rows of several packs, equal keys and absent lists: as by broadcast; the
+    join sends a vector a pack and not a vector a row."""
+    from qforge.operators import bertscore as B
+    from tests.test_plans import _plan
+    vt = spark.createDataFrame([(f"t{i}", [1.0, float(i)]) for i in range(10)], "token string, vec array<double>")
+    rows = [(i // 3, "m", [f"t{(i + k) % 12}" for k in range(i % 5)], [f"t{k}" for k in range(i % 4)] + [None]) for i in range(90)]
+    rows += [(None, "m", ["t1"], ["t2", "t3"]), (7, None, None, ["t1"]), (8, "x", [], None)]
+    df = spark.createDataFrame(rows, "id int, model string, pred_tokens array<string>, ref_tokens array<string>")
+
+    def scores(**kw):
+        out = B.bertscore(df, ["id", "model"], vt, passthrough=["pred_tokens"], ndigits=9, **kw)
+        return out, sorted(map(repr, out.collect()))
+    want = scores(strategy="broadcast")[1]
+    assert scores(strategy="join", near=["id"])[1] == want
+    monkeypatch.setattr(B, "PACK_ROWS", 16)
+    out, got = scores(strategy="join")
+    assert got == want
+    plan = _plan(out)
+    assert "CoGroups" in plan and "collect_list" not in plan
+
+
 def test_lcs_of_any_length(spark):
     """Bit vectors of several limbs: carries, limb edges, long rows."""
     rng = random.Random(9)
