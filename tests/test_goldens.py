@@ -107,3 +107,13 @@ def test_first_word_and_count(spark):
     rows = df.select(X.first_word("x"), X.word_count("x")).collect()
     assert (rows[0][0], rows[0][1]) == ("who", 3)
     assert (rows[1][0], rows[1][1]) == (None, 0)
+
+
+def test_markdown_holds_a_slice_of_pages():
+    """A batch is handed on slice by slice, none skipped; nulls stay."""
+    import pyarrow as pa
+    from qforge.functions import markdown as M
+    pages = [None if i % 10 == 3 else f"<p>page <b>{i}</b></p>" for i in range(2 * M.SLICE_ROWS + 5)]
+    out = list(M._html_to_markdown_udf.func(iter([pa.array(pages), pa.array([], pa.string())])))
+    assert max(map(len, out)) <= M.SLICE_ROWS
+    assert [x for part in out for x in part.to_pylist()] == [M.markdown_of(x) for x in pages]
