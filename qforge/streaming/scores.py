@@ -34,6 +34,12 @@ def scored_stream(preds_stream: DataFrame, refs: DataFrame) -> DataFrame:
 SALTS = 64
 
 
+def one_file(rows: DataFrame) -> DataFrame:
+    """``rows`` (models x ``SALTS``) in one partition, behind a shuffle: without
+    it one task would merge the state of all partitions, holding each one's memory."""
+    return rows.repartition(1)
+
+
 def running_model_means(spark: SparkSession, pred_dir: str, pred_schema, refs: DataFrame,
                         checkpoint: str, out_path: str, files_per_batch: int = 2) -> DataFrame:
     """Score what has arrived since the last call with this ``checkpoint`` and
@@ -49,7 +55,7 @@ def running_model_means(spark: SparkSession, pred_dir: str, pred_schema, refs: D
     fs, hadoop = filesystem(spark, out_path)
 
     def snapshot(rows: DataFrame, batch: int) -> None:
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{out_path}/batch={batch:012d}")     # models x SALTS rows
+        one_file(rows).write.mode("overwrite").parquet(f"{out_path}/batch={batch:012d}")
         for old in sorted(s.getPath().getName() for s in fs.listStatus(hadoop(out_path)))[:-2]:
             fs.delete(hadoop(f"{out_path}/{old}"), True)
     query = (partial.writeStream.outputMode("complete").foreachBatch(snapshot)

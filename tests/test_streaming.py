@@ -48,3 +48,16 @@ def test_state_is_spread_over_salts(spark, tmp_path):
 
 def _schema(spark, ddl):
     return spark.createDataFrame([], ddl).schema
+
+
+def test_snapshot_leaves_the_state_to_its_tasks(spark):
+    """The snapshot is one file, yet no task handles another partition's state."""
+    from pyspark import TaskContext
+    from qforge.streaming.scores import one_file
+
+    def task(batches):
+        for b in batches:
+            yield b.assign(task=TaskContext.get().partitionId())
+    rows = one_file(spark.range(64, numPartitions=8).mapInPandas(task, "id long, task int"))
+    assert rows.rdd.getNumPartitions() == 1
+    assert {r.task for r in rows.collect()} == set(range(8))
