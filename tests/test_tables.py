@@ -260,3 +260,31 @@ def test_shard_sets_are_complete_or_refused(spark, tmp_path):
     shutil.rmtree(out + "/_manifest")
     with pytest.raises(FileNotFoundError):
         read_shards(spark, out)
+
+
+def test_encode_explodes_rare_tokens_only(spark, monkeypatch):
+    """Frequent tokens are looked up in their rows: texts are cut once and stored
+    as ids; the result is that of a lookup of every token."""
+    from qforge.operators import encode as E
+    rows = [(1, "a b a c", "x"), (2, "a  zz\tq", "a y"), (3, None, "b"), (4, "", ""), (5, " ".join(f"w{i % 7}" for i in range(30)), "a"),
+            (6, "\u00fc \u00e9 a", "a"), (None, "a b", "c"), (7, "b a", "c"), (7, "c", "b")]
+    df = spark.createDataFrame(rows, "id long, t string, u string")
+    vocab = E.build_vocab(df, ["t", "u"], 14)
+    tid = {r["token"]: r["tid"] for r in vocab.collect()}
+
+    def want(text, n):
+        ids = [tid.get(w, E.UNK) for w in (text or "").split()][:n - 1] + [E.EOS]
+        return ids + [E.PAD] * (n - len(ids)), [1] * len(ids) + [0] * (n - len(ids))
+    for hot in (1 << 16, 4, 0):
+        monkeypatch.setattr(E, "HOT_TOKENS", hot)
+        out = E.encode_columns(df, "id", {"t": (12, "ti"), "u": (3, "ui")}, vocab)
+        got = out.collect()
+        assert len(got) == len(rows)
+        for r in got:
+            if r["id"] is None:
+                assert r["ti"] == want("", 12)[0]
+            elif r["id"] != 7:
+                _, t, u = next(x for x in rows if x[0] == r["id"])
+                assert (r["ti"], r["ti_mask"]) == want(t, 12) and (r["ui"], r["ui_mask"]) == want(u, 3)
+    plan = out._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan
