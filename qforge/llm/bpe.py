@@ -30,18 +30,22 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
 #: Words and pre-tokens kept per Python worker; a table is emptied when it is full.
-CACHE_WORDS = 400_000
-CACHE_PIECES = 700_000
+CACHE_WORDS = 250_000
+CACHE_PIECES = 250_000
 #: Longer ones are encoded each time and not kept.
 CACHE_LENGTH = 64
 #: Judged token pairs kept per worker; emptied when full.
 CACHE_PAIRS = 500_000
+#: Characters of an Arrow batch that are encoded and handed on together, and rows at most.
+SLICE_BYTES = 1 << 20
+SLICE_ROWS = 512
 
 # FIXED VALUES: white space as the file's normaliser understands it, and the
 # byte-level alphabet's rule (printable Latin-1 bytes stand for themselves,
@@ -228,41 +232,36 @@ class Codec:
     """A vocabulary with the tables of words and pre-tokens seen by this worker.
 
     No pre-token and no composition of characters reaches over white space, so
-    a word between white space is normalised and cut once, when first seen."""
+    a word between white space is normalised and cut once, when first seen.
+    The tables hold ids as decimals joined by a blank and nothing else: a worker
+    shares its executor's memory.  The decoded text is looked up by them."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         self.pieces = Table(self._piece, CACHE_PIECES)
         self.words = Table(self._word, CACHE_WORDS)
         self.word = re.compile(f"[^{SPACE}]+")
+        self.decimal = [str(i).encode() for i in range(len(vocab.start) - 1)]
+        self.token = {d: vocab.decode_bytes([i]) for i, d in enumerate(self.decimal)}
 
-    def _piece(self, piece: str) -> Form:
-        return self._packed(self.vocab.encode_piece(piece))
+    def _piece(self, piece: str) -> bytes:
+        return b" ".join([self.decimal[i] for i in self.vocab.encode_piece(piece)])
 
-    def _word(self, word: str) -> Form:
+    def _word(self, word: str) -> bytes:
         return joined([self.pieces[p] for p in self.vocab.pre_tokens(word)])
 
-    def _packed(self, ids: list[int]) -> Form:
-        return len(ids), " ".join(map(str, ids)).encode(), self.vocab.decode_bytes(ids)
-
-    def run(self, text: str) -> Form:
+    def run(self, text: str) -> tuple[int, bytes, bytes]:
         """Number of ids, the ids as decimals joined by a blank, the decoded text."""
-        forms: list[Form] = []
+        forms: list[bytes] = []
         for part, token in self.vocab.split_text(text):
-            forms += [self._packed([token])] if token >= 0 else map(self.words.__getitem__, self.word.findall(part))
-        return joined(forms)
-
+            forms += [self.decimal[token]] if token >= 0 else map(self.words.__getitem__, self.word.findall(part))
+        ids = joined(forms)
+        each = ids.split()
+        return len(each), ids, b" ".join(map(self.token.__getitem__, each))
 
-Form = tuple[int, bytes, bytes]
 
-
-def joined(forms: list[Form]) -> Form:
-    if len(forms) == 1:
-        return forms[0]
-    if not forms:
-        return 0, b"", b""
-    n, ids, words = zip(*forms)
-    return sum(n), b" ".join(ids), b" ".join(words)
+def joined(forms: list[bytes]) -> bytes:
+    return forms[0] if len(forms) == 1 else b" ".join(filter(None, forms))
 
 
 class Table(dict):
@@ -291,6 +290,36 @@ def codec_of(data: bytes) -> Codec:
     return _codecs[key]
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows of about SLICE_BYTES of text, so that a worker
+    holds the forms of few texts besides the batch itself."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+    first = held = 0
+    for i, size in enumerate(sizes):
+        if i > first and (held + size > SLICE_BYTES or i - first >= SLICE_ROWS):
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += size
+    if first < len(sizes):
+        yield batch.slice(first)
+
+
+def encoded(codec: Codec, batch: pa.RecordBatch, mine: list[str]) -> pa.RecordBatch:
+    """``batch`` with the columns ``mine``."""
+    got: dict[str, list] = {m: [] for m in mine}
+    for text in batch.column("text"):
+        n, ids, words = codec.run(text.as_py() or "")
+        got["n_tokens"].append(n)
+        if "ids" in got:
+            got["ids"].append(ids.decode())
+        if "decoded" in got:
+            got["decoded"].append(words.decode())
+        got["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
+        got["decoded_sha256"].append(hashlib.sha256(words).hexdigest())
+    return pa.RecordBatch.from_arrays(
+        [*batch.columns, *(pa.array(v, pa.int64() if m == "n_tokens" else pa.string()) for m, v in got.items())],
+        names=[*batch.schema.names, *mine])
+
 
 def encode_decode(df: DataFrame, vocabulary_file: str, text_col: str = "text", outputs=("ids", "decoded")) -> DataFrame:
     """``df`` plus ``n_tokens``, ``ids`` (decimals joined by a blank),
@@ -314,19 +343,8 @@ def encode_decode(df: DataFrame, vocabulary_file: str, text_col: str = "text", o
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
         for batch in batches:
-            got: dict[str, list] = {m: [] for m in mine}
-            for text in batch.column("text"):
-                n, ids, words = codec.run(text.as_py() or "")
-                got["n_tokens"].append(n)
-                if "ids" in got:
-                    got["ids"].append(ids.decode())
-                if "decoded" in got:
-                    got["decoded"].append(words.decode())
-                got["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-                got["decoded_sha256"].append(hashlib.sha256(words).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(v, pa.int64() if m == "n_tokens" else pa.string()) for m, v in got.items())],
-                names=[*batch.schema.names, *mine])
+            for part in slices(batch):
+                yield encoded(codec, part, mine)
 
     done = frame.mapInArrow(work, out)
     back = [F.col(f"c{i}").alias(c) for i, c in enumerate(rest) if c != text_col]

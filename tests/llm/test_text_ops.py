@@ -255,3 +255,21 @@ def test_line_spread_near_the_threshold(spark):
         .where("cast(site as int) < n").select(F.col("n").cast("long").alias("h"), "site")
     got = {r.h for r in line_dedup.boilerplate(lines, Scratch(spark, "spread"), 1000).collect()}
     assert got == set(range(1000, 1051, 5))
+
+
+def test_bpe_worker_holds_few_forms(spark):
+    """Batches are encoded in slices of bounded text; the tables hold ids only."""
+    import public_tokenizers
+    import pyarrow as pa
+    texts = ["a" * 700_000, None, "b" * 700_000, "", "c" * 3_000_000, *["w x"] * 1500]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["c0", "text"])
+    parts = list(bpe.slices(batch.slice(1)))
+    assert [x for p in parts for x in p.column("c0").to_pylist()] == list(range(1, len(texts)))
+    assert all(p.num_rows <= bpe.SLICE_ROWS for p in parts)
+    assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column("text").to_pylist()) <= bpe.SLICE_BYTES for p in parts)
+    assert list(bpe.slices(batch.slice(0, 0))) == []
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        codec = bpe.Codec(bpe.Vocabulary.from_json(f.read()))
+    n, ids, words = codec.run("don't stop, 12 times")
+    assert n == len(ids.split()) and codec.vocab.decode_bytes(map(int, ids.split())) == words
+    assert {type(v) for v in [*codec.words.values(), *codec.pieces.values()]} == {bytes}
