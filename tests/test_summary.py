@@ -122,3 +122,28 @@ def test_q31_resamples_rows(spark):
     plan = _plan(REGISTRY["q31_rouge_bootstrap"](spark, SF001))
     assert "hashpartitioning(key" in plan and "MapInPandas" in plan
     assert not any("aggregate(" in x for x in plan.split("\n") if "Filter" in x)      # no score is made to filter by it
+
+
+def test_no_weight_is_cut(monkeypatch):
+    """Code and SQL invert the whole distribution: the largest of 2^48 draws weighs 16."""
+    from fractions import Fraction
+    from types import SimpleNamespace
+
+    import duckdb
+
+    from qforge.operators import summary
+    from qforge.plans.oracle import SQL, _poisson_case
+    p0 = sum(Fraction((-1) ** j, math.factorial(j)) for j in range(40))
+    cdf = [sum(p0 / math.factorial(j) for j in range(k + 1)) for k in range(20)]
+    edges = [math.ceil(c * 2 ** 48) for c in cdf]            # the least draw that weighs more than k
+    draws = sorted({d for e in edges for d in (e - 1, e) if d < 2 ** 48} | {0, 2 ** 48 - 1})
+    want = [bisect.bisect_right(edges, d) for d in draws]
+    assert want[-1] == 16 and set(want) == set(range(17))
+
+    def md5(text):                                           # the key itself is the digest's head
+        return SimpleNamespace(digest=lambda: bytes.fromhex(text.decode().split(":")[2]) + bytes(10))
+    monkeypatch.setattr(summary, "hashlib", SimpleNamespace(md5=md5))
+    assert summary.row_weights([f"{d:012x}".encode() for d in draws], 1, 42)[:, 0].tolist() == want
+    sql = f"SELECT {_poisson_case('u')} FROM (SELECT d, d / 281474976710656.0 AS u FROM (SELECT unnest(?::BIGINT[]) AS d)) ORDER BY d"
+    assert [r[0] for r in duckdb.execute(sql, [draws]).fetchall()] == want
+    assert _poisson_case("u") in SQL["q31_rouge_bootstrap"]
